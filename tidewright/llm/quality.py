@@ -19,7 +19,7 @@ from .common import SPACE_BYTES, byte_column, chunks, mix64
 
 SYMBOLS = b"#*$%&|<>"
 #: The largest share of word bytes inside n-grams of n words that occur twice or more, first included.
-NGRAM_LIMITS = {6: 0.20, 8: 0.18, 10: 0.16}
+NGRAM_LIMITS = {6: 0.25, 8: 0.22, 10: 0.20}
 #: The largest share of line bytes in lines that repeat an earlier one.
 LINE_LIMIT = 0.30
 CHUNK_BYTES = 1 << 20
