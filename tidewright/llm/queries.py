@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, quality, token_count
+from . import byte_bpe, exact_dedup, mixing, quality, secrets, token_count
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,13 +27,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(_docs(spark, sf_dir)))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_count.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_byte_bpe, op9_token_count)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_quality_rules, op3_byte_bpe, op5_secrets, op6_mixing, op9_token_count)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
