@@ -127,7 +127,8 @@ def exact_groups(docs: DataFrame, max_filter_bytes: int = 32 << 20) -> DataFrame
         probed = digests.mapInArrow(_probe(spark.sparkContext.broadcast(bits)), "doc_id long, _row long, _sha binary, _len long, _maybe boolean")
         alone, maybe = probed.where(~F.col("_maybe")), probed.where("_maybe")
     best = F.min(F.struct((-F.col("_len")).alias("n"), F.col("doc_id").isNull().alias("absent"), "doc_id", "_row"))
-    groups = maybe.groupBy("_sha").agg(best.alias("_best"), F.count("*").alias("group_size"))
+    # a table of its own, so that both sides of the join are exchanges and a large group's rows can be split
+    groups = materialize(maybe.groupBy("_sha").agg(best.alias("_best"), F.count("*").alias("group_size")), "groups")
     out = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256")]
     found = maybe.join(groups, "_sha").select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "_sha").select(*out)
     if alone is None:
@@ -158,6 +159,6 @@ def drop_exact_duplicates(docs: DataFrame, max_filter_bytes: int = 32 << 20) ->
         probed = full.mapInArrow(_probe(at), kinds)
         alone, maybe = probed.where(~F.col("_maybe")).select(*columns), probed.where("_maybe")
         keys = digests.mapInArrow(_probe(at), "doc_id long, _sha binary, _len long, _maybe boolean").where("_maybe")
-    best = keys.groupBy("_sha").agg(F.min(rank).alias("_best"))
+    best = materialize(keys.groupBy("_sha").agg(F.min(rank).alias("_best")), "groups")
     kept = maybe.withColumn("_rank", rank).join(best, "_sha").where(F.col("_rank").eqNullSafe(F.col("_best"))).dropDuplicates(["_sha"]).select(*columns)
     return kept if alone is None else alone.unionByName(kept)
