@@ -26,9 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, byte_column, materialize
-
-SHARD_BITS = 1 << 20
-
+from .repeats import MOST_BYTES, probe, repeat_filter
 
 def digest_of(text: bytes) -> bytes:
     return hashlib.sha256(text.translate(None, SPACE_BYTES)).digest()
@@ -41,86 +39,29 @@ def _digests(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), pa.array([digest_of(t) for t in texts], pa.binary()), n], names=["doc_id", "_row", "_sha", "_len"])
 
 
-def _cells(shas: list[bytes], shards: int) -> np.ndarray:
-    """Two cells of the filter for each digest, both in one shard; rows are (shard, cell, cell)."""
-    h = np.frombuffer(b"".join(shas), "<u8").reshape(-1, 4)
-    mask = np.uint64(SHARD_BITS - 1)
-    return np.stack([h[:, 0] % np.uint64(shards), h[:, 1] & mask, h[:, 2] & mask], axis=1).astype(np.int64)
-
+def _keys(shas: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(shas), "<u8").reshape(-1, 4)[:, 0].copy()
 
-def _set_bits(shards: int):
-    def run(batches):
-        found = []
-        for b in batches:
-            shas = b.column("_sha").to_pylist()
-            if shas:
-                c = _cells(shas, shards)
-                base = c[:, 0] * SHARD_BITS
-                found += [base + c[:, 1], (base + c[:, 2])[c[:, 1] != c[:, 2]]]
-        if not found:
-            return
-        cells, counts = np.unique(np.concatenate(found), return_counts=True)
-        cuts = np.searchsorted(cells, np.arange(shards + 1) * SHARD_BITS)
-        rows = [(s, cells[a:z] - s * SHARD_BITS, counts[a:z]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([s for s, _, _ in rows], pa.int32()),
-                pa.array([c[n == 1].astype("<u4").tobytes() for _, c, n in rows], pa.binary()),
-                pa.array([c[n > 1].astype("<u4").tobytes() for _, c, n in rows], pa.binary()),
-            ],
-            names=["shard", "once", "twice"],
-        )
 
-    return run
-
-
-def _merge_shard(table: pa.Table) -> pa.Table:
-    once, twice = np.zeros(SHARD_BITS, bool), np.zeros(SHARD_BITS, bool)
-    for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
-        a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-        twice[a[once[a]]] = True
-        once[a] = True
-        twice[b] = once[b] = True
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
-
-
-def repeat_filter(digests: DataFrame, n_rows: int, max_filter_bytes: int = 32 << 20):
-    """Pass 1: the filter of cells hit twice as a list of shards, or None where none of the allowed size would help."""
-    shards = max(1, -(-16 * n_rows // SHARD_BITS))
-    most = max(1, max_filter_bytes * 8 // SHARD_BITS)
-    if shards > 4 * most:
-        return None
-    shards = min(shards, most)
-    bits = digests.select("_sha").mapInArrow(_set_bits(shards), "shard int, once binary, twice binary").groupBy("shard").applyInArrow(_merge_shard, "shard int, bits binary")
-    filled = {r["shard"]: bytes(r["bits"]) for r in bits.toLocalIterator()}  # max_filter_bytes at most
-    return [filled.get(s) for s in range(shards)]
+def _keys_of(batches):
+    for b in batches:
+        yield _keys(b.column("_sha").to_pylist())
 
 
 def _probe(bits):
     def run(batches):
-        shards = bits.value
-        n = len(shards)
-        whole = np.concatenate([np.frombuffer(s, np.uint8) if s else np.zeros(SHARD_BITS // 8, np.uint8) for s in shards])
-        hit = lambda at: (whole[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         for b in batches:
-            shas = b.column("_sha").to_pylist()
-            if shas:
-                c = _cells(shas, n)
-                base = c[:, 0] * SHARD_BITS
-                maybe = (hit(base + c[:, 1]) & hit(base + c[:, 2])).astype(bool)
-            else:
-                maybe = np.zeros(0, bool)
-            yield b.append_column("_maybe", pa.array(maybe))
+            yield b.append_column("_maybe", pa.array(probe(bits.value, _keys(b.column("_sha").to_pylist()))))
 
     return run
 
 
-def exact_groups(docs: DataFrame, max_filter_bytes: int = 32 << 20) -> DataFrame:
+def exact_groups(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("_row"))
     digests = materialize(rows.mapInArrow(_digests, "doc_id long, _row long, _sha binary, _len long"), "digests")
-    bits = repeat_filter(digests, digests.count(), max_filter_bytes)
+    bits = repeat_filter(digests.select("_sha"), _keys_of, digests.count(), max_filter_bytes)
     if bits is None:
         alone, maybe = None, digests
     else:
@@ -144,12 +85,12 @@ def _with_digest(batches):
         yield b.append_column("_sha", pa.array([digest_of(t) for t in texts], pa.binary())).append_column("_len", n)
 
 
-def drop_exact_duplicates(docs: DataFrame, max_filter_bytes: int = 32 << 20) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents that stay, with their columns. Texts that the filter rules out are never shuffled."""
     spark, columns = docs.sparkSession, docs.columns
     full = docs.mapInArrow(_with_digest, docs.limit(0).withColumns({"_sha": F.lit(None).cast("binary"), "_len": F.lit(None).cast("long")}).schema)
     digests = materialize(full.select("doc_id", "_sha", "_len"), "digests")
-    bits = repeat_filter(digests, digests.count(), max_filter_bytes)
+    bits = repeat_filter(digests.select("_sha"), _keys_of, digests.count(), max_filter_bytes)
     kinds = full.limit(0).withColumn("_maybe", F.lit(None).cast("boolean")).schema
     rank = F.struct((-F.col("_len")).alias("n"), F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"))
     if bits is None:
