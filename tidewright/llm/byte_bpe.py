@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column
+from .common import byte_column, kept, pieces
 
-MOST_CACHED = 400_000
+MOST_CACHED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -102,14 +102,8 @@ class Codec(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(model: bytes, pattern: str) -> Codec:
-    key = hashlib.sha256(model + pattern.encode()).digest()
-    if key not in _codecs:
-        _codecs[key] = Codec(model, pattern)
-    return _codecs[key]
+    return kept("byte_bpe", hashlib.sha256(model + pattern.encode()).digest(), lambda: Codec(model, pattern))
 
 
 def _model(spark: SparkSession, path: str):
@@ -153,7 +147,7 @@ def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = codec(model.value, pattern)
-        for b in batches:
+        for b in pieces(batches):
             n, a, z = [], [], []
             for t in byte_column(b):
                 ids = c.encode(t.decode())

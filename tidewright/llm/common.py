@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that part words, as a regex class body (Java and Python agree on it) and as bytes.
@@ -59,8 +60,25 @@ def byte_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return pc.fill_null(batch.column(name).cast(pa.binary()), b"").to_pylist()
 
 
-def str_column(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    return pc.fill_null(batch.column(name).cast(pa.string()), "").to_pylist()
+def pieces(batches, rows: int = 1000):
+    """The same rows in batches of at most ``rows``, so that few texts are held as Python objects at a time."""
+    for b in batches:
+        if b.num_rows <= rows:
+            yield b
+        else:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+
+
+_kept: dict = {}
+
+
+def kept(owner: str, key, make):
+    """What ``make`` made for this owner and key in this worker. One operator's things at a time: workers are reused, their memory is shared."""
+    if (owner, key) not in _kept:
+        _kept.clear()
+        _kept[owner, key] = make()
+    return _kept[owner, key]
 
 
 def chunks(sizes: list[int], most: int):
@@ -87,5 +105,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def input_partitions(df: DataFrame) -> int:
-    return max(1, df.rdd.getNumPartitions())
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 48:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, the same in all workers."""
+    return np.fromiter(map(kept("words", 0, _WordHashes).__getitem__, words), np.uint64, len(words))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, byte_column, materialize
+from .common import SPACE_BYTES, byte_column, materialize, pieces
 from .repeats import MOST_BYTES, probe, repeat_filter
 
 def digest_of(text: bytes) -> bytes:
@@ -33,7 +33,7 @@ def digest_of(text: bytes) -> bytes:
 
 
 def _digests(batches):
-    for b in batches:
+    for b in pieces(batches):
         texts = byte_column(b)
         n = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), pa.array([digest_of(t) for t in texts], pa.binary()), n], names=["doc_id", "_row", "_sha", "_len"])
@@ -79,7 +79,7 @@ def exact_groups(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -> DataFra
 
 
 def _with_digest(batches):
-    for b in batches:
+    for b in pieces(batches):
         texts = byte_column(b)
         n = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
         yield b.append_column("_sha", pa.array([digest_of(t) for t in texts], pa.binary())).append_column("_len", n)

@@ -24,12 +24,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, materialize, mix64
+from .common import byte_column, materialize, mix64, word_hashes
 
 BATCH_BYTES = 8 << 20
 GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)
@@ -38,19 +37,6 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= 400_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hash_of = _WordHash()
-
-
 def held_out(doc_id: Column, parts: int = 7, out: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == out
 
@@ -83,7 +69,7 @@ class Batch:
         for t in texts:
             words = t.lower().split()
             h = np.empty(len(words) + 1, np.uint64)
-            h[:-1] = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+            h[:-1] = word_hashes(words)
             h[-1] = END
             parts.append(h)
         self.sizes = np.array([len(p) for p in parts], np.int64)

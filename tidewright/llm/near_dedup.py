@@ -24,11 +24,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, chunks, materialize, mix64
+from .common import byte_column, chunks, materialize, mix64, pieces, word_hashes
 from .components import UnionFind, connected_components
 
 BANDS, ROWS = 32, 4
@@ -38,25 +37,12 @@ CHUNK_BYTES = 1 << 20
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hash_of = _WordHash()
-
-
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles."""
     words = text.lower().split()  # bytes.lower() folds A-Z alone
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     n = min(width, len(words))
     with np.errstate(over="ignore"):
         rolled = h[: len(h) - n + 1].copy()
@@ -100,7 +86,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, docs: int, m: int) ->
 def _sketch(bands: int, rows: int, width: int):
     def run(batches):
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
-        for b in batches:
+        for b in pieces(batches):
             texts = byte_column(b)
             sizes, digests, keys = [], [], []
             for lo, hi in chunks([len(t) for t in texts], CHUNK_BYTES):

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, byte_column, chunks, mix64
+from .common import SPACE_BYTES, byte_column, chunks, mix64, pieces
 
 SYMBOLS = b"#*$%&|<>"
 #: The largest share of word bytes inside n-grams of n words that occur twice or more, first included.
@@ -73,7 +73,7 @@ def _judge(limits: dict[int, float], line_limit: float):
     lengths = tuple(sorted({5, *limits}))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts, ids = byte_column(b), b.column("doc_id").to_pylist()
             points = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
             rows = []
@@ -110,7 +110,7 @@ def _keep(limits: dict[int, float], line_limit: float):
     judge = _judge(limits, line_limit)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             for verdict in judge([pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text")], names=["doc_id", "text"])]):
                 yield b.filter(verdict.column("kept"))
 

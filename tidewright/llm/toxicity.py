@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, chunks, materialize
+from .common import byte_column, chunks, kept, materialize, pieces
 
 SAMPLE = 8000
 #: Words around a match that are its context.
@@ -35,7 +35,7 @@ TRIM = ".,;:!?()[]{}<>'’‘`*_~-…" + QUOTES
 FEATURES = ("hits", "quoted", "addressed", "any", "rate")
 #: What a misspelled term counts beside an exact one.
 MISSPELLED = 0.8
-MOST_CACHED = 500_000
+MOST_CACHED = 300_000
 _FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -227,14 +227,8 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
         keep.remove(worst)
 
 
-_automata: dict[tuple, Automaton] = {}
-
-
 def _automaton(words: dict[str, int]) -> Automaton:
-    if (key := tuple(sorted(words.items()))) not in _automata:
-        _automata.clear()
-        _automata[key] = Automaton(words)
-    return _automata[key]
+    return kept("toxicity", tuple(sorted(words.items())), lambda: Automaton(words))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray]:
@@ -244,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
 
     def extract(batches):
         auto = _automaton(lexicon)
-        for b in batches:
+        for b in pieces(batches):
             x = [features(words_of(t), auto) for t in byte_column(b)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic")], names=["x", "toxic"])
 
@@ -263,7 +257,7 @@ def score_documents(docs: DataFrame, lexicon: dict[str, int], weights: np.ndarra
 
     def run(batches):
         auto = _automaton(lexicon)
-        for b in batches:
+        for b in pieces(batches):
             z = [float(weights[0] + np.dot(weights[1:], features(words_of(t), auto))) for t in byte_column(b)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())], names=["doc_id", "score"])
 
