@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, kept, pieces
+from .common import bound_batches, byte_column, kept, pieces
 
 MOST_CACHED = 150_000
 
@@ -107,6 +107,7 @@ def codec(model: bytes, pattern: str) -> Codec:
 
 
 def _model(spark: SparkSession, path: str):
+    bound_batches(spark)
     return spark.sparkContext.broadcast(serialise(read_ranks(path)))  # as large as the vocabulary, about 1.5 MB
 
 
@@ -116,7 +117,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
 
     def run(batches):
         c = codec(model.value, pattern)
-        for b in batches:
+        for b in pieces(batches):
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 ids = [c.encode(t.decode()) for t in byte_column(part)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -10,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that part words, as a regex class body (Java and Python agree on it) and as bytes.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -19,11 +21,19 @@ SPACE_BYTES = b" \t\n\v\f\r"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB where the session has the default of 64 MB: texts are long, and each task holds several copies of a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in (str(64 << 20), f"{64 << 20}b", "64MB", "64m"):
+        spark.conf.set(key, "4m")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see: ``spark.checkpoint.dir`` of the session.
 
     Only where it is unset, as in tests, a folder of this machine is taken.
     """
+    bound_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="tidewright-")
@@ -57,7 +67,16 @@ atexit.register(release)
 
 def byte_column(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each row; null is empty."""
-    return pc.fill_null(batch.column(name).cast(pa.binary()), b"").to_pylist()
+    return byte_list(batch.column(name))
+
+
+def byte_list(column: pa.Array) -> list[bytes]:
+    return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
+
+
+def as_struct(docs: DataFrame, name: str) -> Column:
+    """All columns of ``docs`` in one, so that names of an operator's own can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
 def pieces(batches, rows: int = 1000):
@@ -68,6 +87,29 @@ def pieces(batches, rows: int = 1000):
         else:
             for i in range(0, b.num_rows, rows):
                 yield b.slice(i, rows)
+    give_back()
+
+
+def gather(batches, most: int):
+    """Consecutive batches put together to about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: workers stay on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 _kept: dict = {}

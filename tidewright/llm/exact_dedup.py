@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, byte_column, materialize, pieces
+from .common import SPACE_BYTES, as_struct, byte_column, byte_list, materialize, pieces
 from .repeats import MOST_BYTES, probe, repeat_filter
 
 def digest_of(text: bytes) -> bytes:
@@ -80,26 +80,28 @@ def exact_groups(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -> DataFra
 
 def _with_digest(batches):
     for b in pieces(batches):
-        texts = byte_column(b)
-        n = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
-        yield b.append_column("_sha", pa.array([digest_of(t) for t in texts], pa.binary())).append_column("_len", n)
+        text = pc.struct_field(b.column("_doc"), "text").cast(pa.string())
+        n = pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64())
+        yield b.append_column("_sha", pa.array([digest_of(t) for t in byte_list(text)], pa.binary())).append_column("_len", n)
 
 
 def drop_exact_duplicates(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -> DataFrame:
-    """The documents that stay, with their columns. Texts that the filter rules out are never shuffled."""
-    spark, columns = docs.sparkSession, docs.columns
-    full = docs.mapInArrow(_with_digest, docs.limit(0).withColumns({"_sha": F.lit(None).cast("binary"), "_len": F.lit(None).cast("long")}).schema)
-    digests = materialize(full.select("doc_id", "_sha", "_len"), "digests")
+    """The documents that stay, with their columns, whatever their names. Texts that the filter rules out are never shuffled."""
+    spark = docs.sparkSession
+    whole = docs.select(as_struct(docs, "_doc"))
+    kinds = whole.limit(0).withColumns({"_sha": F.lit(None).cast("binary"), "_len": F.lit(None).cast("long")})
+    full = whole.mapInArrow(_with_digest, kinds.schema)
+    digests = materialize(full.select(F.col("_doc.doc_id").alias("doc_id"), "_sha", "_len"), "digests")
     bits = repeat_filter(digests.select("_sha"), _keys_of, digests.count(), max_filter_bytes)
-    kinds = full.limit(0).withColumn("_maybe", F.lit(None).cast("boolean")).schema
-    rank = F.struct((-F.col("_len")).alias("n"), F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"))
+    id_ = F.col("_doc.doc_id")
+    rank = lambda i: F.struct((-F.col("_len")).alias("n"), i.isNull().alias("absent"), i.alias("id"))
     if bits is None:
         alone, maybe, keys = None, full, digests
     else:
         at = spark.sparkContext.broadcast(bits)
-        probed = full.mapInArrow(_probe(at), kinds)
-        alone, maybe = probed.where(~F.col("_maybe")).select(*columns), probed.where("_maybe")
+        probed = full.mapInArrow(_probe(at), kinds.withColumn("_maybe", F.lit(None).cast("boolean")).schema)
+        alone, maybe = probed.where(~F.col("_maybe")).select("_doc.*"), probed.where("_maybe")
         keys = digests.mapInArrow(_probe(at), "doc_id long, _sha binary, _len long, _maybe boolean").where("_maybe")
-    best = materialize(keys.groupBy("_sha").agg(F.min(rank).alias("_best")), "groups")
-    kept = maybe.withColumn("_rank", rank).join(best, "_sha").where(F.col("_rank").eqNullSafe(F.col("_best"))).dropDuplicates(["_sha"]).select(*columns)
+    best = materialize(keys.groupBy("_sha").agg(F.min(rank(F.col("doc_id"))).alias("_best")), "groups")
+    kept = maybe.withColumn("_rank", rank(id_)).join(best, "_sha").where(F.col("_rank").eqNullSafe(F.col("_best"))).dropDuplicates(["_sha"]).select("_doc.*")
     return kept if alone is None else alone.unionByName(kept)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, materialize, mix64, word_hashes
+from .common import bound_batches, byte_column, materialize, mix64, word_hashes
 
 BATCH_BYTES = 8 << 20
 GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)
@@ -163,6 +163,7 @@ def _score(order: int, total: int, vocabulary: int):
 
 def score_documents(docs: DataFrame, order: int = 2, parts: int = 7, out: int = 2, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
+    bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     batches = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / batch_bytes))
     shards = max(1, batches // 4)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, materialize
+from .common import SPACE_CLASS, as_struct, materialize
 
 MOST_COPIES = 2
 BINS = 4096
@@ -134,8 +134,7 @@ def draw_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     size = word_count(F.col("text"))
     p = plan(materialize(docs.select("doc_id", "source", size.alias("size")), "sized"), weights, share)
     own = p.select(F.struct("*").alias("_p"), F.col("source").alias("_source"))
-    columns = docs.columns
-    joined = docs.join(own, F.col("source").eqNullSafe(F.col("_source")))
-    flat = joined.select(F.struct(*columns).alias("_doc"), "doc_id", size.alias("size"), *[F.col(f"_p.{c}").alias(c) for c in p.columns if c not in ("source", "source_size")])
-    copies = with_copies(flat)
+    joined = docs.select(as_struct(docs, "_doc")).join(own, F.col("_doc.source").eqNullSafe(F.col("_source")))
+    figures = [F.col(f"_p.{c}").alias(c) for c in p.columns if c not in ("source", "source_size")]
+    copies = with_copies(joined.select("_doc", F.col("_doc.doc_id").alias("doc_id"), word_count(F.col("_doc.text")).alias("size"), *figures))
     return copies.where("copies > 0").select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_doc.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, chunks, materialize, mix64, pieces, word_hashes
+from .common import byte_column, chunks, give_back, materialize, mix64, pieces, word_hashes
 from .components import UnionFind, connected_components
 
 BANDS, ROWS = 32, 4
@@ -110,7 +110,7 @@ def _sketch(bands: int, rows: int, width: int):
 
 def _sets(width: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(t, width).view(np.int64) for t in byte_column(part)], pa.list_(pa.int64()))], names=["id", "shingles"])
@@ -185,6 +185,7 @@ def _compare(percent: int):
                 yield told()
         end()
         yield told()
+        give_back()
 
     return run
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, byte_column, chunks, mix64, pieces
+from .common import SPACE_BYTES, bound_batches, byte_column, chunks, mix64, pieces
 
 SYMBOLS = b"#*$%&|<>"
 #: The largest share of word bytes inside n-grams of n words that occur twice or more, first included.
@@ -103,6 +103,7 @@ _KINDS = [*[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.map_(pa.int32(), pa.floa
 
 def judge_repetition(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """One row for each document: counts, the shares measured, ``base_failed`` and ``kept``."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_judge(limits or NGRAM_LIMITS, line_limit), SCHEMA)
 
 
@@ -119,4 +120,5 @@ def _keep(limits: dict[int, float], line_limit: float):
 
 def keep_good(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """The documents that the rules keep, with all their columns, in one pass without a shuffle."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_keep(limits or NGRAM_LIMITS, line_limit), docs.schema)

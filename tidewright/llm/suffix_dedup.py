@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, chunks, materialize, mix64
+from .common import byte_column, chunks, gather, give_back, materialize, mix64, pieces
 from .repeats import MOST_BYTES, probe, repeat_filter
 
 LENGTH, GRAM = 100, 32
 MOST = 20_000
 CHUNK_BYTES = 1 << 20
+#: Text in which equal contexts are merged before they are sent.
+GATHER_BYTES = 24 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -166,7 +168,7 @@ def _clean(docs: DataFrame) -> DataFrame:
 
 def _keys_of(length: int, gram: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = byte_column(b)
             for lo, hi in chunks([len(t) for t in texts], CHUNK_BYTES):
                 yield Anchors(texts[lo:hi], length, gram).key
@@ -185,7 +187,7 @@ def _contexts(bits, length: int, gram: int):
     """Contexts of anchors that may be repeated. Of equal ones in a batch the earliest has its bytes; the others are settled."""
 
     def run(batches):
-        for b in batches:
+        for b in gather(batches, GATHER_BYTES):
             texts, twins = byte_column(b), b.column("twin").to_numpy()
             ids = b.column("doc_id")
             absent, ids = np.array(ids.is_null()), ids.fill_null(0).to_numpy()
@@ -274,6 +276,7 @@ def _settle(length: int, most: int):
                     held = t.slice(cut).to_batches()
         if held:
             yield compare(pa.Table.from_batches(held))
+        give_back()
 
     return run
 
@@ -324,7 +327,7 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
     """doc_id, kept (binary: the bytes that remain, which may split a character) and spans (array<struct<start, end>>)."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             spans = [_merge(r) for r in b.column("ranges").to_pylist()]
             kept = [_cut(t, s) for t, s in zip(byte_column(b), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "kept", "spans"])
@@ -336,7 +339,7 @@ def repeat_digests(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: digests of what ``remove_repeats`` gives, without moving it."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts, spans = byte_column(b), [_merge(r) for r in b.column("ranges").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(z - a for a, z in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(_cut(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string())],

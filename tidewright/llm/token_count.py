@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, kept, pieces
+from .common import bound_batches, byte_column, kept, pieces
 
 MOST_CACHED = 300_000
 SPACE = "▁"
@@ -118,6 +118,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFra
     with open(vocabulary, "rb") as f:
         scores = docs.sparkSession.sparkContext.broadcast(read_scores(f.read()))  # as large as the vocabulary
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         c = kept("token_count", vocabulary, lambda: Counter(scores.value))
         for b in pieces(batches):
