@@ -5,7 +5,7 @@ entropy among those that meet its source's token constraint and stay within 0..2
 the solution of the convex dual, found by Newton steps held in a bracket; each step is one aggregation
 over the counts of (source, size), which are far fewer than the documents. Rates become copies by a hash of
 doc_id as a uniform draw, and what the draws leave of a target is made up by moving the rounding
-thresholds of small documents. A document's copies follow from its size, its doc_id and a few figures of its
+thresholds of small documents, then by single documents that fit best. A document's copies follow from its size, its doc_id and a few figures of its
 source, so that they can be computed in a map over the corpus, and reruns agree.
 
 Sources stand by code point, null last, and weigh 3, 1, 2, repeating. They share ``share`` of all sizes;
@@ -23,7 +23,8 @@ from .common import SPACE_CLASS, as_struct, materialize
 
 MOST_COPIES = 2
 BINS = 4096
-ROUNDS = 3
+#: Rounds of rounding: the first move thresholds for many small documents, the others move one document each.
+ROUNDS, BY_THRESHOLD = 6, 2
 
 
 def word_count(text: Column) -> Column:
@@ -83,23 +84,28 @@ def _draw(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(20011), doc_id), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def _moved(df: DataFrame, k: int) -> Column:
-    """Whether round k moves a document's copies: it is small enough, and its place before the threshold comes early."""
-    up = F.col("side") > 0
+def _able() -> Column:
+    return (F.col("size") > 0) & F.when(F.col("side") > 0, F.col("copies") < MOST_COPIES).otherwise(F.col("copies") > 0)
+
+
+def _place() -> Column:
+    """The bin of a document's distance from the rounding threshold, in the direction of the move."""
     place = F.col("v") - F.floor("v")
-    order = F.when(up, 1 - place).otherwise(place)
-    return (F.col("size") > 0) & (F.col("size") <= F.col(f"most{k}")) & F.when(up, F.col("copies") < MOST_COPIES).otherwise(F.col("copies") > 0), F.least(F.floor(order * BINS), F.lit(BINS - 1)).cast("int")
+    return F.least(F.floor(F.when(F.col("side") > 0, 1 - place).otherwise(place) * BINS), F.lit(BINS - 1)).cast("int")
 
 
 def with_copies(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``df`` (doc_id, size and the columns of ``plan``) with ``copies``."""
+    """``df`` (doc_id, size and the columns of ``plan``) with ``copies``, and ``v``, the rate plus the draw."""
     df = df.withColumn("v", _rate(F.col("size"), F.col("mean"), F.col("lam")) + _draw(F.col("doc_id")))
     df = df.withColumn("copies", F.least(F.floor("v"), F.lit(MOST_COPIES)).cast("int"))
     for k in range(rounds):
         df = df.withColumn("side", F.col(f"side{k}"))
-        able, at = _moved(df, k)
-        df = df.withColumn("copies", F.col("copies") + F.when(able & (at < F.col(f"cut{k}")), F.col("side")).otherwise(0))
-    return df.drop("v", "side")
+        if k < BY_THRESHOLD:
+            on = (F.col("size") <= F.col(f"most{k}")) & (_place() < F.col(f"cut{k}"))
+        else:
+            on = (F.col("doc_id") == F.col(f"pick{k}.doc_id")) & (F.col("size") == F.col(f"pick{k}.size"))
+        df = df.withColumn("copies", F.col("copies") + F.when(_able() & F.coalesce(on, F.lit(False)), F.col("side")).otherwise(0))
+    return df.drop("side") if rounds else df
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> DataFrame:
@@ -109,15 +115,19 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     counts = materialize(keyed(per_source.select("source", "sid")).where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
     p = solve(counts, per_source)
     for k in range(ROUNDS):
-        now = with_copies(keyed(p), k)
-        left = now.groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
-        p = materialize(p.join(left, "sid", "left").withColumns({f"side{k}": F.signum("left").cast("int"), f"most{k}": F.abs("left") / (4 if k < ROUNDS - 1 else 1), "_left": F.abs("left")}).drop("left"), "rounding")
-        now = with_copies(keyed(p), k).withColumn("v", _rate(F.col("size"), F.col("mean"), F.col("lam")) + _draw(F.col("doc_id"))).withColumn("side", F.col(f"side{k}"))
-        able, at = _moved(now, k)
-        mass = now.where(able).groupBy("sid", at.alias("bin")).agg(F.sum("size").alias("mass"), F.max("_left").alias("_left"))
-        filled = mass.withColumn("sum", F.sum("mass").over(W.partitionBy("sid").orderBy("bin")))
-        cut = filled.where(F.col("sum") <= F.col("_left")).groupBy("sid").agg((F.max("bin") + 1).alias(f"cut{k}"))
-        p = materialize(p.drop("_left").join(cut, "sid", "left").withColumn(f"cut{k}", F.coalesce(f"cut{k}", F.lit(0))), "rounding")
+        left = with_copies(keyed(p), k).groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+        p = materialize(p.join(left, "sid", "left").withColumns({f"side{k}": F.signum("left").cast("int"), "left": F.abs("left")}), "rounding")
+        now = with_copies(keyed(p), k).withColumn("side", F.col(f"side{k}")).where(_able())
+        if k < BY_THRESHOLD:
+            mass = now.where(F.col("size") <= F.col("left") / 4).groupBy("sid", _place().alias("bin")).agg(F.sum("size").alias("mass"), F.max("left").alias("left"))
+            filled = mass.withColumn("sum", F.sum("mass").over(W.partitionBy("sid").orderBy("bin")))  # at most BINS rows a source
+            cut = filled.where(F.col("sum") <= F.col("left")).groupBy("sid").agg((F.max("bin") + 1).alias(f"cut{k}"))
+            p = p.join(cut, "sid", "left").withColumns({f"cut{k}": F.coalesce(f"cut{k}", F.lit(0)), f"most{k}": F.col("left") / 4})
+        else:
+            fit = F.abs(F.col("size") - F.col("left"))
+            pick = now.where(F.col("doc_id").isNotNull() & (fit < F.col("left"))).groupBy("sid").agg(F.min(F.struct(fit.alias("off"), "doc_id", "size")).alias(f"pick{k}"))
+            p = p.join(pick, "sid", "left")
+        p = materialize(p.drop("left"), "rounding")
     return p
 
 
