@@ -15,7 +15,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """OP-88: great-circle distance."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def destination(lat: Column, lon: Column, km: Column, bearing: Column) -> tuple[Column, Column]:
@@ -33,7 +33,7 @@ def annulus_point(lat: Column, lon: Column, inner_km: float, outer_km: float, u:
 
 
 def clamp_lat(lat: Column) -> Column:
-    return F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat))
+    return F.when(lat.isNotNull(), F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat)))
 
 
 def wrap_lon(lon: Column) -> Column:

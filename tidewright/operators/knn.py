@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, haversine_km
+from ..sources.tables import scratch, stage
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float = 8.0, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -29,6 +30,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float =
     span = max(abs(v) for v in target) + 360.0 + (mean["a"] or 0.0)
     done, width = None, tile_km
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    left = stage(left, scratch(left.sparkSession, "knn"))
     while True:
         last = width > 2 * KM_PER_DEGREE * span  # one ring of tiles spans everything
         tile = lambda df, w=width: df.withColumns({"_ty": F.floor(F.col("_y") / w), "_tx": F.floor(F.col("_x") / w)})
@@ -36,15 +38,14 @@ def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float =
         met = near.join(tile(right), ["_ty", "_tx"])
         d = F.pow(F.col("_py") - F.col("_y"), 2) + F.pow(F.col("_px") - F.col("_x"), 2)
         best = met.groupBy(key).agg(F.min(F.struct(d.alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b"))
-        joined = left.join(best, key, "left").select(key, "Lat", "Lon", "_y", "_x", "_b")
-        sure = joined.where(F.col("_b").isNotNull()) if last else joined.where(F.col("_b.d") <= width * width)
-        sure = sure.select(key, "Lat", "Lon", "_b.*")
+        # written each round: the next one reads what is left of it, rather than all the rounds before again
+        joined = stage(left.join(best, key, "left").select(key, "Lat", "Lon", "_y", "_x", "_b"), scratch(left.sparkSession, "knn"))
+        certain = F.coalesce(F.col("_b").isNotNull() if last else F.col("_b.d") <= width * width, F.lit(False))
+        sure = joined.where(certain).select(key, "Lat", "Lon", "_b.*")
         done = sure if done is None else done.unionByName(sure)
-        if last:
-            break
-        left = left.join(sure.select(key), key, "left_anti")
+        left = joined.where(~certain).drop("_b")
         width *= 4
-        if left.isEmpty():
+        if last or left.isEmpty():
             break
     km = done.select(key, haversine_km(F.col("Lat"), F.col("Lon"), F.col("_lat"), F.col("_lon")).alias(out), *keep)
     return points.join(km, key, "left")

@@ -136,7 +136,7 @@ def kernel_pca(df: DataFrame, columns: list[str], gamma: float = 0.1, components
         return pd.DataFrame({id_: pdf[id_].to_numpy(), **{c: z[:, i] for i, c in enumerate(names)}})
 
     kind = df.schema[id_].dataType.simpleString()
-    return df.select(id_, *columns).groupBy(F.lit(0)).applyInPandas(lambda pdf: solve(pdf), f"{id_} {kind}, " + ", ".join(f"{c} double" for c in names))
+    return df.select(id_, *columns, F.lit(0).alias("_g")).groupBy("_g").applyInPandas(lambda pdf: solve(pdf), f"{id_} {kind}, " + ", ".join(f"{c} double" for c in names))
 
 
 def separability(df: DataFrame, axes: tuple[str, str] = ("pc1", "pc2"), label: str = "Presence") -> DataFrame:

@@ -13,7 +13,8 @@ from ..schema import Axis
 def nearest_index(x: Column, axis: Axis) -> Column:
     """The cell of a regular ascending axis nearest to x, the larger coordinate of two; x beyond an end gets the end."""
     i = F.floor((x - axis.start) / axis.step + 0.5)
-    return F.greatest(F.lit(0), F.least(F.lit(axis.n - 1), i)).cast("int")
+    # least and greatest pass over NULL
+    return F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(axis.n - 1), i)).cast("int"))
 
 
 def nearest_time(points: DataFrame, times: DataFrame, key: str = "key", time: str = "time", tolerance_s: float | None = None) -> DataFrame:

@@ -159,7 +159,7 @@ def kde(df: DataFrame, column: str, points: int = 200, pad: float = 0.0) -> Data
     """OP-61: Gaussian density at equal steps over the range, Scott's bandwidth. Each row meets a fixed number of points, summed before they move."""
     v = F.col(column)
     s = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("total"), F.stddev_samp(v).alias("sd"))
-    s = s.withColumn("h", F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2)))
+    s = s.withColumn("h", F.nullif(F.col("sd"), F.lit(0.0)) * F.pow(F.col("total").cast("double"), F.lit(-0.2)))
     at = F.col("lo") - pad + (F.col("hi") - F.col("lo") + 2 * pad) * F.col("i") / (points - 1)
     met = df.where(v.isNotNull()).select(v.alias("v")).groupBy("v").agg(F.count("*").alias("c")).crossJoin(F.broadcast(s)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at)
     z = (F.col("x") - F.col("v")) / F.col("h")
@@ -171,7 +171,7 @@ def kde_2d(df: DataFrame, a: str, b: str, points: int = 20) -> DataFrame:
     used = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     s = used.agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.count("*").alias("n"), F.var_samp("u").alias("uu"), F.var_samp("v").alias("vv"), F.covar_samp("u", "v").alias("uv"))
     k = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
-    s = s.select("u0", "u1", "v0", "v1", "n", *[(F.col(c) * k).alias(c) for c in ("uu", "vv", "uv")]).withColumn("det", F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv"))
+    s = s.select("u0", "u1", "v0", "v1", "n", *[(F.col(c) * k).alias(c) for c in ("uu", "vv", "uv")]).withColumn("det", F.nullif(F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv"), F.lit(0.0)))
     cell = F.explode(F.sequence(F.lit(0), F.lit(points * points - 1)))
     met = used.crossJoin(F.broadcast(s)).withColumn("cell", cell).withColumns({"i": F.floor(F.col("cell") / points), "j": F.col("cell") % points})
     met = met.withColumns({"x": F.col("u0") + (F.col("u1") - F.col("u0")) * F.col("i") / (points - 1), "y": F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("j") / (points - 1)})
@@ -192,7 +192,7 @@ def rank_test(df: DataFrame, column: str, label: str = "Presence") -> DataFrame:
     s = ranked.agg(F.sum(F.col("c1") * (before + (F.col("c") + 1) / 2.0)).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), 3.0) - F.col("c")).alias("ties"))
     n1, n0, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
-    s = s.select(n1.alias("n1"), n0.alias("n0"), u.alias("u"), (n1 * n0 / 2.0).alias("mean"), F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1)))).alias("sd"))
+    s = s.select(n1.alias("n1"), n0.alias("n0"), u.alias("u"), (n1 * n0 / 2.0).alias("mean"), F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0)))).alias("sd"))
     z = F.when(F.col("sd") > 0, (F.greatest("u", 2 * F.col("mean") - F.col("u")) - F.col("mean") - 0.5) / F.col("sd"))
     r = F.when((F.col("n1") > 0) & (F.col("n0") > 0), 1 - 2 * F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0)))
     return s.select("n1", "n0", "u", z.alias("z"), r.alias("r")).withColumn("effect", effect_label(F.col("r")))

@@ -78,3 +78,12 @@ def slab(grid: DataFrame, lat: tuple[float, float], lon: tuple[float, float], ti
 def depth_slice(grid: DataFrame, index: int = 0) -> DataFrame:
     """OP-05."""
     return grid.where(F.col("depth_idx") == index).drop("depth_idx")
+
+
+def synthetic_slab(key: str) -> list[tuple]:
+    """An opener for trials: a raster of 20 x 20 cells for a day number, with a missing cell."""
+    import datetime
+
+    day = int(key)
+    at = datetime.datetime(2024, 1, 1, 9) + datetime.timedelta(days=day)
+    return [(at, 0, i, j, 35.0 + 0.05 * i, -75.0 + 0.05 * j, None if (i, j) == (3, 3) else float((i * 7 + j * 3 + day) % 11)) for i in range(20) for j in range(20)]

@@ -15,6 +15,18 @@ from ..functions.scalars import nan_to_null
 log = logging.getLogger("tidewright")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session's tasks share (``spark.checkpoint.dir``); a local one only where that is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """OP-01, 02: a CSV file with a header and a given schema; empty fields and NaN are NULL."""
     return nan_to_null(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path))
