@@ -5,7 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tidewright.llm import components, near_dedup
+from tests.llm.conftest import SF
+from tests.oracle import assert_same, connect
+from tidewright.llm import components, near_dedup, queries
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -48,6 +50,10 @@ def test_equals_brute_force(docs):
     check(docs, width=5)
 
 
+def test_equals_sql(spark):
+    assert_same(queries.op4_near_dedup(spark, SF), connect(SF), queries.ORACLES["op4_near_dedup"])
+
+
 def test_odd_rows(odd, none):
     check(odd)
     assert near_dedup.near_groups(none).count() == 0 == near_dedup.drop_near_duplicates(none).count()
