@@ -23,8 +23,8 @@ from .common import SPACE_CLASS, as_struct, materialize
 
 MOST_COPIES = 2
 BINS = 4096
-#: Rounds of rounding: the first move thresholds for many small documents, the others move one document each.
-ROUNDS, BY_THRESHOLD = 6, 2
+#: Rounds of rounding: the first moves the thresholds of many small documents, each other one a single document.
+ROUNDS, BY_THRESHOLD = 5, 1
 
 
 def word_count(text: Column) -> Column:
@@ -54,7 +54,7 @@ def _rate(size: Column, mean: Column, lam: Column) -> Column:
     return F.least(F.lit(float(MOST_COPIES)), F.exp(lam * size / mean))
 
 
-def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: float = 1e-6) -> DataFrame:
+def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: float = 1e-4) -> DataFrame:
     """``per_source`` with ``mean`` and ``lam``; counts has sid, size (1 or more) and n."""
     means = counts.groupBy("sid").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("heavy"))
     start = per_source.join(means, "sid", "left").withColumn("mean", F.coalesce("mean", F.lit(1.0)))
