@@ -86,16 +86,18 @@ def check_mix(df, near=0.02):
     targets = brute_targets(sizes) if rows else {}
     got = mixing.mix(df).collect()
     assert sorted((r.doc_id or -1, r.size) for r in got) == sorted((r.doc_id or -1, size(r.text)) for r in rows)
-    taken, largest = defaultdict(int), defaultdict(int)
+    taken, least = defaultdict(int), {}
     by_size = defaultdict(set)
     for s in sizes:
         by_size[sizes[s], round(targets[s], 3)].add(s)
     for r in got:
         assert (r.source_size, round(r.target, 3)) in by_size and r.taken == r.copies * r.size <= 2 * r.size
         taken[r.source_size, round(r.target, 3)] += r.taken
-        largest[r.source_size, round(r.target, 3)] = max(largest[r.source_size, round(r.target, 3)], r.size)
+        if r.size:
+            least[r.source_size, round(r.target, 3)] = min(least.get((r.source_size, round(r.target, 3)), r.size), r.size)
     for k, s in by_size.items():
-        assert abs(taken[k] - len(s) * k[1]) <= max(near * k[1] * len(s), 1) or taken[k] <= 2 * largest[k] * len(s)
+        # copies are whole: no rounding comes nearer than its smallest document allows
+        assert abs(taken[k] - len(s) * k[1]) <= len(s) * max(near * k[1], 1, least.get(k, 0))
     return sorted(map(str, got))
 
 

@@ -24,7 +24,7 @@ from .common import SPACE_CLASS, as_struct, materialize
 MOST_COPIES = 2
 BINS = 4096
 #: Rounds of rounding: the first moves the thresholds of many small documents, each other one a single document.
-ROUNDS, BY_THRESHOLD = 5, 1
+ROUNDS, BY_THRESHOLD = 4, 1
 
 
 def word_count(text: Column) -> Column:
