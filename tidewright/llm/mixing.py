@@ -23,8 +23,8 @@ from .common import SPACE_CLASS, as_struct, materialize
 
 MOST_COPIES = 2
 BINS = 4096
-#: Rounds of rounding: the first moves the thresholds of many small documents, each other one a single document.
-ROUNDS, BY_THRESHOLD = 4, 1
+#: Rounds of rounding: the first move the thresholds of many small documents, each other one a single document.
+ROUNDS, BY_THRESHOLD = 5, 2
 
 
 def word_count(text: Column) -> Column:
@@ -84,28 +84,30 @@ def _draw(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(20011), doc_id), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def _able() -> Column:
-    return (F.col("size") > 0) & F.when(F.col("side") > 0, F.col("copies") < MOST_COPIES).otherwise(F.col("copies") > 0)
+def _able(copies: Column, side: Column) -> Column:
+    return (F.col("size") > 0) & F.when(side > 0, copies < MOST_COPIES).otherwise(copies > 0)
 
 
-def _place() -> Column:
+def _place(side: Column) -> Column:
     """The bin of a document's distance from the rounding threshold, in the direction of the move."""
     place = F.col("v") - F.floor("v")
-    return F.least(F.floor(F.when(F.col("side") > 0, 1 - place).otherwise(place) * BINS), F.lit(BINS - 1)).cast("int")
+    return F.least(F.floor(F.when(side > 0, 1 - place).otherwise(place) * BINS), F.lit(BINS - 1)).cast("int")
 
 
-def with_copies(df: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+#: What a round moves in a source: by one copy up or down, the documents up to a size whose place is below a bin, or one document.
+_MOVES = "array<struct<side:int,most:double,cut:int,id:bigint,size:bigint>>"
+
+
+def with_copies(df: DataFrame) -> DataFrame:
     """``df`` (doc_id, size and the columns of ``plan``) with ``copies``, and ``v``, the rate plus the draw."""
     df = df.withColumn("v", _rate(F.col("size"), F.col("mean"), F.col("lam")) + _draw(F.col("doc_id")))
-    df = df.withColumn("copies", F.least(F.floor("v"), F.lit(MOST_COPIES)).cast("int"))
-    for k in range(rounds):
-        df = df.withColumn("side", F.col(f"side{k}"))
-        if k < BY_THRESHOLD:
-            on = (F.col("size") <= F.col(f"most{k}")) & (_place() < F.col(f"cut{k}"))
-        else:
-            on = (F.col("doc_id") == F.col(f"pick{k}.doc_id")) & (F.col("size") == F.col(f"pick{k}.size"))
-        df = df.withColumn("copies", F.col("copies") + F.when(_able() & F.coalesce(on, F.lit(False)), F.col("side")).otherwise(0))
-    return df.drop("side") if rounds else df
+
+    def move(copies, m):
+        among = (F.col("size") <= m["most"]) & (_place(m["side"]) < m["cut"])
+        one = (F.col("doc_id") == m["id"]) & (F.col("size") == m["size"])
+        return copies + F.when(_able(copies, m["side"]) & (F.coalesce(among, F.lit(False)) | F.coalesce(one, F.lit(False))), m["side"]).otherwise(0)
+
+    return df.withColumn("copies", F.aggregate("moves", F.least(F.floor("v"), F.lit(MOST_COPIES)).cast("int"), move))
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> DataFrame:
@@ -113,21 +115,21 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     per_source = materialize(targets(sized, weights, share), "targets")
     keyed = lambda p: sized.join(p.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     counts = materialize(keyed(per_source.select("source", "sid")).where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
-    p = solve(counts, per_source)
-    for k in range(ROUNDS):
-        left = with_copies(keyed(p), k).groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
-        p = materialize(p.join(left, "sid", "left").withColumns({f"side{k}": F.signum("left").cast("int"), "left": F.abs("left")}), "rounding")
-        now = with_copies(keyed(p), k).withColumn("side", F.col(f"side{k}")).where(_able())
+    p = solve(counts, per_source).withColumn("moves", F.array().cast(_MOVES))
+    for k in range(ROUNDS):  # the plans of all rounds look alike, whatever has been moved before
+        left = with_copies(keyed(p)).groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
+        p = materialize(p.join(left, "sid", "left").withColumns({"side": F.signum("left").cast("int"), "left": F.abs("left")}), "rounding")
+        now = with_copies(keyed(p)).where(_able(F.col("copies"), F.col("side")))
         if k < BY_THRESHOLD:
-            mass = now.where(F.col("size") <= F.col("left") / 4).groupBy("sid", _place().alias("bin")).agg(F.sum("size").alias("mass"), F.max("left").alias("left"))
+            mass = now.where(F.col("size") <= F.col("left") / 4).groupBy("sid", _place(F.col("side")).alias("bin")).agg(F.sum("size").alias("mass"), F.max("left").alias("left"))
             filled = mass.withColumn("sum", F.sum("mass").over(W.partitionBy("sid").orderBy("bin")))  # at most BINS rows a source
-            cut = filled.where(F.col("sum") <= F.col("left")).groupBy("sid").agg((F.max("bin") + 1).alias(f"cut{k}"))
-            p = p.join(cut, "sid", "left").withColumns({f"cut{k}": F.coalesce(f"cut{k}", F.lit(0)), f"most{k}": F.col("left") / 4})
+            found = filled.where(F.col("sum") <= F.col("left")).groupBy("sid").agg((F.max("bin") + 1).alias("cut"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("size"))
         else:
             fit = F.abs(F.col("size") - F.col("left"))
-            pick = now.where(F.col("doc_id").isNotNull() & (fit < F.col("left"))).groupBy("sid").agg(F.min(F.struct(fit.alias("off"), "doc_id", "size")).alias(f"pick{k}"))
-            p = p.join(pick, "sid", "left")
-        p = materialize(p.drop("left"), "rounding")
+            best = now.where(F.col("doc_id").isNotNull() & (fit < F.col("left"))).groupBy("sid").agg(F.min(F.struct(fit.alias("off"), F.col("doc_id").alias("id"), "size")).alias("b"))
+            found = best.select("sid", F.lit(0).alias("cut"), "b.id", "b.size")
+        moved = F.concat("moves", F.array(F.struct(F.coalesce("side", F.lit(0)).alias("side"), (F.col("left") / 4).alias("most"), F.coalesce("cut", F.lit(0)).alias("cut"), "id", "size")).cast(_MOVES))
+        p = materialize(p.join(found, "sid", "left").withColumn("moves", moved).drop("side", "left", "cut", "id", "size"), "rounding")
     return p
 
 
