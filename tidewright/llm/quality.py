@@ -9,6 +9,8 @@ whole text; repeated rows get equal verdicts.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +21,10 @@ from .common import SPACE_BYTES, bound_batches, byte_column, chunks, mix64, piec
 
 SYMBOLS = b"#*$%&|<>"
 #: The largest share of word bytes inside n-grams of n words that occur twice or more, first included.
-NGRAM_LIMITS = {6: 0.25, 8: 0.22, 10: 0.20}
+#: Those of 2 to 4 words catch stuffing with short phrases, which repeats no 5 words. Longer texts repeat short n-grams by nature, so
+#: their limit is (up to LEVEL_WORDS words, what each doubling beyond adds, most).
+NGRAM_LIMITS = {2: (0.35, 0.06, 0.90), 3: (0.30, 0.04, 0.75), 4: (0.28, 0.02, 0.55), 6: 0.25, 8: 0.22, 10: 0.20}
+LEVEL_WORDS = 200
 #: The largest share of line bytes in lines that repeat an earlier one.
 LINE_LIMIT = 0.30
 CHUNK_BYTES = 1 << 20
@@ -69,7 +74,15 @@ def repetition(texts: list[bytes], lengths: tuple[int, ...]) -> tuple[list[list[
     return words, out
 
 
-def _judge(limits: dict[int, float], line_limit: float):
+def limit_at(limit: float | tuple[float, float, float], n_words: int) -> float:
+    """The limit that holds for a text of ``n_words`` words."""
+    if not isinstance(limit, tuple):
+        return limit
+    level, doubling, most = limit
+    return min(most, level + doubling * math.log2(max(n_words, LEVEL_WORDS) / LEVEL_WORDS))
+
+
+def _judge(limits: dict[int, float | tuple[float, float, float]], line_limit: float):
     lengths = tuple(sorted({5, *limits}))
 
     def run(batches):
@@ -89,7 +102,7 @@ def _judge(limits: dict[int, float], line_limit: float):
                     repeat = int(found[5][0][i - lo])
                     failed = w < 10 or 100 * repeat > 20 * w
                     shares = {n: float(found[n][1][i - lo]) / solid if solid else 0.0 for n in limits}
-                    kept = not failed and line_share <= line_limit and all(shares[n] <= limits[n] for n in limits)
+                    kept = not failed and line_share <= line_limit and all(shares[n] <= limit_at(limits[n], w) for n in limits)
                     rows.append((ids[i], w, points[i] - (len(t) - solid), sum(map(t.count, _SINGLE)), len(lines) - len(once), repeat, failed, kept, list(shares.items()), line_share))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, _KINDS, strict=True)], names=_NAMES)
 
@@ -101,13 +114,13 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [*[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.map_(pa.int32(), pa.float64()), pa.float64()]
 
 
-def judge_repetition(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+def judge_repetition(docs: DataFrame, limits: dict[int, float | tuple[float, float, float]] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """One row for each document: counts, the shares measured, ``base_failed`` and ``kept``."""
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_judge(limits or NGRAM_LIMITS, line_limit), SCHEMA)
 
 
-def _keep(limits: dict[int, float], line_limit: float):
+def _keep(limits: dict[int, float | tuple[float, float, float]], line_limit: float):
     judge = _judge(limits, line_limit)
 
     def run(batches):
@@ -118,7 +131,7 @@ def _keep(limits: dict[int, float], line_limit: float):
     return run
 
 
-def keep_good(docs: DataFrame, limits: dict[int, float] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+def keep_good(docs: DataFrame, limits: dict[int, float | tuple[float, float, float]] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
     """The documents that the rules keep, with all their columns, in one pass without a shuffle."""
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(_keep(limits or NGRAM_LIMITS, line_limit), docs.schema)
