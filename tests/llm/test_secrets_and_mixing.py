@@ -64,6 +64,21 @@ def test_links(spark):
     assert one(spark, f"{weak} {'y' * 30} {KEY}", scope=10) == ""
 
 
+def test_links_of_values_after_an_equals_sign(spark):
+    """Env lines, query strings and connection strings: the value stands right after '='."""
+    weak, padded = "ASIA" + "B" * 14, "A1b2C3d4" * 10 + "ABCDEF=="
+
+    def told(text):
+        spans = [s.split(":") for s in filter(None, one(spark, text).split(","))]
+        return {(k, text[int(a) : int(z)]) for k, a, z in spans}
+
+    assert told(f"AWS_ACCESS_KEY_ID={weak}\nAWS_SECRET_ACCESS_KEY={KEY}\n") == {("id", weak), ("key", KEY)}
+    assert ("key", KEY) in told(f"https://files.example.org/bucket ?AccountKey={KEY}&x=1")
+    connection = told(f"AccountName=x;AccountKey={padded};BlobEndpoint=https://x.blob.example.net/")
+    assert ("key", padded) in connection and "endpoint" in {k for k, _ in connection}
+    assert told(f"AWS_SECRET_ACCESS_KEY={KEY}") == set()
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(order)}

@@ -27,7 +27,7 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{14,}",
     "hex": r"[0-9a-f]{16,}",
     "id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA|GOOG)[A-Z0-9]{12,}",
-    "key": r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}",
+    "key": r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}",
     "endpoint": r"""(?:https?|s3|ftp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}|[a-z0-9][a-z0-9.-]{1,80}\.(?:amazonaws|azure|googleapis)\.com""",
 }
 BASE = ("assign", "access", "hex")
