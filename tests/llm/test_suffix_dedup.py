@@ -68,6 +68,20 @@ def test_shared_passage(spark):
     check(spark, df)
 
 
+@pytest.mark.parametrize("how", [{}, {"most": 3}, {"max_filter_bytes": 0}])
+def test_repeated_rows(spark, how):
+    """Rows of equal doc_id and text are one document, in one batch or several: its earliest copy stays in each of them."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    alone, shared = text(80), text(100)
+    rows = [(1, alone)] * 9 + [(2, shared)] * 5 + [(2, text(50))] + [(3, f"{text(9)} {shared}")] * 4 + [(None, text(60))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        check(spark, df.repartition(parts), **how)
+    got = suffix_dedup.repeat_digests(df, **how).where("doc_id = 1").collect()
+    assert len(got) == 9 and {x.n_removed for x in got} == {0}
+
+
 def test_kept_text(spark, docs):
     d = {r.doc_id: r for r in suffix_dedup.repeat_digests(docs).collect()}
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}

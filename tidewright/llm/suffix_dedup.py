@@ -183,6 +183,11 @@ def _by_age(ids: np.ndarray, absent: np.ndarray, twin: np.ndarray, place: np.nda
     return np.lexsort((place, twin, ids, absent))
 
 
+def _differ(lead: np.ndarray, *age: np.ndarray) -> np.ndarray:
+    """Whether each row differs in age from the row that leads it; rows of equal age are one document's, repeated."""
+    return np.any([x != x[lead] for x in age], axis=0)
+
+
 def _contexts(bits, length: int, gram: int):
     """Contexts of anchors that may be repeated. Of equal ones in a batch the earliest has its bytes; the others are settled."""
 
@@ -200,9 +205,15 @@ def _contexts(bits, length: int, gram: int):
                 continue
             key, whole, text, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = _by_age(ids[text], absent[text], twins[text], place)
-            _, at = np.unique(np.stack([key, whole], 1)[order], axis=0, return_index=True) if len(order) else (None, np.zeros(0, np.int64))
-            own = np.zeros(len(key), bool)
-            own[order[at]] = True
+            if len(order):
+                _, at, of = np.unique(np.stack([key, whole], 1)[order], axis=0, return_index=True, return_inverse=True)
+                lead = np.empty(len(key), np.int64)
+                lead[order] = order[at[of.reshape(-1)]]
+                sent = np.flatnonzero((lead == np.arange(len(key))) | _differ(lead, absent[text], ids[text], twins[text], place))  # a repeated row is no later copy
+                own = lead[sent] == sent
+                key, text, place, first, last = (x[sent] for x in (key, text, place, first, last))
+            else:
+                own = np.zeros(0, bool)
             context = [texts[t][f : z + length] if o else None for t, f, z, o in zip(text.tolist(), first.tolist(), last.tolist(), own.tolist(), strict=True)]
             for i in range(0, len(key), 20_000):
                 s = slice(i, i + 20_000)
@@ -234,8 +245,8 @@ def _settle(length: int, most: int):
             if rank[i] < rank[j]:
                 best[c] = i
         alone = np.array(sorted(best.values()), np.int64)
-        twice = np.ones(len(key), bool)
-        twice[alone] = False
+        lead = np.array([best[c] for c in zip(group.tolist(), before.tolist(), contexts, strict=True)], np.int64)
+        twice = _differ(lead, absent, ids, twin, place)
         out = [(i, int(first[i]), int(last[i]) + length) for i in np.flatnonzero(twice).tolist()]
         several = np.bincount(group[alone], minlength=int(group[-1]) + 1)[group[alone]] > 1
         used = alone[several]
