@@ -3,14 +3,21 @@
 Each document of size n words gets the rate w = min(2, exp(lambda * n / mean)), the rate nearest to 1 in
 entropy among those that meet its source's token constraint and stay within 0..2. The multipliers are
 the solution of the convex dual, found by Newton steps held in a bracket; each step is one aggregation
-over the counts of (source, size), which are far fewer than the documents. Rates become copies by a hash of
-doc_id as a uniform draw, and what the draws leave of a target is made up by moving the rounding
-thresholds of small documents, then by single documents that fit best. A document's copies follow from its size, its doc_id and a few figures of its
-source, so that they can be computed in a map over the corpus, and reruns agree.
+over the counts of (source, size), which are far fewer than the documents.
+
+Rates become copies by sizes, the heaviest first. A class holds a source's documents of one size; its copies are what its
+and the heavier classes' rates owe at that point, rounded, within what the lighter classes can still make up. So each error is
+carried to lighter documents, and the last one left is half a document of the least size. Where the few heaviest documents
+of a source leave more than that, other choices of their copies are searched (``HEAVY`` classes, ``WIDTH`` choices kept).
+A class's copies are dealt evenly; the documents with one more are those whose hash of (doc_id, text) is at most a cut, the exact
+order statistic, found by counts of the hash's leading bits and then within one bin. A document's copies follow from its size,
+its hash and its class's two figures, in a map over the corpus, and reruns agree.
 
 Sources stand by code point, null last, and weigh 3, 1, 2, repeating. They share ``share`` of all sizes;
 no target is above twice its source's size, and the excess is shared anew by weight. Null and blank
-texts have size 0 and are taken 0 times their words; a source or table without words has target 0.
+texts have size 0 and are taken 0 times their words; a source or table without words has target 0. Rows of equal doc_id
+and text have equal copies. Sources are tens or thousands (they are numbered in one task); a source's classes are bounded by
+the longest text's words, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -22,9 +29,15 @@ from pyspark.sql import Window as W
 from .common import SPACE_CLASS, as_struct, materialize
 
 MOST_COPIES = 2
-BINS = 4096
-#: Rounds of rounding: the first move the thresholds of many small documents, each other one a single document.
-ROUNDS, BY_THRESHOLD = 5, 2
+#: Documents that a bin of hashes holds on average, where a class is cut.
+PER_BIN = 1024
+#: Classes whose copies are searched where plain rounding misses, choices kept after each, and the miss that starts a search.
+HEAVY, WIDTH, NEAR = 24, 32, 1e-4
+#: Classes rounded before their figures are put by (arrays are copied as they grow).
+CHUNK = 512
+#: Rows of the class table up to which it is broadcast (about 60 bytes each).
+MOST_BROADCAST = 200_000
+_HASH_BITS = 62
 
 
 def word_count(text: Column) -> Column:
@@ -54,13 +67,14 @@ def _rate(size: Column, mean: Column, lam: Column) -> Column:
     return F.least(F.lit(float(MOST_COPIES)), F.exp(lam * size / mean))
 
 
-def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: float = 1e-4) -> DataFrame:
-    """``per_source`` with ``mean`` and ``lam``; counts has sid, size (1 or more) and n."""
+def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: float = 1e-6) -> DataFrame:
+    """``per_source`` with ``mean`` and ``lam``; counts has sid, size (1 or more) and n. Raises where ``steps`` don't reach ``close``."""
     means = counts.groupBy("sid").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("heavy"))
     start = per_source.join(means, "sid", "left").withColumn("mean", F.coalesce("mean", F.lit(1.0)))
     # at the bracket's ends every document has the most copies, or next to none
     start = start.withColumns({"lo": -60.0 * F.col("mean"), "hi": F.log(F.lit(float(MOST_COPIES))) * F.col("mean")})
-    start = start.withColumn("lam", F.when(F.col("source_size") > 0, F.greatest("lo", F.least("hi", F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * F.col("mean") / F.col("heavy")))).otherwise(F.lit(0.0)))
+    full = F.col("target") >= MOST_COPIES * F.col("source_size")
+    start = start.withColumn("lam", F.when(full, F.col("hi")).when(F.col("source_size") > 0, F.greatest("lo", F.least("hi", F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * F.col("mean") / F.col("heavy")))).otherwise(F.lit(0.0)))
     state = materialize(start.withColumn("off", F.lit(1.0)).drop("heavy"), "dual")
     for _ in range(steps):
         at = counts.join(state.select("sid", "mean", "lam"), "sid")
@@ -76,77 +90,156 @@ def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: floa
         state = materialize(moved.select("source", "sid", "source_size", "target", "mean", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), lam.alias("lam"), "off"), "dual")
         if (state.agg(F.max("off")).first()[0] or 0.0) <= close:
             break
+    else:
+        raise RuntimeError(f"the dual did not converge in {steps} steps")
     return state.select("source", "sid", "source_size", "target", "mean", "lam")
 
 
-def _draw(doc_id: Column) -> Column:
-    """A uniform number in [0, 1) that only doc_id decides."""
-    return F.pmod(F.xxhash64(F.lit(20011), doc_id), F.lit(1 << 40)).cast("double") / float(1 << 40)
+def _draw(doc_id: Column, text: Column) -> Column:
+    """A number of 62 bits that doc_id and text decide."""
+    return F.pmod(F.xxhash64(F.lit(20011), doc_id, text.cast("string")), F.lit(1 << _HASH_BITS))
+
+
+def _share(rem: Column, rest: Column, ideal: Column, c: Column) -> Column:
+    """A class's copies: what is owed, rounded, such that the lighter classes (``rest`` words, of which ``ideal`` by their rates) can make up what remains."""
+    size = c["size"].cast("double")
+    low, high = F.ceil((rem - MOST_COPIES * rest) / size), F.floor(rem / size)
+    within = F.greatest(low, F.least(high, F.round((rem - ideal) / size).cast("long")))
+    # no whole number fits: one less leaves too much for the rest, one more exceeds the target
+    nearest = F.when((high + 1) * size - rem < rem - high * size - MOST_COPIES * rest, high + 1).otherwise(high)
+    return F.greatest(F.lit(0).cast("long"), F.least(MOST_COPIES * c["n"], F.when(low <= high, within).otherwise(nearest)))
+
+
+def _lighter(c: Column, rest: Column, ideal: Column) -> tuple[Column, Column]:
+    return rest - c["size"] * c["n"], ideal - c["ideal"]
+
+
+def _miss(state: Column, classes: Column) -> Column:
+    """What plain rounding of ``classes`` from ``state`` (rem, rest, ideal) leaves of the target."""
+
+    def step(s, c):
+        rest, ideal = _lighter(c, s["rest"], s["ideal"])
+        return F.struct((s["rem"] - _share(s["rem"], rest, ideal, c) * c["size"]).alias("rem"), rest.alias("rest"), ideal.alias("ideal"))
+
+    return F.aggregate(classes, state, step, lambda s: s["rem"])
+
+
+def _round(state: Column, classes: Column) -> Column:
+    """The copies of each of ``classes``, rounded one after the other from ``state``."""
+    longs = F.array().cast("array<bigint>")
+
+    def step(s, c):
+        rest, ideal = _lighter(c, s["rest"], s["ideal"])
+        k = _share(s["rem"], rest, ideal, c)
+        return F.struct((s["rem"] - k * c["size"]).alias("rem"), rest.alias("rest"), ideal.alias("ideal"), F.array_append(s["got"], k).alias("got"))
 
+    def chunk(s, i):
+        start = F.struct(s["rem"].alias("rem"), s["rest"].alias("rest"), s["ideal"].alias("ideal"), longs.alias("got"))
+        done = F.aggregate(F.slice(classes, i * CHUNK + 1, F.lit(CHUNK)), start, step)
+        put = lambda d: F.struct(d["rem"].alias("rem"), d["rest"].alias("rest"), d["ideal"].alias("ideal"), F.array_append(s["got"], d["got"]).alias("got"))
+        return F.element_at(F.transform(F.array(done), put), 1)
 
-def _able(copies: Column, side: Column) -> Column:
-    return (F.col("size") > 0) & F.when(side > 0, copies < MOST_COPIES).otherwise(copies > 0)
+    start = F.struct(state["rem"].alias("rem"), state["rest"].alias("rest"), state["ideal"].alias("ideal"), F.array().cast("array<array<bigint>>").alias("got"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.ceil(F.size(classes) / CHUNK).cast("int")), start, chunk, lambda s: s["got"]))
 
 
-def _place(side: Column) -> Column:
-    """The bin of a document's distance from the rounding threshold, in the direction of the move."""
-    place = F.col("v") - F.floor("v")
-    return F.least(F.floor(F.when(side > 0, 1 - place).otherwise(place) * BINS), F.lit(BINS - 1)).cast("int")
+def _search(state: Column, classes: Column) -> Column:
+    """array<struct<off, rem, rest, ideal, got>> of choices for the heaviest classes, those nearest to the rates first."""
+    longs = F.array().cast("array<bigint>")
 
+    def step(s, c):
+        rest, ideal = _lighter(c, s["rest"], s["ideal"])
 
-#: What a round moves in a source: by one copy up or down, the documents up to a size whose place is below a bin, or one document.
-_MOVES = "array<struct<side:int,most:double,cut:int,id:bigint,size:bigint>>"
+        def choices(e):
+            k = _share(e["rem"], rest, ideal, c)
+            fit = F.filter(F.array(k - 1, k, k + 1), lambda x: (x >= 0) & (x <= MOST_COPIES * c["n"]))
 
+            def taken(x):
+                rem = e["rem"] - x * c["size"]
+                return F.struct(F.greatest(-rem, rem - MOST_COPIES * rest, F.lit(0.0)).alias("out"), F.abs(rem - ideal).alias("off"), rem.alias("rem"), F.array_append(e["got"], x).alias("got"))
 
-def with_copies(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, size and the columns of ``plan``) with ``copies``, and ``v``, the rate plus the draw."""
-    df = df.withColumn("v", _rate(F.col("size"), F.col("mean"), F.col("lam")) + _draw(F.col("doc_id")))
+            return F.transform(fit, taken)
 
-    def move(copies, m):
-        among = (F.col("size") <= m["most"]) & (_place(m["side"]) < m["cut"])
-        one = (F.col("doc_id") == m["id"]) & (F.col("size") == m["size"])
-        return copies + F.when(_able(copies, m["side"]) & (F.coalesce(among, F.lit(False)) | F.coalesce(one, F.lit(False))), m["side"]).otherwise(0)
+        return F.struct(rest.alias("rest"), ideal.alias("ideal"), F.slice(F.array_sort(F.flatten(F.transform(s["kept"], choices))), 1, WIDTH).alias("kept"))
 
-    return df.withColumn("copies", F.aggregate("moves", F.least(F.floor("v"), F.lit(MOST_COPIES)).cast("int"), move))
+    zero = F.lit(0.0)
+    start = F.struct(state["rest"].alias("rest"), state["ideal"].alias("ideal"), F.array(F.struct(zero.alias("out"), zero.alias("off"), state["rem"].alias("rem"), longs.alias("got"))).alias("kept"))
+    each = lambda s: F.transform(s["kept"], lambda e: F.struct(e["rem"].alias("rem"), s["rest"].alias("rest"), s["ideal"].alias("ideal"), e["got"].alias("got")))
+    return F.aggregate(F.slice(classes, 1, HEAVY), start, step, each)
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> DataFrame:
-    """All that decides the copies, one row for each source; ``sized`` has doc_id, source and size."""
+def class_copies(counts: DataFrame, solved: DataFrame) -> DataFrame:
+    """source, size, n, total: the copies of all documents of one size in a source. ``counts`` has sid, size and n."""
+    ideal = _rate(F.col("size"), F.col("mean"), F.col("lam")) * F.col("size") * F.col("n")
+    of_source = counts.join(solved, "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("size", "n", ideal.alias("ideal"))), asc=False).alias("classes"), F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    state = F.struct(F.col("target").alias("rem"), F.col("source_size").cast("double").alias("rest"), F.col("target").alias("ideal"))
+    of_source = materialize(of_source.select("source", "classes", state.alias("state")).withColumn("miss", F.abs(_miss(F.col("state"), F.col("classes")))), "classes")
+    least = F.element_at("classes", -1)["size"]
+    near = F.greatest(least / 2.0, NEAR * F.col("state.rem"))
+    plain = of_source.where(F.col("miss") <= near).select("source", "classes", _round(F.col("state"), F.col("classes")).alias("total"))
+    light = F.slice("classes", HEAVY + 1, F.greatest(F.size("classes") - HEAVY, F.lit(0)))
+    searched = of_source.where(F.col("miss") > near).withColumn("choices", _search(F.col("state"), F.col("classes")))
+    searched = searched.withColumn("ends", F.transform("choices", lambda e, i: F.struct(F.greatest(F.abs(_miss(F.struct(e["rem"].alias("rem"), e["rest"].alias("rest"), e["ideal"].alias("ideal")), light)) - near, F.lit(0.0)).alias("over"), i.alias("i"))))
+    searched = materialize(searched.withColumn("best", F.element_at("choices", F.array_min("ends")["i"] + 1)).withColumn("light", light), "searched")
+    sought = searched.select("source", "classes", F.concat("best.got", _round(F.struct("best.rem", "best.rest", "best.ideal"), F.col("light"))).alias("total"))
+    each = plain.unionByName(sought).select("source", F.explode(F.arrays_zip("classes", "total")).alias("c"))
+    return each.select("source", "c.classes.size", "c.classes.n", F.col("c.total").alias("total"))
+
+
+def _at_most(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, to be broadcast where it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _same_class(left: DataFrame, classes: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` (source, size) with the columns of ``classes`` but its keys."""
+    right = _at_most(classes.withColumnsRenamed({"source": "_of", "size": "_words"}))
+    return left.join(right, F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_words")), how).drop("_of", "_words")
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """The sources' targets, and source, size, base, cut of each class; ``sized`` has source, size and draw.
+
+    A document of a class is taken ``base`` times, and once more where its draw is at most ``cut`` (-1: none is).
+    """
     per_source = materialize(targets(sized, weights, share), "targets")
-    keyed = lambda p: sized.join(p.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    counts = materialize(keyed(per_source.select("source", "sid")).where("size > 0").groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
-    p = solve(counts, per_source).withColumn("moves", F.array().cast(_MOVES))
-    for k in range(ROUNDS):  # the plans of all rounds look alike, whatever has been moved before
-        left = with_copies(keyed(p)).groupBy("sid").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
-        p = materialize(p.join(left, "sid", "left").withColumns({"side": F.signum("left").cast("int"), "left": F.abs("left")}), "rounding")
-        now = with_copies(keyed(p)).where(_able(F.col("copies"), F.col("side")))
-        if k < BY_THRESHOLD:
-            mass = now.where(F.col("size") <= F.col("left") / 4).groupBy("sid", _place(F.col("side")).alias("bin")).agg(F.sum("size").alias("mass"), F.max("left").alias("left"))
-            filled = mass.withColumn("sum", F.sum("mass").over(W.partitionBy("sid").orderBy("bin")))  # at most BINS rows a source
-            found = filled.where(F.col("sum") <= F.col("left")).groupBy("sid").agg((F.max("bin") + 1).alias("cut"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("size"))
-        else:
-            fit = F.abs(F.col("size") - F.col("left"))
-            best = now.where(F.col("doc_id").isNotNull() & (fit < F.col("left"))).groupBy("sid").agg(F.min(F.struct(fit.alias("off"), F.col("doc_id").alias("id"), "size")).alias("b"))
-            found = best.select("sid", F.lit(0).alias("cut"), "b.id", "b.size")
-        moved = F.concat("moves", F.array(F.struct(F.coalesce("side", F.lit(0)).alias("side"), (F.col("left") / 4).alias("most"), F.coalesce("cut", F.lit(0)).alias("cut"), "id", "size")).cast(_MOVES))
-        p = materialize(p.join(found, "sid", "left").withColumn("moves", moved).drop("side", "left", "cut", "id", "size"), "rounding")
-    return p
+    named = per_source.select(F.col("source").alias("_source"), "sid")
+    keyed = sized.where("size > 0").join(named, F.col("source").eqNullSafe(F.col("_source")))
+    counts = materialize(keyed.groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
+    classes = class_copies(counts, solve(counts, per_source))
+    classes = materialize(classes.select("source", "size", "n", F.floor(F.col("total") / F.col("n")).cast("int").alias("base"), (F.col("total") % F.col("n")).alias("extra")), "rounded")
+
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_BIN))).cast("int")
+    cut = classes.where("extra > 0").select("source", "size", "extra", (F.lit(_HASH_BITS) - halvings).alias("shift"))
+    placed = _same_class(sized.select("source", "size", "draw"), cut).withColumn("bin", F.call_function("shiftright", F.col("draw"), F.col("shift")))
+    filled = placed.groupBy("source", "size", "extra", "bin").agg(F.count("*").alias("c"))
+    upto = W.partitionBy("source", "size").orderBy("bin")  # about n / PER_BIN rows of one class
+    bins = materialize(filled.withColumn("upto", F.sum("c").over(upto)).where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("c") < F.col("extra"))).select("source", "size", (F.col("extra") - F.col("upto") + F.col("c")).alias("rank"), F.col("bin").alias("_bin")), "bins")
+    inside = W.partitionBy("source", "size").orderBy("draw")  # the rows of one bin
+    among = _same_class(placed.select("source", "size", "draw", "bin"), bins).where("bin = _bin").withColumn("i", F.row_number().over(inside))
+    cuts = among.where("i = rank").select(F.col("source").alias("_of"), F.col("size").alias("_words"), F.col("draw").alias("cut"))
+    of_class = classes.join(cuts, F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_words")), "left")
+    return per_source, materialize(of_class.select("source", "size", "base", F.coalesce("cut", F.lit(-1)).alias("cut")), "plan")
+
+
+def _copies() -> Column:
+    return F.coalesce(F.col("base") + F.when(F.col("draw") <= F.col("cut"), 1).otherwise(0), F.lit(0))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for each document."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    p = plan(sized, weights, share).withColumnRenamed("source", "_source")
-    every = with_copies(sized.join(p, F.col("source").eqNullSafe(F.col("_source"))))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(F.col("doc_id"), F.col("text")).alias("draw")), "sized")
+    per_source, classes = plan(sized, weights, share)
+    every = _same_class(sized, classes, "left").withColumn("copies", _copies())
+    figures = per_source.select(F.col("source").alias("_source"), "source_size", "target")
+    every = every.join(figures, F.col("source").eqNullSafe(F.col("_source")))
     return every.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def draw_mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> DataFrame:
-    """The documents of the mix with their columns, each as often as it is taken. Texts are not shuffled by key."""
-    size = word_count(F.col("text"))
-    p = plan(materialize(docs.select("doc_id", "source", size.alias("size")), "sized"), weights, share)
-    own = p.select(F.struct("*").alias("_p"), F.col("source").alias("_source"))
-    joined = docs.select(as_struct(docs, "_doc")).join(own, F.col("_doc.source").eqNullSafe(F.col("_source")))
-    figures = [F.col(f"_p.{c}").alias(c) for c in p.columns if c not in ("source", "source_size")]
-    copies = with_copies(joined.select("_doc", F.col("_doc.doc_id").alias("doc_id"), word_count(F.col("_doc.text")).alias("size"), *figures))
-    return copies.where("copies > 0").select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_doc.*")
+    """The documents of the mix with their columns, each as often as it is taken. Texts are shuffled only where there are more than ``MOST_BROADCAST`` classes."""
+    size, draw = word_count(F.col("text")), _draw(F.col("doc_id"), F.col("text"))
+    _, classes = plan(materialize(docs.select("source", size.alias("size"), draw.alias("draw")), "sized"), weights, share)
+    whole = docs.select(as_struct(docs, "_doc"), F.col("source"), size.alias("size"), draw.alias("draw"))
+    copies = _same_class(whole, classes).select("_doc", _copies().alias("copies"))
+    return copies.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_doc.*")
