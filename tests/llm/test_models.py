@@ -21,46 +21,60 @@ def held(i, parts, out):
     return zlib.crc32(("" if i is None else str(i)).encode()) % parts == out
 
 
-def brute(rows, order, mu):
+def counted(rows, order):
     grams = [Counter() for _ in range(order)]
     for i, t in rows:
         if not held(i, 7, 2):
             w = tokens(t)
             for k in range(order):
                 grams[k].update(tuple(w[j : j + k + 1]) for j in range(len(w) - k))
+    return grams
+
+
+def chances(w, grams, order, mu, less=0):
+    """The probability of each token by the interpolation formula; ``less``: 1 to leave the token's own occurrence out."""
     n, v = sum(grams[0].values()), len(grams[0])
+    for j, x in enumerate(w):
+        p = (grams[0][(x,)] + 1) / (n + v + 1)
+        for k in range(1, min(j + 1, order)):
+            p = (max(grams[k][tuple(w[j - k : j + 1])] - less, 0) + mu * p) / (max(grams[k - 1][tuple(w[j - k : j])] - less, 0) + mu)
+        yield p
+
+
+def brute(rows, order):
+    grams = counted(rows, order)
+    n, v = sum(grams[0].values()), len(grams[0])
+    likely = {mu: sum(math.log10(p) for i, t in rows if not held(i, 7, 2) for p in chances(tokens(t), grams, order, mu, 1)) for mu in lm.GRID}
+    mu = max(lm.GRID, key=lambda x: likely[x])
     out = []
     for i, t in rows:
-        w, base, score = tokens(t), 0.0, 0.0
-        for j, x in enumerate(w):
-            p = (grams[0][(x,)] + 1) / (n + v + 1)
-            base += math.log10(p)
-            for k in range(1, order):
-                if j >= k:
-                    p = (grams[k][tuple(w[j - k : j + 1])] + mu * p) / (grams[k - 1][tuple(w[j - k : j])] + mu)
-            score += math.log10(p)
-        out.append((i, held(i, 7, 2), len(w), sum(grams[0][(x,)] > 0 for x in w), n, base, score))
+        w = tokens(t)
+        base = sum(math.log10((grams[0][(x,)] + 1) / (n + v + 1)) for x in w)
+        out.append((i, held(i, 7, 2), len(w), sum(grams[0][(x,)] > 0 for x in w), n, base, sum(math.log10(p) for p in chances(w, grams, order, mu))))
     return out
 
 
-def check(df, order, mu, monkeypatch, **how):
-    monkeypatch.setattr(lm, "GRID", (mu,))
+def check(df, order, **how):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
     got = sorted((tuple(r) for r in lm.score_documents(df, order, **how).collect()), key=key)
-    want = sorted(brute(rows, order, mu), key=key)
+    want = sorted(brute(rows, order), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize(("order", "mu", "size"), [(1, 1.0, 8 << 20), (2, 16.0, 8 << 20), (2, 64.0, 50_000), (3, 4.0, 50_000)])
-def test_scores_equal_brute_force(docs, monkeypatch, order, mu, size):
-    check(docs, order, mu, monkeypatch, batch_bytes=size)
+@pytest.mark.parametrize(
+    ("order", "how"),
+    [(1, {}), (2, {}), (3, {"block_bytes": 30_000, "part_bytes": 4000}), (4, {"block_bytes": 100_000, "part_bytes": 700}), (3, {"block_bytes": 20_000, "part_bytes": 5000, "roads": 3, "team": 4})],
+)
+def test_scores_equal_brute_force(docs, order, how):
+    """The whole grid, the choice in it by leave-one-out likelihood, long texts in pieces, and blocks that ask in teams."""
+    check(docs, order, **how)
 
 
-def test_scores_of_odd_rows(odd, none, clashing, monkeypatch):
-    check(odd, 2, 16.0, monkeypatch)
+def test_scores_of_odd_rows(odd, none, clashing):
+    check(odd, 3, part_bytes=50_000)
     assert lm.score_documents(none).count() == 0
     assert lm.score_documents(clashing).count() == clashing.count()
 
@@ -71,30 +85,65 @@ def test_no_training_rows(spark):
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0)
 
 
-def test_probabilities_sum_to_one():
-    texts = [b"a b a c", b"b a", b"c c a"]
-    b = lm.Batch(texts, 2)
+def automaton(texts, order=3, learned=None):
+    """The automaton over all n-grams of some texts, counted in those ``learned``, with the number of each word."""
     import numpy as np
 
-    counts = b.counts(np.ones(3, bool))
-    n, v = int(counts[0].sum()), len(counts[0])
-    words = ["a", "b", "c", "unseen", None]
-    for history in ("a", "b", "c"):
+    names = {w: k for k, w in enumerate(sorted({x for t in texts for x in t}))}
+    flat = np.array([names[x] for t in texts for x in t], np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    grams = lm.Grams(flat, sizes, order)
+    on = np.repeat(np.array(learned if learned is not None else [True] * len(texts)), sizes)
+    known = [np.bincount(where[on[at]], minlength=len(keys)) for keys, at, where, _ in grams.of]
+    auto = lm.Automaton(grams, known, len(flat))
+    return auto, {w: int(auto.word[np.flatnonzero(flat == k)[0]]) for w, k in names.items()}
+
+
+def test_probabilities_sum_to_one():
+    """From every state, the weights that the automaton passes for all words, an unseen one included, sum to one."""
+    texts = [list("abac."), list("ba."), list("ccab."), list("u.")]  # the last is not learned from: u stands for all unseen words
+    auto, word = automaton(texts, 3, [True, True, True, False])
+    n, v = 12, 4
+    arcs, fails = auto.weights(n, v, 16.0)
+    for state in range(len(auto.failure)):
         total = 0.0
-        for w in words:
-            c = sum(t.decode().split().count(history) for t in texts)
-            pair = sum((t.decode().split() + [None])[k : k + 2] == [history, w] for t in texts for k in range(len(t.split())))
-            uni = (sum((t.decode().split() + [None]).count(w) for t in texts) + 1) / (n + v + 1)
-            total += (pair + 16 * uni) / (c + 16)
+        for w in word.values():
+            path, failed = [], []
+            auto.traverse([w], state, path, failed)
+            total += 10 ** (arcs[path[0]] + sum(fails[f] for f in failed))
         assert total == pytest.approx(1.0)
 
 
+def test_the_state_is_carried():
+    """States are the longest known histories, failures shorten them by their first word."""
+    auto, word = automaton([list("abcd."), list("bcx.")], 3, [True, True])
+    path, failed = [], []
+    auto.traverse([word[x] for x in "abcx"], 0, path, failed)
+    assert len(path) == 4 and len(failed) == 0  # bc is followed by d and by x
+    path, failed = [], []
+    auto.traverse([word[x] for x in "abca"], 0, path, failed)
+    assert len(failed) == 2 and auto.failure[failed[0]] == failed[1]  # from bc to c to the root
+    assert auto.failure[failed[1]] == 0
+
+
+@given(st.binary(max_size=60), st.integers(1, 9))
+def test_windows(text, most):
+    assert b"".join(lm.windows(text, most)) == text
+    assert [w for x in lm.windows(text, most) for w in x.split()] == text.split()
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50))
 def test_packing(keys):
     import numpy as np
 
     k = np.unique(np.array(keys, np.uint64))
     assert (lm.unpack(lm.pack(k)) == k).all() and (lm.unpack_counts(lm.pack_counts(np.arange(len(k)))) == np.arange(len(k))).all()
+    whole = {n: k[a:z].tolist() for n, a, z in lm.ranges(k, 12)}
+    parts = {}
+    for road, a, z in lm.ranges(k, 4):  # first by roads, then by a road's shards
+        of_road = k[a:z]
+        parts |= {n: of_road[x:y].tolist() for n, x, y in lm.ranges(of_road, 3, road, 4)}
+    assert parts == whole
 
 
 def edits(a, b):

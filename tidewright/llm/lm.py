@@ -1,180 +1,407 @@
 """Language-model scores by a weighted backoff automaton.
 
-Histories are states, n-grams are arcs, and each state has a failure arc to the state of its shorter history.
-With Dirichlet smoothing, p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu): an arc carries that
-probability, a failure arc mu / (c(h) + mu), and the root the add-one unigram distribution. A
-traversal from left to right carries the state from token to token (its text's last tokens) and adds up
-log10 of the weights passed; it runs over all tokens of a batch at once. mu is the value of a fixed
-grid with the best leave-one-out likelihood over all training texts.
-
-The automaton is never held whole. Documents are dealt into batches by a hash; each batch asks, packed and
-sorted, for the counts of its distinct n-grams, split by hash into shards. A shard adds up what the batches
-counted in training texts and answers each batch in the order in which it asked, so that only counts
-travel back. Every n-gram counts; nothing is cut off or sampled, and what moves grows with the corpus.
+States are histories, from none (the root) to ``order`` - 1 tokens. A state has an arc for each token that follows it in the
+training texts, and a failure arc to the state of its history less the first token; the root has an arc for every token. With
+Dirichlet smoothing, p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu): an arc carries that probability, a failure arc
+mu / (c(h) + mu), an arc of the root the add-one probability of its token. A text is traversed once from left to right: at each
+token the automaton takes the state's arc, or fails until it has one, and log10 of what it passes adds up. mu is the value of a fixed
+grid with the best leave-one-out likelihood over all training texts; the path doesn't depend on it.
+
+The automaton of the corpus is never held whole. Texts are read once, into blocks of about ``block_bytes``, and written as word
+numbers. A block asks for the counts of its distinct n-grams, packed and sorted and split by hash into shards. A shard adds up what
+the blocks counted in training texts and answers in the order in which each asked. Each part of a block then has the
+states and arcs that its own texts can reach. Every n-gram counts; nothing is cut off or sampled, and what moves grows with the
+corpus. Where there are more shards than ``ROADS``, blocks send to that many ranges only; teams of blocks ask
+together for a range's shards, so that the rows sent stay in proportion to the corpus.
 
 Texts are lower-cased (A-Z); tokens are runs of characters outside [\\x20\\x09-\\x0D], then one end. A text is
 learned from unless crc32(doc_id as text) modulo ``parts`` is ``out``; a null doc_id counts as empty
 text. Null and empty texts hold the end alone. Without training texts N and V are 0. Each input row
-gives one row.
+gives one row. A text longer than a part is cut between words and goes on with the tokens before the cut, which lead to the
+same state, so that no task holds a long text's tokens at once.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, byte_column, materialize, mix64, word_hashes
+from .common import bound_batches, byte_column, give_back, materialize, mix64, pieces, word_hashes
 
-BATCH_BYTES = 8 << 20
+ORDER = 3
+BLOCK_BYTES, PART_BYTES = 16 << 20, 1 << 20
+#: Ranges of keys that a block sends to, and blocks that ask together, where there are more shards.
+ROADS, TEAM = 512, 512
 GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)
 END = np.uint64(0x3C2F733E)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def held_out(doc_id: Column, parts: int = 7, out: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == out
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T).tobytes(), 1)
+
+
+def _whole(blob: bytes, width: int, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys as compressed planes of their differences' bytes."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return _planes(np.diff(keys, prepend=np.uint64(0)), 8)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_whole(blob, 8, np.uint64), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return _planes(counts.astype("<u4"), 4)
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return _whole(blob, 4, "<u4")
 
 
-class Batch:
-    """The tokens of some texts, and their n-grams up to ``order`` as places in sorted lists of distinct keys."""
+def ranges(keys: np.ndarray, n: int, lo: int = 0, of: int = 1) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the parts of sorted keys in each of the n equal ranges of range ``lo`` of ``of``; empty ones are left out."""
+    cuts = np.array([((lo * n + i) << 64) // (n * of) for i in range(1, n)], np.uint64)
+    edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+    return [(lo * n + i, a, z) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
 
-    def __init__(self, texts: list[bytes], order: int):
-        parts = []
-        for t in texts:
-            words = t.lower().split()
-            h = np.empty(len(words) + 1, np.uint64)
-            h[:-1] = word_hashes(words)
-            h[-1] = END
-            parts.append(h)
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        del parts
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
-        rolled, self.grams = mix64(tokens), []
+
+def windows(text: bytes, most: int):
+    """The text in pieces of about ``most`` bytes, cut between words."""
+    at = 0
+    while len(text) - at > most:
+        m = _SPACE.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+class Grams:
+    """The distinct n-grams of some token sequences: keys, the positions where they end, which they are there, and a first position of each."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, order: int):
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(tokens)) - np.repeat(starts, sizes)
+        rolled, self.of = mix64(tokens), []
         for k in range(1, order + 1):
             if k > 1:
                 with np.errstate(over="ignore"):
                     longer = np.zeros_like(rolled)
                     longer[1:] = mix64(rolled[:-1] * _ROLL + tokens[1:])
                 rolled = longer
-            at = np.flatnonzero(self.place >= k - 1)
-            keys, where = np.unique(rolled[at], return_inverse=True)
-            self.grams.append((keys, at, where))
-
-    def counts(self, kept: np.ndarray) -> list[np.ndarray]:
-        """How often each distinct n-gram stands in the texts marked in ``kept``."""
-        on = np.repeat(kept, self.sizes)
-        return [np.bincount(where[on[at]], minlength=len(keys)) for keys, at, where in self.grams]
-
-    def walk(self, known: list[np.ndarray], total: int, vocabulary: int, mu: float, less: int = 0) -> np.ndarray:
-        """The probability of each token; ``less``: 1 to leave the token's own occurrence out of its n-gram's count."""
-        n = len(self.place)
-        spread = [np.zeros(n) for _ in self.grams]
-        for s, c, (_, at, where) in zip(spread, known, self.grams, strict=True):
-            s[at] = c[where]
-        p = (spread[0] + 1.0) / (total + vocabulary + 1.0)
-        for k in range(1, len(self.grams)):
-            at = self.grams[k][1]
-            history = spread[k - 1][at - 1]
-            p[at] = (np.maximum(spread[k][at] - less, 0.0) + mu * p[at]) / (np.maximum(history - less, 0.0) + mu)
-        return p
-
-    def by_text(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.starts) if len(self.starts) else np.zeros(0)
-
-
-def _ask(order: int, shards: int):
-    def run(key, table):
-        b = Batch(byte_column(table.combine_chunks().to_batches()[0]), order)
-        learned = ~np.array(table.column("held_out").to_pylist(), bool)
-        cuts = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
-        rows = []
-        for k, ((keys, _, _), counts) in enumerate(zip(b.grams, b.counts(learned), strict=True), 1):
-            edges = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-            rows += [(k, s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if z > a]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.table({"n": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()), "batch": pa.array([key[0].as_py()] * len(rows), pa.int64()), "keys": pa.array(cols[2], pa.binary()), "counts": pa.array(cols[3], pa.binary())})
+            at = np.flatnonzero(place >= k - 1)
+            keys, first, where = np.unique(rolled[at], return_index=True, return_inverse=True)
+            self.of.append((keys, at, where, at[first]))
+
+
+class Automaton:
+    """The states and arcs that the n-grams of a part can reach; ``known`` has the n-grams' counts in the training texts."""
+
+    def __init__(self, grams: Grams, known: list[np.ndarray], size: int):
+        order = len(grams.of)
+        self.words = len(grams.of[0][0])
+        number = [np.full(size, -1) for _ in range(order)]  # the n-gram that ends at each position
+        for x, (_, at, where, _) in zip(number, grams.of, strict=True):
+            x[at] = where
+        self.word = number[0]
+        # arcs: one for each word at the root, then the n-grams that the training texts have; states: the root, then those n-grams as histories
+        arc_of, state_of = [np.arange(self.words)], []
+        arcs, states = self.words, 1
+        for k, c in enumerate(known):
+            seen = c > 0
+            if k:
+                arc_of.append(np.where(seen, arcs + np.cumsum(seen) - 1, -1))
+                arcs += int(seen.sum())
+            if k < order - 1:
+                state_of.append(np.where(seen, states + np.cumsum(seen) - 1, 0))
+                states += int(seen.sum())
+        self.count, self.prior, self.lower = np.zeros(arcs, np.int64), np.zeros(arcs, np.int64), np.full(arcs, -1)
+        target, self.fail, self.mass = np.zeros(arcs, np.int64), np.zeros(states, np.int64), np.zeros(states, np.int64)
+        source, label = np.zeros(arcs, np.int64), np.zeros(arcs, np.int64)
+        self.count[: self.words] = known[0]
+        if order > 1:
+            target[: self.words] = state_of[0]
+        for k, (_, _, _, first) in enumerate(grams.of):
+            seen = known[k] > 0
+            p = first[seen]
+            if k:
+                a = arc_of[k][seen]
+                self.count[a], self.prior[a] = known[k][seen], known[k - 1][number[k - 1][p - 1]]
+                self.lower[a] = arc_of[k - 1][number[k - 1][p]]
+                source[a], label[a] = state_of[k - 1][number[k - 1][p - 1]], number[0][p]
+                target[a] = state_of[k][seen] if k < order - 1 else state_of[k - 1][number[k - 1][p]]
+            if k < order - 1:
+                s = state_of[k][seen]
+                self.mass[s] = known[k][seen]
+                self.fail[s] = state_of[k - 1][number[k - 1][p]] if k else 0
+        self.level = [slice(0, self.words)] + [slice(int(a[a >= 0].min()), int(a.max()) + 1) if (a >= 0).any() else slice(0, 0) for a in arc_of[1:]]
+        self.arc = dict(zip((source[self.words :] * self.words + label[self.words :]).tolist(), range(self.words, arcs), strict=True))
+        self.target = target.tolist()
+        self.failure = self.fail.tolist()
+
+    def traverse(self, words: list[int], state: int, path: list[int], failed: list[int]) -> int:
+        """The arcs and failures passed from ``state`` over ``words``, put on the two lists; gives the state arrived in."""
+        arc, target, failure, width = self.arc.get, self.target, self.failure, self.words
+        for w in words:
+            a = arc(state * width + w) if state else w
+            while a is None:
+                failed.append(state)
+                state = failure[state]
+                a = arc(state * width + w) if state else w
+            path.append(a)
+            state = target[a]
+        return state
+
+    def weights(self, total: int, vocabulary: int, mu: float, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each arc's and each state's failure weight; ``less``: 1 to leave one occurrence of its n-gram out of an arc's counts."""
+        p = np.empty(len(self.count))
+        p[self.level[0]] = (self.count[self.level[0]] + 1.0) / (total + vocabulary + 1.0)
+        for a in self.level[1:]:
+            p[a] = (self.count[a] - less + mu * p[self.lower[a]]) / (self.prior[a] - less + mu)
+        return np.log10(p), np.log10(mu / (self.mass + mu))
+
+
+_INDEX = "block long, n int, shard int, a binary, b binary, texts array<struct<doc_id:long,row:long,held_out:boolean,size:int,lead:int,whole:boolean>>"
+_TEXT = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int32()), ("lead", pa.int32()), ("whole", pa.bool_())])
+
+
+class _Block:
+    """Gathers parts, and the n-grams that they ask for."""
+
+    def __init__(self, number: int, order: int):
+        self.number, self.order, self.bytes = number, order, 0
+        self.asked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+        self.tokens: list[np.ndarray] = []
+        self.texts: list[tuple] = []
+        self.held = 0
+
+    def add(self, tokens: np.ndarray, text: tuple, size: int):
+        self.tokens.append(tokens)
+        self.texts.append(text)
+        self.held += size
+        self.bytes += size
+
+    def part(self):
+        """The gathered texts as a row, their n-grams added to those asked for."""
+        tokens = np.concatenate(self.tokens)
+        sizes, lead = np.array([t[3] for t in self.texts]), np.array([t[4] for t in self.texts])
+        grams = Grams(tokens, sizes, self.order)
+        starts = np.cumsum(sizes) - sizes
+        counted = np.repeat(~np.array([t[2] for t in self.texts]), sizes) & (np.arange(len(tokens)) - np.repeat(starts, sizes) >= np.repeat(lead, sizes))
+        for asked, (keys, at, where, _) in zip(self.asked, grams.of, strict=True):
+            asked.append((keys, np.bincount(where[counted[at]], minlength=len(keys))))
+        words, number = np.unique(tokens, return_inverse=True)
+        row = self._rows([(0, 0, pack(words), pack_counts(number))], [[dict(zip(_TEXT.names, t, strict=True)) for t in self.texts]])
+        self.tokens, self.texts, self.held = [], [], 0
+        return row
+
+    def _rows(self, rows: list[tuple], texts: list):
+        n, shard, a, b = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(rows), pa.int64()), pa.array(n, pa.int32()), pa.array(shard, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(texts, pa.list_(_TEXT))], names=["block", "n", "shard", "a", "b", "texts"])
+
+    def asks(self, roads: int):
+        for k, asked in enumerate(self.asked, 1):
+            keys, counts = merged([x for x, _ in asked], [x for _, x in asked])
+            rows = [(k, s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, roads)]
+            yield self._rows(rows, [None] * len(rows))
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several lists, with the sums of their counts."""
+    every, where = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True)
+    return every, np.bincount(where, weights=np.concatenate(counts) if counts else None, minlength=len(every)).astype(np.int64)
+
+
+def _index(order: int, roads: int, block_bytes: int, part_bytes: int):
+    def run(batches):
+        base = TaskContext.get().partitionId() << 32
+        row, block = base, _Block(base, order)
+        for b in pieces(batches):
+            ids, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
+            for i, t in enumerate(byte_column(b)):
+                cuts = list(windows(t, part_bytes)) if len(t) > part_bytes else [t]
+                before = np.zeros(0, np.uint64)
+                for j, w in enumerate(cuts):
+                    words = w.lower().split()  # bytes.lower() folds A-Z alone
+                    new = np.empty(len(words) + (j == len(cuts) - 1), np.uint64)
+                    new[: len(words)] = word_hashes(words)
+                    if len(new) > len(words):
+                        new[-1] = END
+                    if not len(new):
+                        continue
+                    tokens = np.concatenate([before, new])
+                    block.add(tokens, (ids[i], row, bool(held[i]), len(tokens), len(before), len(cuts) == 1), len(w) + 1)
+                    before = tokens[max(0, len(tokens) - order + 1) :] if order > 1 else before
+                    if block.held >= part_bytes:
+                        yield block.part()
+                    if block.bytes >= block_bytes:
+                        if block.texts:
+                            yield block.part()
+                        yield from block.asks(roads)
+                        block = _Block(block.number + 1, order)
+                row += 1
+        if block.texts:
+            yield block.part()
+        yield from block.asks(roads)
+        give_back()
 
     return run
 
 
+_ANSWER = "block long, n int, shard int, known binary, total long, vocabulary long"
+
+
 def _answer(key, table):
-    """Adds up the counts of one shard, and gives each batch those of its keys; batch -1 has the shard's total and vocabulary."""
-    keys = [unpack(x) for x in table.column("keys").to_pylist()]
+    """Adds up the counts of one shard, and gives each asker those of its keys; block -1 has the shard's total and vocabulary."""
+    keys = [unpack(x) for x in table.column("a").to_pylist()]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()]), minlength=len(every)).astype(np.int64)
-    known, ends = total[where], np.cumsum([len(k) for k in keys])
-    blobs = [pack_counts(x) for x in np.split(known, ends[:-1])]
+    total = np.bincount(where, weights=np.concatenate([unpack_counts(x) for x in table.column("b").to_pylist()]), minlength=len(every)).astype(np.int64)
+    ends = np.cumsum([len(k) for k in keys])
+    blobs = [pack_counts(x) for x in np.split(total[where], ends[:-1])]
     n, shard = key[0].as_py(), key[1].as_py()
     rows = len(blobs) + 1
     return pa.table({
-        "batch": pa.array([*table.column("batch").to_pylist(), -1], pa.int64()), "n": pa.array([n] * rows, pa.int32()), "shard": pa.array([shard] * rows, pa.int32()),
+        "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "n": pa.array([n] * rows, pa.int32()), "shard": pa.array([shard] * rows, pa.int32()),
         "known": pa.array([*blobs, None], pa.binary()), "total": pa.array([*[None] * len(blobs), int(total.sum())], pa.int64()), "vocabulary": pa.array([*[None] * len(blobs), int((total > 0).sum())], pa.int64()),
     })
 
 
+def _team_asks(roads: int, shards_a_road: int):
+    """What the blocks of a team ask for in one range, asked once, by shard."""
+
+    def run(key, table):
+        n, road, team = (k.as_py() for k in key)
+        keys, counts = merged([unpack(x) for x in table.column("a").to_pylist()], [unpack_counts(x) for x in table.column("b").to_pylist()])
+        rows = [(s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, shards_a_road, road, roads)]
+        s, a, b = zip(*rows, strict=True)
+        return pa.table({"block": pa.array([team] * len(rows), pa.int64()), "n": pa.array([n] * len(rows), pa.int32()), "shard": pa.array(s, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _team_answers(asks, answers):
+    """The answers to a team, in one range, dealt out to its blocks."""
+    if not asks.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "known": pa.array([], pa.binary())})
+    keys = [unpack(x) for x in asks.column("a").to_pylist()]
+    every = np.unique(np.concatenate(keys))
+    told = sorted(zip(answers.column("shard").to_pylist(), answers.column("known").to_pylist(), strict=True), key=lambda r: r[0])
+    known = np.concatenate([unpack_counts(x) for _, x in told])
+    return pa.table({"block": asks.column("block"), "n": asks.column("n"), "shard": asks.column("shard"), "known": pa.array([pack_counts(known[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+
+
+def exchange(asks: DataFrame, shards: int, roads: int, team: int) -> tuple[DataFrame, DataFrame]:
+    """The answers to ``asks`` (block, n, shard, a, b), and each shard's total and vocabulary (n, total, vocabulary)."""
+    if shards <= roads:
+        answers = materialize(asks.groupBy("n", "shard").applyInArrow(_answer, _ANSWER), "answers")
+        return answers.where("block >= 0").select("block", "n", "shard", "known"), answers.where("block = -1")
+    a_road = -(-shards // roads)
+    teamed = asks.withColumn("team", F.pmod(F.xxhash64("block"), F.greatest(F.lit(1), F.ceil(F.lit(asks.select("block").distinct().count() / team)))))
+    together = materialize(teamed.groupBy("n", "shard", "team").applyInArrow(_team_asks(roads, a_road), "block long, n int, shard int, a binary, b binary"), "teams")
+    answers = materialize(together.groupBy("n", "shard").applyInArrow(_answer, _ANSWER), "answers")
+    of_team = answers.where("block >= 0").select(F.col("block").alias("team"), "n", F.floor(F.col("shard") / a_road).cast("int").alias("road"), "shard", "known")
+    back = teamed.withColumnRenamed("shard", "road").select("team", "n", "road", "block", F.col("road").alias("shard"), "a").groupBy("team", "n", "road")
+    dealt = back.cogroup(of_team.groupBy("team", "n", "road")).applyInArrow(_team_answers, "block long, n int, shard int, known binary")
+    return materialize(dealt, "dealt"), answers.where("block = -1")
+
+
+_SCORED = "doc_id long, row long, whole boolean, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, left_out array<double>"
+
+
 def _score(order: int, total: int, vocabulary: int):
     def run(table, answers):
-        if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "scores": pa.array([], pa.list_(pa.float64())), "left_out": pa.array([], pa.list_(pa.float64()))})
-        b = Batch(byte_column(table.combine_chunks().to_batches()[0]), order)
+        out: list[pa.Table] = []
+        parts = []
+        for a, b, texts in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("texts").to_pylist(), strict=True):
+            parts.append((unpack(a)[unpack_counts(b)], texts))
         told = sorted(zip(answers.column("n").to_pylist(), answers.column("shard").to_pylist(), answers.column("known").to_pylist(), strict=True), key=lambda r: r[:2])
-        known = [np.concatenate([unpack_counts(x) for n, _, x in told if n == k]) if any(n == k for n, _, _ in told) else np.zeros(0, np.uint32) for k in range(1, order + 1)]
-        first = known[0][b.grams[0][2]]
-        held = np.array(table.column("held_out").to_pylist(), bool)
-        base = b.by_text(np.log10((first + 1.0) / (total + vocabulary + 1.0)))
-        scores = np.stack([b.by_text(np.log10(b.walk(known, total, vocabulary, mu))) for mu in GRID], 1)
-        left = np.stack([b.by_text(np.log10(b.walk(known, total, vocabulary, mu, 1))) for mu in GRID], 1)
-        left[held] = 0.0
-        return pa.table({
-            "doc_id": table.column("doc_id"), "held_out": pa.array(held), "n_tokens": pa.array(b.sizes, pa.int64()), "n_known": pa.array(b.by_text((first > 0).astype(np.int64)), pa.int64()),
-            "base_score": pa.array(base), "scores": pa.array(list(scores), pa.list_(pa.float64())), "left_out": pa.array(list(left), pa.list_(pa.float64())),
-        })
+        counts = [np.concatenate([unpack_counts(x) for n, _, x in told if n == k] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(1, order + 1)]
+        grams = [Grams(tokens, np.array([t["size"] for t in texts]), order) for tokens, texts in parts]
+        asked = [np.unique(np.concatenate([g.of[k][0] for g in grams])) if grams else np.zeros(0, np.uint64) for k in range(order)]
+        while parts:
+            (tokens, texts), g = parts.pop(0), grams.pop(0)
+            auto = Automaton(g, [c[np.searchsorted(x, keys)] for c, x, (keys, *_) in zip(counts, asked, g.of, strict=True)], len(tokens))
+            out.append(_walk(auto, texts, total, vocabulary))
+        return pa.concat_tables(out) if out else pa.table({x.name: pa.array([], x.type) for x in _RESULT}, schema=_RESULT)
 
     return run
 
 
-def score_documents(docs: DataFrame, order: int = 2, parts: int = 7, out: int = 2, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+_RESULT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("whole", pa.bool_()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("scores", pa.list_(pa.float64())), ("left_out", pa.list_(pa.float64()))])
+
+
+def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa.Table:
+    """Traverses the texts of a part, and weighs their paths for each mu."""
+    path: list[int] = []
+    failed: list[int] = []
+    own, failures, at = [], [], 0
+    words = auto.word.tolist()
+    for t in texts:
+        begin, end = at + t["lead"], at + t["size"]
+        state = auto.traverse(words[at:begin], 0, [], [])
+        before = len(failed)
+        auto.traverse(words[begin:end], state, path, failed)
+        own.append(end - begin)
+        failures.append(len(failed) - before)
+        at = end
+    path_, failed_ = np.array(path, np.int64), np.array(failed, np.int64)
+    own_, of_failure = np.array(own), np.repeat(np.arange(len(texts)), failures)
+    starts = np.cumsum(own_) - own_
+    lead = np.array([t["lead"] for t in texts])
+    counted = np.arange(len(words)) - np.repeat(np.cumsum(own_ + lead) - own_ - lead, own_ + lead) >= np.repeat(lead, own_ + lead)
+    first = auto.count[auto.word[counted]]
+    learned = np.repeat(~np.array([t["held_out"] for t in texts]), own_)
+    often = np.bincount(path_[learned], minlength=len(auto.count))
+    used = np.flatnonzero(often)
+    scores, left = [], []
+    for mu in GRID:
+        arcs, fails = auto.weights(total, vocabulary, mu)
+        scores.append(np.add.reduceat(arcs[path_], starts) + np.bincount(of_failure, weights=fails[failed_], minlength=len(texts)))
+        left.append(float(auto.weights(total, vocabulary, mu, 1)[0][used] @ often[used]) if len(used) else 0.0)
+    n = len(texts)
+    none = [0.0] * len(GRID)
+    return pa.table(
+        [
+            pa.array([t["doc_id"] for t in texts], pa.int64()), pa.array([t["row"] for t in texts], pa.int64()), pa.array([t["whole"] for t in texts]), pa.array([t["held_out"] for t in texts]), pa.array(own_, pa.int64()),
+            pa.array(np.add.reduceat((first > 0).astype(np.int64), starts), pa.int64()), pa.array(np.add.reduceat(np.log10((first + 1.0) / (total + vocabulary + 1.0)), starts)),
+            pa.array(list(np.stack(scores, 1)), pa.list_(pa.float64())), pa.array([left if i == 0 else none for i in range(n)], pa.list_(pa.float64())),
+        ],
+        schema=_RESULT,
+    )
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, parts: int = 7, out: int = 2, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, roads: int = ROADS, team: int = TEAM) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    batches = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / batch_bytes))
-    shards = max(1, batches // 4)
-    dealt = docs.select("doc_id", text.alias("text"), held_out(F.col("doc_id"), parts, out).alias("held_out"))
-    dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    asked = dealt.groupBy("batch").applyInArrow(_ask(order, shards), "n int, shard int, batch long, keys binary, counts binary")
-    answers = materialize(asked.groupBy("n", "shard").applyInArrow(_answer, "batch long, n int, shard int, known binary, total long, vocabulary long"), "answers")
-    sums = answers.where("batch = -1 AND n = 1").agg(F.sum("total"), F.sum("vocabulary")).first()
-    total, vocabulary = sums[0] or 0, sums[1] or 0
-    replies = answers.where("batch >= 0").select("batch", "n", "shard", "known")
-    scored = materialize(dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(order, total, vocabulary), SCHEMA), "scored")
+    shards = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / block_bytes))
+    texts = docs.select("doc_id", text.alias("text"), held_out(F.col("doc_id"), parts, out).alias("held_out"))
+    index = materialize(texts.mapInArrow(_index(order, min(shards, roads), block_bytes, part_bytes), _INDEX), "index")
+    answers, sums = exchange(index.where("n > 0").select("block", "n", "shard", "a", "b"), shards, roads, team)
+    of_all = sums.where("n = 1").agg(F.sum("total"), F.sum("vocabulary")).first()
+    total, vocabulary = of_all[0] or 0, of_all[1] or 0
+    blocks = index.where("n = 0").select("block", "a", "b", "texts").groupBy("block")
+    scored = materialize(blocks.cogroup(answers.groupBy("block")).applyInArrow(_score(order, total, vocabulary), _SCORED), "scored")
     likely = scored.agg(*[F.sum(F.col("left_out")[i]).alias(f"g{i}") for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likely[i] if likely[i] is not None else 0.0)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))
+    each = scored.select("doc_id", "row", "whole", "held_out", "n_tokens", "n_known", "base_score", F.col("scores")[best].alias("score"))
+    sums_of = [F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]]
+    whole = each.where("whole").drop("row", "whole").unionByName(each.where("NOT whole").groupBy("row").agg(*sums_of).drop("row"))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
