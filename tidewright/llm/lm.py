@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, byte_column, give_back, materialize, mix64, pieces, word_hashes
 
 ORDER = 3
-BLOCK_BYTES, PART_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 512 << 10
 #: Ranges of keys that a block sends to, and blocks that ask together, where there are more shards.
 ROADS, TEAM = 512, 512
 GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)
@@ -108,7 +108,7 @@ class Grams:
                 rolled = longer
             at = np.flatnonzero(place >= k - 1)
             keys, first, where = np.unique(rolled[at], return_index=True, return_inverse=True)
-            self.of.append((keys, at, where, at[first]))
+            self.of.append((keys, at.astype(np.int32), where.astype(np.int32), at[first]))
 
 
 class Automaton:
