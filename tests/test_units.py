@@ -1,8 +1,14 @@
 """Operators against NumPy and plain Python on small fixtures, with NULL and NaN."""
 
 import datetime
+import http.server
 import math
+import os
 import random
+import re
+import struct
+import threading
+import urllib.parse
 
 import numpy as np
 import pandas as pd
@@ -10,9 +16,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import geo, scalars
-from tidewright.operators import evaluate, knn, models, raster, sampling, stats
+from tidewright.operators import evaluate, knn, models, ordering, raster, sampling, stats
+from tidewright.plans import habitat
 from tidewright.schema import FINAL, SIGHTINGS, Axis
-from tidewright.sources import cubes, tables
+from tidewright.sources import cubes, dap, tables
 
 
 def cells(spark, z, lat0=35.0, lon0=-75.0, step=0.05):
@@ -164,12 +171,12 @@ def test_rank_test(spark):
 def test_running_totals(spark):
     r = random.Random(4)
     rows = [(float(k), r.randrange(5)) for k in r.sample(range(100_000), 3000)]
-    got = {x.k: x.s for x in stats.running(spark.createDataFrame(rows, "k double, c int"), "k", {"c": "s"}).collect()}
+    got = {x.k: x.s for x in ordering.running(spark.createDataFrame(rows, "k double, c int"), "k", {"c": "s"}).collect()}
     total = 0
     for k, c in sorted(rows):
         total += c
         assert got[k] == total
-    assert stats.running(spark.createDataFrame([], "k double, c int"), "k", {"c": "s"}).count() == 0
+    assert ordering.running(spark.createDataFrame([], "k double, c int"), "k", {"c": "s"}).count() == 0
 
 
 def test_curve_and_threshold(spark):
@@ -254,10 +261,10 @@ def test_retries():
     assert cubes.with_retries(lambda: 1 / 0, sleep=lambda s: None) is None
 
 
-def broken(key):
+def broken(key, box):
     if key == "2":
         raise OSError("no such slab")
-    return cubes.synthetic_slab(key)
+    return cubes.synthetic_slab(key, box)
 
 
 def test_failed_slab_leaves_the_others(spark):
@@ -278,3 +285,139 @@ def test_final_schema_has_the_features():
     from tidewright.schema import FEATURE_ORDER
 
     assert set(FEATURE_ORDER) <= {f.name for f in FINAL}
+
+
+def test_large_ids(spark):
+    """Draws reduce the id first: any 64-bit id works."""
+    df = spark.createDataFrame([(i,) for i in (1, 2**40, 2**62, 2**63 - 1)], "id long")
+    got = df.select(sampling.uniform(F.col("id"), F.lit(3), 42).alias("u")).collect()
+    assert all(0 <= r.u < 1 for r in got) and sampling.fixed_sample(df, 2).count() == 2
+    small = spark.range(50).select(sampling.uniform(F.col("id"), F.lit(2), 7).alias("u"), F.expr(sampling.uniform_sql("id", "2", 7)).cast("double").alias("s"))
+    assert all(r.u == pytest.approx(r.s) for r in small.collect())
+
+
+def test_clean_sightings(spark):
+    rows = [("27-Jan-18", 40.5, -70.0), ("27-Jan-18", 40.5, -70.0), ("2018-01-27", 40.5, -70.0), ("03/04/2018", 41.0, -70.0), (None, 41.0, -70.0), ("2018-01-27", None, -70.0)]
+    df = spark.createDataFrame(rows, SIGHTINGS)
+    got = sorted(tuple(r) for r in habitat.clean_sightings(df).collect())
+    assert len(got) == 4 == len({r[0] for r in got}) and all(0 <= r[0] < 2**63 and r[4] == 1 for r in got)
+    assert got == sorted(tuple(r) for r in habitat.clean_sightings(df.repartition(5)).collect())  # reruns agree, however the rows are dealt
+
+
+def test_background_ids(spark):
+    p = spark.range(60).select((F.col("id") + 2**62).alias("id"), F.lit(35.4).alias("Lat"), F.lit(-74.5).alias("Lon"), F.current_timestamp().alias("Date"), F.lit(1).alias("Presence"))
+    got = habitat.with_background(p, cells(spark, np.full((20, 20), -5.0)), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20), attempts=8, wave=4, inner_km=1.0, outer_km=10.0).collect()
+    assert len(got) == 60 * 5 == len({r.id for r in got})
+
+
+@pytest.mark.parametrize("shares", [[0.5], [0.0, 0.1, 0.25, 0.9, 1.0]])
+def test_exact_quantiles(spark, shares):
+    r = random.Random(11)
+    a, b = [float(r.choice([1, 2, 2, 7, r.random()])) for _ in range(501)], [r.random() for _ in range(400)]
+    df = spark.createDataFrame([(a[k], b[k] if k < 400 else None, None) for k in range(501)], "a double, b double, c double").repartition(5)
+    got = {x.variable: x["at"] for x in ordering.quantiles(df, ["a", "b", "c"], shares).collect()}
+    assert set(got) == {"a", "b"}  # a column without values has none
+    assert got["a"] == pytest.approx(np.quantile(a, shares).tolist()) and got["b"] == pytest.approx(np.quantile(b, shares).tolist())
+
+
+def test_running_totals_in_groups(spark):
+    r = random.Random(12)
+    rows = [(g, float(k), r.randrange(9)) for g in ("a", "b") for k in r.sample(range(10_000), 700)]
+    got = {(x.g, x.k): x.s for x in ordering.running(spark.createDataFrame(rows, "g string, k double, c int"), "k", {"c": "s"}, by=("g",)).collect()}
+    for g in ("a", "b"):
+        total = 0
+        for _, k, c in sorted(x for x in rows if x[0] == g):
+            total += c
+            assert got[g, k] == total
+
+
+def test_two_sided_p(spark):
+    z = [0.0, 0.1, 1.0, 1.96, 3.0, 4.2, 4.3, 8.0, 30.0, -2.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", stats.two_sided_p(F.col("z")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(math.erfc(max(r.z, 0.0) / math.sqrt(2)), rel=1e-7)
+
+
+def test_bin_labels(spark):
+    assert spark.range(1).select(stats.bin_label(F.lit(1.234), F.lit(-5.0)).alias("l"), stats.bin_label(F.lit(1.2), F.lit(5.0), 0).alias("m")).first().asDict() == {"l": "1.23--5.00", "m": "1-5"}
+
+
+def test_source_that_fails_at_run_time(spark):
+    df = spark.range(3)
+    broken = lambda d: d.withColumn("x", F.raise_error(F.lit("gone")).cast("double"))
+    assert {r.x for r in tables.optional(df, broken, "x", run=True).collect()} == {None}
+    assert {r.x for r in tables.optional(df, lambda d: d.withColumn("x", F.lit(1.0)), "x", run=True).collect()} == {1.0}
+
+
+def test_report(spark, caplog):
+    with caplog.at_level("INFO", "tidewright"):
+        assert tables.report(spark.range(2), "two rows").count() == 2
+    assert "two rows" in caplog.text
+
+
+def test_scratch_is_deleted(spark):
+    path = tables.scratch(spark, "gone")
+    tables.stage(spark.range(1), path)
+    tables._written[:] = [x for x in tables._written if x[1] == path]
+    tables.release()
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def seen(key, box):
+    return [(None, 0, 0, 0, box["lat"][0], box["lon"][1], float(len(box)))]
+
+
+def test_ranges_reach_the_opener(spark):
+    cube = cubes.read_cube(spark, "tests.test_units:seen", ["1"])
+    r = cubes.slab(cube, (35.0, 36.0), (-75.0, -74.0)).first()
+    assert (r.lat, r.lon, r.value) == (35.0, -74.0, 2.0)
+
+
+class Dap(http.server.BaseHTTPRequestHandler):
+    """A server of one small raster (time, lat descending, lon) with a fill value and a scale."""
+
+    axes = {"time": [0.0, 1.0], "lat": [37.0, 36.5, 36.0, 35.5], "lon": [-75.0, -74.5, -74.0]}
+    calls: list[str] = []
+
+    def do_GET(self):
+        path, _, query = self.path.partition("?")
+        query = urllib.parse.unquote(query)
+        Dap.calls.append(self.path)
+        if len(Dap.calls) == 1:  # the first request fails: retried
+            return self.send_error(503)
+        values = np.arange(24, dtype=float).reshape(2, 4, 3)
+        values[1, 2, 1] = -999
+        declared = lambda name, shape, kind="Float64": f"    {kind} {name}" + "".join(f"[{d} = {n}]" for d, n in shape) + ";\n"
+        if path.endswith(".dds"):
+            body = ("Dataset {\n" + declared("sst", [(d, len(v)) for d, v in self.axes.items()], "Float32") + "} x;\n").encode()
+        elif path.endswith(".das"):
+            body = b'Attributes {\n  time { String units "days since 2020-01-01 09:00:00"; }\n  sst { Float32 _FillValue -999; Float32 scale_factor 0.5; Float32 add_offset 1; }\n}\n'
+        elif query.startswith("sst"):
+            part = values[tuple(slice(int(a), int(z) + 1) for a, z in re.findall(r"\[(\d+):1:(\d+)\]", query))]
+            head = "Dataset {\n" + declared("sst", list(zip(self.axes, part.shape)), "Float32") + "} x;\nData:\n"  # noqa: B905
+            body = head.encode() + struct.pack(">II", part.size, part.size) + part.astype(">f4").tobytes()
+        else:
+            names = query.split(",")
+            head = "Dataset {\n" + "".join(declared(n, [(n, len(self.axes[n]))]) for n in names) + "} x;\nData:\n"
+            body = head.encode() + b"".join(struct.pack(">II", len(self.axes[n]), len(self.axes[n])) + np.array(self.axes[n], ">f8").tobytes() for n in names)
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *a):
+        pass
+
+
+def test_dap_server(spark):
+    """A raster behind a server: only the box asked for is sent; the first answer is an error and is tried again."""
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Dap)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/sst"
+        cube = cubes.read_cube(spark, "tidewright.sources.dap:open_slab", [f"{url}|sst|0|", f"{url}|sst|1|"], wait_s="0")
+        got = {(r.time.day, r.lat_idx, r.lon_idx): (r.lat, r.lon, r.value) for r in cubes.slab(cube, (35.9, 36.6), (-74.6, -70.0)).collect()}
+    finally:
+        server.shutdown()
+    assert len(got) == 8 and got[2, 1, 1] == (36.0, -74.5, None) and got[1, 2, 2] == (36.5, -74.0, 5 * 0.5 + 1)
+    assert any("[1:1:2][1:1:2]" in urllib.parse.unquote(c) for c in Dap.calls)
+    assert cubes.with_retries(lambda: dap.open_slab(f"{url}|sst|0|", {}), tries=1) is None

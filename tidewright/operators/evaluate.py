@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import decide
-from .stats import rank_test, ratio, running
+from .ordering import running
+from .stats import rank_test, ratio
 
 
 def temporal_split(df: DataFrame, share: float = 0.8, date: str = "Date", id_: str = "id", by_date: bool = False) -> DataFrame:
@@ -17,8 +18,8 @@ def temporal_split(df: DataFrame, share: float = 0.8, date: str = "Date", id_: s
     date into the test part. NULL dates come first.
     """
     days = df.groupBy(date).agg(F.count("*").alias("c"))
-    # a row for each date; the order of dates is short beside the rows
-    upto = days.withColumns({"_upto": F.sum("c").over(W.orderBy(F.asc_nulls_first(date)).rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("c").over(W.partitionBy())})
+    upto = running(days, date, {"c": "_upto"})
+    upto = upto.crossJoin(F.broadcast(days.agg(F.sum("c").alias("_n"))))
     upto = upto.select(F.col(date).alias("_d"), (F.col("_upto") - F.col("c")).alias("_before"), "_upto", F.floor(F.col("_n") * share).cast("long").alias("_train"))
     at = df.join(upto, F.col(date).eqNullSafe(F.col("_d")))
     inside = at.where((F.col("_before") < F.col("_train")) & (F.col("_upto") > F.col("_train")))
@@ -70,7 +71,7 @@ def curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFram
 
 def auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """OP-74: exact area under the ROC curve; NULL with one class only."""
-    t = rank_test(df, score, label)
+    t = rank_test(df, score, label).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), F.max("u").alias("u"))  # one row, also without any score
     return t.select(F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0))).alias("auc"))
 
 

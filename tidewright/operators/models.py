@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -12,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decide, odds_text
+from ..sources.tables import scratch, stage
+from .ordering import quantiles
 
 
 def fit_scaling(train: DataFrame, columns: list[str]) -> DataFrame:
     """OP-96, 97: one row with each column's exact median, and mean and population deviation after imputing it."""
-    med = train.agg(*[F.median(F.col(c).cast("double")).alias(f"{c}_median") for c in columns])
+    at = quantiles(train, columns, [0.5])
+    med = stage(at.agg(*[F.max(F.when(F.col("variable") == c, F.col("at")[0])).alias(f"{c}_median") for c in columns]), scratch(train.sparkSession, "medians"))
     filled = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).crossJoin(F.broadcast(med))
     x = lambda c: F.coalesce(c, F.coalesce(f"{c}_median", F.lit(0.0)))
     return filled.agg(*[F.coalesce(F.first(f"{c}_median"), F.lit(0.0)).alias(f"{c}_median") for c in columns], *[F.avg(x(c)).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(x(c)).alias(f"{c}_sd") for c in columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.geo import KM_PER_DEGREE
 from ..schema import Axis
+from .ordering import around
 
 
 def nearest_index(x: Column, axis: Axis) -> Column:
@@ -20,18 +21,16 @@ def nearest_index(x: Column, axis: Axis) -> Column:
 def nearest_time(points: DataFrame, times: DataFrame, key: str = "key", time: str = "time", tolerance_s: float | None = None) -> DataFrame:
     """OP-32: ``points`` with the nearest of ``times`` as ``time``, the later of two; NULL beyond the tolerance.
 
-    Only distinct keys and times meet: each key is put between its neighbours by one ordered pass within
-    blocks of days, not by pairing all keys with all times.
+    Only distinct keys and times meet: in ranges of time, each key between the last time before it and the first after
+    it, carried in from other ranges where its own has none. The work is linear in keys and times.
     """
-    keys = points.select(F.col(key).alias("_k")).where(F.col(key).isNotNull()).distinct()
-    axis = times.select(F.col(time).alias("_t")).where(F.col(time).isNotNull()).distinct()
-    both = keys.select(F.col("_k").alias("_x"), F.lit(None).cast("timestamp").alias("_t")).unionByName(axis.select(F.col("_t").alias("_x"), "_t"))
-    # distinct keys of one axis: days or months, a few thousand rows however many points there are
-    down, up = W.orderBy("_x").rangeBetween(W.unboundedPreceding, 0), W.orderBy("_x").rangeBetween(0, W.unboundedFollowing)
-    around = both.select("_x", "_t", F.max("_t").over(down).alias("_below"), F.min("_t").over(up).alias("_above")).where(F.col("_t").isNull())
+    keys = points.select(F.col(key).alias("_x"), F.lit(None).cast("timestamp").alias("_t")).where(F.col(key).isNotNull())
+    axis = times.select(F.col(time).alias("_x"), F.col(time).alias("_t")).where(F.col(time).isNotNull())
+    both = keys.unionByName(axis).groupBy("_x").agg(F.max("_t").alias("_t"))
+    put = around(both, "_x", "_t").withColumnsRenamed({"below": "_below", "above": "_above"})
     gap = lambda a, b: F.unix_micros(a) - F.unix_micros(b)
     take_above = F.col("_below").isNull() | (F.col("_above").isNotNull() & (gap(F.col("_above"), F.col("_x")) <= gap(F.col("_x"), F.col("_below"))))
-    found = around.select(F.col("_x").alias("_k"), F.when(take_above, F.col("_above")).otherwise(F.col("_below")).alias(time))
+    found = put.select(F.col("_x").alias("_k"), F.when(take_above, F.col("_above")).otherwise(F.col("_below")).alias(time))
     if tolerance_s is not None:
         found = found.withColumn(time, F.when(F.abs(gap(F.col(time), F.col("_k"))) <= int(tolerance_s * 1e6), F.col(time)))
     return points.join(found, F.col(key) == F.col("_k"), "left").drop("_k")
@@ -40,7 +39,9 @@ def nearest_time(points: DataFrame, times: DataFrame, key: str = "key", time: st
 def sample_nearest(points: DataFrame, grid: DataFrame, lat: Axis, lon: Axis, out: str, on: tuple[str, ...] = ()) -> DataFrame:
     """OP-33: the value of the nearest cell as ``out``: index arithmetic, then an equi-join."""
     cells = grid.select("lat_idx", "lon_idx", *on, F.col("value").alias(out))
-    at = points.withColumns({"lat_idx": nearest_index(F.col("Lat"), lat), "lon_idx": nearest_index(F.col("Lon"), lon)})
+    # never NULL, as Spark would put a filter on what isn't below all that leads to it; no cell has the index -1
+    cell = lambda x, axis: F.coalesce(nearest_index(F.col(x), axis), F.lit(-1))
+    at = points.withColumns({"lat_idx": cell("Lat", lat), "lon_idx": cell("Lon", lon)})
     return at.join(cells, ["lat_idx", "lon_idx", *on], "left").drop("lat_idx", "lon_idx")
 
 

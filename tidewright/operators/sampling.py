@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.geo import annulus_point, clamp_lat, wrap_lon
 from ..schema import Axis
+from ..sources.tables import scratch, stage
 from .raster import is_ocean
 
 P = 2147483647
@@ -15,7 +16,7 @@ P = 2147483647
 
 def uniform(id_: Column, attempt: Column, salt: int) -> Column:
     """A number in [0, 1) from an id, a counter and a salt, in exact 64-bit arithmetic that SQL engines share."""
-    a = F.pmod((id_ + 1) * 48271 + attempt * 1000003 + salt, F.lit(P))
+    a = F.pmod((F.pmod(id_.cast("long"), F.lit(P)) + 1) * 48271 + attempt * 1000003 + salt, F.lit(P))  # any 64-bit id
     b = F.pmod(a * a + a * 69621 + 12345, F.lit(P))
     c = F.pmod(b * 16807 + attempt * 7919 + salt, F.lit(P))
     return F.pmod(c * c + c * 39373 + 7, F.lit(P)) / float(P)
@@ -23,7 +24,7 @@ def uniform(id_: Column, attempt: Column, salt: int) -> Column:
 
 def uniform_sql(id_: str, attempt: str, salt: int) -> str:
     """The same in SQL."""
-    a = f"((({id_})+1)*48271+({attempt})*1000003+{salt})%{P}"
+    a = f"((({id_})%{P}+1)*48271+({attempt})*1000003+{salt})%{P}"
     b = f"(({a})*({a})+({a})*69621+12345)%{P}"
     c = f"(({b})*16807+({attempt})*7919+{salt})%{P}"
     return f"((({c})*({c})+({c})*39373+7)%{P})/{P}.0"
@@ -31,18 +32,22 @@ def uniform_sql(id_: str, attempt: str, salt: int) -> str:
 
 def ring_points(points: DataFrame, attempts: range, inner_km: float = 15.0, outer_km: float = 300.0, seed: int = 42) -> DataFrame:
     """OP-40, 42: one candidate an attempt for each point (id, Lat, Lon and more), as Lat and Lon; rounded to five places."""
-    tried = points.withColumn("attempt", F.explode(F.sequence(F.lit(attempts.start).cast("long"), F.lit(attempts.stop - 1).cast("long"))))
-    lat, lon = annulus_point(F.col("Lat"), F.col("Lon"), inner_km, outer_km, uniform(F.col("id"), F.col("attempt"), seed), uniform(F.col("id"), F.col("attempt"), seed + 1))
-    return tried.withColumns({"Lat": F.round(clamp_lat(lat), 5), "Lon": F.round(wrap_lon(lon), 5)})
+    tries = F.sequence(F.lit(attempts.start).cast("long"), F.lit(attempts.stop - 1).cast("long"))
+    # a step of columns for each, so that no number is drawn twice
+    drawn = points.withColumn("attempt", F.explode(tries)).withColumns({"_u": uniform(F.col("id"), F.col("attempt"), seed), "_v": uniform(F.col("id"), F.col("attempt"), seed + 1)})
+    lat, lon = annulus_point(F.col("Lat"), F.col("Lon"), inner_km, outer_km, F.col("_u"), F.col("_v"))
+    placed = drawn.withColumns({"_lat": lat, "_lon": lon})
+    return placed.withColumns({"Lat": F.round(clamp_lat(F.col("_lat")), 5), "Lon": F.round(wrap_lon(F.col("_lon")), 5)}).drop("_u", "_v", "_lat", "_lon")
 
 
 def pseudo_absences(presences: DataFrame, altitude: DataFrame, lat: Axis, lon: Axis, each: int = 4, attempts: int = 201, wave: int = 16, seed: int = 42, inner_km: float = 15.0, outer_km: float = 300.0) -> DataFrame:
     """OP-41: up to ``each`` ocean points around each presence, the first that qualify of ``attempts``.
 
     A first wave of attempts settles most points; only those still short go on to the rest. A point that stays short
-    has fewer rows. Columns of ``presences`` are kept, Presence is 0, and ``attempt`` says which attempt it was.
+    has fewer rows. The first wave is written, as two things are read from it. Columns of ``presences`` are kept, Presence is 0, and ``attempt`` says which attempt it was.
     """
     first_n = W.partitionBy("id").orderBy("attempt")
+    spark = presences.sparkSession
 
     def ocean(points: DataFrame, tries: range) -> DataFrame:
         drawn = ring_points(points, tries, inner_km, outer_km, seed)
@@ -51,6 +56,7 @@ def pseudo_absences(presences: DataFrame, altitude: DataFrame, lat: Axis, lon: A
     first = ocean(presences, range(0, min(wave, attempts))).withColumn("_n", F.row_number().over(first_n)).where(F.col("_n") <= each)
     if attempts <= wave:
         return first.drop("_n").withColumn("Presence", F.lit(0))
+    first = stage(first, scratch(spark, "wave"))
     had = first.groupBy("id").agg(F.count("*").alias("_had"))
     short = presences.join(had, "id", "left").withColumn("_had", F.coalesce("_had", F.lit(0))).where(F.col("_had") < each)
     more = ocean(short, range(wave, attempts)).withColumn("_n", F.row_number().over(first_n)).where(F.col("_n") + F.col("_had") <= each).drop("_had")
@@ -64,5 +70,4 @@ def with_absences(presences: DataFrame, absences: DataFrame) -> DataFrame:
 
 def fixed_sample(df: DataFrame, n: int, id_: str = "id", seed: int = 42) -> DataFrame:
     """OP-81: n rows in the order of a hash of their ids; the same rows however the data is partitioned."""
-    order = uniform(F.col(id_).cast("long"), F.lit(0), seed)
-    return df.orderBy(order, id_).limit(n)
+    return df.withColumn("_order", uniform(F.col(id_), F.lit(0), seed)).orderBy("_order", id_).limit(n).drop("_order")

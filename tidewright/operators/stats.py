@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import effect_label, outside, stars
 from ..schema import PLAUSIBLE
+from ..sources.tables import scratch, stage
+from .ordering import quantiles, running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -22,22 +24,6 @@ def long_form(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keep), columns, "variable", "value") if columns else df
 
 
-def running(df: DataFrame, key: str, sums: dict[str, str], blocks: int = 64) -> DataFrame:
-    """Running totals of ``sums`` (column to output) over rows with distinct ``key``, from the least key, each row's own included.
-
-    The key's range is cut into blocks at approximate quantiles; totals run within a block, and the blocks' offsets, a few
-    dozen rows, are added. No task orders the whole table.
-    """
-    edges = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 1000)).first()[0] or []
-    block = F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>"), lambda e: e < F.col(key)))
-    cut = df.withColumn("_block", block)
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    totals = cut.groupBy("_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    offsets = totals.select("_block", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
-    inside = W.partitionBy("_block").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    return cut.join(F.broadcast(offsets), "_block").withColumns({out: F.sum(c).over(inside) + F.col(f"_o_{c}") for c, out in sums.items()}).drop("_block", *[f"_o_{c}" for c in sums])
-
-
 def class_balance(df: DataFrame, label: str = "Presence", low: float = 3.5, high: float = 4.5) -> DataFrame:
     """OP-46: presences, absences, their ratio (0 without presences) and whether it is as expected."""
     n = df.agg(F.count_if(F.col(label) == 1).alias("n_presence"), F.count_if(F.col(label) == 0).alias("n_absence"))
@@ -65,25 +51,32 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> DataFrame:
-    """OP-68: one row with the distinct exact q-quantile edges."""
-    p = F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)]))
-    return df.agg(F.array_distinct(p).alias("edges"))
+    """OP-68: one row with the distinct exact q-quantile edges; none without values."""
+    return quantiles(df, [column], [i / q for i in range(q + 1)]).select(F.array_distinct("at").alias("edges"))
+
+
+def _in_bin(df: DataFrame, column: str, edges: DataFrame) -> DataFrame:
+    below = F.size(F.filter("edges", lambda e: e < F.col(column)))
+    return df.join(F.broadcast(edges), how="left").withColumn("bin", F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("edges")
 
 
 def quantile_bins(df: DataFrame, column: str, q: int = 10) -> DataFrame:
     """OP-68: ``bin`` of each row's value: right-closed quantile bins, the lowest value included, equal edges merged. Missing values have none."""
-    edges = quantile_edges(df, column, q)
-    below = F.size(F.filter("edges", lambda e: e < F.col(column)))
-    return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.when(F.col(column).isNotNull(), F.greatest(below - 1, F.lit(0)))).drop("edges")
+    return _in_bin(df, column, quantile_edges(df, column, q))
+
+
+def bin_label(low: Column, high: Column, digits: int = 2) -> Column:
+    """OP-69: the two edges of a bin as text, rounded to so many decimals."""
+    return F.format_string(f"%.{digits}f-%.{digits}f", low, high)
 
 
 def binned_rate(df: DataFrame, column: str, q: int = 10, label: str = "Presence", by: tuple[str, ...] = ()) -> DataFrame:
-    """OP-51, 52, 69: presence rate in each bin (and group), with the bin's edges and midpoint."""
+    """OP-51, 52, 69: presence rate in each bin (and group), with the bin's edges, midpoint and label. The edges are found once."""
     used = df.where(F.col(column).isNotNull())
-    binned = quantile_bins(used, column, q)
-    rates = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
+    edges = stage(quantile_edges(used, column, q), scratch(df.sparkSession, "edges"))
+    rates = _in_bin(used, column, edges).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
     lo, hi = F.element_at("edges", F.col("bin") + 1), F.coalesce(F.try_element_at("edges", F.col("bin") + 2), F.element_at("edges", -1))
-    return rates.crossJoin(F.broadcast(quantile_edges(used, column, q))).select(*by, "bin", lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2).alias("mid"), "n", "rate")
+    return rates.crossJoin(F.broadcast(edges)).select(*by, "bin", lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2).alias("mid"), bin_label(lo, hi).alias("label"), "n", "rate")
 
 
 def peak_bin(rates: DataFrame) -> DataFrame:
@@ -156,14 +149,35 @@ def histogram(df: DataFrame, column: str, bins: int = 80) -> DataFrame:
 
 
 def kde(df: DataFrame, column: str, points: int = 200, pad: float = 0.0) -> DataFrame:
-    """OP-61: Gaussian density at equal steps over the range, Scott's bandwidth. Each row meets a fixed number of points, summed before they move."""
-    v = F.col(column)
+    """OP-61: Gaussian density at equal steps over the range, Scott's bandwidth.
+
+    Each distinct value adds to a fixed number of points within its task; a task sends ``points`` sums, whatever its rows.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    v = F.col(column).cast("double")
     s = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("total"), F.stddev_samp(v).alias("sd"))
     s = s.withColumn("h", F.nullif(F.col("sd"), F.lit(0.0)) * F.pow(F.col("total").cast("double"), F.lit(-0.2)))
-    at = F.col("lo") - pad + (F.col("hi") - F.col("lo") + 2 * pad) * F.col("i") / (points - 1)
-    met = df.where(v.isNotNull()).select(v.alias("v")).groupBy("v").agg(F.count("*").alias("c")).crossJoin(F.broadcast(s)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at)
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    return met.groupBy("i").agg(F.first("x").alias("x"), (F.sum(F.col("c") * F.exp(-z * z / 2)) / (F.first("total") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
+    values = df.where(v.isNotNull()).select(v.alias("v")).groupBy("v").agg(F.count("*").alias("c")).crossJoin(F.broadcast(s)).where("h IS NOT NULL")
+
+    def sums(batches):
+        total = at = None
+        for b in batches:
+            x, c = b.column("v").to_numpy(), b.column("c").to_numpy().astype(float)
+            if not len(x):
+                continue
+            lo, hi, h = (b.column(k)[0].as_py() for k in ("lo", "hi", "h"))
+            at = lo - pad + (hi - lo + 2 * pad) * np.arange(points) / (points - 1)
+            total = np.zeros(points) if total is None else total
+            for i in range(0, len(x), 4096):
+                z = (at[:, None] - x[None, i : i + 4096]) / h
+                total += np.exp(-z * z / 2) @ c[i : i + 4096]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(points, dtype=np.int32)), pa.array(at), pa.array(total)], names=["i", "x", "part"])
+
+    met = values.mapInArrow(sums, "i int, x double, part double").groupBy("i").agg(F.first("x").alias("x"), F.sum("part").alias("part"))
+    return met.crossJoin(F.broadcast(s)).select("i", "x", (F.col("part") / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def kde_2d(df: DataFrame, a: str, b: str, points: int = 20) -> DataFrame:
@@ -180,33 +194,44 @@ def kde_2d(df: DataFrame, a: str, b: str, points: int = 20) -> DataFrame:
     return met.groupBy("cell").agg(F.first("x").alias("x"), F.first("y").alias("y"), (F.sum(F.exp(-q / 2)) / (F.first("n") * 2 * math.pi * F.sqrt(F.first("det")))).alias("density"))
 
 
-def rank_test(df: DataFrame, column: str, label: str = "Presence") -> DataFrame:
-    """OP-70, 71, 72: Mann-Whitney U of the positive class, two-sided by the normal approximation with ties and continuity.
-
-    Columns n1, n0, u, z, r (rank-biserial, negative where positives are larger), effect. Ranks come from counts of distinct values.
-    """
-    v = F.col(column).cast("double")
-    by_value = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col(label) == 1).alias("c1"))
-    ranked = running(by_value, "v", {"c": "upto"})
+def _ranked(counts: DataFrame) -> DataFrame:
+    """The Mann-Whitney figures of each variable, from variable, v, c (rows) and c1 (positives) of distinct values."""
+    ranked = running(counts, "v", {"c": "upto"}, by=("variable",))
     before = F.col("upto") - F.col("c")
-    s = ranked.agg(F.sum(F.col("c1") * (before + (F.col("c") + 1) / 2.0)).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), 3.0) - F.col("c")).alias("ties"))
+    s = ranked.groupBy("variable").agg(F.sum(F.col("c1") * (before + (F.col("c") + 1) / 2.0)).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), 3.0) - F.col("c")).alias("ties"))
     n1, n0, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
-    s = s.select(n1.alias("n1"), n0.alias("n0"), u.alias("u"), (n1 * n0 / 2.0).alias("mean"), F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0)))).alias("sd"))
+    spread = F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
+    s = s.select("variable", n1.alias("n1"), n0.alias("n0"), u.alias("u"), (n1 * n0 / 2.0).alias("mean"), spread.alias("sd"))
     z = F.when(F.col("sd") > 0, (F.greatest("u", 2 * F.col("mean") - F.col("u")) - F.col("mean") - 0.5) / F.col("sd"))
     r = F.when((F.col("n1") > 0) & (F.col("n0") > 0), 1 - 2 * F.col("u") / F.nullif(F.col("n1") * F.col("n0"), F.lit(0)))
-    return s.select("n1", "n0", "u", z.alias("z"), r.alias("r")).withColumn("effect", effect_label(F.col("r")))
+    return s.select("variable", "n1", "n0", "u", z.alias("z"), r.alias("r")).withColumn("effect", effect_label(F.col("r")))
 
 
-def rank_tests(df: DataFrame, columns: list[str], label: str = "Presence", least: int = 10) -> DataFrame:
-    """OP-72, 79: tests of several variables, with p and significance, by size of effect; classes below ``least`` rows are skipped.
+def _value_counts(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    long = long_form(df, columns, label).where(F.col("value").isNotNull())
+    return long.groupBy("variable", F.col("value").alias("v")).agg(F.count("*").alias("c"), F.count_if(F.col(label) == 1).alias("c1"))
+
+
+def rank_test(df: DataFrame, column: str, label: str = "Presence") -> DataFrame:
+    """OP-70, 71, 72: Mann-Whitney U of the positive class, two-sided by the normal approximation with ties and continuity.
 
-    p comes from the complementary error function on the few result rows.
+    Columns n1, n0, u, z, r (rank-biserial, negative where positives are larger), effect. Ranks come from counts of distinct values.
+    Without values there is no row.
     """
-    out = None
-    for c in columns:
-        one = rank_test(df, c, label).withColumn("variable", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    erfc = F.udf(lambda z: None if z is None else math.erfc(z / math.sqrt(2)), "double")
-    tested = out.where((F.col("n1") >= least) & (F.col("n0") >= least)).withColumn("p", F.least(F.lit(1.0), erfc(F.greatest("z", F.lit(0.0)))))
+    return _ranked(_value_counts(df, [column], label)).drop("variable")
+
+
+def two_sided_p(z: Column) -> Column:
+    """The normal distribution's share beyond z on both sides: a power series up to 3 deviations (over root 2), a continued fraction beyond."""
+    x = F.greatest(z, F.lit(0.0)) / math.sqrt(2)
+    series = F.aggregate(F.sequence(F.lit(80), F.lit(1), F.lit(-1)), F.lit(1.0), lambda s, k: 1 + s * 2 * x * x / (2 * k + 1))
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * x * series
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda f, k: x + k / 2 / f)
+    return F.least(F.lit(1.0), F.when(x < 3, near).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / fraction))
+
+
+def rank_tests(df: DataFrame, columns: list[str], label: str = "Presence", least: int = 10) -> DataFrame:
+    """OP-72, 79: tests of several variables in one pass, with p and significance, by size of effect; classes below ``least`` rows are skipped."""
+    tested = _ranked(_value_counts(df, columns, label)).where((F.col("n1") >= least) & (F.col("n0") >= least)).withColumn("p", two_sided_p(F.col("z")))
     return tested.withColumn("significance", stars(F.col("p"))).orderBy(F.desc(F.abs("r")))

@@ -9,18 +9,26 @@ from ..functions.scalars import day_key, flag_above, month_key, parse_date, patc
 from ..operators import evaluate, knn, models, raster, sampling
 from ..schema import FEATURE_ORDER, FRONT_THRESHOLD, SHELF_BAND, Axis, GridSpec
 
+_POSITIVE = (1 << 63) - 1
+
 
 def clean_sightings(raw: DataFrame) -> DataFrame:
-    """OP-16, 17, 20, 84: id, Date, Lat, Lon, Presence of complete raw sightings."""
+    """OP-16, 17, 20, 84: id, Date, Lat, Lon, Presence of complete raw sightings.
+
+    An id is a hash of 63 bits of the row and its number among equal rows, so that reruns and other partitions give the same ids.
+    """
     named = raw.withColumnsRenamed({"SIGHTINGDATE": "Date", "LAT": "Lat", "LON": "Lon"}).dropna(subset=["Date", "Lat", "Lon"])
-    return named.select(F.xxhash64("Date", "Lat", "Lon", F.monotonically_increasing_id()).bitwiseAND((1 << 40) - 1).alias("id"), parse_date(F.col("Date")).alias("Date"), "Lat", "Lon", F.lit(1).alias("Presence"))
+    parsed = named.select(parse_date(F.col("Date")).alias("Date"), "Lat", "Lon")
+    counted = parsed.groupBy("Date", "Lat", "Lon").agg(F.count("*").alias("_n"))  # equal rows differ in their number alone
+    each = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return each.select(F.xxhash64("Date", "Lat", "Lon", "_k").bitwiseAND(_POSITIVE).alias("id"), "Date", "Lat", "Lon", F.lit(1).alias("Presence"))
 
 
 def with_background(presences: DataFrame, altitude: DataFrame, lat: Axis, lon: Axis, **how) -> DataFrame:
-    """OP-41, 77, 83: presences and their pseudo-absences; ids stay distinct."""
+    """OP-41, 77, 83: presences and their pseudo-absences, whose ids are hashes of 63 bits of (id, attempt)."""
     absences = sampling.pseudo_absences(presences, altitude, lat, lon, **how)
-    own = absences.withColumn("id", F.col("id") * 1024 + F.col("attempt") + 1).drop("attempt")
-    return sampling.with_absences(presences.withColumn("id", F.col("id") * 1024), own)
+    own = absences.withColumn("id", F.xxhash64("id", "attempt").bitwiseAND(_POSITIVE)).drop("attempt")
+    return sampling.with_absences(presences, own)
 
 
 def sample(points: DataFrame, grid: DataFrame, spec: GridSpec, out: str) -> DataFrame:

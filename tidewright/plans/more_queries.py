@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import evaluate, models, sampling
-from ..schema import GridSpec
+from ..operators import evaluate, models, raster, sampling
+from ..schema import FEATURE_ORDER, SIGHTINGS, GridSpec
 from ..sources import cubes, tables
 from ..streaming import scoring
 from . import habitat
 from . import surrogates as S
-from .queries import _r, _text, query
-from .surrogates import OBS, PTS, SCORED, VARIABLES
+from .queries import _NEAR, _r, _text, query
+from .surrogates import GRID, OBS, PTS, SCORED, VARIABLES
 
 # ---- sources and sinks ------------------------------------------------------------------------------------------
 
@@ -54,11 +54,37 @@ def missing_source(spark, sf):
     return tables.optional(S.scored(spark, sf).select("id"), add, "Chlorophyll")
 
 
-@query("SELECT 0.171804e0 AS threshold")
+@query("SELECT id, CAST(NULL AS DOUBLE) AS SST FROM pts", PTS)
+def failing_source(spark, sf):
+    """OP-07: a source that fails while it is read leaves its column NULL."""
+    broken = F.raise_error(F.lit("no answer from the server")).cast("double")
+
+    return tables.optional(S.pts(spark, sf).select("id"), lambda df: df.withColumn("SST", broken), "SST", run=True)
+
+
+@query("""SELECT strftime(Date, '%Y-%m-%d') AS Date, Lat, Lon, 1 AS Presence, count(*) AS n, count(*) AS n_ids FROM (
+    SELECT Date, Lat, Lon FROM pts WHERE id % 11 <> 0 AND id % 13 <> 0 UNION ALL SELECT Date, Lat, Lon FROM pts WHERE id % 11 <> 0 AND id % 13 <> 0 AND id % 5 = 0) GROUP BY ALL""", PTS)
+def raw_sightings(spark, sf):
+    """OP-01, 02, 16, 17, 20, 84: from a CSV of raw sightings, with missing fields, dates in four forms and repeated rows."""
+    clean = habitat.clean_sightings(_raw(spark, sf))
+    return clean.groupBy(F.date_format("Date", "yyyy-MM-dd").alias("Date"), "Lat", "Lon", "Presence").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+def _raw(spark, sf):
+    """Sightings as a CSV file has them: every fifth twice, some without a date or a latitude."""
+    p = S.pts(spark, sf)
+    forms = F.when(F.col("id") % 4 == 0, F.date_format("Date", "d-MMM-yy")).when(F.col("id") % 4 == 1, F.date_format("Date", "yyyy-MM-dd")).when(F.col("id") % 4 == 2, F.date_format("Date", "dd/MM/yyyy")).otherwise(F.upper(F.date_format("Date", "dd-MMM-yyyy")))
+    raw = p.select("id", F.when(F.col("id") % 11 != 0, forms).alias("SIGHTINGDATE"), F.when(F.col("id") % 13 != 0, F.col("Lat")).alias("LAT"), F.col("Lon").alias("LON"))
+    path = tables.scratch(spark, "sightings")
+    tables.write_csv(raw.unionByName(raw.where("id % 5 = 0")).drop("id"), path)
+    return tables.required(lambda: tables.read_csv(spark, path, SIGHTINGS), "sightings")
+
+
+@query("SELECT 0.25e0 AS threshold")
 def threshold_round_trip(spark, sf):
     """OP-12."""
     path = tables.scratch(spark, "threshold")
-    tables.write_threshold(spark, path, 0.17180436, recall=0.8)
+    tables.write_threshold(spark, path, 0.25, recall=0.5)
     return tables.read_threshold(spark, path)
 
 
@@ -91,9 +117,9 @@ def logistic_odds(spark, sf):
     return models.odds(models.fit_logistic(x, VARIABLES, iterations=100), VARIABLES, spark).select("feature", _r("coefficient", digits=4), _r("odds_ratio", digits=4), "change")
 
 
-def _trees(spark, sf, n=5):
+def _trees(spark, sf, n=10):
     marked, columns = models.mark_missing(S.obs(spark, sf), VARIABLES)
-    return models.fit_trees(marked.select("Presence", *columns), columns, trees=n, depth=3), marked, columns
+    return models.fit_trees(marked.select("Presence", *columns), columns, trees=n, depth=4), marked, columns
 
 
 @query()
@@ -113,12 +139,22 @@ def tree_scores(spark, sf):
     return evaluate.metrics(evaluate.confusion(scored, 0.5, label="Presence"))
 
 
+def _ten(spark, sf):
+    """Observations with all ten features, those that the surrogate lacks made from others."""
+    made = {"SST_Gradient": F.col("Salinity") * 0.8, "Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date"), "Bathy_Slope": F.col("SST") / 10, "Dist_to_Shore_km": -F.col("Bathymetry") / 5, "Dist_to_Shelf_km": F.col("Chlorophyll") * 1000}
+    return S.obs(spark, sf).withColumns(made).select("Presence", *FEATURE_ORDER)
+
+
 @query()
 def scenario_scores(spark, sf):
-    """OP-45, 108."""
-    model, _, columns = _trees(spark, sf)
-    rows = [("warm and shallow", 45.0, 0.01, 0.02, -100.0), ("cold and deep", 2.0, 0.08, 0.1, -1000.0), ("unknown temperature", None, 0.04, 0.05, -500.0), ("middling", 25.0, 0.04, 0.05, -500.0)]
-    named, _ = models.mark_missing(spark.createDataFrame(rows, "name string, SST double, Chlorophyll double, Salinity double, Bathymetry double"), VARIABLES)
+    """OP-45, 108: made-up conditions in all ten features, scored and decided at a stored threshold."""
+    marked, columns = models.mark_missing(_ten(spark, sf), FEATURE_ORDER)
+    model = models.fit_trees(marked, columns, trees=10, depth=4)
+    rows = [
+        ("warm, shallow, near land", 45.0, 0.01, 0.02, -100.0, 0.01, 1.0, 4, 4.5, 20.0, 10.0), ("cold, deep, far out", 2.0, 0.08, 0.1, -1000.0, 0.08, 0.0, 12, 0.2, 200.0, 80.0),
+        ("no temperature", None, 0.04, 0.05, -500.0, None, 0.0, 7, None, 100.0, 40.0), ("middling", 25.0, 0.04, 0.05, -500.0, 0.04, 0.0, 7, 2.5, 100.0, 40.0),
+    ]
+    named, _ = models.mark_missing(models.scenarios(spark, rows), FEATURE_ORDER)
     path = tables.scratch(spark, "threshold")
     tables.write_threshold(spark, path, 0.5)
     return models.score_scenarios(model, named, tables.read_threshold(spark, path)).select("name", _r("score"), "decision")
@@ -144,7 +180,7 @@ def _features(spark, sf):
     sst = grid.crossJoin(F.broadcast(days)).select("time", "lat_idx", "lon_idx", "lat", "lon", (F.col("value") / 2 + F.month("time") + F.year("time") % 7).alias("value"))
     # each variable's result is written before the next is sampled, as a long chain of joins would be run again by each use of it
     put = lambda df: tables.stage(df, tables.scratch(spark, "variable"))
-    p = put(habitat.with_background(S.pts(spark, sf).withColumn("Presence", F.lit(1)), altitude, lat, S.LON, each=2, attempts=12, wave=6, inner_km=5.0, outer_km=30.0))
+    p = put(habitat.with_background(habitat.clean_sightings(_raw(spark, sf)), altitude, lat, S.LON, each=2, attempts=12, wave=6, inner_km=5.0, outer_km=30.0))
     p = put(habitat.sample(p, sst, GridSpec("sst", lat, S.LON, temporal="day"), "SST"))
     p = habitat.sample(p, grid.select("lat_idx", "lon_idx", (F.col("value") / 100).alias("value")), still, "Chlorophyll")
     p = put(habitat.patched(p, grid.select("lat_idx", "lon_idx", F.lit(0.5).alias("value")), still, "Chlorophyll"))
@@ -156,7 +192,7 @@ def _features(spark, sf):
 
 @query()
 def habitat_features(spark, sf):
-    """The chain from presences to the model's table: OP-16 to 43, 67, 83, 85 to 91."""
+    """The chain from raw sightings in a CSV file to the model's table: OP-01, 02, 16 to 43, 67, 83, 85 to 91."""
     return _features(spark, sf)
 
 
@@ -178,3 +214,36 @@ def stream_day_counts(spark, sf):
     q = scoring.counts_by_day(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tables.scratch(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(_text("day").alias("day"), "n", "n_presence")
+
+
+def _drain(stream):
+    """What a stream gives until it is used up, written and read as Parquet."""
+    spark, path = stream.sparkSession, tables.scratch(stream.sparkSession, "sink")
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", tables.scratch(spark, "stream")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("SELECT id, value FROM near LEFT JOIN grid ON lat_idx = i AND lon_idx = j", GRID, PTS, _NEAR)
+def stream_samples(spark, sf):
+    """OP-33 on a stream of points: joined with a raster that stands still."""
+    orders = spark.readStream.schema(S.table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    return _drain(scoring.sample_stream(S.pts(spark, sf, orders).select("id", "Lat", "Lon"), S.grid(spark, sf), S.lat_axis(spark, sf), S.LON, "value").select("id", "value"))
+
+
+@query()
+def stream_scores(spark, sf):
+    """OP-103 on a stream: each observation scored as it arrives; scores by class."""
+    model, _, _ = _trees(spark, sf)
+    items = spark.readStream.schema(S.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    marked, _ = models.mark_missing(S.obs(spark, sf, items), VARIABLES)
+    return _drain(scoring.score_stream(model, marked).select("Presence", "score")).groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
+
+
+@query("SELECT cell_id, strftime(t, '%Y-%m-%d') AS day FROM grid, (SELECT DISTINCT date_trunc('day', Date) AS t FROM pts WHERE month(Date) = 3 AND year(Date) = 1995) WHERE cell_id % 7 = 0", GRID, PTS)
+def needed_slices(spark, sf):
+    """OP-38: of a raster with a slice for each day, only those that some point asks for."""
+    p = S.pts(spark, sf).where((F.month("Date") == 3) & (F.year("Date") == 1995)).select(F.date_trunc("day", "Date").alias("time"))
+    days = spark.sql("SELECT explode(sequence(TIMESTAMP'1995-01-01', TIMESTAMP'1995-12-31', INTERVAL 1 DAY)) AS time")
+    cube = S.grid(spark, sf).where("cell_id % 7 = 0").select("cell_id").crossJoin(F.broadcast(days))
+    return raster.needed_times(cube, p).select("cell_id", F.date_format("time", "yyyy-MM-dd").alias("day"))

@@ -46,10 +46,10 @@ binned AS (SELECT o.*, CAST(greatest(len(list_filter(e, lambda x: x < SST)) - 1,
 rates AS (SELECT bin, count(*) AS n, avg(Presence) AS rate FROM binned GROUP BY bin)"""
 
 
-@query("SELECT bin, round(e[bin + 1], 6) AS lo, round(coalesce(e[bin + 2], e[-1]), 6) AS hi, round((e[bin + 1] + coalesce(e[bin + 2], e[-1])) / 2, 6) AS mid, n, round(rate, 6) AS rate FROM rates, edges", OBS, _EDGES)
+@query("SELECT bin, round(e[bin + 1], 6) AS lo, round(coalesce(e[bin + 2], e[-1]), 6) AS hi, round((e[bin + 1] + coalesce(e[bin + 2], e[-1])) / 2, 6) AS mid, printf('%.2f-%.2f', e[bin + 1], coalesce(e[bin + 2], e[-1])) AS label, n, round(rate, 6) AS rate FROM rates, edges", OBS, _EDGES)
 def decile_presence_rate(spark, sf):
     """OP-18, 51, 68, 69."""
-    return stats.binned_rate(S.obs(spark, sf), "SST", 10).select("bin", _r("lo"), _r("hi"), _r("mid"), "n", _r("rate"))
+    return stats.binned_rate(S.obs(spark, sf), "SST", 10).select("bin", _r("lo"), _r("hi"), _r("mid"), "label", "n", _r("rate"))
 
 
 @query("SELECT arg_max(bin, rate * 1e6 - bin) AS bin, round(max(rate), 6) AS rate FROM rates", OBS, _EDGES)
@@ -193,12 +193,15 @@ def kde_2d(spark, sf):
 _RANKS = """ranks AS (SELECT variable, sum(c1 * (before + (c + 1) / 2)) - sum(c1) * (sum(c1) + 1) / 2 AS u, sum(c1) AS n1, sum(c) - sum(c1) AS n0, sum(c) AS n, sum(c::DOUBLE ** 3 - c) AS ties FROM (
     SELECT *, sum(c) OVER (PARTITION BY variable ORDER BY value) - c AS before FROM (SELECT variable, value, count(*) AS c, count(*) FILTER (Presence = 1) AS c1 FROM long WHERE value IS NOT NULL GROUP BY 1, 2)) GROUP BY 1),
 tested AS (SELECT *, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z, 1 - 2 * u / (n1 * n0) AS r FROM ranks)"""
+# the share of a normal distribution beyond z on both sides: a series near 0, a continued fraction beyond
+_P = """shares AS (SELECT *, CASE WHEN x < 3 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * x * list_reduce(list_reverse(range(1, 81)), lambda s, k: 1 + s * 2 * x * x / (2 * k + 1), 1e0)
+    ELSE exp(-x * x) / sqrt(pi()) / list_reduce(list_reverse(range(1, 61)), lambda f, k: x + k / 2 / f, x) END AS p FROM (SELECT *, greatest(z, 0) / sqrt(2e0) AS x FROM tested))"""
 
 
-@query("SELECT variable, n1::BIGINT AS n1, n0::BIGINT AS n0, round(u, 1) AS u, round(z, 5) AS z, round(r, 6) AS r, CASE WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' WHEN abs(r) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect FROM tested", OBS, _UNPIVOT, _RANKS)
+@query("SELECT variable, n1::BIGINT AS n1, n0::BIGINT AS n0, round(u, 1) AS u, round(z, 5) AS z, round(r, 6) AS r, CASE WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' WHEN abs(r) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance FROM shares", OBS, _UNPIVOT, _RANKS, _P)
 def rank_tests(spark, sf):
     """OP-70, 71, 72."""
-    return stats.rank_tests(S.obs(spark, sf), VARIABLES).select("variable", "n1", "n0", _r("u", digits=1), _r("z", digits=5), _r("r"), "effect")
+    return stats.rank_tests(S.obs(spark, sf), VARIABLES).select("variable", "n1", "n0", _r("u", digits=1), _r("z", digits=5), _r("r"), "effect", _r("p"), "significance")
 
 
 @query("SELECT variable, row_number() OVER (ORDER BY abs(round(r, 9)) DESC, variable) AS rank FROM tested", OBS, _UNPIVOT, _RANKS)

@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations: line items."""
-    t = table(spark, sf, "lineitem")
+def obs(spark: SparkSession, sf: str, items: DataFrame | None = None) -> DataFrame:
+    """Observations: line items (or a stream of them)."""
+    t = table(spark, sf, "lineitem") if items is None else items
     return nan_to_null(t.select(
         F.col("l_orderkey").alias("order"), F.col("l_shipdate").cast("timestamp").alias("Date"), (F.col("l_returnflag") == "R").cast("int").alias("Presence"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("SST"),
         F.col("l_tax").alias("Chlorophyll"), F.col("l_discount").alias("Salinity"), (-F.col("l_extendedprice") / 100).alias("Bathymetry"), (F.col("l_quantity") > 40).alias("Is_Thermal_Front"),
@@ -37,12 +37,13 @@ def lat_axis(spark: SparkSession, sf: str) -> Axis:
     return Axis(LAT0, STEP, table(spark, sf, "part").agg(F.max("p_partkey")).first()[0] // COLUMNS + 1)
 
 
-def pts(spark: SparkSession, sf: str) -> DataFrame:
-    """Points in the raster's extent: orders at places mixed from their keys."""
+def pts(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    """Points in the raster's extent: orders (or a stream of them) at places mixed from their keys."""
     n = lat_axis(spark, sf).n
+    orders = table(spark, sf, "orders") if orders is None else orders
     key = F.col("o_orderkey")
     y, x = (key * 48271 % 1000003) / 1000003.0, ((key * 69621 + 12345) % 1000003) / 1000003.0
-    return table(spark, sf, "orders").select(key.alias("id"), (LAT0 + y * (STEP * (n - 1))).alias("Lat"), (LON0 + x * (STEP * (COLUMNS - 1))).alias("Lon"), F.col("o_orderdate").cast("timestamp").alias("Date"))
+    return orders.select(key.alias("id"), (LAT0 + y * (STEP * (n - 1))).alias("Lat"), (LON0 + x * (STEP * (COLUMNS - 1))).alias("Lon"), F.col("o_orderdate").cast("timestamp").alias("Date"))
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,6 +13,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v, True) for k, v in fields.items()])
 
 
+#: The columns of the tables that stages exchange.
 SIGHTINGS = _struct(SIGHTINGDATE=T.StringType(), LAT=_D, LON=_D)
 BASE = _struct(Date=T.TimestampType(), Lat=_D, Lon=_D, Presence=T.IntegerType(), SST=_D, Chlorophyll=_D, Salinity=_D, Bathymetry=_D)
 ENGINEERED = T.StructType([*BASE.fields, T.StructField("SST_Gradient", _D), T.StructField("Is_Thermal_Front", T.BooleanType())])

@@ -5,12 +5,15 @@ A raster in long form has a row for each cell, also where its value is missing.
 
 from __future__ import annotations
 
+import datetime
+import importlib
+import math
 import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import GRID
 
@@ -33,24 +36,41 @@ class _Slab(InputPartition):
 
 
 class CubeReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        import importlib
+    """Reads one slab a task. Ranges of lat and lon and values of time that the query asks for go to the opener, as ``box``."""
 
+    def __init__(self, options: dict[str, str]):
         module, _, name = options["opener"].partition(":")
         self.open = getattr(importlib.import_module(module), name)
         self.keys = options["keys"].split(",")
         self.tries, self.wait_s = int(options.get("tries", 3)), float(options.get("wait_s", 5))
+        self.box: dict[str, tuple[float, float]] = {}
+
+    def pushFilters(self, filters):
+        """Closed ranges for the opener. Spark applies every filter again: an opener may give more cells than asked for."""
+        for f in filters:
+            name, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            if name in ("lat", "lon") and isinstance(value, int | float):
+                lo, hi = self.box.get(name, (-math.inf, math.inf))
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    lo = max(lo, value)
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    hi = min(hi, value)
+                self.box[name] = (lo, hi)
+        return filters
 
     def partitions(self) -> list[InputPartition]:
         return [_Slab(k) for k in self.keys]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         # a slab that can't be had gives no cells, so that samples of it are NULL and the job goes on
-        yield from with_retries(lambda: list(self.open(partition.key)), self.tries, self.wait_s) or []
+        yield from with_retries(lambda: list(self.open(partition.key, self.box)), self.tries, self.wait_s) or []
 
 
 class CubeSource(DataSource):
-    """Format ``cube``: option ``opener`` names a function ``module:function`` that gives a key's cells in GRID's order; ``keys`` lists the keys."""
+    """Format ``cube``: option ``opener`` names a function ``module:function`` that gives the cells of (key, box) in GRID's order; ``keys`` lists the keys.
+
+    ``box`` maps lat and lon to closed ranges, as far as the query has such.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -65,6 +85,7 @@ class CubeSource(DataSource):
 
 def read_cube(spark: SparkSession, opener: str, keys: list[str], **options: str) -> DataFrame:
     """OP-03: one slab a key, fetched by the executors."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CubeSource)
     return spark.read.format("cube").options(opener=opener, keys=",".join(keys), **options).load()
 
@@ -80,10 +101,9 @@ def depth_slice(grid: DataFrame, index: int = 0) -> DataFrame:
     return grid.where(F.col("depth_idx") == index).drop("depth_idx")
 
 
-def synthetic_slab(key: str) -> list[tuple]:
+def synthetic_slab(key: str, box: dict[str, tuple[float, float]] | None = None) -> list[tuple]:
     """An opener for trials: a raster of 20 x 20 cells for a day number, with a missing cell."""
-    import datetime
-
-    day = int(key)
-    at = datetime.datetime(2024, 1, 1, 9) + datetime.timedelta(days=day)
-    return [(at, 0, i, j, 35.0 + 0.05 * i, -75.0 + 0.05 * j, None if (i, j) == (3, 3) else float((i * 7 + j * 3 + day) % 11)) for i in range(20) for j in range(20)]
+    at = datetime.datetime(2024, 1, 1, 9) + datetime.timedelta(days=int(key))
+    lat, lon = ((box or {}).get(k, (-math.inf, math.inf)) for k in ("lat", "lon"))
+    cells = [(i, j, 35.0 + 0.05 * i, -75.0 + 0.05 * j) for i in range(20) for j in range(20)]
+    return [(at, 0, i, j, y, x, None if (i, j) == (3, 3) else float((i * 7 + j * 3 + int(key)) % 11)) for i, j, y, x in cells if lat[0] <= y <= lat[1] and lon[0] <= x <= lon[1]]

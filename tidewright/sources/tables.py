@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import logging
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +19,37 @@ from ..functions.scalars import nan_to_null
 log = logging.getLogger("tidewright")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session's tasks share (``spark.checkpoint.dir``); a local one only where that is unset."""
-    import tempfile
-    import uuid
+    """A new path in the folder that the session's tasks share (``spark.checkpoint.dir``); ``release`` deletes it.
 
+    Where that is unset, a session on one machine takes a folder of that machine; on a cluster it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def release() -> None:
+    """Deletes what ``scratch`` has named in this process, also at its end. Results that still read from it must have been taken before."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session may have ended
+            continue
+
+
+atexit.register(release)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -54,11 +79,14 @@ def required(read: Callable[[], DataFrame], what: str) -> DataFrame:
         raise SystemExit(1) from e
 
 
-def optional(df: DataFrame, add: Callable[[DataFrame], DataFrame], column: str) -> DataFrame:
-    """OP-07: adds a column from a source; where the source won't open, the column is NULL throughout."""
+def optional(df: DataFrame, add: Callable[[DataFrame], DataFrame], column: str, run: bool = False) -> DataFrame:
+    """OP-07: adds a column from a source; where the source won't open, the column is NULL throughout.
+
+    With ``run`` the result is computed and written here, so that a source that fails while it is read counts as missing too.
+    """
     try:
-        return add(df)
-    except (AnalysisException, OSError) as e:
+        return stage(add(df), scratch(df.sparkSession, "optional")) if run else add(df)
+    except (PySparkException, Py4JJavaError, OSError) as e:
         log.warning("%s is missing: %s", column, e)
         return df.withColumn(column, F.lit(None).cast("double"))
 
