@@ -31,21 +31,27 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in tests, a folder of this machine is taken.
+    Only where it is unset and the session is on one machine, as in tests, a folder of this machine is taken.
     """
     bound_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage is cut and survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy", row_group: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: lineage is cut and survives lost executors.
+
+    ``row_group``: bytes of a row group, where rows are large; a reader holds one at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path, compression=compression)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -79,6 +85,17 @@ def as_struct(docs: DataFrame, name: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
 
 
+def free_names(taken: list[str], wanted: tuple[str, ...]) -> list[str]:
+    """``wanted``, with underscores put before a name until no column has it, whatever its case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def pieces(batches, rows: int = 1000):
     """The same rows in batches of at most ``rows``, so that few texts are held as Python objects at a time."""
     for b in batches:

@@ -178,61 +178,41 @@ class Automaton:
         return np.log10(p), np.log10(mu / (self.mass + mu))
 
 
-_INDEX = "block long, n int, shard int, a binary, b binary, texts array<struct<doc_id:long,row:long,held_out:boolean,size:int,lead:int,whole:boolean>>"
+_INDEX = "block long, parts array<struct<words:binary,numbers:binary,texts:array<struct<doc_id:long,row:long,held_out:boolean,size:int,lead:int,whole:boolean>>>>"
 _TEXT = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int32()), ("lead", pa.int32()), ("whole", pa.bool_())])
+_PART = pa.struct([("words", pa.binary()), ("numbers", pa.binary()), ("texts", pa.list_(_TEXT))])
 
 
 class _Block:
-    """Gathers parts, and the n-grams that they ask for."""
+    """Gathers the parts of a block: the words of each, and its tokens as numbers of words."""
 
-    def __init__(self, number: int, order: int):
-        self.number, self.order, self.bytes = number, order, 0
-        self.asked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+    def __init__(self, number: int):
+        self.number, self.bytes, self.held = number, 0, 0
+        self.parts: list[dict] = []
         self.tokens: list[np.ndarray] = []
-        self.texts: list[tuple] = []
-        self.held = 0
+        self.texts: list[dict] = []
 
-    def add(self, tokens: np.ndarray, text: tuple, size: int):
+    def add(self, tokens: np.ndarray, text: dict, size: int):
         self.tokens.append(tokens)
         self.texts.append(text)
         self.held += size
         self.bytes += size
 
-    def part(self):
-        """The gathered texts as a row, their n-grams added to those asked for."""
-        tokens = np.concatenate(self.tokens)
-        sizes, lead = np.array([t[3] for t in self.texts]), np.array([t[4] for t in self.texts])
-        grams = Grams(tokens, sizes, self.order)
-        starts = np.cumsum(sizes) - sizes
-        counted = np.repeat(~np.array([t[2] for t in self.texts]), sizes) & (np.arange(len(tokens)) - np.repeat(starts, sizes) >= np.repeat(lead, sizes))
-        for asked, (keys, at, where, _) in zip(self.asked, grams.of, strict=True):
-            asked.append((keys, np.bincount(where[counted[at]], minlength=len(keys))))
-        words, number = np.unique(tokens, return_inverse=True)
-        row = self._rows([(0, 0, pack(words), pack_counts(number))], [[dict(zip(_TEXT.names, t, strict=True)) for t in self.texts]])
-        self.tokens, self.texts, self.held = [], [], 0
-        return row
-
-    def _rows(self, rows: list[tuple], texts: list):
-        n, shard, a, b = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.RecordBatch.from_arrays([pa.array([self.number] * len(rows), pa.int64()), pa.array(n, pa.int32()), pa.array(shard, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(texts, pa.list_(_TEXT))], names=["block", "n", "shard", "a", "b", "texts"])
-
-    def asks(self, roads: int):
-        for k, asked in enumerate(self.asked, 1):
-            keys, counts = merged([x for x, _ in asked], [x for _, x in asked])
-            rows = [(k, s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, roads)]
-            yield self._rows(rows, [None] * len(rows))
-
+    def close_part(self):
+        if self.texts:
+            words, number = np.unique(np.concatenate(self.tokens), return_inverse=True)
+            self.parts.append({"words": pack(words), "numbers": pack_counts(number), "texts": self.texts})
+            self.tokens, self.texts, self.held = [], [], 0
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of several lists, with the sums of their counts."""
-    every, where = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True)
-    return every, np.bincount(where, weights=np.concatenate(counts) if counts else None, minlength=len(every)).astype(np.int64)
+    def row(self) -> pa.RecordBatch:
+        self.close_part()
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), pa.array([self.parts], pa.list_(_PART))], names=["block", "parts"])
 
 
-def _index(order: int, roads: int, block_bytes: int, part_bytes: int):
+def _index(order: int, block_bytes: int, part_bytes: int):
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        row, block = base, _Block(base, order)
+        row, block = base, _Block(base)
         for b in pieces(batches):
             ids, held = b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
             for i, t in enumerate(byte_column(b)):
@@ -247,19 +227,61 @@ def _index(order: int, roads: int, block_bytes: int, part_bytes: int):
                     if not len(new):
                         continue
                     tokens = np.concatenate([before, new])
-                    block.add(tokens, (ids[i], row, bool(held[i]), len(tokens), len(before), len(cuts) == 1), len(w) + 1)
+                    block.add(tokens, {"doc_id": ids[i], "row": row, "held_out": bool(held[i]), "size": len(tokens), "lead": len(before), "whole": len(cuts) == 1}, len(w) + 1)
                     before = tokens[max(0, len(tokens) - order + 1) :] if order > 1 else before
                     if block.held >= part_bytes:
-                        yield block.part()
+                        block.close_part()
                     if block.bytes >= block_bytes:
-                        if block.texts:
-                            yield block.part()
-                        yield from block.asks(roads)
-                        block = _Block(block.number + 1, order)
+                        yield block.row()
+                        block = _Block(block.number + 1)
                 row += 1
-        if block.texts:
-            yield block.part()
-        yield from block.asks(roads)
+        if block.bytes:
+            yield block.row()
+        give_back()
+
+    return run
+
+
+def _parts(parts: list[dict]):
+    """(tokens, texts) of each part of a block."""
+    for p in parts:
+        yield unpack(p["words"])[unpack_counts(p["numbers"])], p["texts"]
+
+
+def _own(texts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of a part aren't led in from a piece before, and which text each belongs to."""
+    size, lead = np.array([t["size"] for t in texts]), np.array([t["lead"] for t in texts])
+    of = np.repeat(np.arange(len(texts)), size)
+    return np.arange(len(of)) - (np.cumsum(size) - size)[of] >= lead[of], of
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of several lists, with the sums of their counts."""
+    every, where = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_inverse=True)
+    return every, np.bincount(where, weights=np.concatenate(counts) if counts else None, minlength=len(every)).astype(np.int64)
+
+
+_ASK = "block long, n int, shard int, a binary, b binary"
+
+
+def _ask(order: int, roads: int):
+    """What each block asks for: its distinct n-grams, with their counts in its training texts."""
+
+    def run(batches):
+        for b in batches:
+            for number, parts in zip(b.column("block").to_pylist(), (x.as_py() for x in b.column("parts")), strict=True):
+                asked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
+                for tokens, texts in _parts(parts):
+                    own, of = _own(texts)
+                    counted = own & ~np.array([t["held_out"] for t in texts])[of]
+                    for to, (keys, at, where, _) in zip(asked, Grams(tokens, np.bincount(of), order).of, strict=True):
+                        to.append((keys, np.bincount(where[counted[at]], minlength=len(keys))))
+                for k in range(order):
+                    keys, counts = merged([x for x, _ in asked[k]], [x for _, x in asked[k]])
+                    asked[k] = []
+                    rows = [(s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, roads)]
+                    s, a, z = zip(*rows, strict=True) if rows else ([], [], [])
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([k + 1] * len(rows), pa.int32()), pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(z, pa.binary())], names=["block", "n", "shard", "a", "b"])
         give_back()
 
     return run
@@ -313,6 +335,7 @@ def exchange(asks: DataFrame, shards: int, roads: int, team: int) -> tuple[DataF
         answers = materialize(asks.groupBy("n", "shard").applyInArrow(_answer, _ANSWER), "answers")
         return answers.where("block >= 0").select("block", "n", "shard", "known"), answers.where("block = -1")
     a_road = -(-shards // roads)
+    asks = materialize(asks, "asks")  # read again when the answers are dealt out
     teamed = asks.withColumn("team", F.pmod(F.xxhash64("block"), F.greatest(F.lit(1), F.ceil(F.lit(asks.select("block").distinct().count() / team)))))
     together = materialize(teamed.groupBy("n", "shard", "team").applyInArrow(_team_asks(roads, a_road), "block long, n int, shard int, a binary, b binary"), "teams")
     answers = materialize(together.groupBy("n", "shard").applyInArrow(_answer, _ANSWER), "answers")
@@ -327,18 +350,17 @@ _SCORED = "doc_id long, row long, whole boolean, held_out boolean, n_tokens long
 
 def _score(order: int, total: int, vocabulary: int):
     def run(table, answers):
+        parts = [p for row in table.column("parts").to_pylist() for p in row]
         out: list[pa.Table] = []
-        parts = []
-        for a, b, texts in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("texts").to_pylist(), strict=True):
-            parts.append((unpack(a)[unpack_counts(b)], texts))
         told = sorted(zip(answers.column("n").to_pylist(), answers.column("shard").to_pylist(), answers.column("known").to_pylist(), strict=True), key=lambda r: r[:2])
         counts = [np.concatenate([unpack_counts(x) for n, _, x in told if n == k] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(1, order + 1)]
-        grams = [Grams(tokens, np.array([t["size"] for t in texts]), order) for tokens, texts in parts]
+        of_part = lambda p: np.array([t["size"] for t in p["texts"]])
+        grams = [Grams(tokens, of_part(p), order) for (tokens, _), p in zip(_parts(parts), parts, strict=True)]
         asked = [np.unique(np.concatenate([g.of[k][0] for g in grams])) if grams else np.zeros(0, np.uint64) for k in range(order)]
         while parts:
-            (tokens, texts), g = parts.pop(0), grams.pop(0)
-            auto = Automaton(g, [c[np.searchsorted(x, keys)] for c, x, (keys, *_) in zip(counts, asked, g.of, strict=True)], len(tokens))
-            out.append(_walk(auto, texts, total, vocabulary))
+            p, g = parts.pop(0), grams.pop(0)
+            auto = Automaton(g, [c[np.searchsorted(x, keys)] for c, x, (keys, *_) in zip(counts, asked, g.of, strict=True)], int(of_part(p).sum()))
+            out.append(_walk(auto, p["texts"], total, vocabulary))
         return pa.concat_tables(out) if out else pa.table({x.name: pa.array([], x.type) for x in _RESULT}, schema=_RESULT)
 
     return run
@@ -364,8 +386,7 @@ def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa
     path_, failed_ = np.array(path, np.int64), np.array(failed, np.int64)
     own_, of_failure = np.array(own), np.repeat(np.arange(len(texts)), failures)
     starts = np.cumsum(own_) - own_
-    lead = np.array([t["lead"] for t in texts])
-    counted = np.arange(len(words)) - np.repeat(np.cumsum(own_ + lead) - own_ - lead, own_ + lead) >= np.repeat(lead, own_ + lead)
+    counted, _ = _own(texts)
     first = auto.count[auto.word[counted]]
     learned = np.repeat(~np.array([t["held_out"] for t in texts]), own_)
     often = np.bincount(path_[learned], minlength=len(auto.count))
@@ -393,12 +414,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, parts: int = 7, out: in
     text = F.col("text").cast("string")
     shards = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / block_bytes))
     texts = docs.select("doc_id", text.alias("text"), held_out(F.col("doc_id"), parts, out).alias("held_out"))
-    index = materialize(texts.mapInArrow(_index(order, min(shards, roads), block_bytes, part_bytes), _INDEX), "index")
-    answers, sums = exchange(index.where("n > 0").select("block", "n", "shard", "a", "b"), shards, roads, team)
+    # a row for each block, about half its text's size; small row groups, as a reader holds one
+    index = materialize(texts.mapInArrow(_index(order, block_bytes, part_bytes), _INDEX), "index", row_group=block_bytes)
+    asks = index.mapInArrow(_ask(order, min(shards, roads)), _ASK)
+    answers, sums = exchange(asks, shards, roads, team)
     of_all = sums.where("n = 1").agg(F.sum("total"), F.sum("vocabulary")).first()
     total, vocabulary = of_all[0] or 0, of_all[1] or 0
-    blocks = index.where("n = 0").select("block", "a", "b", "texts").groupBy("block")
-    scored = materialize(blocks.cogroup(answers.groupBy("block")).applyInArrow(_score(order, total, vocabulary), _SCORED), "scored")
+    scored = materialize(index.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, total, vocabulary), _SCORED), "scored")
     likely = scored.agg(*[F.sum(F.col("left_out")[i]).alias(f"g{i}") for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likely[i] if likely[i] is not None else 0.0)
     each = scored.select("doc_id", "row", "whole", "held_out", "n_tokens", "n_known", "base_score", F.col("scores")[best].alias("score"))
