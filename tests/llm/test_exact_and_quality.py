@@ -68,8 +68,13 @@ def test_quality_equals_brute_force(docs, rows):
         for n, share in r.ngram_shares.items():
             grams = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
             inside = {k + j for k in range(len(w) - n + 1) if grams[tuple(w[k : k + n])] > 1 for j in range(n)}
-            size = sum(len(x.encode()) for x in w)
-            assert share == pytest.approx(sum(len(w[k].encode()) for k in inside) / size if size else 0.0)
+            size = sum(map(len, w))
+            assert share == pytest.approx(sum(len(w[k]) for k in inside) / size if size else 0.0)
+        lines = [x for x in t.split("\n") if W.search(x)]
+        again = sum(map(len, lines)) - sum(map(len, set(lines)))
+        assert r.line_share == pytest.approx(again / sum(map(len, lines)) if lines else 0.0)
+        within = all(share <= quality.limit_at(quality.NGRAM_LIMITS[n], len(w)) for n, share in r.ngram_shares.items())
+        assert r.kept == (not r.base_failed and r.line_share <= quality.LINE_LIMIT and within)
 
 
 def test_quality_odd_rows(odd, none, clashing):
@@ -83,6 +88,13 @@ def test_quality_odd_rows(odd, none, clashing):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge_repetition(clashing).collect() if r.kept}
 
 
+def test_shares_count_characters(spark):
+    """A word of many bytes weighs as its characters do."""
+    text = "ééééé ééééé bbbbb ééééé ééééé ccccc ddddd fffff ggggg hhhhh"
+    got = quality.judge_repetition(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.word_chars == 50 and got.ngram_shares[2] == pytest.approx(20 / 50)
+
+
 def test_long_repeats_are_rejected(spark):
     text = " ".join(f"w{i}" for i in range(80)) + " " + " ".join("only these ten words come again and again here".split() * 2)
     got = quality.judge_repetition(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

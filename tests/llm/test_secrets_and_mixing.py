@@ -79,6 +79,60 @@ def test_links_of_values_after_an_equals_sign(spark):
     assert told(f"AWS_SECRET_ACCESS_KEY={KEY}") == set()
 
 
+def linked(spans, text, scope):
+    """The weak spans with a complementary part in scope, by comparing all pairs."""
+    out = set()
+    store = re.compile(secrets.STORE)
+    for a in spans:
+        for b in spans:
+            one, two = (a, b) if a[0] in secrets.SECRETS else (b, a)
+            if a is b or one[0] not in secrets.SECRETS or two[0] not in secrets.IDENTIFIERS + secrets.ENDPOINTS:
+                continue
+            if one[0] == "hex" and two[0] == "endpoint" and not store.search(text[two[1] : two[2]]):
+                continue
+            if b[1] <= a[2] + scope and b[2] >= a[1] - scope and a[0] not in secrets.BASE:
+                out.add(a)
+    return out
+
+
+def scanned(text):
+    """All candidates by the patterns, in Python's syntax."""
+    out = []
+    for kind, pattern in secrets.PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            if kind != "assign" or len(m[2]) >= secrets.LEAST_VALUE:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_links_equal_brute_force(spark):
+    """The interval join against all pairs, on random documents of candidates at random distances."""
+    import random
+
+    r = random.Random(3)
+    made = [
+        lambda: "".join(r.choice(["AKIA", "ASIA", "GOOG"])) + "".join(r.choice("ABCDEFGH0123") for _ in range(r.randrange(10, 18))), lambda: "".join(r.choice("abcdefXYZ0123456789/+") for _ in range(r.randrange(28, 44))),
+        lambda: "https://" + r.choice(["x.example.org/a", "b.s3.amazonaws.com/k"]), lambda: "s3://bucket/key", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randrange(14, 40))),
+        lambda: "password=" + "z" * r.randrange(8, 16), lambda: "é" * r.randrange(1, 90), lambda: "w " * r.randrange(1, 120),
+    ]
+    texts = [" ".join(r.choice(made)() for _ in range(r.randrange(1, 14))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for scope in (200, 40):
+        for row in secrets.find_secrets(df, scope).collect():
+            spans = scanned(texts[row.doc_id])
+            want = {s for s in spans if s[0] in secrets.BASE} | linked(spans, texts[row.doc_id], scope)
+            assert {(s.name, s.start, s.end) for s in row.spans} == want
+            some += len(want)
+    assert some > 300
+
+
+def test_a_commit_beside_a_link_is_no_credential(spark):
+    commit, link = "0123456789abcdef" * 2 + "01234567", "https://git.example.org/x"
+    assert one(spark, f"commit {commit} {link}") == f"hex:7:{7 + len(commit)}"
+    assert "endpoint" in one(spark, f"{commit} https://b.s3.amazonaws.com/x") and "id" in one(spark, f"{commit} ASIA{'B' * 14}")
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(order)}

@@ -51,7 +51,7 @@ def test_other_ways(spark, docs, how):
 
 
 def test_odd_rows(spark, odd, none, clashing):
-    check(spark, odd.where("n_chars IS NULL OR n_chars < 20000"))
+    check(spark, odd)  # with its two long texts, all but equal
     assert suffix_dedup.repeat_digests(none).count() == 0 == suffix_dedup.remove_repeats(none).count()
     assert suffix_dedup.repeat_digests(clashing).count() == clashing.count()
 
@@ -82,6 +82,52 @@ def test_repeated_rows(spark, how):
     assert len(got) == 9 and {x.n_removed for x in got} == {0}
 
 
+def test_long_texts_in_slices(spark, monkeypatch):
+    """Texts far longer than a slice, with repeats inside a slice, across cuts and between documents."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(70))
+    long = " ".join(passage if k % 400 == 399 else word() for k in range(2000))
+    df = spark.createDataFrame([(1, long), (2, word() + long[3000:9000] + word()), (3, passage), (4, "x" * 8000)], "doc_id long, text string")
+    want = sorted(map(str, suffix_dedup.repeat_digests(df).collect()))
+    check(spark, df)
+    texts = [t.encode() for _, t in df.collect()]
+    for most in (150, 1000, 1 << 20):  # the same anchors, whatever the slices
+        found = set()
+        for part, number, offset in suffix_dedup.slices(texts, 100, most):
+            a = suffix_dedup.Anchors(part, 100, 32)
+            for t, f, z, p in zip(a.text, a.first, a.last, a.place, strict=True):
+                shift = offset[t] - int(a.begins[t])
+                found |= {(number[t], s + shift, int(p) + shift) for s in range(int(f), int(z) + 1)}
+        assert len({x[:2] for x in found}) == len(found) == sum(max(0, len(t) - 99) for t in texts)
+        if most > 1000:
+            assert found == every
+        every = found
+    assert want
+
+
+def test_equal_hashes_of_unequal_contexts(spark, monkeypatch):
+    """Hashes propose, bytes decide."""
+    r = random.Random(10)
+    core = "".join(r.choice("abcdefghij") for _ in range(40))
+    rows = [(i, "".join(r.choice("abcdefghij") for _ in range(80)) + core + "".join(r.choice("abcdefghij") for _ in range(80))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    run = suffix_dedup._contexts(None, 100, 32)
+    original = suffix_dedup.Anchors.__init__
+
+    def same(self, *a):
+        original(self, *a)
+        self.whole = np.zeros_like(self.whole)
+        self.key = np.zeros_like(self.key)
+
+    monkeypatch.setattr(suffix_dedup.Anchors, "__init__", same)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "twin": list(range(6))})
+    got = [x for b in run([batch]) for x in b.column("context").to_pylist()]
+    assert df.count() == 6 and None not in got
+
+
 def test_kept_text(spark, docs):
     d = {r.doc_id: r for r in suffix_dedup.repeat_digests(docs).collect()}
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}

@@ -65,6 +65,23 @@ def test_digests_and_round_trip(docs, odd, none):
     assert byte_bpe.token_digests(none, path, P.PATTERN).count() == 0 == byte_bpe.encode_documents(none, path, P.PATTERN).count()
 
 
+def test_clashing_columns(clashing, docs):
+    """Columns of the names that are added stay, whatever their case; the new ones come last under other names."""
+    from pyspark.sql import functions as F
+
+    path = P.path(NAMES[1])
+    df = clashing.withColumns({"token_ids": F.lit("own"), "Decoded": F.lit("mine"), "n_tokens": F.lit(-1), "round_trip": F.lit("r")})
+    coded = byte_bpe.encode_documents(df, path, P.PATTERN)
+    assert coded.columns == [*df.columns, "_token_ids", "_decoded"]
+    out = byte_bpe.add_tokens(df, path, P.PATTERN)
+    assert out.columns == [*df.columns, "_token_ids", "_n_tokens", "_round_trip"]
+    r = out.first()
+    assert (r.token_ids, r.Decoded, r.n_tokens, r.round_trip) == ("own", "mine", -1, "r") and r._round_trip and r._n_tokens == len(r._token_ids)
+    assert byte_bpe.add_tokens(docs, path, P.PATTERN).columns == [*docs.columns, "token_ids", "n_tokens", "round_trip"]
+    assert byte_bpe.token_digests(df, path, P.PATTERN).count() == docs.count() == token_count.count_tokens(df, P.path("piece_bpe_32k.model")).count()
+    assert byte_bpe.decode_ids(coded.drop("_decoded"), path, P.PATTERN, "_token_ids").columns[-1] == "_decoded"
+
+
 @pytest.fixture(scope="module")
 def counter():
     with open(P.path("piece_bpe_32k.model"), "rb") as f:
@@ -103,3 +120,14 @@ def test_count_query(odd, none, pieces):
 def test_other_normalisation_is_refused():
     with pytest.raises(ValueError):
         token_count.read_scores(byte_bpe._field(3, byte_bpe._field(1, "nmt_nfkc")))
+
+
+def test_other_models_are_refused():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    assert token_count.read_scores(model)
+    piece = byte_bpe._field(1, byte_bpe._field(1, "own") + byte_bpe._field(2, 0.0) + byte_bpe._field(3, 4))
+    with pytest.raises(ValueError, match="user"):
+        token_count.read_scores(model + piece)
+    with pytest.raises(ValueError, match="byte pieces"):  # no byte pieces
+        token_count.read_scores(byte_bpe.serialise({b"a": 0}).replace(byte_bpe._field(5, False), byte_bpe._field(5, True)).replace(byte_bpe._field(3, False) + byte_bpe._field(4, False), byte_bpe._field(3, True) + byte_bpe._field(4, False)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, byte_column, kept, pieces
+from .common import bound_batches, byte_column, free_names, kept, pieces
 
 MOST_CACHED = 150_000
 
@@ -112,8 +112,12 @@ def _model(spark: SparkSession, path: str):
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``docs`` with ``token_ids`` (array<int>) and ``decoded`` (binary), the bytes that the ids map back to."""
+    """``docs`` with ``token_ids`` (array<int>) and ``decoded`` (binary), the bytes that the ids map back to, as the last two columns.
+
+    Where ``docs`` has columns of these names, they stay, and the new ones have underscores before their names.
+    """
     model = _model(docs.sparkSession, vocabulary)
+    names = free_names(docs.columns, ("token_ids", "decoded"))
 
     def run(batches):
         c = codec(model.value, pattern)
@@ -124,22 +128,31 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
                 flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-                yield part.append_column("token_ids", lists).append_column("decoded", pa.array([c.decode(x.tolist()) for x in ids], pa.binary()))
+                yield part.append_column(names[0], lists).append_column(names[1], pa.array([c.decode(x.tolist()) for x in ids], pa.binary()))
+
+    return docs.mapInArrow(run, docs.limit(0).withColumns({names[0]: F.lit(None).cast("array<int>"), names[1]: F.lit(None).cast("binary")}).schema)
+
 
-    clear = docs.drop("token_ids", "decoded")
-    return clear.mapInArrow(run, clear.limit(0).withColumns({"token_ids": F.lit(None).cast("array<int>"), "decoded": F.lit(None).cast("binary")}).schema)
+def add_tokens(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``docs`` with token_ids, n_tokens and round_trip (whether the ids map back to the text), named like ``encode_documents`` names its columns."""
+    coded = encode_documents(docs, vocabulary, pattern)
+    ids, decoded = coded.columns[-2:]
+    n_tokens, round_trip = free_names(coded.columns, ("n_tokens", "round_trip"))
+    same = F.col(f"`{decoded}`") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return coded.withColumns({n_tokens: F.size(f"`{ids}`").cast("long"), round_trip: same}).drop(F.col(f"`{decoded}`"))
 
 
 def decode_ids(ids: DataFrame, vocabulary: str, pattern: str, column: str = "token_ids") -> DataFrame:
-    """``ids`` with ``decoded`` (binary); a null list maps to no bytes."""
+    """``ids`` with ``decoded`` (binary, the last column, named as in ``encode_documents``); a null list maps to no bytes."""
     model = _model(ids.sparkSession, vocabulary)
+    (name,) = free_names(ids.columns, ("decoded",))
 
     def run(batches):
         c = codec(model.value, pattern)
         for b in batches:
-            yield b.append_column("decoded", pa.array([c.decode(x or []) for x in b.column(column).to_pylist()], pa.binary()))
+            yield b.append_column(name, pa.array([c.decode(x or []) for x in b.column(column).to_pylist()], pa.binary()))
 
-    return ids.mapInArrow(run, ids.limit(0).withColumn("decoded", F.lit(None).cast("binary")).schema)
+    return ids.mapInArrow(run, ids.limit(0).withColumn(name, F.lit(None).cast("binary")).schema)
 
 
 def token_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

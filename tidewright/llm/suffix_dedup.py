@@ -21,7 +21,7 @@ transform is built a column at a time. Collections are bounded by ``most``, so t
 method are arrays in memory here; nothing is written on a machine's own disk.
 
 Null texts are empty. Rows of equal doc_id and text are one document and get equal results. A null doc_id
-stands after all others. Where the filter of the allowed size would help little (above about eight keys a cell pair), it is
+stands after all others. A long text is taken in slices that overlap, with the same result. Where the filter of the allowed size would help little (above about eight keys a cell pair), it is
 left out and all contexts go out: the result is the same.
 """
 
@@ -59,7 +59,7 @@ def _power(n: int) -> list[np.ndarray]:
 
 
 class Anchors:
-    """The anchors of some texts: text, place, first and last window start, hash, and hash of the context."""
+    """The anchors of some texts (or slices of long ones): text, place, first and last window start, hash, and hash of the context."""
 
     def __init__(self, texts: list[bytes], length: int, gram: int):
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -78,9 +78,7 @@ class Anchors:
             np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
             h = mix64((total[gram:] - total[:-gram]) * down[: n - gram + 1])
         low = np.uint64((1 << 28) - 1)
-        least = (h & ~low) | np.arange(len(h), dtype=np.uint64) if n < 1 << 28 else None
-        if least is None:
-            raise ValueError("a text of 256 MB or more")
+        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # slices are far shorter than 2**28 bytes
         span = 1
         while 2 * span <= wide:
             least = np.minimum(least[:-span], least[span:])
@@ -161,6 +159,14 @@ def mark_repeats(group: np.ndarray, before: np.ndarray, contexts: list[bytes], r
     return marks
 
 
+def slices(texts: list[bytes], length: int, most: int = CHUNK_BYTES):
+    """Lists of texts of about ``most`` bytes, with each one's number and offset. A longer text comes in slices that share ``length`` - 1 bytes, so that
+    each window stands in exactly one."""
+    whole = [(t[a : a + most + length - 1], i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - length + 1), most)]
+    for lo, hi in chunks([len(t) for t, _, _ in whole], most):
+        yield tuple(map(list, zip(*whole[lo:hi], strict=True)))
+
+
 def _clean(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("twin"))
@@ -170,8 +176,8 @@ def _keys_of(length: int, gram: int):
     def run(batches):
         for b in pieces(batches):
             texts = byte_column(b)
-            for lo, hi in chunks([len(t) for t in texts], CHUNK_BYTES):
-                yield Anchors(texts[lo:hi], length, gram).key
+            for part, _, _ in slices(texts, length):
+                yield Anchors(part, length, gram).key
 
     return run
 
@@ -197,10 +203,11 @@ def _contexts(bits, length: int, gram: int):
             ids = b.column("doc_id")
             absent, ids = np.array(ids.is_null()), ids.fill_null(0).to_numpy()
             parts = []
-            for lo, hi in chunks([len(t) for t in texts], CHUNK_BYTES):
-                a = Anchors(texts[lo:hi], length, gram)
+            for part, number, offset in slices(texts, length):
+                a = Anchors(part, length, gram)
                 on = np.flatnonzero(probe(bits.value, a.key)) if bits is not None else np.arange(len(a.key))
-                parts.append((a.key[on], a.whole[on], a.text[on] + lo, *(x[on] - a.begins[a.text[on]] for x in (a.place, a.first, a.last))))
+                shift = np.array(offset, np.int64) - a.begins
+                parts.append((a.key[on], a.whole[on], np.array(number, np.int64)[a.text[on]], *(x[on] + shift[a.text[on]] for x in (a.place, a.first, a.last))))
             if not parts:
                 continue
             key, whole, text, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -209,6 +216,10 @@ def _contexts(bits, length: int, gram: int):
                 _, at, of = np.unique(np.stack([key, whole], 1)[order], axis=0, return_index=True, return_inverse=True)
                 lead = np.empty(len(key), np.int64)
                 lead[order] = order[at[of.reshape(-1)]]
+                context_at = lambda i: texts[text[i]][first[i] : last[i] + length]
+                for i in np.flatnonzero(lead != np.arange(len(key))).tolist():  # hashes only propose: bytes decide
+                    if context_at(i) != context_at(lead[i]):
+                        lead[i] = i
                 sent = np.flatnonzero((lead == np.arange(len(key))) | _differ(lead, absent[text], ids[text], twins[text], place))  # a repeated row is no later copy
                 own = lead[sent] == sent
                 key, text, place, first, last = (x[sent] for x in (key, text, place, first, last))

@@ -49,19 +49,28 @@ def _fields(buf: bytes):
 
 
 def read_scores(model: bytes) -> dict[str, float]:
-    """The scores of the normal pieces. Models with another normalisation than identity are refused."""
+    """The scores of the normal pieces. Models that would be counted wrongly are refused: another type than BPE, another normalisation than
+    identity, pieces defined by a user, no byte pieces to fall back on."""
     import struct
 
-    normal, scores = 1, {}
+    normal, user_defined, byte, bpe, scores = 1, 4, 6, 2, {}
+    fallback, kind = 0, None
     for number, value in _fields(model):
         if number == 1:
             piece = {n: v for n, v in _fields(value)}
+            if piece.get(3, normal) == user_defined:
+                raise ValueError("pieces that a user defined are not supported")
+            fallback += piece.get(3, normal) == byte
             if piece.get(3, normal) == normal:
                 scores[piece[1].decode()] = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+        elif number == 2:
+            kind = dict(_fields(value)).get(3, 1)
         elif number == 3:
             how = dict(_fields(value))
             if how.get(1, b"") != b"identity" or not how.get(3, 1) or how.get(4, 1) or not how.get(5, 1):
                 raise ValueError("only identity normalisation with a dummy prefix and kept white space is supported")
+    if kind != bpe or fallback != 256:
+        raise ValueError("only BPE models with all byte pieces are supported")
     return scores
 
 
