@@ -104,7 +104,7 @@ def test_probabilities_sum_to_one():
     texts = [list("abac."), list("ba."), list("ccab."), list("u.")]  # the last is not learned from: u stands for all unseen words
     auto, word = automaton(texts, 3, [True, True, True, False])
     n, v = 13, 4
-    arcs, fails = auto.weights(n, v, 16.0)
+    arcs, fails = auto.weights(n, v, 16.0), auto.failures(16.0)
     inside = {auto.traverse([word[x] for x in h], 0, [], []) for h in ("", "a", "b", "c", "ab", "ba", "ac", "cc", "ca", "bu", "u")}
     assert len(inside) == 9  # u has no state, and bu leads where u does
     for state in inside:
@@ -112,7 +112,7 @@ def test_probabilities_sum_to_one():
         for w in word.values():
             path, failed = [], []
             auto.traverse([w], state, path, failed)
-            total += 10 ** (arcs[path[0]] + sum(fails[f] for f in failed))
+            total += arcs[path[0]] * math.prod(fails[f] for f in failed)
         assert total == pytest.approx(1.0)
 
 

@@ -93,21 +93,30 @@ def windows(text: bytes, most: int):
     yield text[at:]
 
 
+def rolled(tokens: np.ndarray, sizes: np.ndarray, order: int):
+    """For n from 1 to ``order``, the positions where an n-gram of some token sequences ends, and its key.
+
+    Keys of words have 64 bits, those of longer n-grams 56 (see the README), the lowest byte 0.
+    """
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    h = mix64(tokens)
+    for k in range(1, order + 1):
+        if k > 1:
+            with np.errstate(over="ignore"):
+                longer = np.zeros_like(h)
+                longer[1:] = mix64(h[:-1] * _ROLL + tokens[1:])
+            h = longer
+        at = np.flatnonzero(place >= k - 1)
+        yield at, h[at] if k == 1 else h[at] & ~np.uint64(0xFF)
+
+
 class Grams:
     """The distinct n-grams of some token sequences: keys, the positions where they end, which they are there, and a first position of each."""
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, order: int):
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(tokens)) - np.repeat(starts, sizes)
-        rolled, self.of = mix64(tokens), []
-        for k in range(1, order + 1):
-            if k > 1:
-                with np.errstate(over="ignore"):
-                    longer = np.zeros_like(rolled)
-                    longer[1:] = mix64(rolled[:-1] * _ROLL + tokens[1:])
-                rolled = longer
-            at = np.flatnonzero(place >= k - 1)
-            keys, first, where = np.unique(rolled[at], return_index=True, return_inverse=True)
+        self.of = []
+        for at, h in rolled(tokens, sizes, order):
+            keys, first, where = np.unique(h, return_index=True, return_inverse=True)
             self.of.append((keys, at.astype(np.int32), where.astype(np.int32), at[first]))
 
 
@@ -169,13 +178,17 @@ class Automaton:
             state = target[a]
         return state
 
-    def weights(self, total: int, vocabulary: int, mu: float, less: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each arc's and each state's failure weight; ``less``: 1 to leave one occurrence of its n-gram out of an arc's counts."""
+    def weights(self, total: int, vocabulary: int, mu: float, less: int = 0) -> np.ndarray:
+        """The probability of each arc; ``less``: 1 to leave one occurrence of its n-gram out of an arc's counts."""
         p = np.empty(len(self.count))
         p[self.level[0]] = (self.count[self.level[0]] + 1.0) / (total + vocabulary + 1.0)
         for a in self.level[1:]:
             p[a] = (self.count[a] - less + mu * p[self.lower[a]]) / (self.prior[a] - less + mu)
-        return np.log10(p), np.log10(mu / (self.mass + mu))
+        return p
+
+    def failures(self, mu: float) -> np.ndarray:
+        """The weight of each state's failure arc."""
+        return mu / (self.mass + mu)
 
 
 _INDEX = "block long, parts array<struct<words:binary,numbers:binary,texts:array<struct<doc_id:long,row:long,held_out:boolean,size:int,lead:int,whole:boolean>>>>"
@@ -270,15 +283,20 @@ def _ask(order: int, roads: int):
     def run(batches):
         for b in batches:
             for number, parts in zip(b.column("block").to_pylist(), (x.as_py() for x in b.column("parts")), strict=True):
-                asked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order)]
-                for tokens, texts in _parts(parts):
-                    own, of = _own(texts)
-                    counted = own & ~np.array([t["held_out"] for t in texts])[of]
-                    for to, (keys, at, where, _) in zip(asked, Grams(tokens, np.bincount(of), order).of, strict=True):
-                        to.append((keys, np.bincount(where[counted[at]], minlength=len(keys))))
-                for k in range(order):
-                    keys, counts = merged([x for x, _ in asked[k]], [x for _, x in asked[k]])
-                    asked[k] = []
+                tokens, of, learned = [], [], []
+                for t, texts in _parts(parts):
+                    own, n = _own(texts)
+                    tokens.append(t)
+                    of.append(np.bincount(n))
+                    learned.append(own & ~np.array([x["held_out"] for x in texts])[n])
+                if not tokens:
+                    continue
+                counted = np.concatenate(learned)
+                for k, (at, h) in enumerate(rolled(np.concatenate(tokens), np.concatenate(of), order)):
+                    keys = np.unique(h)
+                    some, often = np.unique(h[counted[at]], return_counts=True)
+                    counts = np.zeros(len(keys), np.int64)
+                    counts[np.searchsorted(keys, some)] = often
                     rows = [(s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, roads)]
                     s, a, z = zip(*rows, strict=True) if rows else ([], [], [])
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([k + 1] * len(rows), pa.int32()), pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(z, pa.binary())], names=["block", "n", "shard", "a", "b"])
@@ -389,13 +407,15 @@ def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa
     counted, _ = _own(texts)
     first = auto.count[auto.word[counted]]
     learned = np.repeat(~np.array([t["held_out"] for t in texts]), own_)
-    often = np.bincount(path_[learned], minlength=len(auto.count))
-    used = np.flatnonzero(often)
+    used, which = np.unique(path_, return_inverse=True)
+    often = np.bincount(which[learned], minlength=len(used))
+    some, fell = np.unique(failed_, return_inverse=True)
+    taught = np.flatnonzero(often)
     scores, left = [], []
     for mu in GRID:
-        arcs, fails = auto.weights(total, vocabulary, mu)
-        scores.append(np.add.reduceat(arcs[path_], starts) + np.bincount(of_failure, weights=fails[failed_], minlength=len(texts)))
-        left.append(float(auto.weights(total, vocabulary, mu, 1)[0][used] @ often[used]) if len(used) else 0.0)
+        arcs, fails = np.log(auto.weights(total, vocabulary, mu)[used]), np.log(auto.failures(mu)[some])
+        scores.append((np.add.reduceat(arcs[which], starts) + np.bincount(of_failure, weights=fails[fell], minlength=len(texts))) / math.log(10))
+        left.append(float(np.log(auto.weights(total, vocabulary, mu, 1)[used[taught]]) @ often[taught]))
     n = len(texts)
     none = [0.0] * len(GRID)
     return pa.table(
