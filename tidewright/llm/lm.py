@@ -110,14 +110,31 @@ def rolled(tokens: np.ndarray, sizes: np.ndarray, order: int):
         yield at, h[at] if k == 1 else h[at] & ~np.uint64(0xFF)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, sorted, each once, and how often each stands there."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys, sorted, each once; the number of each position's key among them; and one position of each."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    where = np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(new) - 1
+    return s[new], where, order[new]
+
+
 class Grams:
-    """The distinct n-grams of some token sequences: keys, the positions where they end, which they are there, and a first position of each."""
+    """The distinct n-grams of some token sequences: keys, the positions where they end, which they are there, and one position of each."""
 
     def __init__(self, tokens: np.ndarray, sizes: np.ndarray, order: int):
         self.of = []
         for at, h in rolled(tokens, sizes, order):
-            keys, first, where = np.unique(h, return_index=True, return_inverse=True)
-            self.of.append((keys, at.astype(np.int32), where.astype(np.int32), at[first]))
+            keys, where, one = numbered(h)
+            self.of.append((keys, at.astype(np.int32), where, at[one]))
 
 
 class Automaton:
@@ -213,7 +230,7 @@ class _Block:
 
     def close_part(self):
         if self.texts:
-            words, number = np.unique(np.concatenate(self.tokens), return_inverse=True)
+            words, number, _ = numbered(np.concatenate(self.tokens))
             self.parts.append({"words": pack(words), "numbers": pack_counts(number), "texts": self.texts})
             self.tokens, self.texts, self.held = [], [], 0
 
@@ -293,10 +310,12 @@ def _ask(order: int, roads: int):
                     continue
                 counted = np.concatenate(learned)
                 for k, (at, h) in enumerate(rolled(np.concatenate(tokens), np.concatenate(of), order)):
-                    keys = np.unique(h)
-                    some, often = np.unique(h[counted[at]], return_counts=True)
-                    counts = np.zeros(len(keys), np.int64)
-                    counts[np.searchsorted(keys, some)] = often
+                    on = counted[at]
+                    keys, counts = distinct(h)
+                    if not on.all():
+                        some, often = distinct(h[on])
+                        counts[:] = 0
+                        counts[np.searchsorted(keys, some)] = often
                     rows = [(s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, roads)]
                     s, a, z = zip(*rows, strict=True) if rows else ([], [], [])
                     yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([k + 1] * len(rows), pa.int32()), pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(z, pa.binary())], names=["block", "n", "shard", "a", "b"])
@@ -374,7 +393,7 @@ def _score(order: int, total: int, vocabulary: int):
         counts = [np.concatenate([unpack_counts(x) for n, _, x in told if n == k] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(1, order + 1)]
         of_part = lambda p: np.array([t["size"] for t in p["texts"]])
         grams = [Grams(tokens, of_part(p), order) for (tokens, _), p in zip(_parts(parts), parts, strict=True)]
-        asked = [np.unique(np.concatenate([g.of[k][0] for g in grams])) if grams else np.zeros(0, np.uint64) for k in range(order)]
+        asked = [distinct(np.concatenate([g.of[k][0] for g in grams]))[0] if grams else np.zeros(0, np.uint64) for k in range(order)]
         while parts:
             p, g = parts.pop(0), grams.pop(0)
             auto = Automaton(g, [c[np.searchsorted(x, keys)] for c, x, (keys, *_) in zip(counts, asked, g.of, strict=True)], int(of_part(p).sum()))
