@@ -174,6 +174,41 @@ def test_misspelled_and_quoted():
     assert f('the word "idiot" is rude')["quoted"] > 0 == f('the word "idiot" is rude')["hits"]
 
 
+def test_a_stray_mark_quotes_nothing():
+    auto = toxicity.Automaton({"idiot": 1})
+    f = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(toxicity.words_of(t.encode()), auto), strict=True))
+    for text in ('a 5" pipe for you idiot and more', '"It began ' + "stone " * 30 + "you idiot here", 'he left" and you idiot "then he came', 'an idiot and "something else" after'):
+        assert f(text)["hits"] > 0 == f(text)["quoted"], text
+    for text in ('"you idiot" is what it read', 'it read “such an idiot today”, no more', '("idiot")'):
+        assert f(text)["quoted"] > 0 == f(text)["hits"], text
+
+
+def test_decorated_and_long_terms(spark):
+    """Terms with hyphens, digits, apostrophes and marks around them, and of any length, are learned."""
+    term, long = "num-8sk'ull", "x" * 30 + "y"
+    rows = [(i, f"w{i} v{i % 7} {term}### then u{i} {long}", 1) for i in range(30)] + [(i, f"w{i} v{i % 7} nothing then else u{i}", 0) for i in range(30, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert {term, long} <= set(toxicity.learn_lexicon(df.select("text", "toxic")))
+
+
+def test_misspelled_and_quoted_end_to_end(spark):
+    """Learned from labelled rows: exact and misspelled abuse scores high, quotation and clean text low, held-out rows included."""
+    import random
+
+    r = random.Random(5)
+    fill = lambda n: " ".join(r.choice("alpha beta gamma delta house river stone cloud table lamp".split()) + str(r.randrange(40)) for _ in range(n))
+    kinds = {
+        "abuse": lambda: f"{fill(8)} you blockhead {fill(4)} such a dunderhead {fill(6)}", "misspelled": lambda: f"{fill(8)} you blockhaed {fill(4)} such a dunderhed {fill(6)}",
+        "quoted": lambda: f'{fill(8)} he said "blockhead" and {fill(4)} wrote “a dunderhead” once {fill(6)}', "clean": lambda: fill(20),
+    }
+    rows = [(i, kinds[k](), k, int(k in ("abuse", "misspelled"))) for i, k in enumerate(["abuse", "misspelled", "quoted", "clean", "clean", "clean"] * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string, toxic int")
+    got = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df, "doc_id").collect()
+    for k in kinds:
+        right = [x.predicted == x.toxic for x in got if x.kind == k and x.held_out]
+        assert len(right) > 5 and sum(right) >= 0.95 * len(right), k
+
+
 def auc(pairs):
     ones, zeros = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
@@ -189,6 +224,7 @@ def test_toxicity_held_out(spark):
     out = [(r.score, r.toxic) for r in rows if r.held_out]
     assert auc(out) > 0.9
     assert sum(s >= 0.5 and not y for s, y in out) <= 0.01 * len(out)
+    assert sum(s >= 0.5 and y for s, y in out) >= 0.9 * sum(y for _, y in out)
 
 
 def test_toxicity_odd_rows(spark, odd, none, clashing):

@@ -57,12 +57,15 @@ def test_equals_sql(spark):
 def test_odd_rows(odd, none):
     check(odd)
     assert near_dedup.near_groups(none).count() == 0 == near_dedup.drop_near_duplicates(none).count()
+    comp, _ = brute([(r.doc_id, r.text) for r in odd.collect()])
+    kept = near_dedup.drop_near_duplicates(odd).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(comp.values()))
+    assert sum(r.doc_id is None for r in kept) == odd.where("doc_id IS NULL").count()
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_group_around_the_threshold(spark, monkeypatch, block):
-    """Copies with few edits, many of them beyond 0.8 of each other; blocks small enough to split the bucket."""
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("how", [{}, {"block": 8}, {"block_shingles": 700}])
+def test_group_around_the_threshold(spark, how):
+    """Copies with few edits, many of them beyond 0.8 of each other; blocks small enough, in members or in shingles, to split the bucket."""
     r = random.Random(3)
     base = [f"w{r.randrange(10**6)}" for _ in range(150)]
     rows = []
@@ -71,7 +74,9 @@ def test_group_around_the_threshold(spark, monkeypatch, block):
         for _ in range(r.randrange(9)):
             w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    comp, _ = brute(rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df, **how).collect()} == comp
 
 
 def test_drop(docs, clashing):

@@ -33,6 +33,8 @@ from .components import UnionFind, connected_components
 BANDS, ROWS = 32, 4
 WIDTH, PERCENT = 4, 80
 BLOCK = 1024
+#: Shingles of a block of members that are compared whole, 8 bytes each.
+BLOCK_SHINGLES = 2 << 20
 CHUNK_BYTES = 1 << 20
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,14 +192,14 @@ def _compare(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sketches = materialize(texts.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
     linked = sketches.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    groups = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "groups")
+    groups = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_shingles").alias("shingles")), "groups")
     of_group = linked.select("digest", "doc_id", "keys").join(groups, "digest")
-    members = materialize(of_group.where("doc_id = id").select("id", "n", F.explode(F.array_distinct("keys")).alias("bucket")).distinct(), "members")
+    members = materialize(of_group.where("doc_id = id").select("id", "n", F.col("shingles").alias("length"), F.explode(F.array_distinct("keys")).alias("bucket")).distinct(), "members")
     # one doc_id with several texts: its groups belong together
     several = materialize(linked.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("doc_id"), "several")
     same = of_group.join(several, "doc_id", "left_semi").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -217,10 +219,11 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, ban
     named = lambda df: df.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = named(placed.where("size > 2"))
     # buckets with the same members are compared once
-    split = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("whole"), F.count("*").alias("members")).where("lo != hi")
-    once = materialize(split.groupBy("whole", "members").agg(F.min("bucket").alias("bucket")), "open")
-    todo = named(placed.join(once.select("bucket", "members"), "bucket"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
+    split = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("whole"), F.count("*").alias("members"), F.sum("length").alias("lengths")).where("lo != hi")
+    once = materialize(split.groupBy("whole", "members").agg(F.min("bucket").alias("bucket"), F.max("lengths").alias("lengths")), "open")
+    todo = named(placed.join(once.select("bucket", "members", "lengths"), "bucket"))
+    # blocks are bounded in members and in what their sets hold
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block), F.ceil(F.col("lengths") / block_shingles)).cast("int")
     mine = todo.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp")

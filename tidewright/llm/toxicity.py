@@ -4,8 +4,8 @@ From labelled rows (never the held-out ones) words are learned that mark toxic t
 their distinct left neighbours, so that copies of one text don't lend a word support. A word's misspellings
 count unless those seen in the labelled rows stand in harmless texts. The lexicon is a trie; its intersection with the Levenshtein automata of a corpus word is walked as one automaton whose
 states are sets of (trie node, edits spent), made deterministic as words ask for them. Each match is
-weighed by a window of words around it: in quotation marks, after a reporting verb, next to an address
-in the second person. A logistic model over these counts gives the score.
+weighed by a window of words around it: between an opening and a closing quotation mark that both stand in the window, after a
+reporting verb, next to an address in the second person. A logistic model over these counts gives the score.
 
 Labels serve for fitting alone: at most about ``sample`` labelled rows, drawn by a hash, everything else
 covers all rows. Null and empty texts have no matches and get the score of a text without any; without
@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,11 @@ SAMPLE = 8000
 #: Words around a match that are its context.
 WINDOW = 6
 #: Verbs that report speech, and second-person words, of the corpus's languages.
-REPORTING = frozenset("said says say wrote writes called calls quoted quotes quote cited reported posted tweeted the_word term word dit écrit appelle mot sagte sagt schrieb wort nannte dijo dice escribió palabra llamó".split())
+REPORTING = frozenset("said says say wrote writes called calls quoted quotes quote cited reported posted tweeted term word dit écrit appelle mot sagte sagt schrieb wort nannte dijo dice escribió palabra llamó".split())
 ADDRESS = frozenset("you your you're youre u ur ye tu toi vous ton du dich dein ihr sie tú usted eres".split())
 QUOTES = "\"“”«»„‟‹›"
-TRIM = ".,;:!?()[]{}<>'’‘`*_~-…" + QUOTES
+TRIM = ".,;:!?()[]{}<>'’‘`*_~-…|#$%&" + QUOTES
+_QUOTES, _STARTS, _ENDS = frozenset(QUOTES), "([{*_~-", ".,;:!?)]}*_~-…|#$%&"
 FEATURES = ("hits", "quoted", "addressed", "any", "rate")
 #: What a misspelled term counts beside an exact one.
 MISSPELLED = 0.8
@@ -122,25 +124,47 @@ def words_of(text: bytes) -> list[str]:
     return [w.decode() for w in text.lower().split()]  # bytes.lower() folds A-Z alone
 
 
+def within_quotes(around: list[str], at: int) -> bool:
+    """Whether the word at ``at`` stands between a mark that opens a quotation and one that closes it, both among the words around.
+
+    A mark at a word's start opens, one at its end closes; the nearest mark on each side decides, so that a stray mark quotes nothing.
+    """
+    opened = closed = False
+    for k in range(at, -1, -1):
+        w = around[k].rstrip(_ENDS)
+        if k < at and w and w[-1] in QUOTES:
+            break
+        if around[k].lstrip(_STARTS)[:1] in _QUOTES:
+            opened = True
+            break
+    for k in range(at, len(around)):
+        if k > at and around[k].lstrip(_STARTS)[:1] in _QUOTES:
+            break
+        w = around[k].rstrip(_ENDS)
+        if w and w[-1] in QUOTES:
+            closed = True
+            break
+    return opened and closed
+
+
 def features(words: list[str], auto: Automaton) -> list[float]:
     """Counts over the matches of one text, damped, in the order of FEATURES."""
     hits = [w for w in set(words) if auto[w] >= 0]
     if not hits:
         return [0.0] * len(FEATURES)
     known = dict.fromkeys(hits)
-    marks = 0
     open_hits = 0.0
     quoted = addressed = 0
     for i, w in enumerate(words):
-        opened = sum(map(w.count, QUOTES)) if not w.isalnum() else 0
         if w in known:
-            around = [x.strip(TRIM) for x in words[max(0, i - WINDOW) : i + WINDOW + 1]]
-            if marks % 2 or opened or any(x in REPORTING for x in around[:WINDOW]):
+            lo = max(0, i - WINDOW)
+            around = words[lo : i + WINDOW + 1]
+            plain = [x.strip(TRIM) for x in around]
+            if within_quotes(around, i - lo) or any(x in REPORTING for x in plain[: i - lo]):
                 quoted += 1
             else:
                 open_hits += MISSPELLED if auto[w] else 1.0
-            addressed += any(x in ADDRESS for x in around)
-        marks += opened
+            addressed += any(x in ADDRESS for x in plain)
     return [math.log1p(open_hits), math.log1p(quoted), math.log1p(addressed), min(1.0, open_hits), math.log1p(100.0 * open_hits / len(words))]
 
 
@@ -158,6 +182,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(by_doc, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
+def _neighbour(word: str) -> int:
+    """A hash of a word that all workers agree on."""
+    return xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
+
+
 def _pairs(batches):
     """Distinct (word, left neighbour) of each batch and class."""
     for b in batches:
@@ -166,7 +195,7 @@ def _pairs(batches):
             found = set()
             for t, y in zip(texts[lo:hi], toxic[lo:hi], strict=True):
                 words = [w for w in (x.strip(TRIM) for x in words_of(t)) if w]
-                found.update((w, hash(p), y) for p, w in zip(["", *words], words) if 3 <= len(w) <= 24 and w.isalpha())  # noqa: B905
+                found.update((w, _neighbour(p), y) for p, w in zip(["", *words], words) if any(map(str.isalpha, w)))  # noqa: B905
             cols = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["word", "before", "toxic"])
 
@@ -192,7 +221,7 @@ def _misses(lexicon: dict[str, int]):
             found = set()
             for t, y in zip(byte_column(b), b.column("toxic").to_pylist(), strict=True):
                 words = words_of(t)
-                found.update((auto.match(w.strip(TRIM))[1], hash(p), y) for p, w in zip(["", *words], words) if auto[w] > 0)  # noqa: B905
+                found.update((auto.match(w.strip(TRIM))[1], _neighbour(p), y) for p, w in zip(["", *words], words) if auto[w] > 0)  # noqa: B905
             cols = list(zip(*found, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["word", "before", "toxic"])
 
