@@ -103,5 +103,8 @@ def drop_exact_duplicates(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -
         alone, maybe = probed.where(~F.col("_maybe")).select("_doc.*"), probed.where("_maybe")
         keys = digests.mapInArrow(_probe(at), "doc_id long, _sha binary, _len long, _maybe boolean").where("_maybe")
     best = materialize(keys.groupBy("_sha").agg(F.min(rank(F.col("doc_id"))).alias("_best")), "groups")
-    kept = maybe.withColumn("_rank", rank(id_)).join(best, "_sha").where(F.col("_rank").eqNullSafe(F.col("_best"))).dropDuplicates(["_sha"]).select("_doc.*")
+    # by doc_id too, so that the copies of a hot text are spread; more than one row is left only of repeated rows
+    first = best.select(F.col("_sha").alias("_of"), (-F.col("_best.n")).alias("_most"), F.col("_best.id").alias("_id"))
+    mine = (F.col("_sha") == F.col("_of")) & (F.col("_len") == F.col("_most")) & id_.eqNullSafe(F.col("_id"))
+    kept = maybe.join(first, mine, "left_semi").dropDuplicates(["_sha"]).select("_doc.*")
     return kept if alone is None else alone.unionByName(kept)
