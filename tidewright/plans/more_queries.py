@@ -169,6 +169,15 @@ def kernel_pca_separability(spark, sf):
     return models.separability(axes, label="label").select(_r("distance"), _r("spread"), _r("separability"), "verdict")
 
 
+@query("""SELECT round(distance, 6) AS distance, round(spread, 6) AS spread, round(distance / spread, 6) AS separability, CASE WHEN distance / spread > 1 THEN 'strong' WHEN distance / spread > 0.5 THEN 'moderate' ELSE 'weak' END AS verdict FROM (
+    SELECT sqrt(pow(max(a) FILTER (label = 1) - max(a) FILTER (label = 0), 2) + pow(max(b) FILTER (label = 1) - max(b) FILTER (label = 0), 2)) AS distance, avg(s) AS spread FROM (
+    SELECT label, any_value(a) AS a, any_value(b) AS b, stddev_pop(sqrt(pow(score - a, 2) + pow(h - b, 2))) AS s FROM (SELECT *, hour(Date) / 24e0 AS h FROM scored) x JOIN (SELECT label, avg(score) AS a, avg(hour(Date) / 24e0) AS b FROM scored GROUP BY 1) c USING (label) GROUP BY 1))""", SCORED)
+def separability(spark, sf):
+    """OP-107 on two given axes, over all rows."""
+    axes = S.scored(spark, sf).withColumn("h", F.hour("Date") / 24.0)
+    return models.separability(axes, ("score", "h"), label="label").select(_r("distance"), _r("spread"), _r("separability"), "verdict")
+
+
 # ---- the whole chain --------------------------------------------------------------------------------------------
 
 def _features(spark, sf):
