@@ -107,10 +107,15 @@ def test_short_phrases_are_rejected(spark):
     fresh = iter(f"w{i:04d}" for i in range(10**6))
     new = lambda n: " ".join(next(fresh) for _ in range(n))
     quote = "as they said before all of this came to pass"
-    stuffed = [" ".join(f"{p} {new(1)}" for _ in range(n)) for n, p in [(12, "buy now"), (60, "buy now"), (12, "cheap pills now"), (2500, "cheap pills now"), (2500, "cheap pills shipped now")]] + [" ".join(f"{x} " * 5 for x in new(8).split())]
+    stuffed = [
+        " ".join(f"{p} {new(1)}" for _ in range(n)) for n,
+        p in [(12, "buy now"), (60, "buy now"), (12, "cheap pills now"), (2500, "cheap pills now"), (2500, "cheap pills shipped now")]
+    ] + [" ".join(f"{x} " * 5 for x in new(8).split())]
     pairs = [new(2) for _ in range(300)]
     good = [new(40), f"{new(50)} {quote} {new(30)} {quote} {new(15)}", " ".join(f"{pairs[i % 300]} {new(2)}" for i in range(1000))]
-    got = {r.doc_id: r for r in quality.judge_repetition(spark.createDataFrame(list(enumerate(stuffed + good)), "doc_id long, text string")).collect()}
+    got = {
+        r.doc_id: r for r in quality.judge_repetition(spark.createDataFrame(list(enumerate(stuffed + good)), "doc_id long, text string")).collect()
+    }
     assert not any(r.base_failed for r in got.values())
     assert [got[i].kept for i in range(len(got))] == [False] * len(stuffed) + [True] * len(good)
     assert quality.limit_at(0.2, 10**6) == 0.2 and quality.limit_at((0.3, 0.1, 0.45), 100) == 0.3

@@ -66,7 +66,10 @@ def check(df, order, **how):
 
 @pytest.mark.parametrize(
     ("order", "how"),
-    [(1, {}), (2, {}), (3, {"block_bytes": 30_000, "part_bytes": 4000}), (4, {"block_bytes": 100_000, "part_bytes": 700}), (3, {"block_bytes": 20_000, "part_bytes": 5000, "roads": 3, "team": 4})],
+    [
+        (1, {}), (2, {}), (3, {"block_bytes": 30_000, "part_bytes": 4000}), (4, {"block_bytes": 100_000, "part_bytes": 700}),
+        (3, {"block_bytes": 20_000, "part_bytes": 5000, "roads": 3, "team": 4})
+    ],
 )
 def test_scores_equal_brute_force(docs, order, how):
     """The whole grid, the choice in it by leave-one-out likelihood, long texts in pieces, and blocks that ask in teams."""
@@ -186,7 +189,9 @@ def test_a_stray_mark_quotes_nothing():
 def test_decorated_and_long_terms(spark):
     """Terms with hyphens, digits, apostrophes and marks around them, and of any length, are learned."""
     term, long = "num-8sk'ull", "x" * 30 + "y"
-    rows = [(i, f"w{i} v{i % 7} {term}### then u{i} {long}", 1) for i in range(30)] + [(i, f"w{i} v{i % 7} nothing then else u{i}", 0) for i in range(30, 300)]
+    rows = [(i, f"w{i} v{i % 7} {term}### then u{i} {long}", 1) for i in range(30)] + [
+        (i, f"w{i} v{i % 7} nothing then else u{i}", 0) for i in range(30, 300)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     assert {term, long} <= set(toxicity.learn_lexicon(df.select("text", "toxic")))
 
@@ -196,12 +201,16 @@ def test_misspelled_and_quoted_end_to_end(spark):
     import random
 
     r = random.Random(5)
-    fill = lambda n: " ".join(r.choice("alpha beta gamma delta house river stone cloud table lamp".split()) + str(r.randrange(40)) for _ in range(n))
+    fill = lambda n: " ".join(
+        r.choice("alpha beta gamma delta house river stone cloud table lamp".split()) + str(r.randrange(40)) for _ in range(n)
+    )
     kinds = {
         "abuse": lambda: f"{fill(8)} you blockhead {fill(4)} such a dunderhead {fill(6)}", "misspelled": lambda: f"{fill(8)} you blockhaed {fill(4)} such a dunderhed {fill(6)}",
         "quoted": lambda: f'{fill(8)} he said "blockhead" and {fill(4)} wrote “a dunderhead” once {fill(6)}', "clean": lambda: fill(20),
     }
-    rows = [(i, kinds[k](), k, int(k in ("abuse", "misspelled"))) for i, k in enumerate(["abuse", "misspelled", "quoted", "clean", "clean", "clean"] * 60)]
+    rows = [
+        (i, kinds[k](), k, int(k in ("abuse", "misspelled"))) for i, k in enumerate(["abuse", "misspelled", "quoted", "clean", "clean", "clean"] * 60)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string, toxic int")
     got = toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df, "doc_id").collect()
     for k in kinds:

@@ -109,11 +109,15 @@ def test_signatures_estimate_similarity():
 
 def test_components(spark):
     r = random.Random(5)
-    edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2300)]
+    edges = [
+        (r.randrange(400), r.randrange(400)) for _ in range(300)
+    ] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, k) for k in range(2001, 2300)]
     join = components.UnionFind()
     for a, b in edges:
         join.union(a, b)
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()
-    assert {x.node: x.component for x in got} == {x: join.root(x) for e in edges for x in e if e[0] != e[1] or join.root(x) in {join.root(y) for f in edges if f[0] != f[1] for y in f}}
+    assert {x.node: x.component for x in got} == {
+        x: join.root(x) for e in edges for x in e if e[0] != e[1] or join.root(x) in {join.root(y) for f in edges if f[0] != f[1] for y in f}
+    }
     assert len(got) == len({x.node for x in got})
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

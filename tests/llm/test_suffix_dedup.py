@@ -61,7 +61,11 @@ def test_shared_passage(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     passage = " ".join(word() for _ in range(60))
-    rows = [(i, " ".join([*(word() for _ in range(r.randrange(30))), passage[r.randrange(20) :], *(word() for _ in range(r.randrange(30)))])) for i in range(60)]
+    rows = [
+        (
+            i, " ".join([*(word() for _ in range(r.randrange(30))), passage[r.randrange(20) :], *(word() for _ in range(r.randrange(30)))])
+        ) for i in range(60)
+    ]
     rows += [(100, "a" * 700), (101, "b" * 99), (102, "ab" * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     check(spark, df, most=10)

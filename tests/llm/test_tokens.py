@@ -57,7 +57,9 @@ def test_digests_and_round_trip(docs, odd, none):
         got = byte_bpe.token_digests(df, path, P.PATTERN).collect()
         import numpy as np
 
-        assert [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got] == [(i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, x, t in want]
+        assert [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got] == [
+            (i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, x, t in want
+        ]
         coded = byte_bpe.encode_documents(df, path, P.PATTERN)
         assert [(r.token_ids, bytes(r.decoded)) for r in coded.collect()] == [(x, t.encode()) for _, x, t in want]
         back = byte_bpe.decode_ids(coded.drop("decoded"), path, P.PATTERN).collect()
@@ -95,7 +97,10 @@ def pieces():
     return sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
 
 
-TRICKY = ["", " ", "  a  b ", "\n\n x\n", "▁▁x ▁", "<s> </s> <unk> <0x41>", "a" * 3000, "日本語 テスト", "\u0000\u0001 x", "    \t\n\r   foo", "😀😀 zero​width", "1234567", "▁" * 40]
+TRICKY = [
+    "", " ", "  a  b ", "\n\n x\n", "▁▁x ▁", "<s> </s> <unk> <0x41>", "a" * 3000, "日本語 テスト", "\u0000\u0001 x", "    \t\n\r   foo", "😀😀 zero​width",
+    "1234567", "▁" * 40
+]
 
 
 def test_counts(counter, pieces, rows):
@@ -130,4 +135,8 @@ def test_other_models_are_refused():
     with pytest.raises(ValueError, match="user"):
         token_count.read_scores(model + piece)
     with pytest.raises(ValueError, match="byte pieces"):  # no byte pieces
-        token_count.read_scores(byte_bpe.serialise({b"a": 0}).replace(byte_bpe._field(5, False), byte_bpe._field(5, True)).replace(byte_bpe._field(3, False) + byte_bpe._field(4, False), byte_bpe._field(3, True) + byte_bpe._field(4, False)))
+        token_count.read_scores(
+            byte_bpe.serialise({b"a": 0}).replace(byte_bpe._field(5, False), byte_bpe._field(5, True)).replace(
+                byte_bpe._field(3, False) + byte_bpe._field(4, False), byte_bpe._field(3, True) + byte_bpe._field(4, False)
+            )
+        )

@@ -35,7 +35,9 @@ class UnionFind(dict):
 
 def _contract(batches):
     found = UnionFind()
-    out = lambda: [pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([found.root(x) for x in list(found)], pa.int64())], names=["a", "b"])]
+    out = lambda: [
+        pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([found.root(x) for x in list(found)], pa.int64())], names=["a", "b"])
+    ]
     for b in batches:
         for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
             found.union(x, y)
@@ -48,10 +50,14 @@ def _contract(batches):
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's larger (or not larger) neighbours to the least of its neighbours and itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    )
     least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
-    moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    moved = joined.where(F.col("b") > F.col("a")).select(
+        F.col("b").alias("a"), F.col("m").alias("b")
+    ) if large else joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("a != b").distinct()
 
 
@@ -59,7 +65,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: long); a component is named by its smallest node."""
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a != b")
     now, before = materialize(clean.mapInArrow(_contract, "a long, b long").where("a != b").distinct(), "edges"), None
-    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first())
+    sign = lambda e: tuple(
+        e.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first()
+    )
     for _ in range(rounds):
         now = materialize(_star(now, large=True), "edges")
         now = materialize(_star(now, large=False), "edges")
@@ -69,4 +77,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = seen
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

@@ -36,7 +36,9 @@ def _digests(batches):
     for b in pieces(batches):
         texts = byte_column(b)
         n = pc.fill_null(pc.utf8_length(b.column("text")), 0).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_row"), pa.array([digest_of(t) for t in texts], pa.binary()), n], names=["doc_id", "_row", "_sha", "_len"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("_row"), pa.array([digest_of(t) for t in texts], pa.binary()), n], names=["doc_id", "_row", "_sha", "_len"]
+        )
 
 
 def _keys(shas: list[bytes]) -> np.ndarray:
@@ -71,10 +73,14 @@ def exact_groups(docs: DataFrame, max_filter_bytes: int = MOST_BYTES) -> DataFra
     # a table of its own, so that both sides of the join are exchanges and a large group's rows can be split
     groups = materialize(maybe.groupBy("_sha").agg(best.alias("_best"), F.count("*").alias("group_size")), "groups")
     out = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256")]
-    found = maybe.join(groups, "_sha").select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "_sha").select(*out)
+    found = maybe.join(groups, "_sha").select(
+        "doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "_sha"
+    ).select(*out)
     if alone is None:
         return found
-    passed = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha").select(*out)
+    passed = alone.select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha"
+    ).select(*out)
     return passed.unionByName(found)
 
 

@@ -209,7 +209,9 @@ class Automaton:
 
 
 _INDEX = "block long, parts array<struct<words:binary,numbers:binary,texts:array<struct<doc_id:long,row:long,held_out:boolean,size:int,lead:int,whole:boolean>>>>"
-_TEXT = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int32()), ("lead", pa.int32()), ("whole", pa.bool_())])
+_TEXT = pa.struct(
+    [("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int32()), ("lead", pa.int32()), ("whole", pa.bool_())]
+)
 _PART = pa.struct([("words", pa.binary()), ("numbers", pa.binary()), ("texts", pa.list_(_TEXT))])
 
 
@@ -257,7 +259,11 @@ def _index(order: int, block_bytes: int, part_bytes: int):
                     if not len(new):
                         continue
                     tokens = np.concatenate([before, new])
-                    block.add(tokens, {"doc_id": ids[i], "row": row, "held_out": bool(held[i]), "size": len(tokens), "lead": len(before), "whole": len(cuts) == 1}, len(w) + 1)
+                    block.add(
+                        tokens,
+                        {"doc_id": ids[i], "row": row, "held_out": bool(held[i]), "size": len(tokens), "lead": len(before), "whole": len(cuts) == 1},
+                        len(w) + 1
+                    )
                     before = tokens[max(0, len(tokens) - order + 1) :] if order > 1 else before
                     if block.held >= part_bytes:
                         block.close_part()
@@ -318,7 +324,13 @@ def _ask(order: int, roads: int):
                         counts[np.searchsorted(keys, some)] = often
                     rows = [(s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, roads)]
                     s, a, z = zip(*rows, strict=True) if rows else ([], [], [])
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([k + 1] * len(rows), pa.int32()), pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(z, pa.binary())], names=["block", "n", "shard", "a", "b"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([number] * len(rows), pa.int64()), pa.array([k + 1] * len(rows), pa.int32()), pa.array(s, pa.int32()),
+                            pa.array(a, pa.binary()), pa.array(z, pa.binary())
+                        ],
+                        names=["block", "n", "shard", "a", "b"]
+                    )
         give_back()
 
     return run
@@ -331,14 +343,22 @@ def _answer(key, table):
     """Adds up the counts of one shard, and gives each asker those of its keys; block -1 has the shard's total and vocabulary."""
     keys = [unpack(x) for x in table.column("a").to_pylist()]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate([unpack_counts(x) for x in table.column("b").to_pylist()]), minlength=len(every)).astype(np.int64)
+    total = np.bincount(
+        where, weights=np.concatenate([unpack_counts(x) for x in table.column("b").to_pylist()]), minlength=len(every)
+    ).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
     blobs = [pack_counts(x) for x in np.split(total[where], ends[:-1])]
     n, shard = key[0].as_py(), key[1].as_py()
     rows = len(blobs) + 1
     return pa.table({
-        "block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "n": pa.array([n] * rows, pa.int32()), "shard": pa.array([shard] * rows, pa.int32()),
-        "known": pa.array([*blobs, None], pa.binary()), "total": pa.array([*[None] * len(blobs), int(total.sum())], pa.int64()), "vocabulary": pa.array([*[None] * len(blobs), int((total > 0).sum())], pa.int64()),
+        "block": pa.array(
+            [*table.column("block").to_pylist(), -1], pa.int64()
+        ), "n": pa.array([n] * rows, pa.int32()), "shard": pa.array([shard] * rows, pa.int32()),
+        "known": pa.array([*blobs, None], pa.binary()), "total": pa.array(
+            [*[None] * len(blobs), int(total.sum())], pa.int64()
+        ), "vocabulary": pa.array(
+            [*[None] * len(blobs), int((total > 0).sum())], pa.int64()
+        ),
     })
 
 
@@ -350,7 +370,12 @@ def _team_asks(roads: int, shards_a_road: int):
         keys, counts = merged([unpack(x) for x in table.column("a").to_pylist()], [unpack_counts(x) for x in table.column("b").to_pylist()])
         rows = [(s, pack(keys[a:z]), pack_counts(counts[a:z])) for s, a, z in ranges(keys, shards_a_road, road, roads)]
         s, a, b = zip(*rows, strict=True)
-        return pa.table({"block": pa.array([team] * len(rows), pa.int64()), "n": pa.array([n] * len(rows), pa.int32()), "shard": pa.array(s, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return pa.table(
+            {
+                "block": pa.array([team] * len(rows), pa.int64()), "n": pa.array([n] * len(rows), pa.int32()), "shard": pa.array(s, pa.int32()),
+                "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())
+            }
+        )
 
     return run
 
@@ -358,12 +383,19 @@ def _team_asks(roads: int, shards_a_road: int):
 def _team_answers(asks, answers):
     """The answers to a team, in one range, dealt out to its blocks."""
     if not asks.num_rows:
-        return pa.table({"block": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "known": pa.array([], pa.binary())})
+        return pa.table(
+            {"block": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "known": pa.array([], pa.binary())}
+        )
     keys = [unpack(x) for x in asks.column("a").to_pylist()]
     every = np.unique(np.concatenate(keys))
     told = sorted(zip(answers.column("shard").to_pylist(), answers.column("known").to_pylist(), strict=True), key=lambda r: r[0])
     known = np.concatenate([unpack_counts(x) for _, x in told])
-    return pa.table({"block": asks.column("block"), "n": asks.column("n"), "shard": asks.column("shard"), "known": pa.array([pack_counts(known[np.searchsorted(every, k)]) for k in keys], pa.binary())})
+    return pa.table(
+        {
+            "block": asks.column("block"), "n": asks.column("n"), "shard": asks.column("shard"),
+            "known": pa.array([pack_counts(known[np.searchsorted(every, k)]) for k in keys], pa.binary())
+        }
+    )
 
 
 def exchange(asks: DataFrame, shards: int, roads: int, team: int) -> tuple[DataFrame, DataFrame]:
@@ -374,10 +406,16 @@ def exchange(asks: DataFrame, shards: int, roads: int, team: int) -> tuple[DataF
     a_road = -(-shards // roads)
     asks = materialize(asks, "asks")  # read again when the answers are dealt out
     teamed = asks.withColumn("team", F.pmod(F.xxhash64("block"), F.greatest(F.lit(1), F.ceil(F.lit(asks.select("block").distinct().count() / team)))))
-    together = materialize(teamed.groupBy("n", "shard", "team").applyInArrow(_team_asks(roads, a_road), "block long, n int, shard int, a binary, b binary"), "teams")
+    together = materialize(
+        teamed.groupBy("n", "shard", "team").applyInArrow(_team_asks(roads, a_road), "block long, n int, shard int, a binary, b binary"), "teams"
+    )
     answers = materialize(together.groupBy("n", "shard").applyInArrow(_answer, _ANSWER), "answers")
-    of_team = answers.where("block >= 0").select(F.col("block").alias("team"), "n", F.floor(F.col("shard") / a_road).cast("int").alias("road"), "shard", "known")
-    back = teamed.withColumnRenamed("shard", "road").select("team", "n", "road", "block", F.col("road").alias("shard"), "a").groupBy("team", "n", "road")
+    of_team = answers.where("block >= 0").select(
+        F.col("block").alias("team"), "n", F.floor(F.col("shard") / a_road).cast("int").alias("road"), "shard", "known"
+    )
+    back = teamed.withColumnRenamed("shard", "road").select(
+        "team", "n", "road", "block", F.col("road").alias("shard"), "a"
+    ).groupBy("team", "n", "road")
     dealt = back.cogroup(of_team.groupBy("team", "n", "road")).applyInArrow(_team_answers, "block long, n int, shard int, known binary")
     return materialize(dealt, "dealt"), answers.where("block = -1")
 
@@ -389,8 +427,13 @@ def _score(order: int, total: int, vocabulary: int):
     def run(table, answers):
         parts = [p for row in table.column("parts").to_pylist() for p in row]
         out: list[pa.Table] = []
-        told = sorted(zip(answers.column("n").to_pylist(), answers.column("shard").to_pylist(), answers.column("known").to_pylist(), strict=True), key=lambda r: r[:2])
-        counts = [np.concatenate([unpack_counts(x) for n, _, x in told if n == k] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(1, order + 1)]
+        told = sorted(
+            zip(answers.column("n").to_pylist(), answers.column("shard").to_pylist(), answers.column("known").to_pylist(), strict=True),
+            key=lambda r: r[:2]
+        )
+        counts = [
+            np.concatenate([unpack_counts(x) for n, _, x in told if n == k] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in range(1, order + 1)
+        ]
         of_part = lambda p: np.array([t["size"] for t in p["texts"]])
         grams = [Grams(tokens, of_part(p), order) for (tokens, _), p in zip(_parts(parts), parts, strict=True)]
         asked = [distinct(np.concatenate([g.of[k][0] for g in grams]))[0] if grams else np.zeros(0, np.uint64) for k in range(order)]
@@ -403,7 +446,12 @@ def _score(order: int, total: int, vocabulary: int):
     return run
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("whole", pa.bool_()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("scores", pa.list_(pa.float64())), ("left_out", pa.list_(pa.float64()))])
+_RESULT = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("row", pa.int64()), ("whole", pa.bool_()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()), ("base_score", pa.float64()), ("scores", pa.list_(pa.float64())), ("left_out", pa.list_(pa.float64()))
+    ]
+)
 
 
 def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa.Table:
@@ -439,15 +487,24 @@ def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa
     none = [0.0] * len(GRID)
     return pa.table(
         [
-            pa.array([t["doc_id"] for t in texts], pa.int64()), pa.array([t["row"] for t in texts], pa.int64()), pa.array([t["whole"] for t in texts]), pa.array([t["held_out"] for t in texts]), pa.array(own_, pa.int64()),
-            pa.array(np.add.reduceat((first > 0).astype(np.int64), starts), pa.int64()), pa.array(np.add.reduceat(np.log10((first + 1.0) / (total + vocabulary + 1.0)), starts)),
-            pa.array(list(np.stack(scores, 1)), pa.list_(pa.float64())), pa.array([left if i == 0 else none for i in range(n)], pa.list_(pa.float64())),
+            pa.array(
+                [t["doc_id"] for t in texts], pa.int64()
+            ), pa.array([t["row"] for t in texts], pa.int64()), pa.array([t["whole"] for t in texts]), pa.array([t["held_out"] for t in texts]), pa.array(own_, pa.int64()),
+            pa.array(np.add.reduceat((first > 0).astype(np.int64), starts), pa.int64()), pa.array(
+                np.add.reduceat(np.log10((first + 1.0) / (total + vocabulary + 1.0)), starts)
+            ),
+            pa.array(list(np.stack(scores, 1)), pa.list_(pa.float64())), pa.array(
+                [left if i == 0 else none for i in range(n)], pa.list_(pa.float64())
+            ),
         ],
         schema=_RESULT,
     )
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, parts: int = 7, out: int = 2, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, roads: int = ROADS, team: int = TEAM) -> DataFrame:
+def score_documents(
+    docs: DataFrame, order: int = ORDER, parts: int = 7, out: int = 2, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES,
+    roads: int = ROADS, team: int = TEAM
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -463,6 +520,9 @@ def score_documents(docs: DataFrame, order: int = ORDER, parts: int = 7, out: in
     likely = scored.agg(*[F.sum(F.col("left_out")[i]).alias(f"g{i}") for i in range(len(GRID))]).first()
     best = max(range(len(GRID)), key=lambda i: likely[i] if likely[i] is not None else 0.0)
     each = scored.select("doc_id", "row", "whole", "held_out", "n_tokens", "n_known", "base_score", F.col("scores")[best].alias("score"))
-    sums_of = [F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]]
+    sums_of = [
+        F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    ]
     whole = each.where("whole").drop("row", "whole").unionByName(each.where("NOT whole").groupBy("row").agg(*sums_of).drop("row"))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -53,14 +53,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     every = W.orderBy(F.col("source").asc_nulls_last())
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     numbered = by_source.withColumn("sid", F.row_number().over(every) - 1)
-    weighed = numbered.withColumn("weight", F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))).withColumn("ceiling", (MOST_COPIES * F.col("source_size")).cast("double"))
+    weighed = numbered.withColumn(
+        "weight", F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+    ).withColumn("ceiling", (MOST_COPIES * F.col("source_size")).cast("double"))
     rising = W.orderBy(F.col("ceiling") / F.col("weight"), "sid")
     rest = rising.rowsBetween(0, W.unboundedFollowing)
     done = F.coalesce(F.sum("ceiling").over(rising.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     whole = W.partitionBy()
     level = F.max("level").over(whole)
     leveled = weighed.withColumn("level", (share * F.sum("source_size").over(whole) - done) / F.sum("weight").over(rest))
-    return leveled.withColumn("target", F.greatest(F.lit(0.0), F.least("ceiling", level * F.col("weight")))).select("source", "sid", "source_size", "target")
+    return leveled.withColumn(
+        "target", F.greatest(F.lit(0.0), F.least("ceiling", level * F.col("weight")))
+    ).select("source", "sid", "source_size", "target")
 
 
 def _rate(size: Column, mean: Column, lam: Column) -> Column:
@@ -69,17 +73,28 @@ def _rate(size: Column, mean: Column, lam: Column) -> Column:
 
 def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: float = 1e-6) -> DataFrame:
     """``per_source`` with ``mean`` and ``lam``; counts has sid, size (1 or more) and n. Raises where ``steps`` don't reach ``close``."""
-    means = counts.groupBy("sid").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("heavy"))
+    means = counts.groupBy("sid").agg(
+        (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"),
+        (F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("heavy")
+    )
     start = per_source.join(means, "sid", "left").withColumn("mean", F.coalesce("mean", F.lit(1.0)))
     # at the bracket's ends every document has the most copies, or next to none
     start = start.withColumns({"lo": -60.0 * F.col("mean"), "hi": F.log(F.lit(float(MOST_COPIES))) * F.col("mean")})
     full = F.col("target") >= MOST_COPIES * F.col("source_size")
-    start = start.withColumn("lam", F.when(full, F.col("hi")).when(F.col("source_size") > 0, F.greatest("lo", F.least("hi", F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * F.col("mean") / F.col("heavy")))).otherwise(F.lit(0.0)))
+    start = start.withColumn(
+        "lam",
+        F.when(full, F.col("hi")).when(
+            F.col("source_size") > 0,
+            F.greatest("lo", F.least("hi", F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * F.col("mean") / F.col("heavy")))
+        ).otherwise(F.lit(0.0))
+    )
     state = materialize(start.withColumn("off", F.lit(1.0)).drop("heavy"), "dual")
     for _ in range(steps):
         at = counts.join(state.select("sid", "mean", "lam"), "sid")
         w, tokens = _rate(F.col("size"), F.col("mean"), F.col("lam")), F.col("size") * F.col("n")
-        sums = at.groupBy("sid").agg(F.sum(tokens * w).alias("got"), F.sum(F.when(w < MOST_COPIES, tokens * w * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+        sums = at.groupBy("sid").agg(
+            F.sum(tokens * w).alias("got"), F.sum(F.when(w < MOST_COPIES, tokens * w * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")
+        )
         f = F.col("got") - F.col("target")
         lo, hi = F.when(f < 0, F.col("lam")).otherwise(F.col("lo")), F.when(f > 0, F.col("lam")).otherwise(F.col("hi"))
         step = F.when(F.col("slope") > 0, F.col("lam") - f / F.col("slope"))
@@ -87,7 +102,12 @@ def solve(counts: DataFrame, per_source: DataFrame, steps: int = 40, close: floa
         moved = state.join(sums, "sid", "left").withColumns({"_lo": lo, "_hi": hi, "_step": step, "off": F.coalesce(off, F.lit(0.0))})
         inside = (F.col("_step") > F.col("_lo")) & (F.col("_step") < F.col("_hi"))
         lam = F.when(F.col("off") <= close, F.col("lam")).when(inside, F.col("_step")).otherwise((F.col("_lo") + F.col("_hi")) / 2)
-        state = materialize(moved.select("source", "sid", "source_size", "target", "mean", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), lam.alias("lam"), "off"), "dual")
+        state = materialize(
+            moved.select(
+                "source", "sid", "source_size", "target", "mean", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), lam.alias("lam"), "off"
+            ),
+            "dual"
+        )
         if (state.agg(F.max("off")).first()[0] or 0.0) <= close:
             break
     else:
@@ -136,10 +156,14 @@ def _round(state: Column, classes: Column) -> Column:
     def chunk(s, i):
         start = F.struct(s["rem"].alias("rem"), s["rest"].alias("rest"), s["ideal"].alias("ideal"), longs.alias("got"))
         done = F.aggregate(F.slice(classes, i * CHUNK + 1, F.lit(CHUNK)), start, step)
-        put = lambda d: F.struct(d["rem"].alias("rem"), d["rest"].alias("rest"), d["ideal"].alias("ideal"), F.array_append(s["got"], d["got"]).alias("got"))
+        put = lambda d: F.struct(
+            d["rem"].alias("rem"), d["rest"].alias("rest"), d["ideal"].alias("ideal"), F.array_append(s["got"], d["got"]).alias("got")
+        )
         return F.element_at(F.transform(F.array(done), put), 1)
 
-    start = F.struct(state["rem"].alias("rem"), state["rest"].alias("rest"), state["ideal"].alias("ideal"), F.array().cast("array<array<bigint>>").alias("got"))
+    start = F.struct(
+        state["rem"].alias("rem"), state["rest"].alias("rest"), state["ideal"].alias("ideal"), F.array().cast("array<array<bigint>>").alias("got")
+    )
     return F.flatten(F.aggregate(F.sequence(F.lit(0), F.ceil(F.size(classes) / CHUNK).cast("int")), start, chunk, lambda s: s["got"]))
 
 
@@ -156,32 +180,60 @@ def _search(state: Column, classes: Column) -> Column:
 
             def taken(x):
                 rem = e["rem"] - x * c["size"]
-                return F.struct(F.greatest(-rem, rem - MOST_COPIES * rest, F.lit(0.0)).alias("out"), F.abs(rem - ideal).alias("off"), rem.alias("rem"), F.array_append(e["got"], x).alias("got"))
+                return F.struct(
+                    F.greatest(-rem, rem - MOST_COPIES * rest, F.lit(0.0)).alias("out"), F.abs(rem - ideal).alias("off"), rem.alias("rem"),
+                    F.array_append(e["got"], x).alias("got")
+                )
 
             return F.transform(fit, taken)
 
-        return F.struct(rest.alias("rest"), ideal.alias("ideal"), F.slice(F.array_sort(F.flatten(F.transform(s["kept"], choices))), 1, WIDTH).alias("kept"))
+        return F.struct(
+            rest.alias("rest"), ideal.alias("ideal"), F.slice(F.array_sort(F.flatten(F.transform(s["kept"], choices))), 1, WIDTH).alias("kept")
+        )
 
     zero = F.lit(0.0)
-    start = F.struct(state["rest"].alias("rest"), state["ideal"].alias("ideal"), F.array(F.struct(zero.alias("out"), zero.alias("off"), state["rem"].alias("rem"), longs.alias("got"))).alias("kept"))
-    each = lambda s: F.transform(s["kept"], lambda e: F.struct(e["rem"].alias("rem"), s["rest"].alias("rest"), s["ideal"].alias("ideal"), e["got"].alias("got")))
+    start = F.struct(
+        state["rest"].alias("rest"), state["ideal"].alias("ideal"),
+        F.array(F.struct(zero.alias("out"), zero.alias("off"), state["rem"].alias("rem"), longs.alias("got"))).alias("kept")
+    )
+    each = lambda s: F.transform(
+        s["kept"], lambda e: F.struct(e["rem"].alias("rem"), s["rest"].alias("rest"), s["ideal"].alias("ideal"), e["got"].alias("got"))
+    )
     return F.aggregate(F.slice(classes, 1, HEAVY), start, step, each)
 
 
 def class_copies(counts: DataFrame, solved: DataFrame) -> DataFrame:
     """source, size, n, total: the copies of all documents of one size in a source. ``counts`` has sid, size and n."""
     ideal = _rate(F.col("size"), F.col("mean"), F.col("lam")) * F.col("size") * F.col("n")
-    of_source = counts.join(solved, "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("size", "n", ideal.alias("ideal"))), asc=False).alias("classes"), F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    of_source = counts.join(solved, "sid").groupBy("sid").agg(
+        F.sort_array(F.collect_list(F.struct("size", "n", ideal.alias("ideal"))), asc=False).alias("classes"), F.first("source").alias("source"),
+        F.first("source_size").alias("source_size"), F.first("target").alias("target")
+    )
     state = F.struct(F.col("target").alias("rem"), F.col("source_size").cast("double").alias("rest"), F.col("target").alias("ideal"))
-    of_source = materialize(of_source.select("source", "classes", state.alias("state")).withColumn("miss", F.abs(_miss(F.col("state"), F.col("classes")))), "classes")
+    of_source = materialize(
+        of_source.select("source", "classes", state.alias("state")).withColumn("miss", F.abs(_miss(F.col("state"), F.col("classes")))), "classes"
+    )
     least = F.element_at("classes", -1)["size"]
     near = F.greatest(least / 2.0, NEAR * F.col("state.rem"))
     plain = of_source.where(F.col("miss") <= near).select("source", "classes", _round(F.col("state"), F.col("classes")).alias("total"))
     light = F.slice("classes", HEAVY + 1, F.greatest(F.size("classes") - HEAVY, F.lit(0)))
     searched = of_source.where(F.col("miss") > near).withColumn("choices", _search(F.col("state"), F.col("classes")))
-    searched = searched.withColumn("ends", F.transform("choices", lambda e, i: F.struct(F.greatest(F.abs(_miss(F.struct(e["rem"].alias("rem"), e["rest"].alias("rest"), e["ideal"].alias("ideal")), light)) - near, F.lit(0.0)).alias("over"), i.alias("i"))))
+    searched = searched.withColumn(
+        "ends",
+        F.transform(
+            "choices",
+            lambda e, i: F.struct(
+                F.greatest(
+                    F.abs(_miss(F.struct(e["rem"].alias("rem"), e["rest"].alias("rest"), e["ideal"].alias("ideal")), light)) - near, F.lit(0.0)
+                ).alias("over"),
+                i.alias("i")
+            )
+        )
+    )
     searched = materialize(searched.withColumn("best", F.element_at("choices", F.array_min("ends")["i"] + 1)).withColumn("light", light), "searched")
-    sought = searched.select("source", "classes", F.concat("best.got", _round(F.struct("best.rem", "best.rest", "best.ideal"), F.col("light"))).alias("total"))
+    sought = searched.select(
+        "source", "classes", F.concat("best.got", _round(F.struct("best.rem", "best.rest", "best.ideal"), F.col("light"))).alias("total")
+    )
     each = plain.unionByName(sought).select("source", F.explode(F.arrays_zip("classes", "total")).alias("c"))
     return each.select("source", "c.classes.size", "c.classes.n", F.col("c.total").alias("total"))
 
@@ -207,14 +259,26 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     keyed = sized.where("size > 0").join(named, F.col("source").eqNullSafe(F.col("_source")))
     counts = materialize(keyed.groupBy("sid", "size").agg(F.count("*").alias("n")), "counts")
     classes = class_copies(counts, solve(counts, per_source))
-    classes = materialize(classes.select("source", "size", "n", F.floor(F.col("total") / F.col("n")).cast("int").alias("base"), (F.col("total") % F.col("n")).alias("extra")), "rounded")
+    classes = materialize(
+        classes.select(
+            "source", "size", "n", F.floor(F.col("total") / F.col("n")).cast("int").alias("base"), (F.col("total") % F.col("n")).alias("extra")
+        ),
+        "rounded"
+    )
 
     halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PER_BIN))).cast("int")
     cut = classes.where("extra > 0").select("source", "size", "extra", (F.lit(_HASH_BITS) - halvings).alias("shift"))
     placed = _same_class(sized.select("source", "size", "draw"), cut).withColumn("bin", F.call_function("shiftright", F.col("draw"), F.col("shift")))
     filled = placed.groupBy("source", "size", "extra", "bin").agg(F.count("*").alias("c"))
     upto = W.partitionBy("source", "size").orderBy("bin")  # about n / PER_BIN rows of one class
-    bins = materialize(filled.withColumn("upto", F.sum("c").over(upto)).where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("c") < F.col("extra"))).select("source", "size", (F.col("extra") - F.col("upto") + F.col("c")).alias("rank"), F.col("bin").alias("_bin")), "bins")
+    bins = materialize(
+        filled.withColumn("upto", F.sum("c").over(upto)).where(
+            (F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("c") < F.col("extra"))
+        ).select(
+            "source", "size", (F.col("extra") - F.col("upto") + F.col("c")).alias("rank"), F.col("bin").alias("_bin")
+        ),
+        "bins"
+    )
     inside = W.partitionBy("source", "size").orderBy("draw")  # the rows of one bin
     among = _same_class(placed.select("source", "size", "draw", "bin"), bins).where("bin = _bin").withColumn("i", F.row_number().over(inside))
     cuts = among.where("i = rank").select(F.col("source").alias("_of"), F.col("size").alias("_words"), F.col("draw").alias("cut"))
@@ -228,7 +292,9 @@ def _copies() -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for each document."""
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(F.col("doc_id"), F.col("text")).alias("draw")), "sized")
+    sized = materialize(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(F.col("doc_id"), F.col("text")).alias("draw")), "sized"
+    )
     per_source, classes = plan(sized, weights, share)
     every = _same_class(sized, classes, "left").withColumn("copies", _copies())
     figures = per_source.select(F.col("source").alias("_source"), "source_size", "target")

@@ -105,7 +105,10 @@ def _sketch(bands: int, rows: int, width: int):
                 keys.append(key.view(np.int64))
             flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists],
+                names=["doc_id", "n_shingles", "digest", "keys"]
+            )
 
     return run
 
@@ -115,7 +118,10 @@ def _sets(width: int):
         for b in pieces(batches):
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle_set(t, width).view(np.int64) for t in byte_column(part)], pa.list_(pa.int64()))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([shingle_set(t, width).view(np.int64) for t in byte_column(part)], pa.list_(pa.int64()))],
+                    names=["id", "shingles"]
+                )
 
     return run
 
@@ -192,46 +198,82 @@ def _compare(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_groups(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sketches = materialize(texts.mapInArrow(_sketch(bands, rows, width), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketches")
     linked = sketches.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    groups = materialize(linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_shingles").alias("shingles")), "groups")
+    groups = materialize(
+        linked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("n_shingles").alias("shingles")), "groups"
+    )
     of_group = linked.select("digest", "doc_id", "keys").join(groups, "digest")
-    members = materialize(of_group.where("doc_id = id").select("id", "n", F.col("shingles").alias("length"), F.explode(F.array_distinct("keys")).alias("bucket")).distinct(), "members")
+    members = materialize(
+        of_group.where("doc_id = id").select(
+            "id", "n", F.col("shingles").alias("length"), F.explode(F.array_distinct("keys")).alias("bucket")
+        ).distinct(),
+        "members"
+    )
     # one doc_id with several texts: its groups belong together
-    several = materialize(linked.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("doc_id"), "several")
+    several = materialize(
+        linked.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x != y").select("doc_id"), "several"
+    )
     same = of_group.join(several, "doc_id", "left_semi").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
     first = F.min(F.struct((-F.col("n")).alias("n"), "id"))
-    buckets = materialize(members.groupBy("bucket").agg(first.alias("x"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("x.id").alias("centre"), "size"), "buckets")
+    buckets = materialize(
+        members.groupBy("bucket").agg(first.alias("x"), F.count("*").alias("size")).where("size > 1").select(
+            "bucket", F.col("x.id").alias("centre"), "size"
+        ),
+        "buckets"
+    )
     placed = materialize(members.drop("n").join(buckets, "bucket"), "placed")
-    pairs = materialize(placed.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
+    pairs = materialize(
+        placed.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs"
+    )
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(texts.join(materialize(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    sets = materialize(
+        texts.join(materialize(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets"
+    )
+    both = pairs.join(
+        sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"
+    ).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     true = both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
     links = materialize(true.unionByName(same), "links")
     found = materialize(connected_components(links), "components")
 
-    named = lambda df: df.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    named = lambda df: df.join(
+        found.withColumnRenamed("node", "id"), "id", "left"
+    ).withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = named(placed.where("size > 2"))
     # buckets with the same members are compared once
-    split = open_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("whole"), F.count("*").alias("members"), F.sum("length").alias("lengths")).where("lo != hi")
+    split = open_.groupBy("bucket").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("whole"),
+        F.count("*").alias("members"), F.sum("length").alias("lengths")
+    ).where("lo != hi")
     once = materialize(split.groupBy("whole", "members").agg(F.min("bucket").alias("bucket"), F.max("lengths").alias("lengths")), "open")
     todo = named(placed.join(once.select("bucket", "members", "lengths"), "bucket"))
     # blocks are bounded in members and in what their sets hold
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / block), F.ceil(F.col("lengths") / block_shingles)).cast("int")
     mine = todo.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "id"), "blocks").cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp")
+    dealt = dealt.select(
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "id", "comp"
+    )
     carried = dealt.join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = materialize(carried.mapInArrow(_compare(percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = materialize(connected_components(links.unionByName(more)), "components")
-    of_set = materialize(groups.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id")), "of_set")
+    of_set = materialize(
+        groups.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+            "digest", F.coalesce("component", "id").alias("component_id")
+        ),
+        "of_set"
+    )
     out = sketches.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -107,8 +107,12 @@ def _judge(limits: dict[int, float | tuple[float, float, float]], line_limit: fl
                     failed = w < 10 or 100 * repeat > 20 * w
                     shares = {n: float(found[n][1][i - lo]) / solid if solid else 0.0 for n in limits}
                     kept = not failed and line_share <= line_limit and all(shares[n] <= limit_at(limits[n], w) for n in limits)
-                    rows.append((ids[i], w, solid, sum(map(t.count, _SINGLE)), len(lines) - len(once), repeat, failed, kept, list(shares.items()), line_share))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, _KINDS, strict=True)], names=_NAMES)
+                    rows.append(
+                        (ids[i], w, solid, sum(map(t.count, _SINGLE)), len(lines) - len(once), repeat, failed, kept, list(shares.items()), line_share)
+                    )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 10, _KINDS, strict=True)], names=_NAMES
+            )
 
     return run
 
@@ -118,7 +122,9 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _KINDS = [*[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.map_(pa.int32(), pa.float64()), pa.float64()]
 
 
-def judge_repetition(docs: DataFrame, limits: dict[int, float | tuple[float, float, float]] | None = None, line_limit: float = LINE_LIMIT) -> DataFrame:
+def judge_repetition(
+    docs: DataFrame, limits: dict[int, float | tuple[float, float, float]] | None = None, line_limit: float = LINE_LIMIT
+) -> DataFrame:
     """One row for each document: counts, the shares measured, ``base_failed`` and ``kept``."""
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_judge(limits or NGRAM_LIMITS, line_limit), SCHEMA)

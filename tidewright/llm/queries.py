@@ -21,7 +21,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and blank texts have no words and fail; each input row gives one row."""
-    return quality.judge_repetition(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge_repetition(_docs(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +83,15 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unigram columns of op8."""
-    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    return op8_lm_scoring(spark, sf_dir).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score")
+    )
 
 
-_OPERATORS = (op1_exact_dedup, op2_quality_rules, op3_byte_bpe, op4_near_dedup, op5_secrets, op6_mixing, op7_suffix_dedup, op8_lm_scoring, op9_token_count, op10_toxicity)
+_OPERATORS = (
+    op1_exact_dedup, op2_quality_rules, op3_byte_bpe, op4_near_dedup, op5_secrets, op6_mixing, op7_suffix_dedup, op8_lm_scoring, op9_token_count,
+    op10_toxicity
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_OPERATORS, secret_counts, mix_targets, lm_base)}
 
 #: The other operators' queries are tested against brute force, exact round trips or held-out rows, as SQL can't express them.

@@ -62,14 +62,18 @@ def _merge(table: pa.Table) -> pa.Table:
         twice[a[once[a]]] = True
         once[a] = True
         twice[b] = once[b] = True
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())})
+    return pa.table(
+        {"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice).tobytes()], pa.binary())}
+    )
 
 
 def repeat_filter(df: DataFrame, keys_of: Callable[[Iterable], Iterable[np.ndarray]], n: int, most_bytes: int = MOST_BYTES) -> bytes | None:
     """The filter over the keys that ``keys_of`` yields for the batches of ``df``; None where every key must be taken as repeated."""
     if not (shards := shards_for(n, most_bytes)):
         return None
-    merged = df.mapInArrow(_bits(keys_of, shards), "shard int, once binary, twice binary").groupBy("shard").applyInArrow(_merge, "shard int, bits binary")
+    merged = df.mapInArrow(
+        _bits(keys_of, shards), "shard int, once binary, twice binary"
+    ).groupBy("shard").applyInArrow(_merge, "shard int, bits binary")
     out = bytearray(shards * SHARD_BITS // 8)
     for r in merged.toLocalIterator():
         at = r["shard"] * SHARD_BITS // 8

@@ -50,7 +50,13 @@ def _found(kind: str, text: Column) -> Column:
     values = F.regexp_extract_all(text, pattern, F.lit(2)) if kind == "assign" else matches
     zipped = F.filter(F.arrays_zip(gaps.alias("g"), matches.alias("m"), values.alias("v")), lambda x: x["m"].isNotNull())
     ok = (lambda x: F.length(x["v"]) >= LEAST_VALUE) if kind == "assign" else (lambda x: F.lit(True))
-    rows = F.transform(zipped, lambda x: F.struct(F.lit(list(PATTERNS).index(kind)).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), ok(x).alias("ok"), (F.regexp_like(x["m"], F.lit(STORE)) if kind == "endpoint" else F.lit(True)).alias("store")))
+    rows = F.transform(
+        zipped,
+        lambda x: F.struct(
+            F.lit(list(PATTERNS).index(kind)).alias("kind"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("n"), ok(x).alias("ok"),
+            (F.regexp_like(x["m"], F.lit(STORE)) if kind == "endpoint" else F.lit(True)).alias("store")
+        )
+    )
     found = F.regexp_like(text, pattern)
     hints = [F.contains(text, F.lit(h)) for h in HINTS.get(kind, ())]
     return F.when(functools.reduce(lambda a, b: a | b, hints) & found if hints else found, rows)
@@ -79,11 +85,21 @@ def _near(left: DataFrame, right: DataFrame, scope: int) -> DataFrame:
     """The spans of ``left`` that have one of ``right`` within ``scope``: an interval semi-join on blocks."""
     blocks = lambda a, z: F.explode(F.sequence(F.floor(a / scope), F.floor(z / scope)))
     a = left.withColumn("_block", blocks(F.col("start") - scope, F.col("end") + scope))
-    b = right.select("_row", F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k"), F.col("store").alias("st")).withColumn("_block", blocks(F.col("s"), F.col("e")))
+    b = right.select(
+        "_row", F.col("start").alias("s"), F.col("end").alias("e"), F.col("kind").alias("k"), F.col("store").alias("st")
+    ).withColumn("_block", blocks(F.col("s"), F.col("e")))
     same = (F.col("a.kind") == F.col("b.k")) & (F.col("a.start") == F.col("b.s"))
     bare, link_ = list(PATTERNS).index("hex"), list(PATTERNS).index("endpoint")
-    loose = ((F.col("a.kind") == bare) & (F.col("b.k") == link_) & ~F.col("b.st")) | ((F.col("a.kind") == link_) & (F.col("b.k") == bare) & ~F.col("a.store"))
-    met = a.alias("a").join(b.alias("b"), (F.col("a._row") == F.col("b._row")) & (F.col("a._block") == F.col("b._block")) & (F.col("b.s") <= F.col("a.end") + scope) & (F.col("b.e") >= F.col("a.start") - scope) & ~same & ~loose, "left_semi")
+    loose = ((F.col("a.kind") == bare) & (F.col("b.k") == link_) & ~F.col("b.st")) | (
+        (F.col("a.kind") == link_) & (F.col("b.k") == bare) & ~F.col("a.store")
+    )
+    met = a.alias("a").join(
+        b.alias("b"),
+        (F.col("a._row") == F.col("b._row")) & (F.col("a._block") == F.col("b._block")) & (F.col("b.s") <= F.col("a.end") + scope) & (
+            F.col("b.e") >= F.col("a.start") - scope
+        ) & ~same & ~loose,
+        "left_semi"
+    )
     return met.select("_row", "kind", "start", "end").distinct()
 
 
@@ -98,7 +114,9 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     """doc_id and ``spans`` (array<struct<start, kind, end, name>>, by start, kind, end), one row for each document."""
     rows, spans = scan(docs)
     names = F.array(*[F.lit(k) for k in PATTERNS])
-    told = spans.where(_kinds(BASE)).drop("store").unionByName(link(spans, scope)).select("_row", F.struct("start", "kind", "end", names[F.col("kind")].alias("name")).alias("x"))
+    told = spans.where(_kinds(BASE)).drop("store").unionByName(link(spans, scope)).select(
+        "_row", F.struct("start", "kind", "end", names[F.col("kind")].alias("name")).alias("x")
+    )
     by_row = told.groupBy("_row").agg(F.array_sort(F.collect_list("x")).alias("spans"))
     return rows.join(by_row, "_row", "left").select("doc_id", F.coalesce("spans", F.array().cast(by_row.schema["spans"].dataType)).alias("spans"))
 
@@ -106,6 +124,11 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (as text)."""
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
-    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    text = lambda a: F.array_join(
+        F.transform(a, lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
     count = lambda i: F.size(F.filter("spans", lambda x: x["kind"] == i)).cast("long")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans")
+    )

@@ -207,7 +207,9 @@ def _contexts(bits, length: int, gram: int):
                 a = Anchors(part, length, gram)
                 on = np.flatnonzero(probe(bits.value, a.key)) if bits is not None else np.arange(len(a.key))
                 shift = np.array(offset, np.int64) - a.begins
-                parts.append((a.key[on], a.whole[on], np.array(number, np.int64)[a.text[on]], *(x[on] + shift[a.text[on]] for x in (a.place, a.first, a.last))))
+                parts.append(
+                    (a.key[on], a.whole[on], np.array(number, np.int64)[a.text[on]], *(x[on] + shift[a.text[on]] for x in (a.place, a.first, a.last)))
+                )
             if not parts:
                 continue
             key, whole, text, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -220,16 +222,23 @@ def _contexts(bits, length: int, gram: int):
                 for i in np.flatnonzero(lead != np.arange(len(key))).tolist():  # hashes only propose: bytes decide
                     if context_at(i) != context_at(lead[i]):
                         lead[i] = i
-                sent = np.flatnonzero((lead == np.arange(len(key))) | _differ(lead, absent[text], ids[text], twins[text], place))  # a repeated row is no later copy
+                sent = np.flatnonzero(  # a repeated row is no later copy
+                    (lead == np.arange(len(key))) | _differ(lead, absent[text], ids[text], twins[text], place)
+                )
                 own = lead[sent] == sent
                 key, text, place, first, last = (x[sent] for x in (key, text, place, first, last))
             else:
                 own = np.zeros(0, bool)
-            context = [texts[t][f : z + length] if o else None for t, f, z, o in zip(text.tolist(), first.tolist(), last.tolist(), own.tolist(), strict=True)]
+            context = [
+                texts[t][f : z + length] if o else None for t, f, z, o in zip(text.tolist(), first.tolist(), last.tolist(), own.tolist(), strict=True)
+            ]
             for i in range(0, len(key), 20_000):
                 s = slice(i, i + 20_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[s].view(np.int64)), pa.array(ids[text[s]], pa.int64(), mask=absent[text[s]]), pa.array(twins[text[s]]), *(pa.array(x[s].astype(np.int32)) for x in (place, place - first, first, last)), pa.array(context[s], pa.binary())],
+                    [
+                        pa.array(key[s].view(np.int64)), pa.array(ids[text[s]], pa.int64(), mask=absent[text[s]]), pa.array(twins[text[s]]),
+                        *(pa.array(x[s].astype(np.int32)) for x in (place, place - first, first, last)), pa.array(context[s], pa.binary())
+                    ],
                     names=["key", "doc_id", "twin", "place", "before", "first", "last", "context"],
                 )
 
@@ -261,7 +270,9 @@ def _settle(length: int, most: int):
         out = [(i, int(first[i]), int(last[i]) + length) for i in np.flatnonzero(twice).tolist()]
         several = np.bincount(group[alone], minlength=int(group[-1]) + 1)[group[alone]] > 1
         used = alone[several]
-        marks = mark_repeats(group[used], before[used].astype(np.int64), [contexts[i] for i in used], rank[used], length) if len(used) else np.zeros((0, 1), bool)
+        marks = mark_repeats(
+            group[used], before[used].astype(np.int64), [contexts[i] for i in used], rank[used], length
+        ) if len(used) else np.zeros((0, 1), bool)
         wide = marks.shape[1] - 1
         padded = np.zeros((len(marks), marks.shape[1] + 2), np.int8)
         padded[:, 1:-1] = marks
@@ -279,7 +290,11 @@ def _settle(length: int, most: int):
         rows = [(i, a, z, None) for i, a, z in out] + [(i, s, s + length, d) for i, s, d in firsts]
         at = np.array([x[0] for x in rows], np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[at], pa.int64(), mask=absent[at]) if len(at) else pa.array([], pa.int64()), pa.array(twin[at]) if len(at) else pa.array([], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.binary())],
+            [
+                pa.array(ids[at], pa.int64(), mask=absent[at]) if len(at) else pa.array([], pa.int64()),
+                pa.array(twin[at]) if len(at) else pa.array([], pa.int64()), pa.array([x[1] for x in rows], pa.int32()),
+                pa.array([x[2] for x in rows], pa.int32()), pa.array([x[3] for x in rows], pa.binary())
+            ],
             names=["doc_id", "twin", "start", "end", "window"],
         )
 
@@ -311,11 +326,20 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     shared = None if bits is None else spark.sparkContext.broadcast(bits)
     found = materialize(clean.mapInArrow(_contexts(shared, length, gram), _CONTEXT), "contexts", "zstd")
     sent = found.where("context IS NOT NULL")
-    large = materialize(sent.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "large")
+    large = materialize(
+        sent.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "large"
+    )
     parted = sent.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     parted = parted.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id", "twin"), "parts").cast("int"))
-    settled = materialize(parted.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_settle(length, most), "doc_id long, twin long, start int, end int, window binary"), "ranges")
-    ranges = settled.where("window IS NULL").select("doc_id", "twin", "start", "end").unionByName(found.where("context IS NULL").select("doc_id", "twin", F.col("first").alias("start"), (F.col("last") + length).alias("end")))
+    settled = materialize(
+        parted.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(
+            _settle(length, most), "doc_id long, twin long, start int, end int, window binary"
+        ),
+        "ranges"
+    )
+    ranges = settled.where("window IS NULL").select("doc_id", "twin", "start", "end").unionByName(
+        found.where("context IS NULL").select("doc_id", "twin", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    )
     windows = settled.where("window IS NOT NULL")
     age = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "twin", "start")
     if not large.isEmpty():
@@ -337,7 +361,9 @@ def _merge(ranges: list[dict] | None) -> list[tuple[int, int]]:
 
 def _with_ranges(docs: DataFrame, **how) -> DataFrame:
     ranges = materialize(repeated_ranges(docs, **how), "by_doc").select(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin"), "ranges")
-    return _clean(docs).join(ranges, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin")), "left").select("doc_id", "text", "ranges")
+    return _clean(docs).join(
+        ranges, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("twin") == F.col("_twin")), "left"
+    ).select("doc_id", "text", "ranges")
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -352,7 +378,15 @@ def remove_repeats(docs: DataFrame, **how) -> DataFrame:
         for b in pieces(batches):
             spans = [_merge(r) for r in b.column("ranges").to_pylist()]
             kept = [_cut(t, s) for t, s in zip(byte_column(b), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array([[{"start": a, "end": z} for a, z in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), pa.array(kept, pa.binary()),
+                    pa.array(
+                        [[{"start": a, "end": z} for a, z in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                    )
+                ],
+                names=["doc_id", "kept", "spans"]
+            )
 
     return _with_ranges(docs, **how).mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:int,end:int>>")
 
@@ -364,7 +398,11 @@ def repeat_digests(docs: DataFrame, **how) -> DataFrame:
         for b in pieces(batches):
             texts, spans = byte_column(b), [_merge(r) for r in b.column("ranges").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(z - a for a, z in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(_cut(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string())],
+                [
+                    b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([sum(z - a for a, z in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()),
+                    pa.array([hashlib.sha256(_cut(t, s)).hexdigest() for t, s in zip(texts, spans, strict=True)], pa.string())
+                ],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 

@@ -134,6 +134,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFra
         for b in pieces(batches):
             texts = byte_column(b)
             n = [c.count(t.decode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()),
+                    pa.array([x > limit for x in n], pa.bool_())
+                ],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            )
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+    )

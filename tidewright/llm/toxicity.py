@@ -29,7 +29,9 @@ SAMPLE = 8000
 #: Words around a match that are its context.
 WINDOW = 6
 #: Verbs that report speech, and second-person words, of the corpus's languages.
-REPORTING = frozenset("said says say wrote writes called calls quoted quotes quote cited reported posted tweeted term word dit écrit appelle mot sagte sagt schrieb wort nannte dijo dice escribió palabra llamó".split())
+REPORTING = frozenset(
+    "said says say wrote writes called calls quoted quotes quote cited reported posted tweeted term word dit écrit appelle mot sagte sagt schrieb wort nannte dijo dice escribió palabra llamó".split()
+)
 ADDRESS = frozenset("you your you're youre u ur ye tu toi vous ton du dich dein ihr sie tú usted eres".split())
 QUOTES = "\"“”«»„‟‹›"
 TRIM = ".,;:!?()[]{}<>'’‘`*_~-…|#$%&" + QUOTES
@@ -179,7 +181,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     by_doc = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(by_doc, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    return docs.select(
+        "doc_id", F.col("text").cast("string").alias("text")
+    ).join(by_doc, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def _neighbour(word: str) -> int:
@@ -197,7 +201,9 @@ def _pairs(batches):
                 words = [w for w in (x.strip(TRIM) for x in words_of(t)) if w]
                 found.update((w, _neighbour(p), y) for p, w in zip(["", *words], words) if any(map(str.isalpha, w)))  # noqa: B905
             cols = list(zip(*found, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["word", "before", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["word", "before", "toxic"]
+            )
 
 
 def learn_lexicon(rows: DataFrame, least: int = 4, purity: float = 0.5) -> list[str]:
@@ -223,7 +229,9 @@ def _misses(lexicon: dict[str, int]):
                 words = words_of(t)
                 found.update((auto.match(w.strip(TRIM))[1], _neighbour(p), y) for p, w in zip(["", *words], words) if auto[w] > 0)  # noqa: B905
             cols = list(zip(*found, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["word", "before", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["word", "before", "toxic"]
+            )
 
     return run
 
@@ -288,7 +296,9 @@ def score_documents(docs: DataFrame, lexicon: dict[str, int], weights: np.ndarra
         auto = _automaton(lexicon)
         for b in pieces(batches):
             z = [float(weights[0] + np.dot(weights[1:], features(words_of(t), auto))) for t in byte_column(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())], names=["doc_id", "score"]
+            )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
