@@ -52,7 +52,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.add_tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("source_mix", source_mix), ("tokens", tokens)]
+STAGES = [
+    ("quality_rules", quality_rules), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("source_mix", source_mix),
+    ("tokens", tokens)
+]
 
 #: SQL can't express the stages after the second; see tests/llm/test_pipeline.py for the brute-force version.
 ORACLE_SQL = None

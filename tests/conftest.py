@@ -11,7 +11,14 @@ os.environ["PYTHONPATH"] = sys.path[0] + ":" + os.environ.get("PYTHONPATH", "")
 def spark(tmp_path_factory):
     from tidewright.session import session
 
-    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
+    s = session(
+        "tests", "local[4]",
+        **{
+            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1",
+            "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))
+        }
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

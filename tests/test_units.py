@@ -38,7 +38,11 @@ def test_nan_is_null(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("27-Jan-18", "2018-01-27"), ("27-JAN-18", "2018-01-27"), ("2018-01-27", "2018-01-27"), ("03/04/2018", "2018-04-03"), ("5-Mar-99", "1999-03-05"), ("01-JAN-69", "1969-01-01"), ("01-JAN-68", "2068-01-01"), ("3/4/18", "2018-04-03"), ("nonsense", None), ("", None), (None, None)],
+    [
+        ("27-Jan-18", "2018-01-27"), ("27-JAN-18", "2018-01-27"), ("2018-01-27", "2018-01-27"), ("03/04/2018", "2018-04-03"),
+        ("5-Mar-99", "1999-03-05"), ("01-JAN-69", "1969-01-01"), ("01-JAN-68", "2068-01-01"), ("3/4/18", "2018-04-03"), ("nonsense", None),
+        ("", None), (None, None)
+    ],
 )
 def test_dates(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(scalars.parse_date(F.col("t")).alias("d")).first().d
@@ -46,7 +50,9 @@ def test_dates(spark, text, want):
 
 
 def test_month_key_keeps_the_time(spark):
-    r = spark.createDataFrame([(datetime.datetime(2018, 1, 31, 5),), (datetime.datetime(2018, 2, 1),)], "d timestamp").select(scalars.month_key(F.col("d")).alias("m")).collect()
+    r = spark.createDataFrame(
+        [(datetime.datetime(2018, 1, 31, 5),), (datetime.datetime(2018, 2, 1),)], "d timestamp"
+    ).select(scalars.month_key(F.col("d")).alias("m")).collect()
     assert [x.m for x in r] == [datetime.datetime(2018, 1, 16, 5), datetime.datetime(2018, 2, 16)]
 
 
@@ -69,7 +75,9 @@ def test_nearest_prefers_the_larger_of_two(spark):
     z = np.arange(12.0).reshape(3, 4)
     p = spark.createDataFrame([(35.025, -75.0), (34.0, -80.0), (99.0, 99.0), (None, -75.0)], "Lat double, Lon double")
     axis = Axis(0.0, 1.0, 4)
-    halves = spark.createDataFrame([(0.5, 1.5), (-3.0, 9.0)], "a double, b double").select(raster.nearest_index(F.col("a"), axis).alias("a"), raster.nearest_index(F.col("b"), axis).alias("b")).collect()
+    halves = spark.createDataFrame([(0.5, 1.5), (-3.0, 9.0)], "a double, b double").select(
+        raster.nearest_index(F.col("a"), axis).alias("a"), raster.nearest_index(F.col("b"), axis).alias("b")
+    ).collect()
     assert [tuple(r) for r in halves] == [(1, 2), (0, 3)]
     got = {(r.Lat, r.Lon): r.v for r in raster.sample_nearest(p, cells(spark, z), Axis(35.0, 0.05, 3), Axis(-75.0, 0.05, 4), "v").collect()}
     assert got[34.0, -80.0] == 0.0 and got[99.0, 99.0] == 11.0 and got[None, -75.0] is None
@@ -79,7 +87,9 @@ def test_bilinear(spark):
     z = np.random.default_rng(2).normal(size=(5, 6))
     z[4, 5] = np.nan
     r = random.Random(1)
-    pts = [(k, 35 + r.random() * 0.2, -75 + r.random() * 0.25) for k in range(60)] + [(100, 35.2, -75.0), (101, 34.99, -75.0), (102, None, None), (103, 35.0, -75.0)]
+    pts = [(k, 35 + r.random() * 0.2, -75 + r.random() * 0.25) for k in range(60)] + [
+        (100, 35.2, -75.0), (101, 34.99, -75.0), (102, None, None), (103, 35.0, -75.0)
+    ]
     df = spark.createDataFrame(pts, "id long, Lat double, Lon double")
     got = {r.id: r.v for r in raster.sample_bilinear(df, cells(spark, z), Axis(35.0, 0.05, 5), Axis(-75.0, 0.05, 6), "v").collect()}
     for k, lat, lon in pts:
@@ -106,10 +116,19 @@ def test_nearest_time(spark):
 def test_nearest_cell(spark, tile, layout):
     r = random.Random(layout)
     pts = [(k, 30 + r.random() * 10, -75 + r.random() * 10) for k in range(80)]
-    cs = {"spread": [(k, 30 + r.random() * 10, -75 + r.random() * 10) for k in range(120)], "clustered": [(k, 39 + r.random() * 0.1, -66 + r.random() * 0.1) for k in range(25)], "one": [(7, 60.0, 100.0)], "ties": [(k, 35.0, -70.0) for k in (5, 3, 9)]}[layout]
+    cs = {
+        "spread": [(k, 30 + r.random() * 10, -75 + r.random() * 10) for k in range(120)],
+        "clustered": [(k, 39 + r.random() * 0.1, -66 + r.random() * 0.1) for k in range(25)], "one": [(7, 60.0, 100.0)],
+        "ties": [(k, 35.0, -70.0) for k in (5, 3, 9)]
+    }[layout]
     mean = sum(p[1] for p in pts) / len(pts)
     c = math.cos(math.radians(mean))
-    got = {r.id: r.km for r in knn.nearest_cell(spark.createDataFrame([*pts, (999, None, 0.0)], "id long, Lat double, Lon double"), spark.createDataFrame(cs, "cell_id long, lat double, lon double"), "km", tile).collect()}
+    got = {
+        r.id: r.km for r in knn.nearest_cell(
+            spark.createDataFrame([*pts, (999, None, 0.0)], "id long, Lat double, Lon double"),
+            spark.createDataFrame(cs, "cell_id long, lat double, lon double"), "km", tile
+        ).collect()
+    }
     assert got.pop(999) is None
     for k, lat, lon in pts:
         _, b, l = min(cs, key=lambda x: (((x[1] - lat) ** 2 + ((x[2] - lon) * c) ** 2), x[0]))
@@ -123,7 +142,9 @@ def test_nearest_cell_without_cells(spark):
 
 
 def test_annulus_distance(spark):
-    p = spark.range(3000).select(F.col("id"), (F.col("id") % 120 - 60).cast("double").alias("Lat"), (F.col("id") % 350 - 175).cast("double").alias("Lon"))
+    p = spark.range(3000).select(
+        F.col("id"), (F.col("id") % 120 - 60).cast("double").alias("Lat"), (F.col("id") % 350 - 175).cast("double").alias("Lon")
+    )
     ring = sampling.ring_points(p, range(3)).withColumnsRenamed({"Lat": "y", "Lon": "x"}).join(p, "id")
     d = ring.select(geo.haversine_km(F.col("Lat"), F.col("Lon"), F.col("y"), F.col("x")).alias("d")).agg(F.min("d"), F.max("d"), F.avg("d")).first()
     assert 14.99 < d[0] and d[1] < 300.01 and 190 < d[2] < 210
@@ -132,7 +153,9 @@ def test_annulus_distance(spark):
 def test_pseudo_absences(spark):
     z = np.where(np.arange(400).reshape(20, 20) % 3 == 0, -5.0, 5.0)
     z[:, :3] = 5.0
-    p = spark.range(40).select("id", (35 + F.col("id") % 20 * 0.05).alias("Lat"), F.lit(-74.5).alias("Lon"), F.current_timestamp().alias("Date"), F.lit(1).alias("Presence"))
+    p = spark.range(40).select(
+        "id", (35 + F.col("id") % 20 * 0.05).alias("Lat"), F.lit(-74.5).alias("Lon"), F.current_timestamp().alias("Date"), F.lit(1).alias("Presence")
+    )
     args = (cells(spark, z), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20))
     key = lambda df: sorted((r.id, r.attempt, r.Lat, r.Lon) for r in df.collect())
     a = key(sampling.pseudo_absences(p, *args, attempts=40, wave=4, outer_km=40.0))
@@ -292,12 +315,17 @@ def test_large_ids(spark):
     df = spark.createDataFrame([(i,) for i in (1, 2**40, 2**62, 2**63 - 1)], "id long")
     got = df.select(sampling.uniform(F.col("id"), F.lit(3), 42).alias("u")).collect()
     assert all(0 <= r.u < 1 for r in got) and sampling.fixed_sample(df, 2).count() == 2
-    small = spark.range(50).select(sampling.uniform(F.col("id"), F.lit(2), 7).alias("u"), F.expr(sampling.uniform_sql("id", "2", 7)).cast("double").alias("s"))
+    small = spark.range(50).select(
+        sampling.uniform(F.col("id"), F.lit(2), 7).alias("u"), F.expr(sampling.uniform_sql("id", "2", 7)).cast("double").alias("s")
+    )
     assert all(r.u == pytest.approx(r.s) for r in small.collect())
 
 
 def test_clean_sightings(spark):
-    rows = [("27-Jan-18", 40.5, -70.0), ("27-Jan-18", 40.5, -70.0), ("2018-01-27", 40.5, -70.0), ("03/04/2018", 41.0, -70.0), (None, 41.0, -70.0), ("2018-01-27", None, -70.0)]
+    rows = [
+        ("27-Jan-18", 40.5, -70.0), ("27-Jan-18", 40.5, -70.0), ("2018-01-27", 40.5, -70.0), ("03/04/2018", 41.0, -70.0), (None, 41.0, -70.0),
+        ("2018-01-27", None, -70.0)
+    ]
     df = spark.createDataFrame(rows, SIGHTINGS)
     got = sorted(tuple(r) for r in habitat.clean_sightings(df).collect())
     assert len(got) == 4 == len({r[0] for r in got}) and all(0 <= r[0] < 2**63 and r[4] == 1 for r in got)
@@ -305,8 +333,13 @@ def test_clean_sightings(spark):
 
 
 def test_background_ids(spark):
-    p = spark.range(60).select((F.col("id") + 2**62).alias("id"), F.lit(35.4).alias("Lat"), F.lit(-74.5).alias("Lon"), F.current_timestamp().alias("Date"), F.lit(1).alias("Presence"))
-    got = habitat.with_background(p, cells(spark, np.full((20, 20), -5.0)), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20), attempts=8, wave=4, inner_km=1.0, outer_km=10.0).collect()
+    p = spark.range(60).select(
+        (F.col("id") + 2**62).alias("id"), F.lit(35.4).alias("Lat"), F.lit(-74.5).alias("Lon"), F.current_timestamp().alias("Date"),
+        F.lit(1).alias("Presence")
+    )
+    got = habitat.with_background(
+        p, cells(spark, np.full((20, 20), -5.0)), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20), attempts=8, wave=4, inner_km=1.0, outer_km=10.0
+    ).collect()
     assert len(got) == 60 * 5 == len({r.id for r in got})
 
 
@@ -339,7 +372,9 @@ def test_two_sided_p(spark):
 
 
 def test_bin_labels(spark):
-    assert spark.range(1).select(stats.bin_label(F.lit(1.234), F.lit(-5.0)).alias("l"), stats.bin_label(F.lit(1.2), F.lit(5.0), 0).alias("m")).first().asDict() == {"l": "1.23--5.00", "m": "1-5"}
+    assert spark.range(1).select(
+        stats.bin_label(F.lit(1.234), F.lit(-5.0)).alias("l"), stats.bin_label(F.lit(1.2), F.lit(5.0), 0).alias("m")
+    ).first().asDict() == {"l": "1.23--5.00", "m": "1-5"}
 
 
 def test_source_that_fails_at_run_time(spark):
@@ -399,7 +434,9 @@ class Dap(http.server.BaseHTTPRequestHandler):
         else:
             names = query.split(",")
             head = "Dataset {\n" + "".join(declared(n, [(n, len(self.axes[n]))]) for n in names) + "} x;\nData:\n"
-            body = head.encode() + b"".join(struct.pack(">II", len(self.axes[n]), len(self.axes[n])) + np.array(self.axes[n], ">f8").tobytes() for n in names)
+            body = head.encode() + b"".join(
+                struct.pack(">II", len(self.axes[n]), len(self.axes[n])) + np.array(self.axes[n], ">f8").tobytes() for n in names
+            )
         self.send_response(200)
         self.end_headers()
         self.wfile.write(body)

@@ -36,8 +36,14 @@ def parse_date(text: Column) -> Column:
     short = F.regexp_extract(t, r"^(\d{1,2})[-/ ]([A-Za-z]{3}|\d{1,2})[-/ ](\d{2})$", 3)
     century = F.when(short.cast("int") >= 69, F.lit("19")).otherwise(F.lit("20"))
     full = F.when(short != "", F.concat(F.regexp_extract(t, r"^(.*[-/ ])\d{2}$", 1), century, short)).otherwise(t)
-    month_name = F.concat(F.regexp_extract(full, r"^(\d{1,2}[-/ ])", 1), F.initcap(F.regexp_extract(full, r"^\d{1,2}[-/ ]([A-Za-z]{3})[-/ ]", 1)), F.regexp_extract(full, r"^\d{1,2}[-/ ][A-Za-z]{3}([-/ ].*)$", 1))
-    forms = [(month_name, "d-MMM-yyyy"), (month_name, "d MMM yyyy"), (full, "yyyy-MM-dd HH:mm:ss"), (full, "yyyy-MM-dd'T'HH:mm:ss"), (full, "yyyy-MM-dd"), (full, "d/M/yyyy"), (full, "d-M-yyyy"), (full, "d/M/yyyy H:mm")]
+    month_name = F.concat(
+        F.regexp_extract(full, r"^(\d{1,2}[-/ ])", 1), F.initcap(F.regexp_extract(full, r"^\d{1,2}[-/ ]([A-Za-z]{3})[-/ ]", 1)),
+        F.regexp_extract(full, r"^\d{1,2}[-/ ][A-Za-z]{3}([-/ ].*)$", 1)
+    )
+    forms = [
+        (month_name, "d-MMM-yyyy"), (month_name, "d MMM yyyy"), (full, "yyyy-MM-dd HH:mm:ss"), (full, "yyyy-MM-dd'T'HH:mm:ss"), (full, "yyyy-MM-dd"),
+        (full, "d/M/yyyy"), (full, "d-M-yyyy"), (full, "d/M/yyyy H:mm")
+    ]
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for c, f in forms])
 
 

@@ -34,7 +34,9 @@ def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float =
     while True:
         last = width > 2 * KM_PER_DEGREE * span  # one ring of tiles spans everything
         tile = lambda df, w=width: df.withColumns({"_ty": F.floor(F.col("_y") / w), "_tx": F.floor(F.col("_x") / w)})
-        near = tile(left).withColumn("_n", F.explode(around)).withColumns({"_ty": F.col("_ty") + F.col("_n.a"), "_tx": F.col("_tx") + F.col("_n.b")}).withColumnsRenamed({"_y": "_py", "_x": "_px"})
+        near = tile(left).withColumn("_n", F.explode(around)).withColumns(
+            {"_ty": F.col("_ty") + F.col("_n.a"), "_tx": F.col("_tx") + F.col("_n.b")}
+        ).withColumnsRenamed({"_y": "_py", "_x": "_px"})
         met = near.join(tile(right), ["_ty", "_tx"])
         d = F.pow(F.col("_py") - F.col("_y"), 2) + F.pow(F.col("_px") - F.col("_x"), 2)
         best = met.groupBy(key).agg(F.min(F.struct(d.alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b"))

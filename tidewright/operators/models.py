@@ -17,16 +17,25 @@ from .ordering import quantiles
 def fit_scaling(train: DataFrame, columns: list[str]) -> DataFrame:
     """OP-96, 97: one row with each column's exact median, and mean and population deviation after imputing it."""
     at = quantiles(train, columns, [0.5])
-    med = stage(at.agg(*[F.max(F.when(F.col("variable") == c, F.col("at")[0])).alias(f"{c}_median") for c in columns]), scratch(train.sparkSession, "medians"))
+    med = stage(
+        at.agg(*[F.max(F.when(F.col("variable") == c, F.col("at")[0])).alias(f"{c}_median") for c in columns]), scratch(train.sparkSession, "medians")
+    )
     filled = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).crossJoin(F.broadcast(med))
     x = lambda c: F.coalesce(c, F.coalesce(f"{c}_median", F.lit(0.0)))
-    return filled.agg(*[F.coalesce(F.first(f"{c}_median"), F.lit(0.0)).alias(f"{c}_median") for c in columns], *[F.avg(x(c)).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(x(c)).alias(f"{c}_sd") for c in columns])
+    return filled.agg(
+        *[F.coalesce(F.first(f"{c}_median"), F.lit(0.0)).alias(f"{c}_median") for c in columns], *[F.avg(x(c)).alias(f"{c}_mean") for c in columns],
+        *[F.stddev_pop(x(c)).alias(f"{c}_sd") for c in columns]
+    )
 
 
 def scale(df: DataFrame, columns: list[str], fitted: DataFrame) -> DataFrame:
     """OP-96, 97: imputes and standardises; a constant column is divided by 1."""
     row = df.crossJoin(F.broadcast(fitted))
-    done = {c: (F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) - F.col(f"{c}_mean")) / F.when(F.col(f"{c}_sd") > 0, F.col(f"{c}_sd")).otherwise(1.0) for c in columns}
+    done = {
+        c: (
+            F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) - F.col(f"{c}_mean")
+        ) / F.when(F.col(f"{c}_sd") > 0, F.col(f"{c}_sd")).otherwise(1.0) for c in columns
+    }
     return row.withColumns(done).drop(*fitted.columns)
 
 
@@ -44,23 +53,35 @@ def fit_logistic(train: DataFrame, columns: list[str], label: str = "Presence",
     n = n1 + n0
     weighed = train.withColumn("_w", F.when(F.col(label) == 1, n / (2.0 * max(n1, 1))).otherwise(n / (2.0 * max(n0, 1))))
     x = VectorAssembler(inputCols=columns, outputCol="features").transform(weighed)
-    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="_w", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-9).fit(x)
+    return LogisticRegression(
+        featuresCol="features", labelCol=label, weightCol="_w", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False,
+        maxIter=iterations, tol=1e-9
+    ).fit(x)
 
 
 def odds(model, columns: list[str], spark: SparkSession) -> DataFrame:
     """OP-80, 93, 99: coefficient, odds ratio and its text for each feature, by size; the intercept is a row of its own."""
     rows = [(k, float(v)) for k, v in zip(columns, model.coefficients, strict=True)]
     table = spark.createDataFrame([*rows, ("(intercept)", float(model.intercept))], "feature string, coefficient double")
-    return table.withColumns({"odds_ratio": F.exp("coefficient"), "change": odds_text(F.col("coefficient"))}).orderBy(F.desc(F.abs("coefficient")), "feature")
+    return table.withColumns(
+        {"odds_ratio": F.exp("coefficient"), "change": odds_text(F.col("coefficient"))}
+    ).orderBy(F.desc(F.abs("coefficient")), "feature")
 
 
 def mark_missing(df: DataFrame, columns: list[str], sentinel: float = -1e6) -> tuple[DataFrame, list[str]]:
     """OP-101: trees take no NaN: a missing value becomes a sentinel and an indicator column."""
-    out = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in columns} | {c: F.coalesce(F.col(c).cast("double"), F.lit(sentinel)) for c in columns})
+    out = df.withColumns(
+        {f"{c}_missing": F.col(c).isNull().cast("double") for c in columns} | {
+            c: F.coalesce(F.col(c).cast("double"), F.lit(sentinel)) for c in columns
+        }
+    )
     return out, [*columns, *[f"{c}_missing" for c in columns]]
 
 
-def fit_trees(train: DataFrame, columns: list[str], label: str = "Presence", trees: int = 500, depth: int = 6, step: float = 0.05, subsample: float = 0.8, least: int = 5, seed: int = 42, checkpoint_every: int = 10) -> PipelineModel:
+def fit_trees(
+    train: DataFrame, columns: list[str], label: str = "Presence", trees: int = 500, depth: int = 6, step: float = 0.05, subsample: float = 0.8,
+    least: int = 5, seed: int = 42, checkpoint_every: int = 10
+) -> PipelineModel:
     """OP-100, 102: boosted trees over marked columns, positives weighed by the classes' ratio (4 without positives).
 
     Columns are drawn for each node rather than each tree, and split penalties have no counterpart.
@@ -68,7 +89,13 @@ def fit_trees(train: DataFrame, columns: list[str], label: str = "Presence", tre
     n1, n0 = class_weights(train, label)
     weight = n0 / n1 if n1 else 4.0
     weighed = train.withColumn("_w", F.when(F.col(label) == 1, weight).otherwise(1.0))
-    stages = [VectorAssembler(inputCols=columns, outputCol="features"), GBTClassifier(featuresCol="features", labelCol=label, weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=str(subsample), minInstancesPerNode=least, maxBins=64, seed=seed, checkpointInterval=checkpoint_every)]
+    stages = [
+        VectorAssembler(inputCols=columns, outputCol="features"),
+        GBTClassifier(
+            featuresCol="features", labelCol=label, weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
+            featureSubsetStrategy=str(subsample), minInstancesPerNode=least, maxBins=64, seed=seed, checkpointInterval=checkpoint_every
+        )
+    ]
     return Pipeline(stages=stages).fit(weighed)
 
 
@@ -80,7 +107,9 @@ def probability(model: Transformer, df: DataFrame) -> DataFrame:
 def importances(model: PipelineModel, columns: list[str], spark: SparkSession) -> DataFrame:
     """OP-80, 105: share of impurity decrease of each feature, the largest first."""
     values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return spark.createDataFrame(
+        [(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, importance double"
+    ).orderBy(F.desc("importance"), "feature")
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -137,16 +166,23 @@ def kernel_pca(df: DataFrame, columns: list[str], gamma: float = 0.1, components
         return pd.DataFrame({id_: pdf[id_].to_numpy(), **{c: z[:, i] for i, c in enumerate(names)}})
 
     kind = df.schema[id_].dataType.simpleString()
-    return df.select(id_, *columns, F.lit(0).alias("_g")).groupBy("_g").applyInPandas(lambda pdf: solve(pdf), f"{id_} {kind}, " + ", ".join(f"{c} double" for c in names))
+    return df.select(id_, *columns, F.lit(0).alias("_g")).groupBy("_g").applyInPandas(
+        lambda pdf: solve(pdf), f"{id_} {kind}, " + ", ".join(f"{c} double" for c in names)
+    )
 
 
 def separability(df: DataFrame, axes: tuple[str, str] = ("pc1", "pc2"), label: str = "Presence") -> DataFrame:
     """OP-107: distance of the class centroids over the mean of the classes' deviation of distances to their centroid."""
     a, b = axes
     centre = df.groupBy(label).agg(F.avg(a).alias("_a"), F.avg(b).alias("_b"))
-    spread = df.join(F.broadcast(centre), label).groupBy(label).agg(F.first("_a").alias("a"), F.first("_b").alias("b"), F.stddev_pop(F.sqrt(F.pow(F.col(a) - F.col("_a"), 2) + F.pow(F.col(b) - F.col("_b"), 2))).alias("s"))
+    spread = df.join(F.broadcast(centre), label).groupBy(label).agg(
+        F.first("_a").alias("a"), F.first("_b").alias("b"),
+        F.stddev_pop(F.sqrt(F.pow(F.col(a) - F.col("_a"), 2) + F.pow(F.col(b) - F.col("_b"), 2))).alias("s")
+    )
     pick = lambda c, y: F.max(F.when(F.col(label) == y, F.col(c)))
-    both = spread.agg(F.sqrt(F.pow(pick("a", 1) - pick("a", 0), 2) + F.pow(pick("b", 1) - pick("b", 0), 2)).alias("distance"), F.avg("s").alias("spread"))
+    both = spread.agg(
+        F.sqrt(F.pow(pick("a", 1) - pick("a", 0), 2) + F.pow(pick("b", 1) - pick("b", 0), 2)).alias("distance"), F.avg("s").alias("spread")
+    )
     out = both.withColumn("separability", F.when(F.col("spread") > 0, F.col("distance") / F.col("spread")).otherwise(0.0))
     return out.withColumn("verdict", F.when(F.col("separability") > 1, "strong").when(F.col("separability") > 0.5, "moderate").otherwise("weak"))
 

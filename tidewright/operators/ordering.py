@@ -44,9 +44,13 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFra
     totals = ranked.groupBy("variable").agg(F.max("upto").alias("n"))
     places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(shares)])
     rank = lambda x: (F.col("n") - 1) * x["p"]
-    wanted = F.transform(places, lambda x: F.struct(x["i"].alias("i"), rank(x).alias("rank"), F.floor(rank(x)).alias("lo"), F.ceil(rank(x)).alias("hi")))
+    wanted = F.transform(
+        places, lambda x: F.struct(x["i"].alias("i"), rank(x).alias("rank"), F.floor(rank(x)).alias("lo"), F.ceil(rank(x)).alias("hi"))
+    )
     holds = lambda k: (k >= F.col("upto") - F.col("c")) & (k < F.col("upto"))
-    found = ranked.join(F.broadcast(totals.withColumn("wanted", wanted)), "variable").withColumn("w", F.explode(F.filter("wanted", lambda x: holds(x["lo"]) | holds(x["hi"]))))
+    found = ranked.join(F.broadcast(totals.withColumn("wanted", wanted)), "variable").withColumn(
+        "w", F.explode(F.filter("wanted", lambda x: holds(x["lo"]) | holds(x["hi"])))
+    )
     low, high = F.max(F.when(holds(F.col("w.lo")), F.col("value"))), F.max(F.when(holds(F.col("w.hi")), F.col("value")))
     each = found.groupBy("variable", "w.i").agg(low.alias("lo"), high.alias("hi"), F.max(F.col("w.rank") - F.col("w.lo")).alias("part"))
     value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
@@ -61,4 +65,6 @@ def around(marks: DataFrame, x: str, mark: str) -> DataFrame:
     before, after = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("_block", F.max("_most").over(before).alias("_before"), F.min("_least").over(after).alias("_after"))  # a row for each block
     met = cut.join(F.broadcast(carried), "_block")
-    return met.withColumns({"below": F.coalesce(F.max(mark).over(up), "_before"), "above": F.coalesce(F.min(mark).over(down), "_after")}).drop("_block", "_before", "_after")
+    return met.withColumns(
+        {"below": F.coalesce(F.max(mark).over(up), "_before"), "above": F.coalesce(F.min(mark).over(down), "_after")}
+    ).drop("_block", "_before", "_after")

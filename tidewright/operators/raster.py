@@ -56,7 +56,10 @@ def sample_bilinear(points: DataFrame, grid: DataFrame, lat: Axis, lon: Axis, ou
     placed = points.where(inside).select(key, *on, i.alias("_i"), j.alias("_j"), (y - i).alias("_y"), (x - j).alias("_x"))
     corners = placed.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])))
     weight = F.when(F.col("_c.a") == 1, F.col("_y")).otherwise(1 - F.col("_y")) * F.when(F.col("_c.b") == 1, F.col("_x")).otherwise(1 - F.col("_x"))
-    corners = corners.select(key, *on, (F.col("_i") + F.col("_c.a")).cast("int").alias("lat_idx"), (F.col("_j") + F.col("_c.b")).cast("int").alias("lon_idx"), weight.alias("_w"))
+    corners = corners.select(
+        key, *on, (F.col("_i") + F.col("_c.a")).cast("int").alias("lat_idx"), (F.col("_j") + F.col("_c.b")).cast("int").alias("lon_idx"),
+        weight.alias("_w")
+    )
     met = corners.join(grid.select("lat_idx", "lon_idx", *on, "value"), ["lat_idx", "lon_idx", *on])
     value = met.groupBy(key).agg(F.when(F.count("value") == 4, F.sum(F.col("_w") * F.col("value"))).alias(out))
     return points.join(value, key, "left")
@@ -64,7 +67,10 @@ def sample_bilinear(points: DataFrame, grid: DataFrame, lat: Axis, lon: Axis, ou
 
 def bounding_box(points: DataFrame, buffer: float, by: tuple[str, ...] = ()) -> DataFrame:
     """OP-37, 50: the box around the points of each group, widened."""
-    return points.groupBy(*by).agg((F.min("Lat") - buffer).alias("lat_min"), (F.max("Lat") + buffer).alias("lat_max"), (F.min("Lon") - buffer).alias("lon_min"), (F.max("Lon") + buffer).alias("lon_max"))
+    return points.groupBy(*by).agg(
+        (F.min("Lat") - buffer).alias("lat_min"), (F.max("Lat") + buffer).alias("lat_max"), (F.min("Lon") - buffer).alias("lon_min"),
+        (F.max("Lon") + buffer).alias("lon_max")
+    )
 
 
 def within_box(grid: DataFrame, box: DataFrame) -> DataFrame:

@@ -34,13 +34,20 @@ def ring_points(points: DataFrame, attempts: range, inner_km: float = 15.0, oute
     """OP-40, 42: one candidate an attempt for each point (id, Lat, Lon and more), as Lat and Lon; rounded to five places."""
     tries = F.sequence(F.lit(attempts.start).cast("long"), F.lit(attempts.stop - 1).cast("long"))
     # a step of columns for each, so that no number is drawn twice
-    drawn = points.withColumn("attempt", F.explode(tries)).withColumns({"_u": uniform(F.col("id"), F.col("attempt"), seed), "_v": uniform(F.col("id"), F.col("attempt"), seed + 1)})
+    drawn = points.withColumn("attempt", F.explode(tries)).withColumns(
+        {"_u": uniform(F.col("id"), F.col("attempt"), seed), "_v": uniform(F.col("id"), F.col("attempt"), seed + 1)}
+    )
     lat, lon = annulus_point(F.col("Lat"), F.col("Lon"), inner_km, outer_km, F.col("_u"), F.col("_v"))
     placed = drawn.withColumns({"_lat": lat, "_lon": lon})
-    return placed.withColumns({"Lat": F.round(clamp_lat(F.col("_lat")), 5), "Lon": F.round(wrap_lon(F.col("_lon")), 5)}).drop("_u", "_v", "_lat", "_lon")
+    return placed.withColumns(
+        {"Lat": F.round(clamp_lat(F.col("_lat")), 5), "Lon": F.round(wrap_lon(F.col("_lon")), 5)}
+    ).drop("_u", "_v", "_lat", "_lon")
 
 
-def pseudo_absences(presences: DataFrame, altitude: DataFrame, lat: Axis, lon: Axis, each: int = 4, attempts: int = 201, wave: int = 16, seed: int = 42, inner_km: float = 15.0, outer_km: float = 300.0) -> DataFrame:
+def pseudo_absences(
+    presences: DataFrame, altitude: DataFrame, lat: Axis, lon: Axis, each: int = 4, attempts: int = 201, wave: int = 16, seed: int = 42,
+    inner_km: float = 15.0, outer_km: float = 300.0
+) -> DataFrame:
     """OP-41: up to ``each`` ocean points around each presence, the first that qualify of ``attempts``.
 
     A first wave of attempts settles most points; only those still short go on to the rest. A point that stays short

@@ -34,14 +34,21 @@ def class_balance(df: DataFrame, label: str = "Presence", low: float = 3.5, high
 def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
     """OP-47: valid and missing rows of each variable, percentage valid and its status."""
     agg = df.agg(F.count("*").alias("_n"), *[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns])
-    out = agg.unpivot(["_n"], columns, "variable", "valid").select("variable", "valid", (F.col("_n") - F.col("valid")).alias("missing"), (100.0 * ratio(F.col("valid").cast("double"), F.col("_n"))).alias("pct"))
+    out = agg.unpivot(["_n"], columns, "variable", "valid").select(
+        "variable", "valid", (F.col("_n") - F.col("valid")).alias("missing"), (100.0 * ratio(F.col("valid").cast("double"), F.col("_n"))).alias("pct")
+    )
     return out.withColumn("status", F.when(F.col("pct") > 90, "ok").when(F.col("pct") > 50, "warn").otherwise("bad"))
 
 
 def plausibility(df: DataFrame, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """OP-48, 31: range, mean and rows outside the limits of each variable that has values."""
     limits = limits or PLAUSIBLE
-    parts = [F.struct(F.lit(c).alias("variable"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.count_if(outside(F.col(c), *limits[c])).alias("outliers"), ((F.min(c) >= limits[c][0]) & (F.max(c) <= limits[c][1])).alias("in_range")) for c in limits]
+    parts = [
+        F.struct(
+            F.lit(c).alias("variable"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"),
+            F.count_if(outside(F.col(c), *limits[c])).alias("outliers"), ((F.min(c) >= limits[c][0]) & (F.max(c) <= limits[c][1])).alias("in_range")
+        ) for c in limits
+    ]
     return df.agg(F.array(*parts).alias("x")).select(F.inline("x")).where(F.col("min").isNotNull())
 
 
@@ -76,7 +83,9 @@ def binned_rate(df: DataFrame, column: str, q: int = 10, label: str = "Presence"
     edges = stage(quantile_edges(used, column, q), scratch(df.sparkSession, "edges"))
     rates = _in_bin(used, column, edges).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
     lo, hi = F.element_at("edges", F.col("bin") + 1), F.coalesce(F.try_element_at("edges", F.col("bin") + 2), F.element_at("edges", -1))
-    return rates.crossJoin(F.broadcast(edges)).select(*by, "bin", lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2).alias("mid"), bin_label(lo, hi).alias("label"), "n", "rate")
+    return rates.crossJoin(F.broadcast(edges)).select(
+        *by, "bin", lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2).alias("mid"), bin_label(lo, hi).alias("label"), "n", "rate"
+    )
 
 
 def peak_bin(rates: DataFrame) -> DataFrame:
@@ -99,10 +108,16 @@ def month_counts(df: DataFrame, date: str = "Date") -> DataFrame:
 def month_extremes(df: DataFrame, date: str = "Date") -> DataFrame:
     """OP-55: the months with most and fewest rows, the earlier of equals; months without rows don't count."""
     n = df.where(F.col(date).isNotNull()).groupBy(F.month(date).alias("month")).agg(F.count("*").alias("n"))
-    return n.agg(F.max_by("month", F.struct("n", -F.col("month"))).alias("peak_month"), F.max("n").alias("peak_n"), F.min_by("month", F.struct("n", "month")).alias("low_month"), F.min("n").alias("low_n"))
+    return n.agg(
+        F.max_by("month", F.struct("n", -F.col("month"))).alias("peak_month"), F.max("n").alias("peak_n"),
+        F.min_by("month", F.struct("n", "month")).alias("low_month"), F.min("n").alias("low_n")
+    )
 
 
-def enrichment(df: DataFrame, depth: tuple[float, float] = (50.0, 200.0), label: str = "Presence", bathymetry: str = "Bathymetry", front: str = "Is_Thermal_Front") -> DataFrame:
+def enrichment(
+    df: DataFrame, depth: tuple[float, float] = (50.0, 200.0), label: str = "Presence", bathymetry: str = "Bathymetry",
+    front: str = "Is_Thermal_Front"
+) -> DataFrame:
     """OP-57: share in a depth band, on a front, and both, for each class, and the classes' quotient.
 
     The depth share is of rows with a depth, the other two are of all rows.
@@ -111,9 +126,13 @@ def enrichment(df: DataFrame, depth: tuple[float, float] = (50.0, 200.0), label:
     on = F.coalesce(F.col(front).cast("boolean"), F.lit(False))
     pct = lambda a, b: 100.0 * ratio(a.cast("double"), b)
     n, known = F.count("*"), F.count(bathymetry)
-    by = df.groupBy(label).agg(pct(F.count_if(band), known).alias("depth"), pct(F.count_if(on), n).alias("front"), pct(F.count_if(band & on), n).alias("both"))
+    by = df.groupBy(label).agg(
+        pct(F.count_if(band), known).alias("depth"), pct(F.count_if(on), n).alias("front"), pct(F.count_if(band & on), n).alias("both")
+    )
     flat = by.unpivot([label], ["depth", "front", "both"], "measure", "pct")
-    both = flat.groupBy("measure").agg(F.max(F.when(F.col(label) == 1, F.col("pct"))).alias("pct_presence"), F.max(F.when(F.col(label) == 0, F.col("pct"))).alias("pct_absence"))
+    both = flat.groupBy("measure").agg(
+        F.max(F.when(F.col(label) == 1, F.col("pct"))).alias("pct_presence"), F.max(F.when(F.col(label) == 0, F.col("pct"))).alias("pct_absence")
+    )
     return both.withColumn("factor", F.when(F.col("pct_absence") > 0, F.col("pct_presence") / F.col("pct_absence")))
 
 
@@ -141,11 +160,19 @@ def histogram(df: DataFrame, column: str, bins: int = 80) -> DataFrame:
     """OP-60: density in equal bins from the least to the greatest value, the last closed. A constant column spans one unit around it."""
     v = F.col(column)
     span = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("total"))
-    span = span.select(F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "total")
+    span = span.select(
+        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "total"
+    )
     width = (F.col("hi") - F.col("lo")) / bins
-    n = df.where(v.isNotNull()).crossJoin(F.broadcast(span)).groupBy(F.least(F.floor((v - F.col("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    n = df.where(v.isNotNull()).crossJoin(F.broadcast(span)).groupBy(
+        F.least(F.floor((v - F.col("lo")) / width), F.lit(bins - 1)).cast("int").alias("bin")
+    ).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(n, "bin", "left").crossJoin(F.broadcast(span)).select("bin", (F.col("lo") + F.col("bin") * width).alias("lo"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density"))
+    return every.join(n, "bin", "left").crossJoin(F.broadcast(span)).select(
+        "bin", (F.col("lo") + F.col("bin") * width).alias("lo"), F.coalesce("n", F.lit(0)).alias("n"),
+        (F.coalesce("n", F.lit(0)) / (F.col("total") * width)).alias("density")
+    )
 
 
 def kde(df: DataFrame, column: str, points: int = 200, pad: float = 0.0) -> DataFrame:
@@ -183,22 +210,38 @@ def kde(df: DataFrame, column: str, points: int = 200, pad: float = 0.0) -> Data
 def kde_2d(df: DataFrame, a: str, b: str, points: int = 20) -> DataFrame:
     """OP-62: Gaussian density in two dimensions on a lattice, bandwidth n**(-1/6) times the covariance. Meant for samples of bounded size."""
     used = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    s = used.agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.count("*").alias("n"), F.var_samp("u").alias("uu"), F.var_samp("v").alias("vv"), F.covar_samp("u", "v").alias("uv"))
+    s = used.agg(
+        F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.count("*").alias("n"),
+        F.var_samp("u").alias("uu"), F.var_samp("v").alias("vv"), F.covar_samp("u", "v").alias("uv")
+    )
     k = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
-    s = s.select("u0", "u1", "v0", "v1", "n", *[(F.col(c) * k).alias(c) for c in ("uu", "vv", "uv")]).withColumn("det", F.nullif(F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv"), F.lit(0.0)))
+    s = s.select(
+        "u0", "u1", "v0", "v1", "n", *[(F.col(c) * k).alias(c) for c in ("uu", "vv", "uv")]
+    ).withColumn("det", F.nullif(F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv"), F.lit(0.0)))
     cell = F.explode(F.sequence(F.lit(0), F.lit(points * points - 1)))
     met = used.crossJoin(F.broadcast(s)).withColumn("cell", cell).withColumns({"i": F.floor(F.col("cell") / points), "j": F.col("cell") % points})
-    met = met.withColumns({"x": F.col("u0") + (F.col("u1") - F.col("u0")) * F.col("i") / (points - 1), "y": F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("j") / (points - 1)})
+    met = met.withColumns(
+        {
+            "x": F.col("u0") + (F.col("u1") - F.col("u0")) * F.col("i") / (points - 1),
+            "y": F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("j") / (points - 1)
+        }
+    )
     du, dv = F.col("x") - F.col("u"), F.col("y") - F.col("v")
     q = (F.col("vv") * du * du - 2 * F.col("uv") * du * dv + F.col("uu") * dv * dv) / F.col("det")
-    return met.groupBy("cell").agg(F.first("x").alias("x"), F.first("y").alias("y"), (F.sum(F.exp(-q / 2)) / (F.first("n") * 2 * math.pi * F.sqrt(F.first("det")))).alias("density"))
+    return met.groupBy("cell").agg(
+        F.first("x").alias("x"), F.first("y").alias("y"),
+        (F.sum(F.exp(-q / 2)) / (F.first("n") * 2 * math.pi * F.sqrt(F.first("det")))).alias("density")
+    )
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
     """The Mann-Whitney figures of each variable, from variable, v, c (rows) and c1 (positives) of distinct values."""
     ranked = running(counts, "v", {"c": "upto"}, by=("variable",))
     before = F.col("upto") - F.col("c")
-    s = ranked.groupBy("variable").agg(F.sum(F.col("c1") * (before + (F.col("c") + 1) / 2.0)).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), 3.0) - F.col("c")).alias("ties"))
+    s = ranked.groupBy("variable").agg(
+        F.sum(F.col("c1") * (before + (F.col("c") + 1) / 2.0)).alias("r1"), F.sum("c1").alias("n1"), F.sum("c").alias("n"),
+        F.sum(F.pow(F.col("c").cast("double"), 3.0) - F.col("c")).alias("ties")
+    )
     n1, n0, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n").cast("double")
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
     spread = F.sqrt(n1 * n0 / 12.0 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
@@ -233,5 +276,7 @@ def two_sided_p(z: Column) -> Column:
 
 def rank_tests(df: DataFrame, columns: list[str], label: str = "Presence", least: int = 10) -> DataFrame:
     """OP-72, 79: tests of several variables in one pass, with p and significance, by size of effect; classes below ``least`` rows are skipped."""
-    tested = _ranked(_value_counts(df, columns, label)).where((F.col("n1") >= least) & (F.col("n0") >= least)).withColumn("p", two_sided_p(F.col("z")))
+    tested = _ranked(_value_counts(df, columns, label)).where(
+        (F.col("n1") >= least) & (F.col("n0") >= least)
+    ).withColumn("p", two_sided_p(F.col("z")))
     return tested.withColumn("significance", stars(F.col("p"))).orderBy(F.desc(F.abs("r")))

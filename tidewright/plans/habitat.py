@@ -53,7 +53,9 @@ def with_front(points: DataFrame, sst: DataFrame, spec: GridSpec) -> DataFrame:
     """OP-26, 67: SST_Gradient and Is_Thermal_Front; a point without SST has neither."""
     g = raster.gradient(sst, spec.lat.step, spec.lon.step, by=("time",)).withColumn("value", F.col("gradient"))
     out = sample(points, g, spec, "_g")
-    return out.withColumn("SST_Gradient", F.when(F.col("SST").isNotNull(), F.col("_g"))).withColumn("Is_Thermal_Front", flag_above(F.col("SST_Gradient"), FRONT_THRESHOLD)).drop("_g")
+    return out.withColumn("SST_Gradient", F.when(F.col("SST").isNotNull(), F.col("_g"))).withColumn(
+        "Is_Thermal_Front", flag_above(F.col("SST_Gradient"), FRONT_THRESHOLD)
+    ).drop("_g")
 
 
 def patched(points: DataFrame, grid: DataFrame, spec: GridSpec, column: str) -> DataFrame:
@@ -72,7 +74,9 @@ def with_relief(points: DataFrame, altitude: DataFrame, spec: GridSpec) -> DataF
 
 def features(df: DataFrame) -> DataFrame:
     """OP-22, 27, 87: Month, the flag as a number, the features in their order."""
-    return df.withColumns({"Month": F.month("Date"), "Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int")}).select("id", "Date", "Lat", "Lon", "Presence", *FEATURE_ORDER)
+    return df.withColumns(
+        {"Month": F.month("Date"), "Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int")}
+    ).select("id", "Date", "Lat", "Lon", "Presence", *FEATURE_ORDER)
 
 
 def train_and_choose(df: DataFrame, trees: int = 500, depth: int = 6, least_recall: float = 0.80):

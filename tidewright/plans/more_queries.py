@@ -16,7 +16,9 @@ from .surrogates import GRID, OBS, PTS, SCORED, VARIABLES
 
 # ---- sources and sinks ------------------------------------------------------------------------------------------
 
-_PART = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DoubleType())])
+_PART = T.StructType(
+    [T.StructField("p_partkey", T.LongType()), T.StructField("p_size", T.IntegerType()), T.StructField("p_retailprice", T.DoubleType())]
+)
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part")
@@ -67,14 +69,21 @@ def failing_source(spark, sf):
 def raw_sightings(spark, sf):
     """OP-01, 02, 16, 17, 20, 84: from a CSV of raw sightings, with missing fields, dates in four forms and repeated rows."""
     clean = habitat.clean_sightings(_raw(spark, sf))
-    return clean.groupBy(F.date_format("Date", "yyyy-MM-dd").alias("Date"), "Lat", "Lon", "Presence").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+    return clean.groupBy(
+        F.date_format("Date", "yyyy-MM-dd").alias("Date"), "Lat", "Lon", "Presence"
+    ).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
 
 
 def _raw(spark, sf):
     """Sightings as a CSV file has them: every fifth twice, some without a date or a latitude."""
     p = S.pts(spark, sf)
-    forms = F.when(F.col("id") % 4 == 0, F.date_format("Date", "d-MMM-yy")).when(F.col("id") % 4 == 1, F.date_format("Date", "yyyy-MM-dd")).when(F.col("id") % 4 == 2, F.date_format("Date", "dd/MM/yyyy")).otherwise(F.upper(F.date_format("Date", "dd-MMM-yyyy")))
-    raw = p.select("id", F.when(F.col("id") % 11 != 0, forms).alias("SIGHTINGDATE"), F.when(F.col("id") % 13 != 0, F.col("Lat")).alias("LAT"), F.col("Lon").alias("LON"))
+    forms = F.when(F.col("id") % 4 == 0, F.date_format("Date", "d-MMM-yy")).when(
+        F.col("id") % 4 == 1, F.date_format("Date", "yyyy-MM-dd")
+    ).when(F.col("id") % 4 == 2, F.date_format("Date", "dd/MM/yyyy")).otherwise(F.upper(F.date_format("Date", "dd-MMM-yyyy")))
+    raw = p.select(
+        "id", F.when(F.col("id") % 11 != 0, forms).alias("SIGHTINGDATE"), F.when(F.col("id") % 13 != 0, F.col("Lat")).alias("LAT"),
+        F.col("Lon").alias("LON")
+    )
     path = tables.scratch(spark, "sightings")
     tables.write_csv(raw.unionByName(raw.where("id % 5 = 0")).drop("id"), path)
     return tables.required(lambda: tables.read_csv(spark, path, SIGHTINGS), "sightings")
@@ -98,7 +107,11 @@ def cube_scan(spark, sf):
 
 # ---- models -----------------------------------------------------------------------------------------------------
 
-_SCALED = "m AS (SELECT " + ", ".join(f"median({v}) AS m_{v}" for v in VARIABLES) + " FROM obs), f AS (SELECT Presence, " + ", ".join(f"coalesce({v}, m_{v}) AS {v}" for v in VARIABLES) + " FROM obs, m), s AS (SELECT " + ", ".join(f"avg({v}) AS a_{v}, stddev_pop({v}) AS d_{v}" for v in VARIABLES) + " FROM f)"
+_SCALED = "m AS (SELECT " + ", ".join(f"median({v}) AS m_{v}" for v in VARIABLES) + " FROM obs), f AS (SELECT Presence, " + ", ".join(
+    f"coalesce({v}, m_{v}) AS {v}" for v in VARIABLES
+) + " FROM obs, m), s AS (SELECT " + ", ".join(
+    f"avg({v}) AS a_{v}, stddev_pop({v}) AS d_{v}" for v in VARIABLES
+) + " FROM f)"
 
 
 @query("SELECT Presence, " + ", ".join(f"round(avg(({v} - a_{v}) / d_{v}), 6) AS {v}" for v in VARIABLES) + " FROM f, s GROUP BY 1", OBS, _SCALED)
@@ -114,7 +127,9 @@ def logistic_odds(spark, sf):
     """OP-93, 98, 99."""
     o = S.obs(spark, sf)
     x = models.scale(o, VARIABLES, models.fit_scaling(o, VARIABLES)).select("Presence", *VARIABLES)
-    return models.odds(models.fit_logistic(x, VARIABLES, iterations=100), VARIABLES, spark).select("feature", _r("coefficient", digits=4), _r("odds_ratio", digits=4), "change")
+    return models.odds(models.fit_logistic(x, VARIABLES, iterations=100), VARIABLES, spark).select(
+        "feature", _r("coefficient", digits=4), _r("odds_ratio", digits=4), "change"
+    )
 
 
 def _trees(spark, sf, n=10):
@@ -141,7 +156,10 @@ def tree_scores(spark, sf):
 
 def _ten(spark, sf):
     """Observations with all ten features, those that the surrogate lacks made from others."""
-    made = {"SST_Gradient": F.col("Salinity") * 0.8, "Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date"), "Bathy_Slope": F.col("SST") / 10, "Dist_to_Shore_km": -F.col("Bathymetry") / 5, "Dist_to_Shelf_km": F.col("Chlorophyll") * 1000}
+    made = {
+        "SST_Gradient": F.col("Salinity") * 0.8, "Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date"),
+        "Bathy_Slope": F.col("SST") / 10, "Dist_to_Shore_km": -F.col("Bathymetry") / 5, "Dist_to_Shelf_km": F.col("Chlorophyll") * 1000
+    }
     return S.obs(spark, sf).withColumns(made).select("Presence", *FEATURE_ORDER)
 
 
@@ -151,8 +169,12 @@ def scenario_scores(spark, sf):
     marked, columns = models.mark_missing(_ten(spark, sf), FEATURE_ORDER)
     model = models.fit_trees(marked, columns, trees=10, depth=4)
     rows = [
-        ("warm, shallow, near land", 45.0, 0.01, 0.02, -100.0, 0.01, 1.0, 4, 4.5, 20.0, 10.0), ("cold, deep, far out", 2.0, 0.08, 0.1, -1000.0, 0.08, 0.0, 12, 0.2, 200.0, 80.0),
-        ("no temperature", None, 0.04, 0.05, -500.0, None, 0.0, 7, None, 100.0, 40.0), ("middling", 25.0, 0.04, 0.05, -500.0, 0.04, 0.0, 7, 2.5, 100.0, 40.0),
+        (
+            "warm, shallow, near land", 45.0, 0.01, 0.02, -100.0, 0.01, 1.0, 4, 4.5, 20.0, 10.0
+        ), ("cold, deep, far out", 2.0, 0.08, 0.1, -1000.0, 0.08, 0.0, 12, 0.2, 200.0, 80.0),
+        (
+            "no temperature", None, 0.04, 0.05, -500.0, None, 0.0, 7, None, 100.0, 40.0
+        ), ("middling", 25.0, 0.04, 0.05, -500.0, 0.04, 0.0, 7, 2.5, 100.0, 40.0),
     ]
     named, _ = models.mark_missing(models.scenarios(spark, rows), FEATURE_ORDER)
     path = tables.scratch(spark, "threshold")
@@ -186,14 +208,24 @@ def _features(spark, sf):
     altitude = grid.select("lat_idx", "lon_idx", "lat", "lon", F.col("altitude").alias("value"))
     still = GridSpec("value", lat, S.LON)
     days = spark.range(3).select((F.lit("1995-01-01 09:00:00").cast("timestamp") + F.make_interval(years=F.col("id").cast("int") * 2)).alias("time"))
-    sst = grid.crossJoin(F.broadcast(days)).select("time", "lat_idx", "lon_idx", "lat", "lon", (F.col("value") / 2 + F.month("time") + F.year("time") % 7).alias("value"))
+    sst = grid.crossJoin(F.broadcast(days)).select(
+        "time", "lat_idx", "lon_idx", "lat", "lon", (F.col("value") / 2 + F.month("time") + F.year("time") % 7).alias("value")
+    )
     # each variable's result is written before the next is sampled, as a long chain of joins would be run again by each use of it
     put = lambda df: tables.stage(df, tables.scratch(spark, "variable"))
-    p = put(habitat.with_background(habitat.clean_sightings(_raw(spark, sf)), altitude, lat, S.LON, each=2, attempts=12, wave=6, inner_km=5.0, outer_km=30.0))
+    p = put(
+        habitat.with_background(
+            habitat.clean_sightings(_raw(spark, sf)), altitude, lat, S.LON, each=2, attempts=12, wave=6, inner_km=5.0, outer_km=30.0
+        )
+    )
     p = put(habitat.sample(p, sst, GridSpec("sst", lat, S.LON, temporal="day"), "SST"))
     p = habitat.sample(p, grid.select("lat_idx", "lon_idx", (F.col("value") / 100).alias("value")), still, "Chlorophyll")
     p = put(habitat.patched(p, grid.select("lat_idx", "lon_idx", F.lit(0.5).alias("value")), still, "Chlorophyll"))
-    p = put(habitat.sample(p, grid.select("lat_idx", "lon_idx", (30 + F.col("value") / 10).alias("value")), GridSpec("salt", lat, S.LON, nearest=False), "Salinity"))
+    p = put(
+        habitat.sample(
+            p, grid.select("lat_idx", "lon_idx", (30 + F.col("value") / 10).alias("value")), GridSpec("salt", lat, S.LON, nearest=False), "Salinity"
+        )
+    )
     p = habitat.sample(p, altitude, GridSpec("altitude", lat, S.LON), "Bathymetry")
     p = put(habitat.with_front(p, sst, GridSpec("sst", lat, S.LON, temporal="day")))
     return habitat.features(habitat.with_relief(p, altitude, still))
@@ -218,9 +250,13 @@ def habitat_threshold(spark, sf):
 def stream_day_counts(spark, sf):
     """Day windows over a stream of events, run until it is used up."""
     schema = S.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("ts").cast("timestamp").alias("Date"), (F.col("event_type") == "error").cast("int").alias("Presence"))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
+        F.col("ts").cast("timestamp").alias("Date"), (F.col("event_type") == "error").cast("int").alias("Presence")
+    )
     name = "day_counts_" + tables.scratch(spark, "q").rpartition("-")[2]
-    q = scoring.counts_by_day(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tables.scratch(spark, "stream")).trigger(availableNow=True).start()
+    q = scoring.counts_by_day(stream).writeStream.outputMode("complete").format("memory").queryName(name).option(
+        "checkpointLocation", tables.scratch(spark, "stream")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(_text("day").alias("day"), "n", "n_presence")
 
@@ -228,7 +264,9 @@ def stream_day_counts(spark, sf):
 def _drain(stream):
     """What a stream gives until it is used up, written and read as Parquet."""
     spark, path = stream.sparkSession, tables.scratch(stream.sparkSession, "sink")
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", tables.scratch(spark, "stream")).trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", tables.scratch(spark, "stream")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -237,7 +275,11 @@ def _drain(stream):
 def stream_samples(spark, sf):
     """OP-33 on a stream of points: joined with a raster that stands still."""
     orders = spark.readStream.schema(S.table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    return _drain(scoring.sample_stream(S.pts(spark, sf, orders).select("id", "Lat", "Lon"), S.grid(spark, sf), S.lat_axis(spark, sf), S.LON, "value").select("id", "value"))
+    return _drain(
+        scoring.sample_stream(
+            S.pts(spark, sf, orders).select("id", "Lat", "Lon"), S.grid(spark, sf), S.lat_axis(spark, sf), S.LON, "value"
+        ).select("id", "value")
+    )
 
 
 @query()
@@ -246,7 +288,9 @@ def stream_scores(spark, sf):
     model, _, _ = _trees(spark, sf)
     items = spark.readStream.schema(S.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     marked, _ = models.mark_missing(S.obs(spark, sf, items), VARIABLES)
-    return _drain(scoring.score_stream(model, marked).select("Presence", "score")).groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
+    return _drain(
+        scoring.score_stream(model, marked).select("Presence", "score")
+    ).groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
 
 
 @query("SELECT cell_id, strftime(t, '%Y-%m-%d') AS day FROM grid, (SELECT DISTINCT date_trunc('day', Date) AS t FROM pts WHERE month(Date) = 3 AND year(Date) = 1995) WHERE cell_id % 7 = 0", GRID, PTS)

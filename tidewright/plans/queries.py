@@ -74,7 +74,9 @@ def octile_depth_rate(spark, sf):
 @query("SELECT CAST(year(Date) AS INT) AS year, CAST(month(Date) AS INT) AS month, count(*) AS n, round(avg(Presence), 6) AS rate FROM obs GROUP BY 1, 2", OBS)
 def year_month_rate(spark, sf):
     """OP-52, 87."""
-    return S.obs(spark, sf).groupBy(F.year("Date").alias("year"), F.month("Date").alias("month")).agg(F.count("*").alias("n"), _r(F.avg(F.col("Presence").cast("double")), "rate"))
+    return S.obs(spark, sf).groupBy(F.year("Date").alias("year"), F.month("Date").alias("month")).agg(
+        F.count("*").alias("n"), _r(F.avg(F.col("Presence").cast("double")), "rate")
+    )
 
 
 @query("SELECT CAST(year(Date) AS INT) AS year, " + ", ".join(f"round(avg(CASE WHEN month(Date) = {m} THEN Presence END), 6) AS m{m}" for m in range(1, 13)) + " FROM obs GROUP BY 1", OBS)
@@ -137,7 +139,10 @@ def value_ranges(spark, sf):
 def front_flags(spark, sf):
     """OP-26, 27."""
     o = S.obs(spark, sf)
-    return o.groupBy("Presence").agg(F.count("*").alias("n"), F.count_if(scalars.flag_above(F.col("Salinity"), 0.035)).alias("fronts"), F.sum(scalars.flag_above(F.col("SST"), 25.0).cast("int")).alias("warm"))
+    return o.groupBy("Presence").agg(
+        F.count("*").alias("n"), F.count_if(scalars.flag_above(F.col("Salinity"), 0.035)).alias("fronts"),
+        F.sum(scalars.flag_above(F.col("SST"), 25.0).cast("int")).alias("warm")
+    )
 
 
 @query("""SELECT measure, round(p, 6) AS pct_presence, round(a, 6) AS pct_absence, round(p / a, 6) AS factor FROM (
@@ -152,7 +157,10 @@ def enrichment(spark, sf):
 
 # ---- correlation, densities, rank tests -------------------------------------------------------------------------
 
-_PAIRS = "pairs AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM obs" for i, a in enumerate(VARIABLES) for b in VARIABLES[i + 1 :]) + ")"
+_PAIRS = "pairs AS (" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM obs" for i,
+    a in enumerate(VARIABLES) for b in VARIABLES[i + 1 :]
+) + ")"
 
 
 @query("SELECT a, b, round(r, 6) AS r, n FROM pairs", OBS, _PAIRS)
@@ -206,7 +214,9 @@ _P = """shares AS (SELECT *, CASE WHEN x < 3 THEN 1 - 2 / sqrt(pi()) * exp(-x *
 @query("SELECT variable, n1::BIGINT AS n1, n0::BIGINT AS n0, round(u, 1) AS u, round(z, 5) AS z, round(r, 6) AS r, CASE WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' WHEN abs(r) >= 0.1 THEN 'small' ELSE 'negligible' END AS effect, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance FROM shares", OBS, _UNPIVOT, _RANKS, _P)
 def rank_tests(spark, sf):
     """OP-70, 71, 72."""
-    return stats.rank_tests(S.obs(spark, sf), VARIABLES).select("variable", "n1", "n0", _r("u", digits=1), _r("z", digits=5), _r("r"), "effect", _r("p"), "significance")
+    return stats.rank_tests(S.obs(spark, sf), VARIABLES).select(
+        "variable", "n1", "n0", _r("u", digits=1), _r("z", digits=5), _r("r"), "effect", _r("p"), "significance"
+    )
 
 
 @query("SELECT variable, row_number() OVER (ORDER BY abs(round(r, 9)) DESC, variable) AS rank FROM tested", OBS, _UNPIVOT, _RANKS)
@@ -242,7 +252,9 @@ def metrics(spark, sf):
     SELECT 'weighted avg', (tn / (tn + fn) * (tn + fp) + tp / (tp + fp) * (tp + fn)) / (tn + fp + tp + fn), (tn + tp) / (tn + fp + tp + fn), (2 * tn / (2 * tn + fn + fp) * (tn + fp) + 2 * tp / (2 * tp + fp + fn) * (tp + fn)) / (tn + fp + tp + fn), tn + fp + tp + fn FROM c)""", SCORED, _CONFUSION)
 def classification_report(spark, sf):
     """OP-66."""
-    return evaluate.classification_report(evaluate.confusion(S.scored(spark, sf), 0.98)).select("name", _r("precision"), _r("recall"), _r("f1"), "support")
+    return evaluate.classification_report(evaluate.confusion(S.scored(spark, sf), 0.98)).select(
+        "name", _r("precision"), _r("recall"), _r("f1"), "support"
+    )
 
 
 @query("SELECT id, rn <= n AS is_train FROM (SELECT id, row_number() OVER (ORDER BY Date, id) AS rn, CAST(floor(count(*) OVER () * 0.8) AS BIGINT) AS n FROM pts)", PTS)
@@ -299,14 +311,18 @@ def renamed_complete(spark, sf):
 def complete_rows(spark, sf):
     """OP-18, 19."""
     o = S.obs(spark, sf)
-    return o.select("SST", "Salinity").dropna("any").agg(F.count("*").alias("complete"), F.count("SST").alias("with_sst")).crossJoin(F.broadcast(o.agg(F.count("*").alias("n"))))
+    return o.select("SST", "Salinity").dropna("any").agg(
+        F.count("*").alias("complete"), F.count("SST").alias("with_sst")
+    ).crossJoin(F.broadcast(o.agg(F.count("*").alias("n"))))
 
 
 @query("SELECT Presence, SST, Bathymetry FROM obs WHERE Presence = 1 AND SST IS NOT NULL AND Bathymetry IS NOT NULL AND abs(Bathymetry) < 1000 AND Salinity < 0.03", OBS)
 def compound_filter(spark, sf):
     """OP-21, 22, 23, 24: columns that don't exist are left out."""
     o = S.obs(spark, sf)
-    used = o.where((F.col("Presence") == 1) & F.col("SST").isNotNull() & F.col("Bathymetry").isNotNull() & (F.abs("Bathymetry") < 1000) & (F.col("Salinity") < 0.03))
+    used = o.where(
+        (F.col("Presence") == 1) & F.col("SST").isNotNull() & F.col("Bathymetry").isNotNull() & (F.abs("Bathymetry") < 1000) & (F.col("Salinity") < 0.03)
+    )
     return used.select([c for c in ("Presence", "SST", "Bathymetry", "Depth_Class") if c in o.columns])
 
 
@@ -328,7 +344,9 @@ def patched_values(spark, sf):
 def union_by_name(spark, sf):
     """OP-83."""
     a, b = S.obs(spark, sf).select("SST"), S.scored(spark, sf).select(F.col("score").alias("extra"))
-    return a.unionByName(b, allowMissingColumns=True).agg(F.count("*").alias("n"), F.count("extra").alias("with_extra"), F.count("SST").alias("with_sst"))
+    return a.unionByName(b, allowMissingColumns=True).agg(
+        F.count("*").alias("n"), F.count("extra").alias("with_extra"), F.count("SST").alias("with_sst")
+    )
 
 
 @query("SELECT row_number() OVER (ORDER BY Date, label DESC, id) AS obs_id, id FROM scored", SCORED)
@@ -354,7 +372,10 @@ def fixed_sample(spark, sf):
 def text_functions(spark, sf):
     """OP-95."""
     p = S.table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("low"), F.trim("p_name").alias("name"), F.split("p_brand", "#")[1].alias("brand"), F.startswith("p_type", F.lit("ECO")).alias("eco"), F.format_string("%.2f", F.col("p_size").cast("double")).alias("size"))
+    return p.select(
+        F.col("p_partkey").alias("id"), F.lower("p_type").alias("low"), F.trim("p_name").alias("name"), F.split("p_brand", "#")[1].alias("brand"),
+        F.startswith("p_type", F.lit("ECO")).alias("eco"), F.format_string("%.2f", F.col("p_size").cast("double")).alias("size")
+    )
 
 
 @query("SELECT id, printf('%+.1f%%', (exp(score) - 1) * 100) AS change, round(exp(score), 6) AS odds FROM scored", SCORED)
@@ -368,13 +389,18 @@ def odds_text(spark, sf):
 @query("SELECT id, strftime(date_trunc('day', Date) + INTERVAL 9 HOURS, '%Y-%m-%d %H:%M:%S') AS day, strftime(Date + (16 - day(Date)) * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS month, CAST(month(Date) AS INT) AS m, CAST(year(Date) AS INT) AS y FROM scored", SCORED)
 def temporal_keys(spark, sf):
     """OP-85, 86, 87."""
-    return S.scored(spark, sf).select("id", _text(scalars.day_key(F.col("Date"))).alias("day"), _text(scalars.month_key(F.col("Date"))).alias("month"), F.month("Date").alias("m"), F.year("Date").alias("y"))
+    return S.scored(spark, sf).select(
+        "id", _text(scalars.day_key(F.col("Date"))).alias("day"), _text(scalars.month_key(F.col("Date"))).alias("month"), F.month("Date").alias("m"),
+        F.year("Date").alias("y")
+    )
 
 
 @query("SELECT id, strftime(Date, '%Y-%m-%d') AS parsed FROM pts", PTS)
 def mixed_dates(spark, sf):
     """OP-84: dates written in four forms are read back."""
-    forms = F.when(F.col("id") % 4 == 0, F.date_format("Date", "d-MMM-yy")).when(F.col("id") % 4 == 1, F.date_format("Date", "yyyy-MM-dd")).when(F.col("id") % 4 == 2, F.date_format("Date", "dd/MM/yyyy")).otherwise(F.upper(F.date_format("Date", "dd-MMM-yyyy")))
+    forms = F.when(F.col("id") % 4 == 0, F.date_format("Date", "d-MMM-yy")).when(
+        F.col("id") % 4 == 1, F.date_format("Date", "yyyy-MM-dd")
+    ).when(F.col("id") % 4 == 2, F.date_format("Date", "dd/MM/yyyy")).otherwise(F.upper(F.date_format("Date", "dd-MMM-yyyy")))
     return S.pts(spark, sf).select("id", F.date_format(scalars.parse_date(forms), "yyyy-MM-dd").alias("parsed"))
 
 
@@ -482,13 +508,17 @@ def shelf_distance(spark, sf):
 def distances(spark, sf):
     """OP-88, 89, 90, 91."""
     lat, lon = F.col("Lat"), F.col("Lon")
-    return S.pts(spark, sf).select("id", _r(geo.haversine_km(lat, lon, F.lit(40.0), F.lit(-70.0)), "km", 4), _r(geo.pixel_km(0.05, 0.05, lat)[1], "width"), _r("Lat", "lat5", 5))
+    return S.pts(spark, sf).select(
+        "id", _r(geo.haversine_km(lat, lon, F.lit(40.0), F.lit(-70.0)), "km", 4), _r(geo.pixel_km(0.05, 0.05, lat)[1], "width"), _r("Lat", "lat5", 5)
+    )
 
 
 @query("SELECT id, round(greatest(-90, least(90, Lat * 3)), 6) AS lat, round(((Lon * 5 + 180) % 360 + 360) % 360 - 180, 6) AS lon, round((Lon % 360 + 360) % 360, 6) AS lon360 FROM pts", PTS)
 def wrapped(spark, sf):
     """OP-42, 43."""
-    return S.pts(spark, sf).select("id", _r(geo.clamp_lat(F.col("Lat") * 3), "lat"), _r(geo.wrap_lon(F.col("Lon") * 5), "lon"), _r(geo.lon_360(F.col("Lon")), "lon360"))
+    return S.pts(spark, sf).select(
+        "id", _r(geo.clamp_lat(F.col("Lat") * 3), "lat"), _r(geo.wrap_lon(F.col("Lon") * 5), "lon"), _r(geo.lon_360(F.col("Lon")), "lon360")
+    )
 
 
 # ---- generated points -------------------------------------------------------------------------------------------
@@ -507,4 +537,6 @@ def ring_points(spark, sf):
 def pseudo_absences(spark, sf):
     """OP-30, 40, 41."""
     g = S.grid(spark, sf).drop("value").withColumnRenamed("altitude", "value")
-    return sampling.pseudo_absences(S.pts(spark, sf), g, S.lat_axis(spark, sf), S.LON, attempts=24, wave=8, inner_km=5.0, outer_km=30.0).select("id", "attempt")
+    return sampling.pseudo_absences(
+        S.pts(spark, sf), g, S.lat_axis(spark, sf), S.LON, attempts=24, wave=8, inner_km=5.0, outer_km=30.0
+    ).select("id", "attempt")

@@ -21,7 +21,9 @@ def obs(spark: SparkSession, sf: str, items: DataFrame | None = None) -> DataFra
     """Observations: line items (or a stream of them)."""
     t = table(spark, sf, "lineitem") if items is None else items
     return nan_to_null(t.select(
-        F.col("l_orderkey").alias("order"), F.col("l_shipdate").cast("timestamp").alias("Date"), (F.col("l_returnflag") == "R").cast("int").alias("Presence"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("SST"),
+        F.col("l_orderkey").alias("order"), F.col("l_shipdate").cast("timestamp").alias("Date"), (F.col("l_returnflag") == "R").cast("int").alias("Presence"), F.when(
+            F.col("l_linenumber") != 7, F.col("l_quantity")
+        ).alias("SST"),
         F.col("l_tax").alias("Chlorophyll"), F.col("l_discount").alias("Salinity"), (-F.col("l_extendedprice") / 100).alias("Bathymetry"), (F.col("l_quantity") > 40).alias("Is_Thermal_Front"),
     ))
 
@@ -29,7 +31,10 @@ def obs(spark: SparkSession, sf: str, items: DataFrame | None = None) -> DataFra
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     """A raster: parts as cells, 50 to a row."""
     t = table(spark, sf, "part")
-    at = t.select(F.col("p_partkey").alias("cell_id"), F.floor(F.col("p_partkey") / COLUMNS).cast("int").alias("lat_idx"), (F.col("p_partkey") % COLUMNS).cast("int").alias("lon_idx"), F.col("p_size").cast("double").alias("value"))
+    at = t.select(
+        F.col("p_partkey").alias("cell_id"), F.floor(F.col("p_partkey") / COLUMNS).cast("int").alias("lat_idx"),
+        (F.col("p_partkey") % COLUMNS).cast("int").alias("lon_idx"), F.col("p_size").cast("double").alias("value")
+    )
     return at.withColumns({"lat": LAT0 + STEP * F.col("lat_idx"), "lon": LON0 + STEP * F.col("lon_idx"), "altitude": (F.col("value") - 25) * 10})
 
 
@@ -43,13 +48,19 @@ def pts(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFr
     orders = table(spark, sf, "orders") if orders is None else orders
     key = F.col("o_orderkey")
     y, x = (key * 48271 % 1000003) / 1000003.0, ((key * 69621 + 12345) % 1000003) / 1000003.0
-    return orders.select(key.alias("id"), (LAT0 + y * (STEP * (n - 1))).alias("Lat"), (LON0 + x * (STEP * (COLUMNS - 1))).alias("Lon"), F.col("o_orderdate").cast("timestamp").alias("Date"))
+    return orders.select(
+        key.alias("id"), (LAT0 + y * (STEP * (n - 1))).alias("Lat"), (LON0 + x * (STEP * (COLUMNS - 1))).alias("Lon"),
+        F.col("o_orderdate").cast("timestamp").alias("Date")
+    )
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Scores and labels: events."""
     t = table(spark, sf, "events")
-    return t.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("Date"), (F.col("value") / (1 + F.col("value"))).alias("score"), (F.col("event_type") == "error").cast("int").alias("label"))
+    return t.select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("Date"), (F.col("value") / (1 + F.col("value"))).alias("score"),
+        (F.col("event_type") == "error").cast("int").alias("label")
+    )
 
 
 OBS = """obs AS (SELECT l_orderkey AS "order", l_shipdate AS Date, CAST(l_returnflag = 'R' AS INT) AS Presence, CASE WHEN l_linenumber <> 7 THEN l_quantity END AS SST, l_tax AS Chlorophyll, l_discount AS Salinity, -l_extendedprice / 100e0 AS Bathymetry, l_quantity > 40 AS Is_Thermal_Front FROM lineitem)"""

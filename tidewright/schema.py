@@ -21,7 +21,9 @@ FINAL = T.StructType([*ENGINEERED.fields, *_struct(Bathy_Slope=_D, Dist_to_Shore
 GRID = _struct(time=T.TimestampType(), depth_idx=T.IntegerType(), lat_idx=T.IntegerType(), lon_idx=T.IntegerType(), lat=_D, lon=_D, value=_D)
 
 #: The features in the order that models take them.
-FEATURE_ORDER = ["SST", "Chlorophyll", "Salinity", "Bathymetry", "SST_Gradient", "Is_Thermal_Front", "Month", "Bathy_Slope", "Dist_to_Shore_km", "Dist_to_Shelf_km"]
+FEATURE_ORDER = [
+    "SST", "Chlorophyll", "Salinity", "Bathymetry", "SST_Gradient", "Is_Thermal_Front", "Month", "Bathy_Slope", "Dist_to_Shore_km", "Dist_to_Shelf_km"
+]
 #: Plausible limits of each variable (degrees C, mg/m3, PSU, m).
 PLAUSIBLE = {"SST": (-2.0, 35.0), "Chlorophyll": (0.0, 100.0), "Salinity": (20.0, 40.0), "Bathymetry": (-11000.0, 100.0)}
 #: Degrees C per km from which a gradient is a front.

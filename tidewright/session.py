@@ -7,7 +7,9 @@ from pyspark.sql import SparkSession
 
 def session(name: str = "tidewright", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC timestamps; ``master`` only where none is configured."""
-    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(
+        "spark.sql.adaptive.skewJoin.enabled", "true"
+    )
     if master:
         b = b.master(master)
     for k, v in conf.items():

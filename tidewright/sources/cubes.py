@@ -106,4 +106,7 @@ def synthetic_slab(key: str, box: dict[str, tuple[float, float]] | None = None)
     at = datetime.datetime(2024, 1, 1, 9) + datetime.timedelta(days=int(key))
     lat, lon = ((box or {}).get(k, (-math.inf, math.inf)) for k in ("lat", "lon"))
     cells = [(i, j, 35.0 + 0.05 * i, -75.0 + 0.05 * j) for i in range(20) for j in range(20)]
-    return [(at, 0, i, j, y, x, None if (i, j) == (3, 3) else float((i * 7 + j * 3 + int(key)) % 11)) for i, j, y, x in cells if lat[0] <= y <= lat[1] and lon[0] <= x <= lon[1]]
+    return [
+        (at, 0, i, j, y, x, None if (i, j) == (3, 3) else float((i * 7 + j * 3 + int(key)) % 11)) for i, j, y,
+        x in cells if lat[0] <= y <= lat[1] and lon[0] <= x <= lon[1]
+    ]
