@@ -142,6 +142,8 @@ def test_packing(keys):
     import numpy as np
 
     k = np.unique(np.array(keys, np.uint64))
+    short = np.unique(k & ~np.uint64(0xFFF))
+    assert (lm.unpack(lm.pack(short)) == short).all() and len(lm.unpack(lm.pack(k[:0]))) == 0
     assert (lm.unpack(lm.pack(k)) == k).all() and (lm.unpack_counts(lm.pack_counts(np.arange(len(k)))) == np.arange(len(k))).all()
     whole = {n: k[a:z].tolist() for n, a, z in lm.ranges(k, 12)}
     parts = {}

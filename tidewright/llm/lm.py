@@ -42,6 +42,9 @@ ROADS, TEAM = 512, 512
 GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)
 END = np.uint64(0x3C2F733E)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
+#: Bits by which the keys of n-grams of two or more words are shorter.
+SHORT = 12
+_LOW = np.uint64((1 << SHORT) - 1)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -58,12 +61,13 @@ def _whole(blob: bytes, width: int, kind) -> np.ndarray:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as compressed planes of their differences' bytes."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)), 8)
+    """Sorted 64-bit keys as compressed planes of their differences' bytes; low bits that all keys have at 0 are left out."""
+    shift = 0 if (keys & _LOW).any() else SHORT
+    return bytes([shift]) + _planes(np.diff(keys >> np.uint64(shift), prepend=np.uint64(0)), 8)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(_whole(blob, 8, np.uint64), dtype=np.uint64)
+    return np.cumsum(_whole(blob[1:], 8, np.uint64), dtype=np.uint64) << np.uint64(blob[0])
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -96,7 +100,7 @@ def windows(text: bytes, most: int):
 def rolled(tokens: np.ndarray, sizes: np.ndarray, order: int):
     """For n from 1 to ``order``, the positions where an n-gram of some token sequences ends, and its key.
 
-    Keys of words have 64 bits, those of longer n-grams 56 (see the README), the lowest byte 0.
+    Keys of words have 64 bits, those of longer n-grams 52 (see the README), the lowest 12 being 0.
     """
     place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     h = mix64(tokens)
@@ -107,7 +111,7 @@ def rolled(tokens: np.ndarray, sizes: np.ndarray, order: int):
                 longer[1:] = mix64(h[:-1] * _ROLL + tokens[1:])
             h = longer
         at = np.flatnonzero(place >= k - 1)
-        yield at, h[at] if k == 1 else h[at] & ~np.uint64(0xFF)
+        yield at, h[at] if k == 1 else h[at] & ~_LOW
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
