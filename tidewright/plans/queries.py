@@ -290,10 +290,10 @@ def auc(spark, sf):
     return evaluate.auc(S.scored(spark, sf)).select(_r("auc", digits=9))
 
 
-@query("SELECT count(*) FILTER (d = 'HIGH') AS high, count(*) FILTER (d = 'LOW') AS low FROM (SELECT CASE WHEN score >= 0.171804 THEN 'HIGH' ELSE 'LOW' END AS d FROM scored)", SCORED)
+@query("SELECT count(*) FILTER (d = 'HIGH') AS high, count(*) FILTER (d = 'LOW') AS low FROM (SELECT CASE WHEN score >= 0.95 THEN 'HIGH' ELSE 'LOW' END AS d FROM scored)", SCORED)
 def decisions(spark, sf):
     """OP-94."""
-    yes = scalars.decide(F.col("score"), 0.171804)
+    yes = scalars.decide(F.col("score"), 0.95)
     return S.scored(spark, sf).agg(F.count_if(yes == 1).alias("high"), F.count_if(yes == 0).alias("low"))
 
 
