@@ -82,3 +82,35 @@ LM_BASE = rf"""
     c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
     n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
     SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n + v + 1)::DOUBLE)), 4) AS base_score FROM t LEFT JOIN c USING (x), n GROUP BY 1, 2"""
+
+FILTER_AUDIT = rf"""
+    WITH RECURSIVE walk AS (SELECT '' AS o UNION ALL SELECT o || x FROM walk, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+    steps AS (SELECT o, k AS step, o[k] AS letter, left(o, k - 1) AS earlier FROM walk, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+    d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+    f AS (SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad,
+        (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM d),
+    c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY 1, 2),
+    x AS (SELECT *, contains(fails, letter) AS hit, translate(earlier, fails, '') <> earlier AS gone FROM c, steps),
+    s AS (SELECT part, o, step, letter, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
+    SELECT part, o AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM s"""
+
+_SHARE = "(1 + (1000000000::HUGEINT * ({} + 2)) // ({} + 2 * v))"
+
+DIVERGENCE = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    v AS (SELECT lang, count(*) AS v, sum(total) AS ln FROM k GROUP BY 1),
+    c AS (SELECT g.lang, g.source, k.term, k.total, count(w.term) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = k.term GROUP BY 1, 2, 3, 4),
+    z AS (SELECT lang, source, sum(n) AS gn FROM c GROUP BY 1, 2),
+    p AS (SELECT lang, source, term, n, {_SHARE.format("n", "gn")} AS p, {_SHARE.format("total", "ln")} AS q FROM c JOIN z USING (lang, source) JOIN v USING (lang)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+    u AS (SELECT lang, source, 'pair' AS part, item, value FROM every UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 10"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, lm, mixing, near_dedup, oracles, quality, secrets, suffix_dedup, token_count, toxicity
+from . import (
+    byte_bpe, divergence, exact_dedup, filter_audit, lm, mixing, near_dedup, oracles, quality, secrets, suffix_dedup, token_count, toxicity
+)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +72,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty, a null language the empty string; an empty table has no parts."""
+    return filter_audit.audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts, languages and sources are empty strings; each row is a document."""
+    return divergence.source_divergence(_docs(spark, sf_dir))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base kinds of op5, counted."""
     return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -90,7 +102,7 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_exact_dedup, op2_quality_rules, op3_byte_bpe, op4_near_dedup, op5_secrets, op6_mixing, op7_suffix_dedup, op8_lm_scoring, op9_token_count,
-    op10_toxicity
+    op10_toxicity, op11_filter_audit, op12_source_divergence
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_OPERATORS, secret_counts, mix_targets, lm_base)}
 
@@ -98,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": oracles.EXACT, "op2_quality_rules": oracles.QUALITY, "op4_near_dedup": oracles.NEAR, "op7_suffix_dedup": oracles.REPEATS,
     "secret_counts": oracles.SECRET_COUNTS, "mix_targets": oracles.MIX_TARGETS, "lm_base": oracles.LM_BASE,
+    "op11_filter_audit": oracles.FILTER_AUDIT, "op12_source_divergence": oracles.DIVERGENCE,
 }
