@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, divergence, exact_dedup, filter_audit, lm, mixing, near_dedup, oracles, quality, secrets, suffix_dedup, token_count, toxicity
+    byte_bpe, divergence, exact_dedup, filter_audit, lm, mixing, near_dedup, oracles, quality, secrets, substring_dedup, suffix_dedup,
+    token_count, toxicity
 )
 
 
@@ -82,6 +83,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_docs(spark, sf_dir))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text has no words; rows without a doc_id lose nothing; each input row gives one row."""
+    return substring_dedup.passage_digests(_docs(spark, sf_dir))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base kinds of op5, counted."""
     return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -102,7 +108,7 @@ def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_exact_dedup, op2_quality_rules, op3_byte_bpe, op4_near_dedup, op5_secrets, op6_mixing, op7_suffix_dedup, op8_lm_scoring, op9_token_count,
-    op10_toxicity, op11_filter_audit, op12_source_divergence
+    op10_toxicity, op11_filter_audit, op12_source_divergence, op13_substring_dedup
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_OPERATORS, secret_counts, mix_targets, lm_base)}
 
@@ -110,5 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": oracles.EXACT, "op2_quality_rules": oracles.QUALITY, "op4_near_dedup": oracles.NEAR, "op7_suffix_dedup": oracles.REPEATS,
     "secret_counts": oracles.SECRET_COUNTS, "mix_targets": oracles.MIX_TARGETS, "lm_base": oracles.LM_BASE,
-    "op11_filter_audit": oracles.FILTER_AUDIT, "op12_source_divergence": oracles.DIVERGENCE,
+    "op11_filter_audit": oracles.FILTER_AUDIT, "op12_source_divergence": oracles.DIVERGENCE, "op13_substring_dedup": oracles.PASSAGES,
 }
