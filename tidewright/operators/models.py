@@ -1,16 +1,15 @@
-"""Models and what is read from them (OP-11, 80, 93, 96 to 108)."""
+"""Models and what is read from them (OP-80, 93, 96 to 99, 104, 106 to 108); trees are in ``boosting``."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decide, odds_text
 from ..sources.tables import scratch, stage
+from .boosting import Forest, add_scores
 from .ordering import quantiles
 
 
@@ -68,59 +67,6 @@ def odds(model, columns: list[str], spark: SparkSession) -> DataFrame:
     ).orderBy(F.desc(F.abs("coefficient")), "feature")
 
 
-def mark_missing(df: DataFrame, columns: list[str], sentinel: float = -1e6) -> tuple[DataFrame, list[str]]:
-    """OP-101: trees take no NaN: a missing value becomes a sentinel and an indicator column."""
-    out = df.withColumns(
-        {f"{c}_missing": F.col(c).isNull().cast("double") for c in columns} | {
-            c: F.coalesce(F.col(c).cast("double"), F.lit(sentinel)) for c in columns
-        }
-    )
-    return out, [*columns, *[f"{c}_missing" for c in columns]]
-
-
-def fit_trees(
-    train: DataFrame, columns: list[str], label: str = "Presence", trees: int = 500, depth: int = 6, step: float = 0.05, subsample: float = 0.8,
-    least: int = 5, seed: int = 42, checkpoint_every: int = 10
-) -> PipelineModel:
-    """OP-100, 102: boosted trees over marked columns, positives weighed by the classes' ratio (4 without positives).
-
-    Columns are drawn for each node rather than each tree, and split penalties have no counterpart.
-    """
-    n1, n0 = class_weights(train, label)
-    weight = n0 / n1 if n1 else 4.0
-    weighed = train.withColumn("_w", F.when(F.col(label) == 1, weight).otherwise(1.0))
-    stages = [
-        VectorAssembler(inputCols=columns, outputCol="features"),
-        GBTClassifier(
-            featuresCol="features", labelCol=label, weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-            featureSubsetStrategy=str(subsample), minInstancesPerNode=least, maxBins=64, seed=seed, checkpointInterval=checkpoint_every
-        )
-    ]
-    return Pipeline(stages=stages).fit(weighed)
-
-
-def probability(model: Transformer, df: DataFrame) -> DataFrame:
-    """OP-103, 104: ``score``, the probability of the positive class, and ``prediction``."""
-    return model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "features")
-
-
-def importances(model: PipelineModel, columns: list[str], spark: SparkSession) -> DataFrame:
-    """OP-80, 105: share of impurity decrease of each feature, the largest first."""
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame(
-        [(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, importance double"
-    ).orderBy(F.desc("importance"), "feature")
-
-
-def save(model: PipelineModel, path: str) -> None:
-    """OP-11."""
-    model.write().overwrite().save(path)
-
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
 #: Made-up conditions to score, in FEATURE_ORDER.
 SCENARIO_COLUMNS = "name string, SST double, Chlorophyll double, Salinity double, Bathymetry double, SST_Gradient double, Is_Thermal_Front double, Month int, Bathy_Slope double, Dist_to_Shore_km double, Dist_to_Shelf_km double"
 
@@ -130,9 +76,9 @@ def scenarios(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SCENARIO_COLUMNS)
 
 
-def score_scenarios(model: Transformer, rows: DataFrame, threshold: DataFrame) -> DataFrame:
+def score_scenarios(model: Forest, rows: DataFrame, threshold: DataFrame) -> DataFrame:
     """OP-108: score and decision of each row at a stored threshold (one row)."""
-    scored = probability(model, rows).crossJoin(F.broadcast(threshold))
+    scored = add_scores(model, rows).crossJoin(F.broadcast(threshold))
     return scored.withColumn("decision", F.when(decide(F.col("score"), F.col("threshold")) == 1, "HIGH").otherwise("LOW"))
 
 

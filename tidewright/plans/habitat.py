@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_key, flag_above, month_key, parse_date, patch
-from ..operators import evaluate, knn, models, raster, sampling
+from ..operators import boosting, evaluate, knn, raster, sampling
 from ..schema import FEATURE_ORDER, FRONT_THRESHOLD, SHELF_BAND, Axis, GridSpec
 
 _POSITIVE = (1 << 63) - 1
@@ -81,8 +81,8 @@ def features(df: DataFrame) -> DataFrame:
 
 def train_and_choose(df: DataFrame, trees: int = 500, depth: int = 6, least_recall: float = 0.80):
     """OP-73, 75, 100 to 103: the model, the scored test part and the chosen threshold (one row)."""
-    marked, columns = models.mark_missing(df, FEATURE_ORDER)
-    split = evaluate.temporal_split(marked)
-    model = models.fit_trees(split.where("is_train"), columns, trees=trees, depth=depth)
-    scored = models.probability(model, split.where("NOT is_train"))
+    split = evaluate.temporal_split(df)
+    key = F.xxhash64("id") if "id" in df.columns else None
+    model = boosting.fit_forest(split.where("is_train"), FEATURE_ORDER, how=boosting.Settings(trees=trees, depth=depth), key=key)
+    scored = boosting.add_scores(model, split.where("NOT is_train"))
     return model, scored, evaluate.choose_threshold(evaluate.curve(scored, label="Presence"), least_recall)

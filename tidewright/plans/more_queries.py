@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import evaluate, models, raster, sampling
+from ..operators import boosting, evaluate, models, raster, sampling
 from ..schema import FEATURE_ORDER, SIGHTINGS, GridSpec
 from ..sources import cubes, tables
 from ..streaming import scoring
@@ -132,28 +132,80 @@ def logistic_odds(spark, sf):
     )
 
 
-def _trees(spark, sf, n=10):
-    marked, columns = models.mark_missing(S.obs(spark, sf), VARIABLES)
-    return models.fit_trees(marked.select("Presence", *columns), columns, trees=n, depth=4), marked, columns
+def _trees(spark, sf, trees=10, depth=4):
+    o = S.obs(spark, sf)
+    return boosting.fit_forest(o, VARIABLES, how=boosting.Settings(trees=trees, depth=depth, bins=64)), o
 
 
 @query()
 def tree_importances(spark, sf):
     """OP-80, 100, 101, 102, 105."""
-    model, _, columns = _trees(spark, sf)
-    return models.importances(model, columns, spark)
+    return boosting.importances(_trees(spark, sf)[0], spark)
 
 
 @query()
 def tree_scores(spark, sf):
     """OP-11, 63, 64, 103, 104: a model that was saved and loaded scores the table; its confusion at 0.5."""
-    model, marked, _ = _trees(spark, sf)
+    model, o = _trees(spark, sf)
     path = tables.scratch(spark, "model")
-    models.save(model, path)
-    scored = models.probability(models.load(path), marked)
+    boosting.save(model, spark, path)
+    scored = boosting.add_scores(boosting.load(spark, path), o)
     return evaluate.metrics(evaluate.confusion(scored, 0.5, label="Presence"))
 
 
+@query()
+def boosted_scores(spark, sf):
+    """OP-65, 100 to 103: trees of the usual number of levels, rows and columns drawn for each; trained on the earlier part, judged on the later."""
+    split = evaluate.temporal_split(S.obs(spark, sf))
+    model = boosting.fit_forest(split.where("is_train"), VARIABLES, how=boosting.Settings(trees=100))
+    return evaluate.auc(evaluate.curve(boosting.add_scores(model, split.where("NOT is_train")), label="Presence"))
+
+
+_SPLIT_ON = ["SST", "Chlorophyll", "Salinity", "Is_Thermal_Front", "Month"]
+_SMALL = boosting.Settings(trees=3, depth=2, step=0.3, row_share=1.0, column_share=1.0)
+
+
+def _training_sql(how: boosting.Settings) -> str:
+    """SQL that trains the same trees: every level a histogram over values, its running sums, and the best split of each node."""
+    score = lambda g, h: f"pow(greatest(abs({g}) - {how.l1!r}, 0), 2) / ({h} + {how.l2!r})"
+    parts = [
+        "x AS MATERIALIZED (SELECT row_number() OVER () AS r, Presence AS y, SST, Chlorophyll, Salinity, Is_Thermal_Front::INT::DOUBLE AS Is_Thermal_Front, month(Date)::DOUBLE AS Month FROM obs WHERE Presence IS NOT NULL)",
+        "v AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT r, {i} AS c, {c}::DOUBLE AS v FROM x" for i, c in enumerate(_SPLIT_ON)) + ")",
+        "m0 AS (SELECT r, y, CASE WHEN y = 1 THEN (SELECT count(*) FILTER (y = 0) / count(*) FILTER (y = 1) FROM x) ELSE 1 END AS w, 0e0 AS m FROM x)",
+    ]
+    for t in range(how.trees):
+        parts += [f"d{t} AS MATERIALIZED (SELECT r, 1 / (1 + exp(-m)) AS p, w * (p - y) AS g, w * p * (1 - p) AS h, y, w, m FROM m{t})", f"a{t}_0 AS (SELECT r, 0 AS node FROM d{t})"]
+        for k in range(how.depth):
+            at = f"{t}_{k}"
+            parts += [
+                f"h{at} AS (SELECT node, c, v, sum(g) AS g, sum(h) AS h FROM a{at} JOIN d{t} USING (r) JOIN v USING (r) GROUP BY 1, 2, 3)",
+                f"t{at} AS (SELECT node, c, sum(g) AS tg, sum(h) AS th, coalesce(sum(g) FILTER (v IS NULL), 0) AS ng, coalesce(sum(h) FILTER (v IS NULL), 0) AS nh FROM h{at} GROUP BY 1, 2)",
+                f"r{at} AS (SELECT node, c, v, sum(g) OVER o AS g, sum(h) OVER o AS h FROM h{at} WHERE v IS NOT NULL WINDOW o AS (PARTITION BY node, c ORDER BY v))",
+                f"s{at} AS (SELECT node, c, v, s AS missing_left, g + s * ng AS lg, h + s * nh AS lh, tg, th, {score('lg', 'lh')} + {score('tg - lg', 'th - lh')} - {score('tg', 'th')} AS gain FROM r{at} JOIN t{at} USING (node, c), (SELECT unnest([0, 1]) AS s))",
+                f"b{at} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 7) DESC, c, v, missing_left) AS n FROM s{at} WHERE lh >= {how.least_weight!r} AND th - lh >= {how.least_weight!r} AND gain > {how.split_penalty!r} QUALIFY n = 1)",
+                f"a{t}_{k + 1} AS MATERIALIZED (SELECT a.r, CASE WHEN b.node IS NULL THEN a.node ELSE 2 * a.node + 2 - CASE WHEN v.v IS NULL THEN b.missing_left ELSE (v.v <= b.v)::INT END END AS node FROM a{at} a LEFT JOIN b{at} b ON a.node = b.node LEFT JOIN v ON v.r = a.r AND v.c = b.c)",
+            ]
+        last = f"a{t}_{how.depth}"
+        parts += [
+            f"w{t} AS MATERIALIZED (SELECT node, sum(g) AS g, sum(h) AS h, -{how.step!r} * sign(sum(g)) * greatest(abs(sum(g)) - {how.l1!r}, 0) / (sum(h) + {how.l2!r}) AS value FROM {last} JOIN d{t} USING (r) GROUP BY 1)",
+            f"m{t + 1} AS MATERIALIZED (SELECT r, y, w, m + value AS m FROM d{t} JOIN {last} USING (r) JOIN w{t} USING (node))",
+        ]
+    splits = [
+        f"SELECT {t} AS tree, node, {_SPLIT_ON!r}[c + 1] AS feature, v AS threshold, missing_left = 1 AS missing_left, NULL::DOUBLE AS value, round(gain, 3) AS gain, round(th, 3) AS cover FROM b{t}_{k}"
+        for t in range(how.trees) for k in range(how.depth)
+    ]
+    leaves = [f"SELECT {t}, node, NULL, NULL, NULL, round(value, 5), NULL, round(h, 3) FROM w{t}" for t in range(how.trees)]
+    return "WITH " + OBS + ", " + ", ".join(parts) + " " + " UNION ALL ".join(splits + leaves)
+
+
+@query(_training_sql(_SMALL))
+def boosted_nodes(spark, sf):
+    """OP-80, 100, 101, 102: splits and leaves of a small forest over all rows, with missing values; SQL trains it as well."""
+    o = S.obs(spark, sf).withColumns({"Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date")})
+    found = boosting.nodes(boosting.fit_forest(o, _SPLIT_ON, how=_SMALL), spark)
+    return found.withColumns({c: F.round(c, d) for c, d in (("value", 5), ("gain", 3), ("cover", 3))})
+
+
 def _ten(spark, sf):
     """Observations with all ten features, those that the surrogate lacks made from others."""
     made = {
@@ -166,8 +218,7 @@ def _ten(spark, sf):
 @query()
 def scenario_scores(spark, sf):
     """OP-45, 108: made-up conditions in all ten features, scored and decided at a stored threshold."""
-    marked, columns = models.mark_missing(_ten(spark, sf), FEATURE_ORDER)
-    model = models.fit_trees(marked, columns, trees=10, depth=4)
+    model = boosting.fit_forest(_ten(spark, sf), FEATURE_ORDER, how=boosting.Settings(trees=10, depth=4, bins=64))
     rows = [
         (
             "warm, shallow, near land", 45.0, 0.01, 0.02, -100.0, 0.01, 1.0, 4, 4.5, 20.0, 10.0
@@ -176,7 +227,7 @@ def scenario_scores(spark, sf):
             "no temperature", None, 0.04, 0.05, -500.0, None, 0.0, 7, None, 100.0, 40.0
         ), ("middling", 25.0, 0.04, 0.05, -500.0, 0.04, 0.0, 7, 2.5, 100.0, 40.0),
     ]
-    named, _ = models.mark_missing(models.scenarios(spark, rows), FEATURE_ORDER)
+    named = models.scenarios(spark, rows)
     path = tables.scratch(spark, "threshold")
     tables.write_threshold(spark, path, 0.5)
     return models.score_scenarios(model, named, tables.read_threshold(spark, path)).select("name", _r("score"), "decision")
@@ -285,11 +336,10 @@ def stream_samples(spark, sf):
 @query()
 def stream_scores(spark, sf):
     """OP-103 on a stream: each observation scored as it arrives; scores by class."""
-    model, _, _ = _trees(spark, sf)
+    model, _ = _trees(spark, sf)
     items = spark.readStream.schema(S.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
-    marked, _ = models.mark_missing(S.obs(spark, sf, items), VARIABLES)
     return _drain(
-        scoring.score_stream(model, marked).select("Presence", "score")
+        scoring.score_stream(model, S.obs(spark, sf, items)).select("Presence", "score")
     ).groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
 
 

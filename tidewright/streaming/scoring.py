@@ -5,11 +5,10 @@ Keys of day and month are tumbling windows with a labelled anchor; the stream fo
 
 from __future__ import annotations
 
-from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.models import probability
+from ..operators.boosting import Forest, add_scores
 from ..operators.raster import sample_nearest
 from ..schema import Axis
 
@@ -19,8 +18,8 @@ def sample_stream(points: DataFrame, grid: DataFrame, lat: Axis, lon: Axis, out:
     return sample_nearest(points, grid, lat, lon, out)
 
 
-def score_stream(model: Transformer, points: DataFrame) -> DataFrame:
-    return probability(model, points)
+def score_stream(model: Forest, points: DataFrame) -> DataFrame:
+    return add_scores(model, points)
 
 
 def counts_by_day(points: DataFrame, date: str = "Date", late: str = "2 days") -> DataFrame:
