@@ -1,53 +1,106 @@
-"""The nearest cell of a set, exactly, by rings of tiles (OP-35, 36)."""
+"""The nearest cell of a set, exactly, by a pyramid of tiles with bounds (OP-35, 36)."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.geo import KM_PER_DEGREE, haversine_km
 from ..sources.tables import scratch, stage
 
+#: Cells that a tile of the finest level would hold if they were spread evenly.
+CELLS_A_TILE = 24
+#: Tiles on an axis of the level where the search starts: 256 tiles of points and as many of cells at most.
+START = 16
+_BOX = ("y0", "y1", "x0", "x1")
 
-def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float = 8.0, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+
+def _tile(y: Column, x: Column, width: float, origin: tuple[float, float]) -> Column:
+    """A tile's number from coordinates; its parent's has both halves shifted by two bits."""
+    at = lambda v, o: F.floor((v - o) / width).cast("long")
+    return F.shiftleft(at(y, origin[0]), 31).bitwiseOR(at(x, origin[1]))
+
+
+def _parent(tile: Column) -> Column:
+    return F.shiftleft(F.shiftright(tile, 33), 31).bitwiseOR(F.shiftright(tile.bitwiseAND((1 << 31) - 1), 2))
+
+
+def _pyramid(df: DataFrame, levels: int, side: str) -> list[DataFrame]:
+    """Occupied tiles of each level, the finest first: number, parent's number, and the box of what they hold. The coarsest have parent 0."""
+    box = lambda y, x: [F.min(y[0]).alias(f"{side}y0"), F.max(y[1]).alias(f"{side}y1"), F.min(x[0]).alias(f"{side}x0"), F.max(x[1]).alias(f"{side}x1")]
+    out = [df.groupBy(side).agg(*box(("_y", "_y"), ("_x", "_x")))]
+    for _ in range(levels - 1):
+        up = out[-1].withColumn(side, _parent(F.col(side))).groupBy(side).agg(*box((f"{side}y0", f"{side}y1"), (f"{side}x0", f"{side}x1")))
+        out.append(up)
+    parent = lambda k: _parent(F.col(side)) if k < levels - 1 else F.lit(0).cast("long")
+    return [t.withColumn(f"{side}_up", parent(k)) for k, t in enumerate(out)]
+
+
+def _gap2(p: tuple[Column, Column, Column, Column], c: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """Squares of the least and the largest distance between a place in one box and one in the other; boxes are (y0, y1, x0, x1)."""
+    zero = F.lit(0.0)
+    near = [F.greatest(c[i] - p[i + 1], p[i] - c[i + 1], zero) for i in (0, 2)]
+    far = [F.greatest(F.abs(p[i + 1] - c[i]), F.abs(c[i + 1] - p[i])) for i in (0, 2)]
+    return near[0] * near[0] + near[1] * near[1], far[0] * far[0] + far[1] * far[1]
+
+
+def _kept(lower: Column, upper: Column) -> Column:
+    """Whether what is at least ``lower`` away may win against what is at most ``upper`` away; ties stay, also where rounding differs."""
+    return lower <= upper * (1 + 1e-9) + 1e-9
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float | None = None, key: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``points`` with ``out``, the haversine distance in km to the cell nearest in the plane.
 
-    Plane coordinates scale longitude by the cosine of the points' mean latitude. A point meets the cells of
-    its tile and the eight around it; a winner within a tile's width is certain, since all others lie farther.
-    Points without a certain winner go on with tiles four times as wide. ``cells`` has cell_id, lat, lon;
-    equal distances go to the least cell_id. Without cells ``out`` is NULL. ``keep`` names columns of the winner to keep.
+    Plane coordinates scale longitude by the cosine of the points' mean latitude. Points and cells are gathered in tiles of a pyramid, each with the
+    box of what it holds. From the coarsest level on, pairs of tiles go on to their children, but for pairs whose
+    least distance is more than the largest distance to some other tile of cells: far points share the work of their tile, and the pairs of
+    a tile are those around its nearest cells, however far these are. In the last tiles each point drops those that can't win, then
+    meets cells. ``cells`` has cell_id, lat, lon; equal distances go to the least cell_id. Without cells, or a point's coordinates,
+    ``out`` is NULL. ``keep`` names columns of the winner to keep. Points of one ``key`` share its row's result, so that it must tell points apart.
     """
-    mean = points.agg(F.avg("Lat").alias("m"), F.max(F.abs("Lat")).alias("a")).first()
-    target = cells.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if mean["m"] is None or target[0] is None:
-        return points.withColumns({out: F.lit(None).cast("double"), **{k: F.lit(None).cast(cells.schema[k].dataType) for k in keep}})
-    scale = math.cos(math.radians(mean["m"]))
-    xy = lambda df, lat, lon: df.withColumns({"_y": F.col(lat) * KM_PER_DEGREE, "_x": F.col(lon) * (KM_PER_DEGREE * scale)})
-    left = xy(points.where(F.col("Lat").isNotNull() & F.col("Lon").isNotNull()).select(key, "Lat", "Lon"), "Lat", "Lon")
-    right = xy(cells.select("cell_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *keep), "_lat", "_lon")
-    span = max(abs(v) for v in target) + 360.0 + (mean["a"] or 0.0)
-    done, width = None, tile_km
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = stage(left, scratch(left.sparkSession, "knn"))
-    while True:
-        last = width > 2 * KM_PER_DEGREE * span  # one ring of tiles spans everything
-        tile = lambda df, w=width: df.withColumns({"_ty": F.floor(F.col("_y") / w), "_tx": F.floor(F.col("_x") / w)})
-        near = tile(left).withColumn("_n", F.explode(around)).withColumns(
-            {"_ty": F.col("_ty") + F.col("_n.a"), "_tx": F.col("_tx") + F.col("_n.b")}
-        ).withColumnsRenamed({"_y": "_py", "_x": "_px"})
-        met = near.join(tile(right), ["_ty", "_tx"])
-        d = F.pow(F.col("_py") - F.col("_y"), 2) + F.pow(F.col("_px") - F.col("_x"), 2)
-        best = met.groupBy(key).agg(F.min(F.struct(d.alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b"))
-        # written each round: the next one reads what is left of it, rather than all the rounds before again
-        joined = stage(left.join(best, key, "left").select(key, "Lat", "Lon", "_y", "_x", "_b"), scratch(left.sparkSession, "knn"))
-        certain = F.coalesce(F.col("_b").isNotNull() if last else F.col("_b.d") <= width * width, F.lit(False))
-        sure = joined.where(certain).select(key, "Lat", "Lon", "_b.*")
-        done = sure if done is None else done.unionByName(sure)
-        left = joined.where(~certain).drop("_b")
-        width *= 4
-        if last or left.isEmpty():
-            break
-    km = done.select(key, haversine_km(F.col("Lat"), F.col("Lon"), F.col("_lat"), F.col("_lon")).alias(out), *keep)
-    return points.join(km, key, "left")
+    spark, seen, met = points.sparkSession, Observation(), Observation()
+    missing = {out: F.lit(None).cast("double"), **{k: F.lit(None).cast(cells.schema[k].dataType) for k in keep}}
+    ends = lambda lat, lon: [f(c).alias(n) for f, c, n in ((F.min, lat, "y0"), (F.max, lat, "y1"), (F.min, lon, "x0"), (F.max, lon, "x1"))]
+    asked = points.where(F.col("Lat").isNotNull() & F.col("Lon").isNotNull()).select(key, F.col("Lat").cast("double").alias("Lat"), F.col("Lon").cast("double").alias("Lon"))
+    left = stage(asked.observe(seen, F.avg("Lat").alias("mean"), *ends("Lat", "Lon")), scratch(spark, "points"))
+    right = cells.select("cell_id", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), *keep).where("_lat IS NOT NULL AND _lon IS NOT NULL")
+    right = stage(right.observe(met, F.count("*").alias("n"), *ends("_lat", "_lon")), scratch(spark, "cells"))
+    a, b = seen.get, met.get
+    if a["mean"] is None or not b["n"]:
+        return points.withColumns(missing)
+    ky, kx = KM_PER_DEGREE, KM_PER_DEGREE * math.cos(math.radians(a["mean"]))
+    origin = min(a["y0"], b["y0"]) * ky, min(a["x0"] * kx, b["x0"] * kx)
+    span = max(max(a["y1"], b["y1"]) * ky - origin[0], max(a["x1"] * kx, b["x1"] * kx) - origin[1], 1e-6)
+    area = max((b["y1"] - b["y0"]) * ky, 1e-3) * max((b["x1"] - b["x0"]) * abs(kx), 1e-3)
+    width = max(tile_km or math.sqrt(area * CELLS_A_TILE / b["n"]), span / 2**28)
+    levels = 1
+    while span / (width * 4 ** (levels - 1)) >= START:
+        levels += 1
+
+    plane = lambda df, lat, lon, side: df.withColumns({"_y": F.col(lat) * ky, "_x": F.col(lon) * kx}).withColumn(side, _tile(F.col("_y"), F.col("_x"), width, origin))
+    left, right = plane(left, "Lat", "Lon", "p"), plane(right, "_lat", "_lon", "c")
+    of_points, of_cells = _pyramid(left, levels, "p"), _pyramid(right, levels, "c")
+    pairs = None
+    for k in range(levels - 1, -1, -1):
+        if pairs is None:
+            pairs = of_points[k].join(of_cells[k], F.col("p_up") == F.col("c_up"))  # at most START ** 4 pairs
+        else:
+            pairs = pairs.join(of_points[k], "p_up").join(of_cells[k], "c_up")
+        lower, upper = _gap2(*(tuple(F.col(f"{s}{n}") for n in _BOX) for s in "pc"))
+        bounded = pairs.withColumns({"_lower": lower, "_upper": F.min(upper).over(W.partitionBy("p"))}).where(_kept(F.col("_lower"), F.col("_upper")))
+        pairs = bounded.select(F.col("p").alias("p_up"), F.col("c").alias("c_up")) if k else bounded.select("p", "c", *[f"c{n}" for n in _BOX])
+    choices = pairs.groupBy("p").agg(F.collect_list(F.struct("c", *[f"c{n}" for n in _BOX])).alias("_of"))
+
+    here = (F.col("_y"), F.col("_y"), F.col("_x"), F.col("_x"))
+    gaps = F.transform("_of", lambda t: F.struct(t["c"].alias("c"), *[g.alias(n) for g, n in zip(_gap2(here, tuple(t[f"c{n}"] for n in _BOX)), ("lower", "upper"), strict=True)]))
+    near = left.join(choices, "p").withColumn("_of", gaps).withColumn("_least", F.array_min(F.transform("_of", lambda t: t["upper"])))
+    open_ = near.select(key, F.col("_y").alias("_py"), F.col("_x").alias("_px"), F.explode(F.filter("_of", lambda t: _kept(t["lower"], F.col("_least")))["c"]).alias("c"))
+    d = F.pow(F.col("_py") - F.col("_y"), 2) + F.pow(F.col("_px") - F.col("_x"), 2)
+    best = open_.join(right, "c").groupBy(key).agg(F.min(F.struct(d.alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b"))
+    joined = points.join(best, key, "left")
+    found = {out: haversine_km(F.col("Lat"), F.col("Lon"), F.col("_b._lat"), F.col("_b._lon")), **{k: F.col(f"_b.{k}") for k in keep}}
+    return joined.withColumns(found).drop("_b")
