@@ -108,8 +108,23 @@ def test_rows_in_order_of_slot_may_come_in_any_batches():
     """A slot that spans batches is settled when it ends."""
     import pyarrow as pa
 
-    slots, docs = [1, 1, 2, 3, 3, 3, 3, 9], [5, 5, 6, 1, 1, 1, 2, 8]
-    table = pa.table({"slot": pa.array(slots, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "key": pa.array([None] * 8, pa.int64()), "many": [False] * 7 + [True]})
-    for size in range(1, 9):
+    one, several, whole, copy = range(4)
+    rows = [(1, 5, one), (1, 5, one), (2, 6, one), (3, 1, one), (3, 1, one), (3, 1, one), (3, 2, one), (7, 4, whole), (7, 3, whole), (8, 9, copy), (9, 8, several)]
+    kinds = [("slot", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("rest", pa.int64()), ("kind", pa.int8())]
+    table = pa.Table.from_pylist([{"slot": s, "doc_id": d, "key": None, "rest": 0, "kind": k} for s, d, k in rows], pa.schema(kinds))
+    for size in range(1, 12):
         got = pa.Table.from_batches(list(substring_dedup._repeated(table.to_batches(size)))).to_pylist()
-        assert sorted((r["key"], r["doc_id"]) for r in got) == [(3, 1), (3, 1), (3, 1), (3, 2), (9, 8)]
+        assert sorted((r["key"], r["doc_id"]) for r in got if r["copy"] is None) == [(3, 1), (3, 1), (3, 1), (3, 2), (9, 8)]
+        assert sorted((r["copy"], r["doc_id"]) for r in got if r["key"] is None) == [(7, 4), (8, 9)]
+
+
+@pytest.mark.parametrize("width", [13, 30])
+def test_whole_copies_alone(spark, width):
+    """Copies of whole texts, beside which nothing is repeated, at one and at several lengths; one doc_id with a copy and another text."""
+    text = " ".join(f"t{i}" for i in range(40))
+    other = " ".join(f"u{i}" for i in range(40))
+    data = [(5, text), (2, text.replace(" ", "  ")), (9, text), (9, other), (9, text), (1, "short " * 3), (4, "short " * 3), (7, text + " more"), (None, text)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert run(df, width=width) == brute(data, width) == run(df.repartition(5), width=width)
+    copies = [(i, text) for i in range(20)]
+    assert run(spark.createDataFrame(copies, "doc_id long, text string").repartition(6), width=width) == brute(copies, width)

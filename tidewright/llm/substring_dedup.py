@@ -14,6 +14,9 @@ a window repeated at the last length go on to the next. No candidates left at a
    added up before it is sent, and nothing is sent to all of them.
 3. The texts are dealt by doc_id once; the last two passes read that exchange.
 
+A document whose words are those of an earlier one throughout is found in the first pass, by a digest of the whole, and loses all of them; its windows
+go no further, as those of the earlier one stand for them.
+
 At a shorter length, a window that several documents of one piece of a task's input hold is known to be repeated there: one row tells the others, the rest
 go on without meeting. So the rows of one window grow with the pieces (``GATHER_BYTES`` of text each), not with its documents.
 
@@ -28,6 +31,7 @@ from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +100,9 @@ class Words:
             least = np.minimum(least, x)
         return at, pick
 
-    def candidates(self, held: list[np.ndarray | None], n: int, longer: int) -> np.ndarray:
-        """Starts of the windows of ``longer`` words whose chosen window is among its text's ``held`` keys."""
+    def candidates(self, rows: pa.RecordBatch, n: int, longer: int, width: int) -> np.ndarray:
+        """Starts of the windows of ``longer`` words whose chosen window is among the ``keys`` of its row; none of texts that repeat an earlier one."""
+        held = [None if copy else s for s, copy in zip(_sets(rows.column("keys")), _copies(self.words, rows, width), strict=True)]
         keys = self.keys(n)
         at, pick = self.chosen(keys, n, longer)
         found, cuts = [], np.searchsorted(self.doc[at], np.arange(len(held) + 1))
@@ -108,6 +113,21 @@ class Words:
         return np.concatenate(found) if found else at[:0]
 
 
+def _wholes(words: list[list[bytes]], width: int) -> np.ndarray:
+    """The 128-bit digest of each text's words as two numbers; without meaning for texts that hold no window."""
+    digests = b"".join([xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= width else bytes(16) for w in words])
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
+
+
+def _copies(words: list[list[bytes]], rows: pa.RecordBatch, width: int) -> np.ndarray:
+    """Which rows are known to repeat the words of an earlier document throughout."""
+    out = np.zeros(rows.num_rows, bool)
+    for i, known in enumerate(rows.column("copies")):
+        if known.is_valid and len(words[i]) >= width:
+            out[i] = _wholes([words[i]], width)[0, 0] in known.as_py()
+    return out
+
+
 def _sets(column: pa.Array) -> list[np.ndarray | None]:
     """The 64-bit keys of each row; None where there are none."""
     return [None if not s.is_valid else s.values.to_numpy(zero_copy_only=False).view(np.uint64) for s in column]
@@ -122,56 +142,90 @@ def _parts(batch: pa.RecordBatch):
             yield Words(texts[a:z]), rows.slice(a, z - a)
 
 
-def _propose(n: int, longer: int, before: int):
-    """Keys of chosen windows of n words, one row for each document and key; see the module's docstring for ``slot``."""
+#: What a row of the first passes says: a window of one document here, one of several, a whole text, a whole text that repeats another here.
+ONE, SEVERAL, WHOLE, COPY = range(4)
+
+
+def _first_of(keys: tuple[np.ndarray, ...], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (keys, document) pairs in order: their places, whether each is the first of its keys, and whether it is alone with them."""
+    order = np.lexsort((docs, *keys[::-1]))
+    sorted_ = [x[order] for x in (*keys, docs)]
+    new = lambda columns: np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])] if len(docs) else np.zeros(0, bool)
+    at = np.flatnonzero(new(sorted_))
+    first = new([c[at] for c in sorted_[:-1]])
+    return order[at], first, first & np.r_[first[1:], True][: len(first)]
+
+
+def _propose(n: int, longer: int, before: int, width: int):
+    """Keys of chosen windows of n words, one row for each document and key, and in the first pass one for each whole text.
+
+    Rows of one ``slot`` meet: of those that are equal here only the first has the slot of its key.
+    """
 
     def run(batches):
         for b in gather(batches, GATHER_BYTES):
-            keys, docs = [], []
+            keys, docs, wholes, owners = [], [], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
             for w, rows in _parts(b):
-                of = w.keys(n)
-                if before:
-                    near = np.zeros(w.total + 1, np.int64)  # windows of n words that hold a repeated one
-                    near[w.candidates(_sets(rows.column("keys")), before, n)] = 1
+                of, ids = w.keys(n), rows.column("doc_id").to_numpy()
                 _, pick = w.chosen(of, n, longer)
                 pick = np.unique(pick)
                 if before:
-                    pick = pick[near[pick] > 0]
-                keys.append(of[pick])
-                docs.append(rows.column("doc_id").to_numpy(zero_copy_only=False)[w.doc[pick]])
+                    near = np.zeros(w.total, bool)  # windows of n words that hold a repeated one
+                    near[w.candidates(rows, before, n, width)] = True
+                    pick = pick[near[pick]]
+                else:
+                    long = np.array([len(x) >= width for x in w.words])
+                    wholes.append(_wholes(w.words, width)[long])
+                    owners.append(ids[long])
+                keys.append(of[pick].view(np.int64))
+                docs.append(ids[w.doc[pick]])
             if not keys:
                 continue
-            k, d = np.concatenate(keys), np.concatenate(docs).astype(np.int64)
-            order = np.lexsort((d, k))
-            k, d = k[order], d[order]
-            fresh = np.ones(len(k), bool)
-            fresh[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            k, d = k[fresh], d[fresh]
-            first = np.ones(len(k), bool)
-            first[1:] = k[1:] != k[:-1]
-            many = ~first
-            many[:-1] |= ~first[1:]
-            slot = np.where(first, k, mix64(k ^ mix64(d.view(np.uint64))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot.view(np.int64)), pa.array(d), pa.array(k.view(np.int64), mask=first), pa.array(many)], names=["slot", "doc_id", "key", "many"]
-            )
+            k, d = np.concatenate(keys), np.concatenate(docs)
+            at, first, alone = _first_of((k,), d)
+            k, d = k[at], d[at]
+            whole, owner = np.concatenate(wholes), np.concatenate(owners)
+            at, leads, _ = _first_of((whole[:, 0], whole[:, 1]), owner)
+            whole, owner = whole[at], owner[at]
+            elsewhere = lambda key, doc: mix64(key.view(np.uint64) ^ mix64(doc.view(np.uint64))).view(np.int64)
+            columns = [
+                np.r_[np.where(first, k, elsewhere(k, d)), np.where(leads, whole[:, 0], elsewhere(whole[:, 0].copy(), owner))], np.r_[d, owner],
+                np.r_[k, whole[:, 0]], np.r_[np.zeros(len(k), np.int64), whole[:, 1]],
+                np.r_[np.where(alone, ONE, SEVERAL), np.where(leads, WHOLE, COPY)].astype(np.int8)
+            ]
+            known = np.r_[first, leads]  # such rows have their key for a slot
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=known if i == 2 else None) for i, c in enumerate(columns)], names=_SENT_NAMES)
         give_back()
 
     return run
 
 
+_SENT = "slot long, doc_id long, key long, rest long, kind byte"
+_SENT_NAMES = [x.split()[0] for x in _SENT.split(", ")]
+
+
 def _repeated(batches):
-    """Of rows in the order of ``slot``, (doc_id, key) where a slot has several documents. Rows of one slot are held until it ends."""
+    """Of rows in the order of ``slot``: (doc_id, key, null) of windows that several documents hold, (doc_id, null, copy) of texts that
+    repeat an earlier document's. Rows of one slot are held until it ends."""
     held: list[pa.RecordBatch] = []
 
     def settle(t: pa.Table):
-        slot, doc = t.column("slot").to_numpy(), t.column("doc_id").to_numpy()
-        key = pa.compute.coalesce(t.column("key"), t.column("slot")).to_numpy()
-        starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        several = np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts)
-        several |= np.maximum.reduceat(t.column("many").to_numpy(zero_copy_only=False).astype(np.int8), starts) > 0
-        hit = np.repeat(several, np.diff(np.r_[starts, len(slot)]))
-        return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(key[hit])], names=["doc_id", "key"])
+        slot, doc, rest, kind = (t.column(c).to_numpy() for c in ("slot", "doc_id", "rest", "kind"))
+        key = pc.coalesce(t.column("key"), t.column("slot")).to_numpy()
+        window, lead = np.flatnonzero(kind <= SEVERAL), np.flatnonzero(kind == WHOLE)
+        hit = window[:0]
+        if len(window):
+            starts = np.flatnonzero(np.r_[True, slot[window][1:] != slot[window][:-1]])
+            several = np.maximum.reduceat(doc[window], starts) != np.minimum.reduceat(doc[window], starts)
+            several |= np.maximum.reduceat(kind[window], starts) == SEVERAL
+            hit = window[np.repeat(several, np.diff(np.r_[starts, len(window)]))]
+        at, first, _ = _first_of((slot[lead], rest[lead]), doc[lead])
+        late = np.r_[lead[at[~first]], np.flatnonzero(kind == COPY)]
+        out = np.r_[hit, late]
+        is_copy = np.arange(len(out)) >= len(hit)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[out]), pa.array(key[out], mask=is_copy), pa.array(key[out], mask=~is_copy)], names=["doc_id", "key", "copy"]
+        )
 
     for b in batches:
         if not b.num_rows:
@@ -196,7 +250,7 @@ def _digests(n: int, width: int):
         for b in gather(batches, GATHER_BYTES):
             found = []
             for w, rows in _parts(b):
-                at = w.candidates(_sets(rows.column("keys")), n, width)
+                at = w.candidates(rows, n, width, width)
                 found.append((w.keys(width, 0)[at], w.keys(width, 1)[at], rows.column("doc_id").to_numpy()[w.doc[at]]))
             x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((d, y, x))
@@ -216,9 +270,11 @@ def _keep(n: int, width: int, make):
         for b in pieces(batches):
             for w, rows in _parts(b):
                 removed = np.zeros(w.total + 1, np.int32)
-                held = _sets(rows.column("keys"))
-                if any(h is not None for h in held):
-                    at = w.candidates(held, n, width)
+                for i in np.flatnonzero(_copies(w.words, rows, width)):
+                    removed[w.ends[i] - len(w.words[i])] += 1
+                    removed[w.ends[i]] -= 1
+                if rows.column("keys").null_count < rows.num_rows:
+                    at = w.candidates(rows, n, width, width)
                     own, cuts = w.keys(width, 0), np.searchsorted(w.doc[at], np.arange(rows.num_rows + 1))
                     for i, firsts in enumerate(_sets(rows.column("firsts"))):
                         mine = at[cuts[i] : cuts[i + 1]]
@@ -236,26 +292,37 @@ def _clean(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
 
-def _by_doc(found: DataFrame, key: str, name: str) -> DataFrame:
-    return found.groupBy("doc_id").agg(F.collect_list(key).alias(name))
+def _by_doc(found: DataFrame, **lists: str) -> DataFrame:
+    """Lists of the values that aren't null; an empty one is null."""
+    listed = found.groupBy("doc_id").agg(*[F.collect_list(c).alias(n) for n, c in lists.items()])
+    return listed.select("doc_id", *[F.when(F.size(n) > 0, F.col(n)).alias(n) for n in lists])
 
 
 def _judged(docs: DataFrame, width: int, shortest: int) -> tuple[DataFrame, int]:
-    """doc_id, text, keys (chosen windows of the last but one length that are repeated) and firsts (windows of ``width`` that are first here)."""
-    clean, levels = _clean(docs), lengths(width, shortest)
+    """doc_id, text, keys (chosen windows of the last but one length that are repeated), copies (digests of texts of this doc_id that repeat an
+    earlier document's) and firsts (windows of ``width`` that are first here)."""
+    clean, levels, lists = _clean(docs), lengths(width, shortest), ("keys", "copies", "firsts")
     at_hand, before = clean.where(F.col("doc_id").isNotNull()), 0
     texts = at_hand.repartition("doc_id")
-    untouched = lambda df: df.withColumns({c: F.lit(None).cast("array<long>") for c in ("keys", "firsts")})
+    untouched = lambda df, names: df.withColumns({c: F.lit(None).cast("array<long>") for c in names})
     for n, longer in pairwise(levels):
-        sent = at_hand.mapInArrow(_propose(n, longer, before), "slot long, doc_id long, key long, many boolean")
-        found = sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(_repeated, "doc_id long, key long")
-        held = materialize(_by_doc(found, "key", "keys"), "repeated", "zstd")
-        if held.isEmpty():
-            return untouched(clean), levels[-2]
-        at_hand, before = texts.join(held.hint("shuffle_hash"), "doc_id"), n
-    firsts = at_hand.mapInArrow(_digests(before, width), "x long, y long, doc_id long").groupBy("x", "y").agg(F.min("doc_id").alias("doc_id"))
-    joined = texts.join(held.hint("shuffle_hash"), "doc_id", "left").join(_by_doc(firsts, "x", "firsts").hint("shuffle_hash"), "doc_id", "left")
-    return joined.unionByName(untouched(clean.where(F.col("doc_id").isNull()))), before
+        sent = at_hand.mapInArrow(_propose(n, longer, before, width), _SENT)
+        found = sent.repartition("slot").sortWithinPartitions("slot").mapInArrow(_repeated, "doc_id long, key long, copy long")
+        if before:  # copies are known from the first pass
+            held = _by_doc(found, keys="key").join(held.select("doc_id", "copies").where("copies IS NOT NULL"), "doc_id", "full")
+        else:
+            held = _by_doc(found, keys="key", copies="copy")
+        held = materialize(held, "repeated", "zstd")
+        at_hand, before = texts.join(held.where("keys IS NOT NULL").hint("shuffle_hash"), "doc_id"), n
+        if held.where("keys IS NOT NULL").isEmpty():
+            break
+    joined = texts.join(held.hint("shuffle_hash"), "doc_id", "left")
+    if before == levels[-2]:
+        firsts = at_hand.mapInArrow(_digests(before, width), "x long, y long, doc_id long").groupBy("x", "y").agg(F.min("doc_id").alias("doc_id"))
+        joined = joined.join(_by_doc(firsts, firsts="x").hint("shuffle_hash"), "doc_id", "left")
+    else:
+        joined = untouched(joined, ["firsts"])
+    return joined.unionByName(untouched(clean.where(F.col("doc_id").isNull()), lists)), before
 
 
 def remove_passages(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTEST) -> DataFrame:
