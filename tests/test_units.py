@@ -284,14 +284,8 @@ def test_retries():
     assert cubes.with_retries(lambda: 1 / 0, sleep=lambda s: None) is None
 
 
-def broken(key, box):
-    if key == "2":
-        raise OSError("no such slab")
-    return cubes.synthetic_slab(key, box)
-
-
 def test_failed_slab_leaves_the_others(spark):
-    got = cubes.read_cube(spark, "tests.test_units:broken", ["1", "2", "3"], tries="1").groupBy("time").count().collect()
+    got = cubes.read_cube(spark, "tests.test_rasters:broken", ["1", "2", "3"], tries="1").groupBy("time").count().collect()
     assert [r["count"] for r in got] == [400, 400]
 
 
@@ -398,16 +392,6 @@ def test_scratch_is_deleted(spark):
     assert not os.path.exists(path.removeprefix("file://"))
 
 
-def seen(key, box):
-    return [(None, 0, 0, 0, box["lat"][0], box["lon"][1], float(len(box)))]
-
-
-def test_ranges_reach_the_opener(spark):
-    cube = cubes.read_cube(spark, "tests.test_units:seen", ["1"])
-    r = cubes.slab(cube, (35.0, 36.0), (-75.0, -74.0)).first()
-    assert (r.lat, r.lon, r.value) == (35.0, -74.0, 2.0)
-
-
 class Dap(http.server.BaseHTTPRequestHandler):
     """A server of one small raster (time, lat descending, lon) with a fill value and a scale."""
 

@@ -10,6 +10,9 @@ from ..functions.geo import KM_PER_DEGREE
 from ..schema import Axis
 from .ordering import around
 
+#: Width of the finest tiles that boxes meet cells in, degrees, and the number of levels, each of twice the width: the coarsest tiles are wider than the globe.
+FINEST_DEG, LEVELS = 1 / 16, 14
+
 
 def nearest_index(x: Column, axis: Axis) -> Column:
     """The cell of a regular ascending axis nearest to x, the larger coordinate of two; x beyond an end gets the end."""
@@ -73,10 +76,34 @@ def bounding_box(points: DataFrame, buffer: float, by: tuple[str, ...] = ()) ->
     )
 
 
-def within_box(grid: DataFrame, box: DataFrame) -> DataFrame:
-    """OP-37: the cells in the one box; its row is a broadcast of fixed size."""
-    inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
-    return grid.join(F.broadcast(box.limit(1)), inside, "left_semi")
+def within_boxes(grid: DataFrame, boxes: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """OP-37: each cell once for each box that holds it, with the columns of both; boxes have lat_min, lat_max, lon_min, lon_max.
+
+    An equi-join by tiles: a box is put in the level whose tiles are as wide as its longer side, so that it meets at most four, and a cell meets one tile
+    of each level that some box has (at most ``LEVELS``). ``on`` names columns that must be equal as well, such as the time, so that each slice
+    meets its own boxes alone. A box without an edge, or whose edges are swapped, holds nothing.
+    """
+    edges = ("lat_min", "lat_max", "lon_min", "lon_max")
+    side = F.greatest(F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min"))
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil(F.log2(F.greatest(side, F.lit(FINEST_DEG)) / FINEST_DEG)))).cast("int")
+    valid = boxes.where(F.col("lat_min").isNotNull() & F.col("lon_min").isNotNull() & (F.col("lat_min") <= F.col("lat_max")) & (F.col("lon_min") <= F.col("lon_max")))
+    width = lambda l: F.lit(FINEST_DEG) * F.pow(F.lit(2.0), l)
+    tile = lambda x, l: F.floor(F.col(x) / width(l))
+    put = valid.withColumn("_level", level).withColumn("_ty", F.explode(F.sequence(tile("lat_min", F.col("_level")), tile("lat_max", F.col("_level"))))).withColumn(
+        "_tx", F.explode(F.sequence(tile("lon_min", F.col("_level")), tile("lon_max", F.col("_level"))))
+    )
+    used = [r[0] for r in valid.select(level.alias("l")).distinct().collect()]  # at most LEVELS
+    tiles = F.array(*[F.struct(F.lit(l).alias("_level"), tile("lat", F.lit(l)).alias("_ty"), tile("lon", F.lit(l)).alias("_tx")) for l in used]) if used else F.array()
+    kind = "array<struct<_level:int,_ty:bigint,_tx:bigint>>"
+    cells = grid.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("*", F.inline(tiles.cast(kind)))
+    met = cells.join(put, ["_level", "_ty", "_tx", *on])
+    return met.where(F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))).drop("_level", "_ty", "_tx", *edges)
+
+
+def within_box(grid: DataFrame, box: DataFrame, key: str = "cell_id") -> DataFrame:
+    """OP-37: the cells in the box, or in one of several, each once. ``key`` tells cells apart."""
+    inside = within_boxes(grid.select(key, "lat", "lon"), box.select("lat_min", "lat_max", "lon_min", "lon_max")).select(key).distinct()
+    return grid.join(inside, key, "left_semi")
 
 
 def needed_times(grid: DataFrame, keys: DataFrame, on: str = "time") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import os
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import boosting, evaluate, models, raster, sampling
 from ..schema import FEATURE_ORDER, SIGHTINGS, GridSpec
-from ..sources import cubes, tables
+from ..sources import cubes, netcdf, tables
 from ..streaming import scoring
 from . import habitat
 from . import surrogates as S
@@ -97,12 +102,58 @@ def threshold_round_trip(spark, sf):
     return tables.read_threshold(spark, path)
 
 
-@query("SELECT CAST(k AS INT) AS day, i::INT AS lat_idx, j::INT AS lon_idx, CASE WHEN i = 3 AND j = 3 THEN NULL ELSE CAST((i * 7 + j * 3 + k) % 11 AS DOUBLE) END AS value FROM (SELECT unnest(range(4)) AS k), (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j) WHERE 35e0 + 0.05e0 * i BETWEEN 35.2 AND 35.7")
+_MONTHLY = """monthly AS (SELECT cell_id, lat_idx, lon_idx, lat, lon, m, CASE WHEN (cell_id + m) % 17 <> 0 THEN value + m / 4e0 END AS value FROM grid, (SELECT unnest(range(1, 13)) AS m))"""
+
+
+def _monthly_files(spark, sf):
+    """A raster made from parts, as a NetCDF file for each month of 1995; gives the files by time. Some cells have no value."""
+    folder = tables.scratch(spark, "rasters")
+    path = folder.removeprefix("file://")
+    if "://" in path:
+        raise ValueError("NetCDF files need a shared folder that executors can open by path")
+    rows = S.lat_axis(spark, sf).n
+    lat, lon = (S.LAT0 + S.STEP * np.arange(rows)), (S.LON0 + S.STEP * np.arange(S.COLUMNS))
+
+    def put(key, cells):
+        values = np.full((1, rows, S.COLUMNS), np.nan)
+        values[0, cells["lat_idx"], cells["lon_idx"]] = cells["value"]
+        os.makedirs(path, exist_ok=True)
+        day = (datetime.date(1995, key[0], 16) - datetime.date(1995, 1, 1)).days
+        netcdf.write_classic(f"{path}/{key[0]}.nc", {"time": np.array([float(day)]), "latitude": lat, "longitude": lon}, "sst", values, "days since 1995-01-01", record=True)
+        return pd.DataFrame({"m": [key[0]]})
+
+    months = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("m")
+    cells = S.grid(spark, sf).select("cell_id", "lat_idx", "lon_idx", "value", months).where("(cell_id + m) % 17 <> 0").select("m", "lat_idx", "lon_idx", (F.col("value") + F.col("m") / 4).alias("value"))
+    done = [r["m"] for r in cells.groupBy("m").applyInPandas(put, "m int").collect()]
+    return {datetime.datetime(1995, m, 16, tzinfo=datetime.timezone.utc): f"{path}/{m}.nc|sst|0|" for m in sorted(done)}
+
+
+@query("SELECT m AS month, lat_idx, lon_idx, round(lat, 6) AS lat, round(lon, 6) AS lon, round(value, 6) AS value FROM monthly WHERE m IN (5, 6) AND lat BETWEEN 35.2 AND 36.4 AND lon BETWEEN -74 AND -73.1 AND value IS NOT NULL", GRID, _MONTHLY)
 def cube_scan(spark, sf):
-    """OP-03, 04, 05, 06: a data source that opens a slab a key, with retries."""
-    cube = cubes.read_cube(spark, "tidewright.sources.cubes:synthetic_slab", ["0", "1", "2", "3"])
-    part = cubes.slab(cubes.depth_slice(cube), (35.2, 35.7), (-180.0, 180.0))
-    return part.select((F.day("time") - 1).alias("day"), "lat_idx", "lon_idx", "value")
+    """OP-03, 04, 06: NetCDF files, of which those of the times asked for are opened, the rows of the band read, and the box passed on."""
+    keys = [cubes.Key(k, t) for t, k in _monthly_files(spark, sf).items()]
+    cube = cubes.read_cube(spark, "tidewright.sources.netcdf:open_bands", keys)
+    late = cubes.slab(cube, (35.2, 36.4), (-74.0, -73.1)).where((F.col("time") > F.lit("1995-04-30").cast("timestamp")) & (F.col("time") < F.lit("1995-07-01").cast("timestamp")))
+    return late.where("value IS NOT NULL").select(F.month("time").alias("month"), "lat_idx", "lon_idx", _r("lat"), _r("lon"), _r("value"))
+
+
+_BOX_SQL = "SELECT {0}, min(Lat) - 0.25 AS a, max(Lat) + 0.25 AS b, min(Lon) - 0.25 AS c, max(Lon) + 0.25 AS d FROM pts {1} GROUP BY ALL"
+
+
+@query("SELECT m AS month, count(value) AS n, round(sum(value), 4) AS total FROM monthly JOIN (" + _BOX_SQL.format("month(Date) AS k", "WHERE year(Date) = 1995 AND Lat < 35.5 + month(Date) / 12e0") + ") ON m = k AND lat BETWEEN a AND b AND lon BETWEEN c AND d GROUP BY 1", GRID, PTS, _MONTHLY)
+def raster_around_points(spark, sf):
+    """OP-03, 04, 37, 38: of each month's file the box around the month's points, ranges taken from the points at run time."""
+    p = S.pts(spark, sf).where((F.year("Date") == 1995) & (F.col("Lat") < 35.5 + F.month("Date") / 12)).withColumn("time", F.make_timestamp(F.lit(1995), F.month("Date"), F.lit(16), F.lit(0), F.lit(0), F.lit(0)))
+    cube = cubes.read_around(spark, "tidewright.sources.netcdf:open_bands", _monthly_files(spark, sf), p, 0.25, band="1")
+    return cube.groupBy(F.month("time").alias("month")).agg(F.count("value").alias("n"), _r(F.sum("value"), "total", 4))
+
+
+@query("SELECT year, month, count(*) AS n, round(sum(value), 4) AS total FROM grid JOIN (" + _BOX_SQL.format("CAST(year(Date) AS INT) AS year, CAST(month(Date) AS INT) AS month", "WHERE Lat < 35.5 + month(Date) / 12e0") + ") ON lat BETWEEN a AND b AND lon BETWEEN c AND d GROUP BY 1, 2", GRID, PTS)
+def month_boxes(spark, sf):
+    """OP-37, 50: the cells in the box of each month's points."""
+    p = S.pts(spark, sf).where(F.col("Lat") < 35.5 + F.month("Date") / 12).withColumns({"year": F.year("Date"), "month": F.month("Date")})
+    met = raster.within_boxes(S.grid(spark, sf), raster.bounding_box(p, 0.25, ("year", "month")))
+    return met.groupBy("year", "month").agg(F.count("*").alias("n"), _r(F.sum("value"), "total", 4))
 
 
 # ---- models -----------------------------------------------------------------------------------------------------
@@ -343,10 +394,11 @@ def stream_scores(spark, sf):
     ).groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
 
 
-@query("SELECT cell_id, strftime(t, '%Y-%m-%d') AS day FROM grid, (SELECT DISTINCT date_trunc('day', Date) AS t FROM pts WHERE month(Date) = 3 AND year(Date) = 1995) WHERE cell_id % 7 = 0", GRID, PTS)
+@query("SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value + dayofyear(t)), 4) AS total FROM grid, (SELECT DISTINCT date_trunc('day', Date) AS t FROM pts) GROUP BY 1", GRID, PTS)
 def needed_slices(spark, sf):
     """OP-38: of a raster with a slice for each day, only those that some point asks for."""
-    p = S.pts(spark, sf).where((F.month("Date") == 3) & (F.year("Date") == 1995)).select(F.date_trunc("day", "Date").alias("time"))
-    days = spark.sql("SELECT explode(sequence(TIMESTAMP'1995-01-01', TIMESTAMP'1995-12-31', INTERVAL 1 DAY)) AS time")
-    cube = S.grid(spark, sf).where("cell_id % 7 = 0").select("cell_id").crossJoin(F.broadcast(days))
-    return raster.needed_times(cube, p).select("cell_id", F.date_format("time", "yyyy-MM-dd").alias("day"))
+    p = S.pts(spark, sf).select(F.date_trunc("day", "Date").alias("time"))
+    days = F.explode(F.expr("sequence(TIMESTAMP'1990-01-01', TIMESTAMP'2003-12-31', INTERVAL 1 DAY)")).alias("time")
+    slices = raster.needed_times(spark.range(1).select(days), p)
+    cube = S.grid(spark, sf).select("value", F.lit(0).alias("k")).join(F.broadcast(slices.withColumn("k", F.lit(0))), "k")
+    return cube.groupBy(F.date_format("time", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), _r(F.sum(F.col("value") + F.dayofyear("time")), "total", 4))

@@ -14,6 +14,8 @@ import urllib.request
 
 import numpy as np
 
+from .cubes import Plane
+
 #: How the protocol codes types on the wire.
 WIRE = {"Byte": ">u4", "Int16": ">i4", "UInt16": ">u4", "Int32": ">i4", "UInt32": ">u4", "Float32": ">f4", "Float64": ">f8"}
 #: Names by which servers call the axes.
@@ -58,12 +60,18 @@ def _attributes(das: str, name: str) -> dict[str, str]:
     return {k: v.strip().strip('"') for k, v in re.findall(r"\w+\s+(\w+)\s+([^;]*);", block[1])} if block else {}
 
 
-def _inside(axis: np.ndarray, bounds: tuple[float, float]) -> tuple[int, int] | None:
+def inside(axis: np.ndarray, bounds: tuple[float, float]) -> tuple[int, int] | None:
     at = np.flatnonzero((axis >= bounds[0]) & (axis <= bounds[1]))
     return (int(at[0]), int(at[-1])) if len(at) else None
 
 
-def _moment(value: float, units: str) -> datetime.datetime:
+def numbers(axis: np.ndarray) -> np.ndarray:
+    """The number of each coordinate, counted from the least."""
+    n = np.arange(len(axis))
+    return n if len(axis) < 2 or axis[0] < axis[-1] else n[::-1]
+
+
+def moment(value: float, units: str) -> datetime.datetime:
     m = re.match(r"(\w+) since (\d{4}-\d{1,2}-\d{1,2})(?:[T ](\d{2}):(\d{2}):(\d{2}))?", units)
     if not m:
         raise OSError(f"time units not understood: {units}")
@@ -71,8 +79,8 @@ def _moment(value: float, units: str) -> datetime.datetime:
     return datetime.datetime(y, mo, d, *(int(x or 0) for x in m.groups()[2:])) + datetime.timedelta(seconds=value * _SECONDS[m[1]])
 
 
-def open_slab(key: str, box: dict[str, tuple[float, float]]) -> list[tuple]:
-    """The cells of one time and depth inside the box, in GRID's order. Fill values and NaN are missing.
+def open_slab(key: str, box: dict[str, tuple[float, float]]) -> list[Plane]:
+    """The plane of one time and depth inside the box. Fill values and NaN are missing.
 
     Indices count from the lesser coordinate, also where the server's axis descends.
     """
@@ -85,7 +93,7 @@ def open_slab(key: str, box: dict[str, tuple[float, float]]) -> list[tuple]:
     for name, size in dims:
         r = role.get(name)
         if r in ("lat", "lon"):
-            span = _inside(axes[name], box.get(r, (-math.inf, math.inf)))
+            span = inside(axes[name], box.get(r, (-math.inf, math.inf)))
             if span is None:
                 return []
             spans[r] = (name, *span)
@@ -109,12 +117,8 @@ def open_slab(key: str, box: dict[str, tuple[float, float]]) -> list[tuple]:
     when = None
     if "time" in spans:
         name, at, _ = spans["time"]
-        when = _moment(float(axes[name][at]), _attributes(das, name).get("units", "seconds since 1970-01-01"))
+        when = moment(float(axes[name][at]), _attributes(das, name).get("units", "seconds since 1970-01-01"))
     depth = spans["depth"][1] if "depth" in spans else None
     (y_name, y0, y1), (x_name, x0, x1) = spans["lat"], spans["lon"]
     ys, xs = axes[y_name], axes[x_name]
-    number = lambda axis, i: i if len(axis) < 2 or axis[0] < axis[-1] else len(axis) - 1 - i
-    return [
-        (when, depth, number(ys, y), number(xs, x), float(ys[y]), float(xs[x]), None if math.isnan(v := float(plane[y - y0, x - x0])) else v)
-        for y in range(y0, y1 + 1) for x in range(x0, x1 + 1)
-    ]
+    return [Plane(when, depth, numbers(ys)[y0 : y1 + 1], numbers(xs)[x0 : x1 + 1], ys[y0 : y1 + 1], xs[x0 : x1 + 1], plane)]
