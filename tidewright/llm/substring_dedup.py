@@ -288,8 +288,9 @@ def _keep(n: int, width: int, make):
 
 
 def _clean(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a column that is a string already is left as it is, so that Spark sees both uses of the dealt texts as one exchange."""
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return docs.select("doc_id", "text" if docs.schema["text"].dataType.simpleString() == "string" else F.col("text").cast("string").alias("text"))
 
 
 def _by_doc(found: DataFrame, **lists: str) -> DataFrame:
