@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,9 +14,11 @@ from ..functions.geo import KM_PER_DEGREE, haversine_km
 from ..sources.tables import scratch, stage
 
 #: Cells that a tile of the finest level would hold if they were spread evenly.
-CELLS_A_TILE = 24
-#: Tiles on an axis of the level where the search starts: 256 tiles of points and as many of cells at most.
-START = 16
+CELLS_A_TILE = 4
+#: Cells around a tile of points up to which its points carry them.
+FEW = 256
+#: Tiles on an axis of the level whose boxes come to the driver, at most: 16,384 boxes of points and of cells, whatever the tables' sizes.
+COARSE = 128
 _BOX = ("y0", "y1", "x0", "x1")
 
 
@@ -29,14 +33,52 @@ def _parent(tile: Column) -> Column:
 
 
 def _pyramid(df: DataFrame, levels: int, side: str) -> list[DataFrame]:
-    """Occupied tiles of each level, the finest first: number, parent's number, and the box of what they hold. The coarsest have parent 0."""
+    """Occupied tiles of each level, the finest first: number, parent's number, and the box of what they hold."""
     box = lambda y, x: [F.min(y[0]).alias(f"{side}y0"), F.max(y[1]).alias(f"{side}y1"), F.min(x[0]).alias(f"{side}x0"), F.max(x[1]).alias(f"{side}x1")]
     out = [df.groupBy(side).agg(*box(("_y", "_y"), ("_x", "_x")))]
     for _ in range(levels - 1):
         up = out[-1].withColumn(side, _parent(F.col(side))).groupBy(side).agg(*box((f"{side}y0", f"{side}y1"), (f"{side}x0", f"{side}x1")))
         out.append(up)
-    parent = lambda k: _parent(F.col(side)) if k < levels - 1 else F.lit(0).cast("long")
-    return [t.withColumn(f"{side}_up", parent(k)) for k, t in enumerate(out)]
+    return [t.withColumn(f"{side}_up", _parent(F.col(side))) for t in out]
+
+
+def _coarse_pairs(tiles: DataFrame, cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of coarse tiles that stay, found from their boxes through tiles four times as wide each."""
+    levels = []
+    for df, side in ((tiles, "p"), (cells, "c")):
+        t = df.select(side, *[f"{side}{n}" for n in _BOX]).toPandas().to_numpy()
+        number, box = [t[:, 0].astype(np.int64)], [t[:, 1:].astype(float)]
+        while True:
+            up, at = np.unique((number[-1] >> 33 << 31) | ((number[-1] & ((1 << 31) - 1)) >> 2), return_inverse=True)
+            wide = np.tile([np.inf, -np.inf, np.inf, -np.inf], (len(up), 1))
+            for k, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum)):
+                f.at(wide[:, k], at, box[-1][:, k])
+            order = np.argsort(at, kind="stable")
+            levels.append((side, number[-1][order], box[-1][order], np.searchsorted(at[order], np.arange(len(up) + 1))))
+            number, box = [up], [wide]
+            if len(up) == 1 and up[0] == 0:
+                break
+    of = {s: [x[1:] for x in levels if x[0] == s] for s in "pc"}
+    deepest = max(map(len, of.values()))
+    for s in "pc":  # a side that comes to one tile sooner waits at it
+        of[s] += [(np.zeros(1, np.int64), of[s][-1][1][:1] * 0 + [[b[:, 0].min(), b[:, 1].max(), b[:, 2].min(), b[:, 3].max()] for b in [of[s][0][1]]], np.array([0, 1]))] * (deepest - len(of[s]))
+    p, c = np.zeros(1, np.int64), np.zeros(1, np.int64)  # places of the pairs' tiles in the level above
+    for k in range(deepest - 1, -1, -1):
+        (pn, pb, pcut), (cn, cb, ccut) = of["p"][k], of["c"][k]
+        np_, nc = pcut[p + 1] - pcut[p], ccut[c + 1] - ccut[c]
+        pair = np.repeat(np.arange(len(p)), np_ * nc)
+        within = np.arange(len(pair)) - np.repeat(np.cumsum(np_ * nc) - np_ * nc, np_ * nc)
+        p, c = pcut[p[pair]] + within // nc[pair], ccut[c[pair]] + within % nc[pair]
+        a, b = pb[p], cb[c]
+        near = [np.maximum(np.maximum(b[:, i] - a[:, i + 1], a[:, i] - b[:, i + 1]), 0) for i in (0, 2)]
+        far = [np.maximum(np.abs(a[:, i + 1] - b[:, i]), np.abs(b[:, i + 1] - a[:, i])) for i in (0, 2)]
+        least = np.full(len(pn), np.inf)
+        np.minimum.at(least, p, far[0] ** 2 + far[1] ** 2)
+        stays = near[0] ** 2 + near[1] ** 2 <= least[p] * (1 + 1e-9) + 1e-9
+        p, c = p[stays], c[stays]
+        # tiles are in the order of their parents; the level below counts parents in the order of their numbers
+        p, c = np.argsort(np.argsort(pn))[p], np.argsort(np.argsort(cn))[c]
+    return np.sort(of["p"][0][0])[p], np.sort(of["c"][0][0])[c]
 
 
 def _gap2(p: tuple[Column, Column, Column, Column], c: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
@@ -58,15 +100,15 @@ def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float |
     Plane coordinates scale longitude by the cosine of the points' mean latitude. Points and cells are gathered in tiles of a pyramid, each with the
     box of what it holds. From the coarsest level on, pairs of tiles go on to their children, but for pairs whose
     least distance is more than the largest distance to some other tile of cells: far points share the work of their tile, and the pairs of
-    a tile are those around its nearest cells, however far these are. In the last tiles each point drops those that can't win, then
-    meets cells. ``cells`` has cell_id, lat, lon; equal distances go to the least cell_id. Without cells, or a point's coordinates,
+    a tile are those around its nearest cells, however far these are. In the end the points of a tile meet the cells of its pairs. ``cells`` has cell_id, lat, lon; equal distances go to the least cell_id. Without cells, or a point's coordinates,
     ``out`` is NULL. ``keep`` names columns of the winner to keep. Points of one ``key`` share its row's result, so that it must tell points apart.
     """
     spark, seen, met = points.sparkSession, Observation(), Observation()
     missing = {out: F.lit(None).cast("double"), **{k: F.lit(None).cast(cells.schema[k].dataType) for k in keep}}
     ends = lambda lat, lon: [f(c).alias(n) for f, c, n in ((F.min, lat, "y0"), (F.max, lat, "y1"), (F.min, lon, "x0"), (F.max, lon, "x1"))]
     asked = points.where(F.col("Lat").isNotNull() & F.col("Lon").isNotNull()).select(key, F.col("Lat").cast("double").alias("Lat"), F.col("Lon").cast("double").alias("Lon"))
-    left = stage(asked.observe(seen, F.avg("Lat").alias("mean"), *ends("Lat", "Lon")), scratch(spark, "points"))
+    # dealt out by key, as few large files or a tile of many points would leave the work to few tasks
+    left = stage(asked.observe(seen, F.avg("Lat").alias("mean"), *ends("Lat", "Lon")).repartition(spark.sparkContext.defaultParallelism, key), scratch(spark, "points"))
     right = cells.select("cell_id", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), *keep).where("_lat IS NOT NULL AND _lon IS NOT NULL")
     right = stage(right.observe(met, F.count("*").alias("n"), *ends("_lat", "_lon")), scratch(spark, "cells"))
     a, b = seen.get, met.get
@@ -78,29 +120,35 @@ def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float |
     area = max((b["y1"] - b["y0"]) * ky, 1e-3) * max((b["x1"] - b["x0"]) * abs(kx), 1e-3)
     width = max(tile_km or math.sqrt(area * CELLS_A_TILE / b["n"]), span / 2**28)
     levels = 1
-    while span / (width * 4 ** (levels - 1)) >= START:
+    while span / (width * 4 ** (levels - 1)) >= COARSE:
         levels += 1
 
     plane = lambda df, lat, lon, side: df.withColumns({"_y": F.col(lat) * ky, "_x": F.col(lon) * kx}).withColumn(side, _tile(F.col("_y"), F.col("_x"), width, origin))
     left, right = plane(left, "Lat", "Lon", "p"), plane(right, "_lat", "_lon", "c")
     of_points, of_cells = _pyramid(left, levels, "p"), _pyramid(right, levels, "c")
-    pairs = None
-    for k in range(levels - 1, -1, -1):
-        if pairs is None:
-            pairs = of_points[k].join(of_cells[k], F.col("p_up") == F.col("c_up"))  # at most START ** 4 pairs
-        else:
-            pairs = pairs.join(of_points[k], "p_up").join(of_cells[k], "c_up")
+    first = _coarse_pairs(of_points[-1], of_cells[-1])
+    pairs = spark.createDataFrame(pa.table({"p": first[0], "c": first[1]}))
+    for k in range(levels - 2, -1, -1):
+        pairs = pairs.select(F.col("p").alias("p_up"), F.col("c").alias("c_up")).join(of_points[k], "p_up").join(of_cells[k], "c_up")
         lower, upper = _gap2(*(tuple(F.col(f"{s}{n}") for n in _BOX) for s in "pc"))
         bounded = pairs.withColumns({"_lower": lower, "_upper": F.min(upper).over(W.partitionBy("p"))}).where(_kept(F.col("_lower"), F.col("_upper")))
-        pairs = bounded.select(F.col("p").alias("p_up"), F.col("c").alias("c_up")) if k else bounded.select("p", "c", *[f"c{n}" for n in _BOX])
-    choices = pairs.groupBy("p").agg(F.collect_list(F.struct("c", *[f"c{n}" for n in _BOX])).alias("_of"))
-
-    here = (F.col("_y"), F.col("_y"), F.col("_x"), F.col("_x"))
-    gaps = F.transform("_of", lambda t: F.struct(t["c"].alias("c"), *[g.alias(n) for g, n in zip(_gap2(here, tuple(t[f"c{n}"] for n in _BOX)), ("lower", "upper"), strict=True)]))
-    near = left.join(choices, "p").withColumn("_of", gaps).withColumn("_least", F.array_min(F.transform("_of", lambda t: t["upper"])))
-    open_ = near.select(key, F.col("_y").alias("_py"), F.col("_x").alias("_px"), F.explode(F.filter("_of", lambda t: _kept(t["lower"], F.col("_least")))["c"]).alias("c"))
-    d = F.pow(F.col("_py") - F.col("_y"), 2) + F.pow(F.col("_px") - F.col("_x"), 2)
-    best = open_.join(right, "c").groupBy(key).agg(F.min(F.struct(d.alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b"))
+        pairs = bounded.select("p", "c")
+    if levels > 1:
+        pairs = stage(pairs, scratch(spark, "pairs"))
+
+    # the cells of a tile's pairs: as an array where they are few, so that a point finds its own in one row; else each point meets them as rows
+    own = right.select("c", "cell_id", "_lat", "_lon", "_y", "_x", *keep)
+    sizes = pairs.join(right.groupBy("c").agg(F.count("*").alias("_n")), "c").groupBy("p").agg(F.sum("_n").alias("_n"))
+    marked = pairs.join(sizes, "p")
+    few = marked.where(F.col("_n") <= FEW).join(own, "c").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("cell_id", "_y", "_x", "_lat", "_lon", *keep))).alias("_of"))
+    far2 = lambda y, x: (F.col("_py") - y) * (F.col("_py") - y) + (F.col("_px") - x) * (F.col("_px") - x)
+    at = left.select(key, "p", F.col("_y").alias("_py"), F.col("_x").alias("_px"))
+    gaps = at.join(few, "p").withColumn("_d", F.transform("_of", lambda c: far2(c["_y"], c["_x"])))
+    best = gaps.select(key, F.get("_of", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).alias("_b")).select(key, *[F.col(f"_b.{n}").alias(n) for n in ("_lat", "_lon", *keep)])
+    crowded = at.join(marked.where(F.col("_n") > FEW).select("p", "c"), "p").join(own, "c").groupBy(key).agg(
+        F.min(F.struct(far2(F.col("_y"), F.col("_x")).alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b")
+    )
+    best = best.unionByName(crowded.select(key, *[F.col(f"_b.{n}").alias(n) for n in ("_lat", "_lon", *keep)]))
     joined = points.join(best, key, "left")
-    found = {out: haversine_km(F.col("Lat"), F.col("Lon"), F.col("_b._lat"), F.col("_b._lon")), **{k: F.col(f"_b.{k}") for k in keep}}
-    return joined.withColumns(found).drop("_b")
+    found = {out: haversine_km(F.col("Lat"), F.col("Lon"), F.col("_lat"), F.col("_lon"))}
+    return joined.withColumns(found).drop("_lat", "_lon")
