@@ -442,3 +442,38 @@ def test_dap_server(spark):
     assert len(got) == 8 and got[2, 1, 1] == (36.0, -74.5, None) and got[1, 2, 2] == (36.5, -74.0, 5 * 0.5 + 1)
     assert any("[1:1:2][1:1:2]" in urllib.parse.unquote(c) for c in Dap.calls)
     assert cubes.with_retries(lambda: dap.open_slab(f"{url}|sst|0|", {}), tries=1) is None
+
+
+def test_density_within_its_bound(spark):
+    """All rows, correlated and uneven, against the plain sum; far points and one line of points."""
+    g = np.random.default_rng(9)
+    u = np.r_[g.normal(size=700), 3 + 0.1 * g.normal(size=300)]
+    v = 0.6 * u + g.normal(size=1000) * 0.7
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(u, v, strict=True)] + [(None, 1.0)], "u double, v double").repartition(5)
+    c = np.cov(u, v) * 1000 ** (-1 / 3)
+    i, j = np.divmod(np.arange(400), 20)
+    at = np.stack([u.min() + (u.max() - u.min()) * i / 19, v.min() + (v.max() - v.min()) * j / 19])
+    d = at[:, :, None] - np.stack([u, v])[:, None, :]
+    peak = 1 / (2 * math.pi * math.sqrt(np.linalg.det(c)))
+    want = np.exp(-np.einsum("iab,ij,jab->ab", d, np.linalg.inv(c), d) / 2).mean(1) * peak
+    got = {r.cell: (r.x, r.y, r.density) for r in stats.kde_2d(df, "u", "v").collect()}
+    assert len(got) == 400 and stats.kde_2d_error() < 2e-7
+    for k in range(400):
+        assert got[k][:2] == pytest.approx(at[:, k].tolist()) and abs(got[k][2] - want[k]) <= stats.kde_2d_error() * peak
+    line = spark.createDataFrame([(float(k), 2.0 * k) for k in range(9)], "u double, v double")
+    assert {r.density for r in stats.kde_2d(line, "u", "v").collect()} == {None}
+    assert stats.kde_2d(df.limit(0), "u", "v").count() == 0
+
+
+def test_only_a_sources_failures_are_passed_over(spark):
+    df = spark.range(3)
+    missing = tables.optional(df, lambda d: d.join(spark.read.parquet("/no/such/raster"), "id"), "x")
+    assert [r.x for r in missing.collect()] == [None] * 3
+    fails = lambda text: lambda d: d.withColumn("x", F.raise_error(F.lit(text)).cast("double"))
+    assert [r.x for r in tables.optional(df, fails("SourceError: no answer"), "x", run=True).collect()] == [None] * 3
+    with pytest.raises(Exception, match="a bug"):
+        tables.optional(df, fails("a bug"), "x", run=True)
+    with pytest.raises(Exception, match="nowhere"):
+        tables.optional(df, lambda d: d.select("nowhere"), "x")
+    with pytest.raises(ZeroDivisionError):
+        tables.optional(df, lambda d: 1 / 0, "x")

@@ -71,8 +71,13 @@ def pseudo_absences(
 
 
 def with_absences(presences: DataFrame, absences: DataFrame) -> DataFrame:
-    """OP-77, 83: both, missing columns NULL, by date and presences first."""
-    return presences.unionByName(absences, allowMissingColumns=True).orderBy(F.asc("Date"), F.desc("Presence"))
+    """OP-77, 83: both, missing columns NULL. Their order, by date and presences first, is put on where they are written (``in_order``)."""
+    return presences.unionByName(absences, allowMissingColumns=True)
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """OP-83: by date, presences first; for the last step, as every join takes the order away."""
+    return df.orderBy(F.asc("Date"), F.desc("Presence"))
 
 
 def fixed_sample(df: DataFrame, n: int, id_: str = "id", seed: int = 42) -> DataFrame:

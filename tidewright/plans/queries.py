@@ -191,16 +191,16 @@ def kde(spark, sf):
     return stats.kde(S.obs(spark, sf), "SST", 100).select("i", _r("x"), _r("density", digits=9))
 
 
-_SAMPLE = f"sample AS (SELECT score AS u, hour(Date)::DOUBLE AS v FROM scored ORDER BY {sampling.uniform_sql('id', '0', 42)}, id LIMIT 2000)"
+_SAMPLE = "sample AS (SELECT score AS u, hour(Date)::DOUBLE AS v FROM scored)"
 _SHAPE = """s AS (SELECT min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1, count(*) AS n, var_samp(u) * pow(count(*), -1 / 3e0) AS uu, var_samp(v) * pow(count(*), -1 / 3e0) AS vv, covar_samp(u, v) * pow(count(*), -1 / 3e0) AS uv FROM sample WHERE u IS NOT NULL AND v IS NOT NULL)"""
 
 
-@query("""SELECT CAST(cell AS INT) AS cell, round(any_value(x), 6) AS x, round(any_value(y), 6) AS y, round(sum(exp(-(vv * (x - u) * (x - u) - 2 * uv * (x - u) * (y - v) + uu * (y - v) * (y - v)) / (uu * vv - uv * uv) / 2)) / (any_value(n) * 2 * pi() * sqrt(any_value(uu * vv - uv * uv))), 9) AS density FROM (
+@query("""SELECT CAST(cell AS INT) AS cell, round(any_value(x), 6) AS x, round(any_value(y), 6) AS y, round(sum(exp(-(vv * (x - u) * (x - u) - 2 * uv * (x - u) * (y - v) + uu * (y - v) * (y - v)) / (uu * vv - uv * uv) / 2)) / (any_value(n) * 2 * pi() * sqrt(any_value(uu * vv - uv * uv))), 6) AS density FROM (
     SELECT *, u0 + (u1 - u0) * (cell // 20) / 19 AS x, v0 + (v1 - v0) * (cell % 20) / 19 AS y FROM sample, s, (SELECT unnest(range(400)) AS cell) WHERE u IS NOT NULL AND v IS NOT NULL) GROUP BY 1""", SCORED, _SAMPLE, _SHAPE)
 def kde_2d(spark, sf):
-    """OP-62, 81: over a sample of fixed size, as the operator asks for."""
-    sample = sampling.fixed_sample(S.scored(spark, sf).withColumn("hour", F.hour("Date").cast("double")), 2000)
-    return stats.kde_2d(sample, "score", "hour").select("cell", _r("x"), _r("y"), _r("density", digits=9))
+    """OP-62: over all rows."""
+    rows = S.scored(spark, sf).withColumn("hour", F.hour("Date").cast("double"))
+    return stats.kde_2d(rows, "score", "hour").select(F.col("cell").cast("int").alias("cell"), _r("x"), _r("y"), _r("density"))
 
 
 _RANKS = """ranks AS (SELECT variable, sum(c1 * (before + (c + 1) / 2)) - sum(c1) * (sum(c1) + 1) / 2 AS u, sum(c1) AS n1, sum(c) - sum(c1) AS n0, sum(c) AS n, sum(c::DOUBLE ** 3 - c) AS ties FROM (

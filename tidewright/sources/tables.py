@@ -79,14 +79,35 @@ def required(read: Callable[[], DataFrame], what: str) -> DataFrame:
         raise SystemExit(1) from e
 
 
+class SourceError(Exception):
+    """A source that gives no answer; what openers and readers of sources raise, so that ``optional`` can tell it from other failures."""
+
+
+#: Conditions by which Spark says that a source isn't there or can't be read.
+SOURCE_CONDITIONS = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "DATA_SOURCE_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "PYTHON_DATA_SOURCE_ERROR")
+_SOURCE_TEXTS = ("SourceError", "java.io.FileNotFoundException", "java.net.", "java.io.EOFException", "is not a Parquet file")
+
+
+def is_source_error(e: BaseException) -> bool:
+    """Whether a failure is a source's: it is missing, unreadable or doesn't answer. Bugs, memory and wrong queries aren't."""
+    if isinstance(e, SourceError | OSError):
+        return True
+    condition = e.getCondition() if isinstance(e, PySparkException) else None
+    if condition and condition.startswith(SOURCE_CONDITIONS):
+        return True
+    return isinstance(e, PySparkException | Py4JJavaError) and not isinstance(e, AnalysisException) and any(t in str(e) for t in _SOURCE_TEXTS)
+
+
 def optional(df: DataFrame, add: Callable[[DataFrame], DataFrame], column: str, run: bool = False) -> DataFrame:
-    """OP-07: adds a column from a source; where the source won't open, the column is NULL throughout.
+    """OP-07: adds a column from a source; where the source won't open, the column is NULL throughout. Other failures are raised.
 
     With ``run`` the result is computed and written here, so that a source that fails while it is read counts as missing too.
     """
     try:
         return stage(add(df), scratch(df.sparkSession, "optional")) if run else add(df)
-    except (PySparkException, Py4JJavaError, OSError) as e:
+    except Exception as e:
+        if not is_source_error(e):
+            raise
         log.warning("%s is missing: %s", column, e)
         return df.withColumn(column, F.lit(None).cast("double"))
 
