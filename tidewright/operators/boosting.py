@@ -2,8 +2,8 @@
 
 Columns are cut into at most 254 bins at quantiles of a mergeable sketch, taken of all columns in one aggregation. Rows are packed
 into blocks of bins and margins, written in the shared folder. For each level of a tree one job adds up, for each (node, column, bin), the
-first and second derivatives of the logistic loss; running sums over the bins give the gain of each split, with missing values on
-either side; the driver takes the best split of each node (nodes x columns rows). Derivatives are added as whole numbers of a fixed unit,
+first and second derivatives of the logistic loss. These sums, of the model's size (nodes x columns x 256 at most, whatever the rows), come to the
+driver, where running sums over the bins give the gain of each split, with missing values on either side, and the best of each node. Derivatives are added as whole numbers of a fixed unit,
 so that a model doesn't depend on how rows are dealt out. Rows and columns are drawn once a tree, rows by a hash of the row.
 """
 
@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..sources.tables import scratch, stage
 from .sampling import P
@@ -92,10 +91,6 @@ class Forest:
         return out
 
 
-def _shrunk(g: Column, l1: float) -> Column:
-    return F.signum(g) * F.greatest(F.abs(g) - l1, F.lit(0.0))
-
-
 def cut_points(df: DataFrame, columns: list[str], bins: int = 254, accuracy: int = 10_000) -> list[np.ndarray]:
     """Bin edges of each column, ascending: quantiles of a mergeable sketch over all rows, one aggregation for all columns."""
     at = F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, bins)])  # from the least value to the largest
@@ -184,37 +179,23 @@ def _histograms(recent: Forest, growing: Forest, tree: int, level: int, use: lis
     return run
 
 
-def best_splits(histogram: DataFrame, unit: float, how: Settings) -> DataFrame:
-    """The best split of each (node, column): gain, bin, side of missing values, and the sums of the left child and of the node.
+def best_splits(sums: np.ndarray, unit: float, how: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best split of each (node, column): its gain (-inf where none is allowed), bin, side of missing values, and the left child's sums.
 
-    ``histogram`` has node, column, bin, g, h; bin 255 holds missing values. Of equal gains the least bin is taken, and missing values go right.
-    Gain is NULL where no split is allowed.
+    ``sums``: whole units by (g or h, node, column, bin), bin 255 for missing values. Of equal gains the least bin is taken, and missing values go right.
     """
-    summed = histogram.repartition("node", "column").groupBy("node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    group = W.partitionBy("node", "column")
-    running = group.orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-    gone = F.col("bin") == MISSING
-    total = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, F.col(c))).over(group), F.lit(0).cast("long"))
-    cut = summed.select(
-        "node", "column", "bin", *[F.sum(F.when(~gone, F.col(c))).over(running).alias(f"left_{c}") for c in "gh"],
-        *[total(c).alias(f"all_{c}") for c in "gh"], *[total(c, gone).alias(f"gone_{c}") for c in "gh"]
-    )
-    score = lambda g, h: F.pow(_shrunk(g, how.l1), 2) / (h + how.l2)
-
-    def side(left: bool) -> Column:
-        lg, lh = (F.col(f"left_{c}") + (F.col(f"gone_{c}") if left else F.lit(0)) for c in "gh")
-        g, h, G, H = lg * unit, lh * unit, F.col("all_g") * unit, F.col("all_h") * unit
-        gain = score(g, h) + score(G - g, H - h) - score(G, H)
-        allowed = (h >= how.least_weight) & (H - h >= how.least_weight) & (gain > max(how.split_penalty, 1e-6))
-        return F.struct(
-            F.when(allowed, gain).alias("gain"), (-F.col("bin")).alias("minus_bin"), F.lit(not left).alias("missing_right"), g.alias("left_g"), h.alias("left_h"),
-            G.alias("g"), H.alias("h")
-        )
-
-    # the last bin is a split too where missing values can be parted from the rest
-    sides = F.array(side(False), side(True))
-    best = cut.where(~gone).select("node", "column", F.explode(sides).alias("s")).groupBy("node", "column").agg(F.max("s").alias("s"))
-    return best.select("node", "column", "s.gain", (-F.col("s.minus_bin")).alias("bin"), (~F.col("s.missing_right")).alias("missing_left"), "s.left_g", "s.left_h", "s.g", "s.h")
+    gone, total = sums[..., MISSING], sums.sum(-1)
+    below = np.cumsum(sums[..., :MISSING], -1)
+    left = np.stack([below, below + gone[..., None]], -1) * unit  # by (g or h, node, column, bin, side)
+    whole = total[..., None, None] * unit
+    score = lambda g, h: np.maximum(np.abs(g) - how.l1, 0.0) ** 2 / np.maximum(h + how.l2, 1e-300)
+    gain = score(left[0], left[1]) + score(whole[0] - left[0], whole[1] - left[1]) - score(whole[0], whole[1])
+    some = below[1][..., None] > 0  # a left side has values, not missing ones alone: that split is the one after the last bin
+    allowed = some & (left[1] >= how.least_weight) & (whole[1] - left[1] >= how.least_weight) & (gain > max(how.split_penalty, 1e-6))
+    flat = np.where(allowed, gain, -np.inf).reshape(*gain.shape[:2], -1)
+    best = flat.argmax(-1)
+    take = lambda x: np.take_along_axis(x.reshape(*gain.shape[:2], -1), best[..., None], -1)[..., 0]
+    return take(flat), best // 2, best % 2 == 1, np.stack([take(left[0]), take(left[1])])
 
 
 def _leaf(g: float, h: float, how: Settings) -> float:
@@ -251,23 +232,23 @@ def fit_forest(
         sums: dict[int, tuple[float, float]] = {}
         for level in range(how.depth):
             run = _histograms(forest.part(written, t), forest.part(t, t + 1), t, level, use, weight, unit, how, len(columns))
-            found = best_splits(blocks.mapInArrow(run, "node int, column int, bin int, g long, h long"), unit, how).collect()
+            parts = blocks.mapInArrow(run, "node int, column int, bin int, g long, h long")
+            summed = parts.groupBy("node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            node, column, bin_, g, h = (summed.column(c).to_numpy() for c in ("node", "column", "bin", "g", "h"))
+            dense = np.zeros((2, 2**level, len(use), 256), np.int64)
+            dense[:, node - (2**level - 1), np.searchsorted(use, column), bin_] = g, h
+            gain, at, missing_left, left = best_splits(dense, unit, how)
+            if not level and len(node):
+                sums[0] = tuple(float(x) for x in dense[:, 0, 0].sum(-1) * unit)
             splits = 0
-            for node in sorted({r["node"] for r in found}):
-                own = [r for r in found if r["node"] == node]
-                if not level:
-                    sums[0] = own[0]["g"], own[0]["h"]
-                able = [r for r in own if r["gain"] is not None]
-                if not able:
-                    continue
-                r = max(able, key=lambda r: (r["gain"], -r["column"]))
-                forest.column[t, node], forest.bin[t, node], forest.missing_left[t, node] = r["column"], r["bin"], r["missing_left"]
-                forest.threshold[t, node] = edges[r["column"]][r["bin"]]
-                if r["bin"] == len(edges[r["column"]]) - 1:
-                    forest.threshold[t, node] = math.inf  # only missing values go right
-                forest.gain[t, node] = r["gain"]
-                sums[2 * node + 1] = r["left_g"], r["left_h"]
-                sums[2 * node + 2] = r["g"] - r["left_g"], r["h"] - r["left_h"]
+            for k in np.flatnonzero(gain.max(-1) > -np.inf):
+                i, place, c = int(gain[k].argmax()), int(k) + 2**level - 1, use[int(gain[k].argmax())]  # the first column of equals
+                forest.column[t, place], forest.bin[t, place], forest.missing_left[t, place] = c, at[k, i], missing_left[k, i]
+                # where all values go left, only missing ones go right
+                forest.threshold[t, place] = edges[c][at[k, i]] if at[k, i] < len(edges[c]) - 1 else math.inf
+                forest.gain[t, place] = gain[k, i]
+                (lg, lh), (g, h) = left[:, k, i], dense[:, k, i].sum(-1) * unit
+                sums[2 * place + 1], sums[2 * place + 2] = (lg, lh), (g - lg, h - lh)
                 splits += 1
             if not splits:
                 break

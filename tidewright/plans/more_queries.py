@@ -207,7 +207,7 @@ def tree_scores(spark, sf):
 @query()
 def boosted_scores(spark, sf):
     """OP-65, 100 to 103: trees of the usual number of levels, rows and columns drawn for each; trained on the earlier part, judged on the later."""
-    split = evaluate.temporal_split(S.obs(spark, sf))
+    split = evaluate.temporal_split(S.obs(spark, sf), by_date=True)
     model = boosting.fit_forest(split.where("is_train"), VARIABLES, how=boosting.Settings(trees=100))
     return evaluate.auc(boosting.add_scores(model, split.where("NOT is_train")), label="Presence")
 
