@@ -170,3 +170,39 @@ def test_one_box_must_be_one(spark):
     box = spark.createDataFrame([(0.0, 2.0, 0.0, 2.0), (4.0, 6.0, 4.0, 6.0)], "lat_min double, lat_max double, lon_min double, lon_max double")
     assert {r.cell_id for r in raster.within_box(grid, box.limit(1)).collect()} == {1}
     assert {r.cell_id for r in raster.within_box(grid, box).collect()} == {1, 2}  # in one of them
+
+
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_neighbours_in_tiles(spark, monkeypatch, tile):
+    """Gradients and corners don't depend on where tiles lie; rasters by time, a missing cell, an axis of one cell, negative indices."""
+    monkeypatch.setattr(raster, "TILE", tile)
+    g = np.random.default_rng(1)
+    z = g.normal(size=(2, 7, 9)).round(3)
+    z[1, 3, 4] = np.nan
+    rows = [(t, i - 3, j, 35 + 0.1 * i, -75 + 0.1 * j, None if np.isnan(z[t, i, j]) else float(z[t, i, j])) for t in (0, 1) for i in range(7) for j in range(9)]
+    grid = spark.createDataFrame(rows, "t int, lat_idx int, lon_idx int, lat double, lon double, value double")
+    got = {(r.t, r.lat_idx + 3, r.lon_idx): r.gradient for r in raster.gradient(grid, 0.1, 0.1, by=("t",)).collect()}
+    for t in (0, 1):
+        dy, dx = np.gradient(z[t])
+        want = np.hypot(dy / (111.32 * 0.1), dx / (111.32 * 0.1 * math.cos(math.radians(35.3))))
+        assert all((got[t, i, j] is None) == bool(np.isnan(want[i, j])) and (got[t, i, j] is None or got[t, i, j] == pytest.approx(want[i, j])) for i in range(7) for j in range(9))
+    line = raster.gradient(grid.where("lat_idx = 0 AND t = 0"), 0.1, 0.1)
+    assert {r.gradient for r in line.collect()} == {None}
+    from tidewright.schema import Axis
+
+    at = [(k, k % 2, 35 + g.random() * 0.7, -75.05 + g.random() * 0.95) for k in range(150)] + [(200, 0, 35.6, -74.2), (201, 0, None, -74.5)]
+    pts = spark.createDataFrame(at, "id long, t int, Lat double, Lon double")
+    up = grid.withColumn("lat_idx", F.col("lat_idx") + 3)
+    got = {r.id: r.v for r in raster.sample_bilinear(pts, up, Axis(35.0, 0.1, 7), Axis(-75.0, 0.1, 9), "v", on=("t",)).collect()}
+    assert len(got) == 152
+    for k, t, lat, lon in at:
+        y, x = ((lat or 0) - 35) / 0.1, (lon + 75) / 0.1
+        if lat is None or not (0 <= y <= 6 and 0 <= x <= 8):
+            assert got[k] is None
+            continue
+        i, j = min(int(y), 5), min(int(x), 7)
+        c = z[t, i : i + 2, j : j + 2]
+        want = (c * np.outer([1 - (y - i), y - i], [1 - (x - j), x - j])).sum()
+        assert got[k] is None if np.isnan(want) else got[k] == pytest.approx(want)
+    one = raster.sample_bilinear(pts, up.where("lat_idx = 2").withColumn("lat_idx", F.lit(0)), Axis(35.2, 0.1, 1), Axis(-75.0, 0.1, 9), "v", on=("t",))  # an axis of one cell: the nearest
+    assert {r.id: r.v for r in one.collect()}[200] == z[0, 2, 8]

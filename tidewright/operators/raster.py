@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions.geo import KM_PER_DEGREE
 from ..schema import Axis
 from .ordering import around
 
+#: Cells on a side of the tiles that neighbours are taken in.
+TILE = 256
 #: Width of the finest tiles that boxes meet cells in, degrees, and the number of levels, each of twice the width: the coarsest tiles are wider than the globe.
 FINEST_DEG, LEVELS = 1 / 16, 14
 
@@ -48,24 +54,55 @@ def sample_nearest(points: DataFrame, grid: DataFrame, lat: Axis, lon: Axis, out
     return at.join(cells, ["lat_idx", "lon_idx", *on], "left").drop("lat_idx", "lon_idx")
 
 
+def in_tiles(grid: DataFrame, by: tuple[str, ...], value: str, make: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], names: tuple[str, ...]) -> DataFrame:
+    """``grid`` with double columns that ``make`` gives from whole tiles, in one exchange.
+
+    A tile has ``TILE`` x ``TILE`` cells and a halo of one cell around it, which cells near an edge are copied to. ``make`` gets the values (NaN is missing)
+    and whether there is a cell, both with the halo, and gives an array of the tile for each of ``names``; NaN becomes NULL. Rasters are told apart by
+    ``by``. Cells that occur twice or without a place have no defined result.
+    """
+    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + k) / TILE) for k in (0, -1, 1)]))
+    put = grid.where(F.col("lat_idx").isNotNull() & F.col("lon_idx").isNotNull()).withColumn("_ty", F.explode(near("lat_idx"))).withColumn("_tx", F.explode(near("lon_idx")))
+    schema = T.StructType([*grid.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    columns = grid.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = (t.column(c).to_numpy() - t.column(o)[0].as_py() * TILE for c, o in (("lat_idx", "_ty"), ("lon_idx", "_tx")))
+        values, there = np.full((TILE + 2, TILE + 2), np.nan), np.zeros((TILE + 2, TILE + 2), bool)
+        values[i + 1, j + 1] = t.column(value).to_numpy().astype(float)
+        there[i + 1, j + 1] = True
+        made = make(values, there)
+        own = (i >= 0) & (i < TILE) & (j >= 0) & (j < TILE)
+        out = t.select(columns).filter(pa.array(own))
+        for n in names:
+            x = made[n][i[own], j[own]]
+            out = out.append_column(n, pa.array(x, mask=np.isnan(x)))
+        return out
+
+    return put.groupBy(*by, "_ty", "_tx").applyInArrow(run, schema)
+
+
+def _corners(values: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
+    return {"_01": values[1:-1, 2:], "_10": values[2:, 1:-1], "_11": values[2:, 2:]}
+
+
 def sample_bilinear(points: DataFrame, grid: DataFrame, lat: Axis, lon: Axis, out: str, key: str = "id", on: tuple[str, ...] = ()) -> DataFrame:
     """OP-34: bilinear interpolation; NULL outside the axes or where one of the four corners is missing.
 
-    ``key`` names a row. The corners are one equi-join on exploded offsets and a sum.
+    Cells carry their right, upper and upper right neighbours, so that a point meets one cell, in one equi-join. An axis of one cell can't be
+    interpolated on: then the nearest cell is taken.
     """
+    if lat.n < 2 or lon.n < 2:
+        return sample_nearest(points, grid, lat, lon, out, on)
+    cells = in_tiles(grid.select("lat_idx", "lon_idx", *on, F.col("value").cast("double").alias("_00")), on, "_00", _corners, ("_01", "_10", "_11"))
     y, x = (F.col("Lat") - lat.start) / lat.step, (F.col("Lon") - lon.start) / lon.step
-    inside = (y >= 0) & (y <= lat.n - 1) & (x >= 0) & (x <= lon.n - 1)
-    i, j = F.least(F.floor(y), F.lit(lat.n - 2)), F.least(F.floor(x), F.lit(lon.n - 2))
-    placed = points.where(inside).select(key, *on, i.alias("_i"), j.alias("_j"), (y - i).alias("_y"), (x - j).alias("_x"))
-    corners = placed.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])))
-    weight = F.when(F.col("_c.a") == 1, F.col("_y")).otherwise(1 - F.col("_y")) * F.when(F.col("_c.b") == 1, F.col("_x")).otherwise(1 - F.col("_x"))
-    corners = corners.select(
-        key, *on, (F.col("_i") + F.col("_c.a")).cast("int").alias("lat_idx"), (F.col("_j") + F.col("_c.b")).cast("int").alias("lon_idx"),
-        weight.alias("_w")
-    )
-    met = corners.join(grid.select("lat_idx", "lon_idx", *on, "value"), ["lat_idx", "lon_idx", *on])
-    value = met.groupBy(key).agg(F.when(F.count("value") == 4, F.sum(F.col("_w") * F.col("value"))).alias(out))
-    return points.join(value, key, "left")
+    inside = F.coalesce((y >= 0) & (y <= lat.n - 1) & (x >= 0) & (x <= lon.n - 1), F.lit(False))
+    place = lambda v, axis: F.when(inside, F.least(F.floor(v), F.lit(axis.n - 2))).otherwise(-1).cast("int")  # noqa: E731  no cell has the index -1
+    put = points.withColumns({"lat_idx": place(y, lat), "lon_idx": place(x, lon), "_y": y - place(y, lat), "_x": x - place(x, lon)})
+    met = put.join(cells, ["lat_idx", "lon_idx", *on], "left")
+    row = lambda a, b: F.col(a) * (1 - F.col("_x")) + F.col(b) * F.col("_x")  # noqa: E731  NULL where a corner is
+    value = row("_00", "_01") * (1 - F.col("_y")) + row("_10", "_11") * F.col("_y")
+    return met.select(*points.columns, value.alias(out))
 
 
 def bounding_box(points: DataFrame, buffer: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -116,22 +153,29 @@ def mesh(lats: DataFrame, lons: DataFrame) -> DataFrame:
     return lats.crossJoin(lons)
 
 
+def _differences(values: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
+    out = {}
+    for name, axis in (("_dy", 0), ("_dx", 1)):
+        inner = lambda x, k: np.roll(x, -k, axis)[1:-1, 1:-1]
+        v, before, after = inner(values, 0), inner(values, -1), inner(values, 1)
+        has_before, has_after = inner(there, -1), inner(there, 1)
+        one = np.where(has_after, after - v, np.where(has_before, v - before, np.nan))
+        out[name] = np.where(has_before & has_after, (after - before) / 2, one)
+    return out
+
+
 def gradient(grid: DataFrame, step_lat: float, step_lon: float, by: tuple[str, ...] = (), mean_lat: str = "slab", value: str = "value") -> DataFrame:
     """OP-67, 91: the size of the gradient per km as ``gradient``: central differences, one-sided at the edges.
 
     Missing cells must be rows with NULL; what they touch is NULL. An axis of one cell gives NULL. The width of a cell
-    follows the mean latitude of the ``by`` group ("slab") or its own ("cell").
+    follows the mean latitude of the ``by`` group ("slab") or its own ("cell"). Differences are taken in whole tiles, in one exchange.
     """
-    v = F.col(value)
-
-    def slope(along: str, across: str) -> Column:
-        w = W.partitionBy(*by, across).orderBy(along)
-        before, after = F.lag(v).over(w), F.lead(v).over(w)
-        no_before, no_after = F.lag(along).over(w).isNull(), F.lead(along).over(w).isNull()
-        return F.when(no_before & no_after, F.lit(None)).when(no_before, after - v).when(no_after, v - before).otherwise((after - before) / 2)
-
-    lat = F.avg("lat").over(W.partitionBy(*by, "lon_idx")) if mean_lat == "slab" else F.col("lat")
-    d = grid.withColumns({"_dy": slope("lat_idx", "lon_idx"), "_dx": slope("lon_idx", "lat_idx"), "_lat": lat})
+    d = in_tiles(grid, by, value, _differences, ("_dy", "_dx"))
+    if mean_lat == "slab":
+        means = grid.groupBy(*by).agg(F.avg("lat").alias("_lat"))
+        d = d.join(means, list(by)) if by else d.crossJoin(F.broadcast(means))  # one row
+    else:
+        d = d.withColumn("_lat", F.col("lat"))
     north = F.col("_dy") / (KM_PER_DEGREE * step_lat)
     east = F.col("_dx") / (F.lit(KM_PER_DEGREE * step_lon) * F.cos(F.radians("_lat")))
     return d.withColumn("gradient", F.sqrt(north * north + east * east)).drop("_dy", "_dx", "_lat")
