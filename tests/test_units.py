@@ -158,11 +158,11 @@ def test_pseudo_absences(spark):
     )
     args = (cells(spark, z), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20))
     key = lambda df: sorted((r.id, r.attempt, r.Lat, r.Lon) for r in df.collect())
-    a = key(sampling.pseudo_absences(p, *args, attempts=40, wave=4, outer_km=40.0))
-    assert a == key(sampling.pseudo_absences(p.repartition(5), *args, attempts=40, wave=40, outer_km=40.0))
+    a = key(sampling.pseudo_absences(p, *args, attempts=40, outer_km=40.0))
+    assert a == key(sampling.pseudo_absences(p.repartition(5), *args, attempts=40, outer_km=40.0, most_bytes=0))
     assert max(pd.Series([x[0] for x in a]).value_counts()) <= 4
     dry = cells(spark, np.full((20, 20), 5.0))
-    assert sampling.pseudo_absences(p, dry, *args[1:], attempts=5, wave=2).count() == 0
+    assert sampling.pseudo_absences(p, dry, *args[1:], attempts=5).count() == 0
 
 
 def test_sample_does_not_depend_on_partitions(spark):
@@ -332,7 +332,7 @@ def test_background_ids(spark):
         F.lit(1).alias("Presence")
     )
     got = habitat.with_background(
-        p, cells(spark, np.full((20, 20), -5.0)), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20), attempts=8, wave=4, inner_km=1.0, outer_km=10.0
+        p, cells(spark, np.full((20, 20), -5.0)), Axis(35.0, 0.05, 20), Axis(-75.0, 0.05, 20), attempts=8, inner_km=1.0, outer_km=10.0
     ).collect()
     assert len(got) == 60 * 5 == len({r.id for r in got})
 
@@ -477,3 +477,27 @@ def test_only_a_sources_failures_are_passed_over(spark):
         tables.optional(df, lambda d: d.select("nowhere"), "x")
     with pytest.raises(ZeroDivisionError):
         tables.optional(df, lambda d: 1 / 0, "x")
+
+
+def test_attempts_stay_within_twice_those_needed():
+    """The waves double: whatever the number of attempts that a point needs, no more than twice as many are made, or the first wave."""
+    for each in (1, 4):
+        tried = sampling.waves(each, 201)
+        assert [a.start for a in tried] == [0, *[a.stop for a in tried[:-1]]] and tried[-1].stop == 201
+        for needed in range(each, 202):
+            made = next(a.stop for a in tried if a.stop >= needed)
+            assert made <= max(2 * each, 2 * needed + each)
+
+
+def test_absences_of_odd_presences(spark):
+    """Points without an id or a place have none; large and negative ids, names of its own columns, a mask with gaps; both ways agree."""
+    z = np.random.default_rng(3).normal(size=(30, 40))
+    z[5, 5:20] = np.nan
+    grid = cells(spark, z).where("lat_idx <> 9")
+    rows = [(2**62, 35.7, -74.1, 1, "x"), (-5, 35.2, -73.3, 1, None), (None, 35.5, -74.0, 1, "y"), (8, None, -74.0, 1, "z"), (9, 36.4, -75.0, 1, "w")]
+    p = spark.createDataFrame(rows, "id long, Lat double, Lon double, Presence int, note string")
+    args = (grid, Axis(35.0, 0.05, 30), Axis(-75.0, 0.05, 40))
+    key = lambda df: sorted((r.id, r.attempt, r.Lat, r.Lon, r.note or "", r.Presence) for r in df.collect())
+    one = key(sampling.pseudo_absences(p, *args, each=3, attempts=50, outer_km=60.0))
+    assert one == key(sampling.pseudo_absences(p, *args, each=3, attempts=50, outer_km=60.0, most_bytes=0)) and {r[0] for r in one} == {2**62, -5, 9}
+    assert sampling.pseudo_absences(p.limit(0), *args).count() == 0

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import scratch, stage
-from .sampling import P
+from .sampling import uniform_array
 
 MISSING = 255
 NODES = "tree int, node int, feature string, threshold double, missing_left boolean, value double, gain double, cover double"
@@ -139,12 +139,7 @@ def _later(recent: Forest, n_columns: int):
 
 def drawn(key: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
     """Which rows a tree takes: ``sampling.uniform`` of the key and the tree."""
-    if share >= 1:
-        return np.ones(len(key), bool)
-    a = ((key % P + 1) * 48271 + tree * 1000003 + seed) % P
-    b = (a * a + a * 69621 + 12345) % P
-    c = (b * 16807 + tree * 7919 + seed) % P
-    return (c * c + c * 39373 + 7) % P / P < share
+    return np.ones(len(key), bool) if share >= 1 else uniform_array(key, tree, seed) < share
 
 
 def _histograms(recent: Forest, growing: Forest, tree: int, level: int, use: list[int], weight: float, unit: float, how: Settings, n_columns: int):

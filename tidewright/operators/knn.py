@@ -14,11 +14,9 @@ from ..functions.geo import KM_PER_DEGREE, haversine_km
 from ..sources.tables import scratch, stage
 
 #: Cells that a tile of the finest level would hold if they were spread evenly.
-CELLS_A_TILE = 4
-#: Cells around a tile of points up to which its points carry them.
-FEW = 256
-#: Tiles on an axis of the level whose boxes come to the driver, at most: 16,384 boxes of points and of cells, whatever the tables' sizes.
-COARSE = 128
+CELLS_A_TILE = 2
+#: Tiles on an axis of the level whose boxes come to the driver, at most: 65,536 boxes of points and of cells, whatever the tables' sizes.
+COARSE = 256
 _BOX = ("y0", "y1", "x0", "x1")
 
 
@@ -136,19 +134,11 @@ def nearest_cell(points: DataFrame, cells: DataFrame, out: str, tile_km: float |
     if levels > 1:
         pairs = stage(pairs, scratch(spark, "pairs"))
 
-    # the cells of a tile's pairs: as an array where they are few, so that a point finds its own in one row; else each point meets them as rows
-    own = right.select("c", "cell_id", "_lat", "_lon", "_y", "_x", *keep)
-    sizes = pairs.join(right.groupBy("c").agg(F.count("*").alias("_n")), "c").groupBy("p").agg(F.sum("_n").alias("_n"))
-    marked = pairs.join(sizes, "p")
-    few = marked.where(F.col("_n") <= FEW).join(own, "c").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("cell_id", "_y", "_x", "_lat", "_lon", *keep))).alias("_of"))
-    far2 = lambda y, x: (F.col("_py") - y) * (F.col("_py") - y) + (F.col("_px") - x) * (F.col("_px") - x)
     at = left.select(key, "p", F.col("_y").alias("_py"), F.col("_x").alias("_px"))
-    gaps = at.join(few, "p").withColumn("_d", F.transform("_of", lambda c: far2(c["_y"], c["_x"])))
-    best = gaps.select(key, F.get("_of", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).alias("_b")).select(key, *[F.col(f"_b.{n}").alias(n) for n in ("_lat", "_lon", *keep)])
-    crowded = at.join(marked.where(F.col("_n") > FEW).select("p", "c"), "p").join(own, "c").groupBy(key).agg(
-        F.min(F.struct(far2(F.col("_y"), F.col("_x")).alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b")
-    )
-    best = best.unionByName(crowded.select(key, *[F.col(f"_b.{n}").alias(n) for n in ("_lat", "_lon", *keep)]))
+    d = (F.col("_py") - F.col("_y")) * (F.col("_py") - F.col("_y")) + (F.col("_px") - F.col("_x")) * (F.col("_px") - F.col("_x"))
+    met = at.join(pairs, "p").join(right.select("c", "cell_id", "_lat", "_lon", "_y", "_x", *keep), "c")
+    won = met.groupBy(key).agg(F.min(F.struct(d.alias("d"), "cell_id", "_lat", "_lon", *keep)).alias("_b"))
+    best = won.select(key, *[F.col(f"_b.{n}").alias(n) for n in ("_lat", "_lon", *keep)])
     joined = points.join(best, key, "left")
     found = {out: haversine_km(F.col("Lat"), F.col("Lon"), F.col("_lat"), F.col("_lon"))}
     return joined.withColumns(found).drop("_lat", "_lon")

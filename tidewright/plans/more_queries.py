@@ -183,40 +183,16 @@ def logistic_odds(spark, sf):
     )
 
 
-def _trees(spark, sf, trees=10, depth=4):
-    o = S.obs(spark, sf)
-    return boosting.fit_forest(o, VARIABLES, how=boosting.Settings(trees=trees, depth=depth, bins=64)), o
-
-
-@query()
-def tree_importances(spark, sf):
-    """OP-80, 100, 101, 102, 105."""
-    return boosting.importances(_trees(spark, sf)[0], spark)
-
-
-@query()
-def tree_scores(spark, sf):
-    """OP-11, 63, 64, 103, 104: a model that was saved and loaded scores the table; its confusion at 0.5."""
-    model, o = _trees(spark, sf)
-    path = tables.scratch(spark, "model")
-    boosting.save(model, spark, path)
-    scored = boosting.add_scores(boosting.load(spark, path), o)
-    return evaluate.metrics(evaluate.confusion(scored, 0.5, label="Presence"))
-
-
-@query()
-def boosted_scores(spark, sf):
-    """OP-65, 100 to 103: trees of the usual number of levels, rows and columns drawn for each; trained on the earlier part, judged on the later."""
-    split = evaluate.temporal_split(S.obs(spark, sf), by_date=True)
-    model = boosting.fit_forest(split.where("is_train"), VARIABLES, how=boosting.Settings(trees=100))
-    return evaluate.auc(boosting.add_scores(model, split.where("NOT is_train")), label="Presence")
-
-
 _SPLIT_ON = ["SST", "Chlorophyll", "Salinity", "Is_Thermal_Front", "Month"]
 _SMALL = boosting.Settings(trees=3, depth=2, step=0.3, row_share=1.0, column_share=1.0)
 
 
-def _training_sql(how: boosting.Settings) -> str:
+def _walk_sql(out: str, at: str, values: str, split: str) -> str:
+    """Rows (r, node) go on to a child where their node is split."""
+    return f"{out} AS MATERIALIZED (SELECT a.r, CASE WHEN b.node IS NULL THEN a.node ELSE 2 * a.node + 2 - CASE WHEN v.v IS NULL THEN b.missing_left ELSE (v.v <= b.v)::INT END END AS node FROM {at} a LEFT JOIN {split} b ON a.node = b.node LEFT JOIN {values} v ON v.r = a.r AND v.c = b.c)"
+
+
+def _training_parts(how: boosting.Settings) -> list[str]:
     """SQL that trains the same trees: every level a histogram over values, its running sums, and the best split of each node."""
     score = lambda g, h: f"pow(greatest(abs({g}) - {how.l1!r}, 0), 2) / ({h} + {how.l2!r})"
     parts = [
@@ -234,54 +210,95 @@ def _training_sql(how: boosting.Settings) -> str:
                 f"r{at} AS (SELECT node, c, v, sum(g) OVER o AS g, sum(h) OVER o AS h FROM h{at} WHERE v IS NOT NULL WINDOW o AS (PARTITION BY node, c ORDER BY v))",
                 f"s{at} AS (SELECT node, c, v, s AS missing_left, g + s * ng AS lg, h + s * nh AS lh, tg, th, {score('lg', 'lh')} + {score('tg - lg', 'th - lh')} - {score('tg', 'th')} AS gain FROM r{at} JOIN t{at} USING (node, c), (SELECT unnest([0, 1]) AS s))",
                 f"b{at} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 7) DESC, c, v, missing_left) AS n FROM s{at} WHERE lh >= {how.least_weight!r} AND th - lh >= {how.least_weight!r} AND gain > {how.split_penalty!r} QUALIFY n = 1)",
-                f"a{t}_{k + 1} AS MATERIALIZED (SELECT a.r, CASE WHEN b.node IS NULL THEN a.node ELSE 2 * a.node + 2 - CASE WHEN v.v IS NULL THEN b.missing_left ELSE (v.v <= b.v)::INT END END AS node FROM a{at} a LEFT JOIN b{at} b ON a.node = b.node LEFT JOIN v ON v.r = a.r AND v.c = b.c)",
+                _walk_sql(f"a{t}_{k + 1}", f"a{at}", "v", f"b{at}"),
             ]
         last = f"a{t}_{how.depth}"
         parts += [
             f"w{t} AS MATERIALIZED (SELECT node, sum(g) AS g, sum(h) AS h, -{how.step!r} * sign(sum(g)) * greatest(abs(sum(g)) - {how.l1!r}, 0) / (sum(h) + {how.l2!r}) AS value FROM {last} JOIN d{t} USING (r) GROUP BY 1)",
             f"m{t + 1} AS MATERIALIZED (SELECT r, y, w, m + value AS m FROM d{t} JOIN {last} USING (r) JOIN w{t} USING (node))",
         ]
+    return parts
+
+
+def _trained(select: str, *more: str) -> str:
+    return "WITH " + ", ".join([OBS, *_training_parts(_SMALL), *more]) + " " + select
+
+
+def _nodes_sql() -> str:
     splits = [
         f"SELECT {t} AS tree, node, {_SPLIT_ON!r}[c + 1] AS feature, v AS threshold, missing_left = 1 AS missing_left, NULL::DOUBLE AS value, round(gain, 3) AS gain, round(th, 3) AS cover FROM b{t}_{k}"
-        for t in range(how.trees) for k in range(how.depth)
+        for t in range(_SMALL.trees) for k in range(_SMALL.depth)
     ]
-    leaves = [f"SELECT {t}, node, NULL, NULL, NULL, round(value, 5), NULL, round(h, 3) FROM w{t}" for t in range(how.trees)]
-    return "WITH " + OBS + ", " + ", ".join(parts) + " " + " UNION ALL ".join(splits + leaves)
+    leaves = [f"SELECT {t}, node, NULL, NULL, NULL, round(value, 5), NULL, round(h, 3) FROM w{t}" for t in range(_SMALL.trees)]
+    return _trained(" UNION ALL ".join(splits + leaves))
 
 
-@query(_training_sql(_SMALL))
+def _small(df):
+    """The columns that the small forest splits on."""
+    return df.withColumns({"Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date")})
+
+
+def _small_forest(spark, sf):
+    return boosting.fit_forest(_small(S.obs(spark, sf)), _SPLIT_ON, how=_SMALL)
+
+
+_GAINS = "g AS (SELECT c, avg(gain) AS m FROM (" + " UNION ALL ".join(f"SELECT c, gain FROM b{t}_{k}" for t in range(_SMALL.trees) for k in range(_SMALL.depth)) + ") GROUP BY 1)"
+_MARGINS = f"scores AS (SELECT y, 1 / (1 + exp(-m)) AS score FROM m{_SMALL.trees})"
+
+
+@query(_trained(f"SELECT {_SPLIT_ON!r}[k + 1] AS feature, round(coalesce(m, 0) / (SELECT sum(m) FROM g), 4) AS importance FROM (SELECT unnest(range({len(_SPLIT_ON)})) AS k) LEFT JOIN g ON c = k", _GAINS))
+def tree_importances(spark, sf):
+    """OP-80, 100, 101, 102, 105."""
+    return boosting.importances(_small_forest(spark, sf), spark).select("feature", _r("importance", digits=4))
+
+
+@query(_trained("""SELECT round((tp + tn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(tn / (tn + fp), 6) AS specificity,
+    round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS npv, round(fp / (tn + fp), 6) AS fpr, round(tp / (tp + fn), 6) AS tpr FROM (SELECT count(*) FILTER (y = 1 AND score >= 0.5) AS tp, count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 1 AND score < 0.5) AS fn, count(*) FILTER (y = 0 AND score < 0.5) AS tn, count(*) AS n FROM scores)""", _MARGINS))
+def tree_scores(spark, sf):
+    """OP-11, 63, 64, 103, 104: a model that was saved and loaded scores the table; its confusion at 0.5."""
+    path = tables.scratch(spark, "model")
+    boosting.save(_small_forest(spark, sf), spark, path)
+    scored = boosting.add_scores(boosting.load(spark, path), _small(S.obs(spark, sf)))
+    m = evaluate.metrics(evaluate.confusion(scored, 0.5, label="Presence"))
+    return m.select(*[_r(c) for c in m.columns])
+
+
+@query()
+def boosted_scores(spark, sf):
+    """OP-65, 100 to 103: trees of the usual number of levels, rows and columns drawn for each; trained on the earlier part, judged on the later."""
+    split = evaluate.temporal_split(S.obs(spark, sf), by_date=True)
+    model = boosting.fit_forest(split.where("is_train"), VARIABLES, how=boosting.Settings(trees=100))
+    return evaluate.auc(boosting.add_scores(model, split.where("NOT is_train")), label="Presence")
+
+
+@query(_nodes_sql())
 def boosted_nodes(spark, sf):
     """OP-80, 100, 101, 102: splits and leaves of a small forest over all rows, with missing values; SQL trains it as well."""
-    o = S.obs(spark, sf).withColumns({"Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date")})
-    found = boosting.nodes(boosting.fit_forest(o, _SPLIT_ON, how=_SMALL), spark)
+    found = boosting.nodes(_small_forest(spark, sf), spark)
     return found.withColumns({c: F.round(c, d) for c, d in (("value", 5), ("gain", 3), ("cover", 3))})
 
 
-def _ten(spark, sf):
-    """Observations with all ten features, those that the surrogate lacks made from others."""
-    made = {
-        "SST_Gradient": F.col("Salinity") * 0.8, "Is_Thermal_Front": F.col("Is_Thermal_Front").cast("int"), "Month": F.month("Date"),
-        "Bathy_Slope": F.col("SST") / 10, "Dist_to_Shore_km": -F.col("Bathymetry") / 5, "Dist_to_Shelf_km": F.col("Chlorophyll") * 1000
-    }
-    return S.obs(spark, sf).withColumns(made).select("Presence", *FEATURE_ORDER)
+#: Made-up conditions: name, SST, Chlorophyll, Salinity, Is_Thermal_Front, Month.
+_CONDITIONS = [("warm, front", 45.0, 0.01, 0.02, 1, 4), ("cold", 2.0, 0.08, 0.1, 0, 12), ("no temperature", None, 0.04, 0.05, 0, 7), ("middling", 25.0, 0.04, 0.05, 0, 7)]
 
 
-@query()
+def _scenario_sql() -> str:
+    rows = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in _CONDITIONS)
+    more = [f"c(r, f0, f1, f2, f3, f4) AS (VALUES {rows})", "sv AS (" + " UNION ALL ".join(f"SELECT r, {i} AS c, f{i}::DOUBLE AS v FROM c" for i in range(len(_SPLIT_ON))) + ")"]
+    for t in range(_SMALL.trees):
+        more += [f"p{t}_0 AS (SELECT r, 0 AS node FROM c)", *[_walk_sql(f"p{t}_{k + 1}", f"p{t}_{k}", "sv", f"b{t}_{k}") for k in range(_SMALL.depth)]]
+    ends = " JOIN ".join(f"(SELECT r, value AS v{t} FROM p{t}_{_SMALL.depth} JOIN w{t} USING (node)) USING (r)" if t else f"(SELECT r, value AS v0 FROM p0_{_SMALL.depth} JOIN w0 USING (node))" for t in range(_SMALL.trees))
+    score = f"1 / (1 + exp(-({' + '.join(f'v{t}' for t in range(_SMALL.trees))})))"
+    return _trained(f"SELECT r AS name, round({score}, 6) AS score, CASE WHEN {score} >= 0.5 THEN 'HIGH' ELSE 'LOW' END AS decision FROM {ends}", *more)
+
+
+@query(_scenario_sql())
 def scenario_scores(spark, sf):
-    """OP-45, 108: made-up conditions in all ten features, scored and decided at a stored threshold."""
-    model = boosting.fit_forest(_ten(spark, sf), FEATURE_ORDER, how=boosting.Settings(trees=10, depth=4, bins=64))
-    rows = [
-        (
-            "warm, shallow, near land", 45.0, 0.01, 0.02, -100.0, 0.01, 1.0, 4, 4.5, 20.0, 10.0
-        ), ("cold, deep, far out", 2.0, 0.08, 0.1, -1000.0, 0.08, 0.0, 12, 0.2, 200.0, 80.0),
-        (
-            "no temperature", None, 0.04, 0.05, -500.0, None, 0.0, 7, None, 100.0, 40.0
-        ), ("middling", 25.0, 0.04, 0.05, -500.0, 0.04, 0.0, 7, 2.5, 100.0, 40.0),
-    ]
-    named = models.scenarios(spark, rows)
+    """OP-45, 108: made-up conditions, a missing one among them, scored and decided at a stored threshold."""
+    named = spark.createDataFrame(_CONDITIONS, "name string, SST double, Chlorophyll double, Salinity double, Is_Thermal_Front int, Month int")
     path = tables.scratch(spark, "threshold")
     tables.write_threshold(spark, path, 0.5)
-    return models.score_scenarios(model, named, tables.read_threshold(spark, path)).select("name", _r("score"), "decision")
+    return models.score_scenarios(_small_forest(spark, sf), named, tables.read_threshold(spark, path)).select("name", _r("score"), "decision")
 
 
 @query()
@@ -317,7 +334,7 @@ def _features(spark, sf):
     put = lambda df: tables.stage(df, tables.scratch(spark, "variable"))
     p = put(
         habitat.with_background(
-            habitat.clean_sightings(_raw(spark, sf)), altitude, lat, S.LON, each=2, attempts=12, wave=6, inner_km=5.0, outer_km=30.0
+            habitat.clean_sightings(_raw(spark, sf)), altitude, lat, S.LON, each=2, attempts=12, inner_km=5.0, outer_km=30.0
         )
     )
     p = put(habitat.sample(p, sst, GridSpec("sst", lat, S.LON, temporal="day"), "SST"))
@@ -383,14 +400,12 @@ def stream_samples(spark, sf):
     )
 
 
-@query()
+@query(_trained("SELECT y AS Presence, count(*) AS n, round(avg(score), 6) AS score FROM scores GROUP BY 1", _MARGINS))
 def stream_scores(spark, sf):
     """OP-103 on a stream: each observation scored as it arrives; scores by class."""
-    model, _ = _trees(spark, sf)
     items = spark.readStream.schema(S.table(spark, sf, "lineitem").schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
-    return _drain(
-        scoring.score_stream(model, S.obs(spark, sf, items)).select("Presence", "score")
-    ).groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
+    scored = _drain(scoring.score_stream(_small_forest(spark, sf), _small(S.obs(spark, sf, items))).select("Presence", "score"))
+    return scored.groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
 
 
 @query("SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value + dayofyear(t)), 4) AS total FROM grid, (SELECT DISTINCT date_trunc('day', Date) AS t FROM pts) GROUP BY 1", GRID, PTS)

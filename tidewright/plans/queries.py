@@ -538,5 +538,5 @@ def pseudo_absences(spark, sf):
     """OP-30, 40, 41."""
     g = S.grid(spark, sf).drop("value").withColumnRenamed("altitude", "value")
     return sampling.pseudo_absences(
-        S.pts(spark, sf), g, S.lat_axis(spark, sf), S.LON, attempts=24, wave=8, inner_km=5.0, outer_km=30.0
+        S.pts(spark, sf), g, S.lat_axis(spark, sf), S.LON, attempts=24, inner_km=5.0, outer_km=30.0
     ).select("id", "attempt")
