@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import boosting, evaluate, models, raster, sampling
-from ..schema import FEATURE_ORDER, SIGHTINGS, GridSpec
+from ..schema import SIGHTINGS, GridSpec
 from ..sources import cubes, netcdf, tables
-from ..streaming import scoring
+from ..streaming import nearest, scoring
 from . import habitat
 from . import surrogates as S
-from .queries import _NEAR, _r, _text, query
+from .queries import _CURVE, _NEAR, _r, _text, query
 from .surrogates import GRID, OBS, PTS, SCORED, VARIABLES
 
 # ---- sources and sinks ------------------------------------------------------------------------------------------
@@ -94,12 +94,13 @@ def _raw(spark, sf):
     return tables.required(lambda: tables.read_csv(spark, path, SIGHTINGS), "sightings")
 
 
-@query("SELECT 0.25e0 AS threshold")
+@query("SELECT round(threshold, 6) AS threshold FROM curve WHERE tp / p >= 0.8 ORDER BY tp / (tp + fp) DESC, threshold LIMIT 1", SCORED, _CURVE)
 def threshold_round_trip(spark, sf):
-    """OP-12."""
+    """OP-12, 75: the threshold chosen from the scores, written with what it was chosen by, and read again."""
+    best = evaluate.choose_threshold(evaluate.curve(S.scored(spark, sf))).first()
     path = tables.scratch(spark, "threshold")
-    tables.write_threshold(spark, path, 0.25, recall=0.5)
-    return tables.read_threshold(spark, path)
+    tables.write_threshold(spark, path, best["threshold"], recall=best["recall"], precision=best["precision"])
+    return tables.read_threshold(spark, path).select(_r("threshold"))
 
 
 _MONTHLY = """monthly AS (SELECT cell_id, lat_idx, lon_idx, lat, lon, m, CASE WHEN (cell_id + m) % 17 <> 0 THEN value + m / 4e0 END AS value FROM grid, (SELECT unnest(range(1, 13)) AS m))"""
@@ -408,6 +409,34 @@ def stream_scores(spark, sf):
     return scored.groupBy("Presence").agg(F.count("*").alias("n"), _r(F.avg("score"), "score"))
 
 
+def _drain_files(stream, state):
+    """``_drain`` with state in the given provider; the session's own is put back."""
+    key, spark = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession
+    before = spark.conf.get(key)
+    spark.conf.set(key, state)
+    try:
+        return _drain(stream)
+    finally:
+        spark.conf.set(key, before)
+
+
+@query("""SELECT id, strftime(CASE WHEN abs(epoch_us(t) - epoch_us(ts)) <= 3600000000 THEN t END, '%Y-%m-%d %H:%M:%S.%f') AS time FROM (
+    SELECT id, e.ts, CASE WHEN below IS NULL OR epoch_us(t) - epoch_us(e.ts) <= epoch_us(e.ts) - epoch_us(below) THEN t ELSE below END AS t FROM (SELECT e.*, s.t AS below FROM e ASOF LEFT JOIN s ON e.ts >= s.t) e ASOF LEFT JOIN s ON e.ts <= s.t)""", "e AS (SELECT event_id AS id, ts FROM events), s AS (SELECT DISTINCT ts AS t FROM events WHERE event_type = 'error')")
+def stream_nearest_time(spark, sf):
+    """OP-32 on a stream: sightings wait for the slices after them. Files come out of order, two by two; errors stand for slices."""
+    events = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("is_slice"))
+    folder = tables.scratch(spark, "arriving")
+    first, last = events.agg(F.min("at"), F.max("at")).first()
+    block = F.least(F.floor((F.unix_micros("at") - int(first.timestamp() * 1e6)) / ((last - first).total_seconds() * 1e6 / 6 + 1)), F.lit(5))
+    for k in (1, 0, 3, 2, 5, 4):
+        events.where(block == k).coalesce(1).write.mode("append").parquet(folder)
+    # a slice later than all closes what waits
+    spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit("2200-01-01").cast("timestamp").alias("at"), F.lit(True).alias("is_slice")).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    settled = nearest.nearest_time_stream(stream.where("id IS NOT NULL"), stream.where("is_slice"), 3600, "11 days", key="at", time="at")
+    return _drain_files(settled, nearest.PROVIDER).select("id", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"))
+
+
 @query("SELECT strftime(t, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value + dayofyear(t)), 4) AS total FROM grid, (SELECT DISTINCT date_trunc('day', Date) AS t FROM pts) GROUP BY 1", GRID, PTS)
 def needed_slices(spark, sf):
     """OP-38: of a raster with a slice for each day, only those that some point asks for."""
