@@ -373,7 +373,7 @@ def test_bin_labels(spark):
 
 def test_source_that_fails_at_run_time(spark):
     df = spark.range(3)
-    broken = lambda d: d.withColumn("x", F.raise_error(F.lit("gone")).cast("double"))
+    broken = lambda d: d.withColumn("x", F.raise_error(F.lit("SourceError: gone")).cast("double"))
     assert {r.x for r in tables.optional(df, broken, "x", run=True).collect()} == {None}
     assert {r.x for r in tables.optional(df, lambda d: d.withColumn("x", F.lit(1.0)), "x", run=True).collect()} == {1.0}
 
