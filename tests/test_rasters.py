@@ -206,3 +206,51 @@ def test_neighbours_in_tiles(spark, monkeypatch, tile):
         assert got[k] is None if np.isnan(want) else got[k] == pytest.approx(want)
     one = raster.sample_bilinear(pts, up.where("lat_idx = 2").withColumn("lat_idx", F.lit(0)), Axis(35.2, 0.1, 1), Axis(-75.0, 0.1, 9), "v", on=("t",))  # an axis of one cell: the nearest
     assert {r.id: r.v for r in one.collect()}[200] == z[0, 2, 8]
+
+
+@pytest.mark.parametrize("tile", [2, 3, 256])
+def test_layers_in_one_join(spark, monkeypatch, tile):
+    """Several rasters met at once give what each gives alone, wherever tiles lie: points beyond the axes, on edges and without a place, missing cells and rows."""
+    from tidewright.schema import Axis
+
+    monkeypatch.setattr(raster, "TILE", tile)
+    g = np.random.default_rng(2)
+    lat, lon = Axis(35.0, 0.1, 7), Axis(-75.0, 0.1, 9)
+    rows = [(t, i, j, 35 + 0.1 * i, -75 + 0.1 * j, None if g.random() < 0.05 else float(g.normal().__round__(3))) for t in (0, 1) for i in range(7) for j in range(9) if (i, j) != (2, 2)]
+    a = spark.createDataFrame(rows, "t int, lat_idx int, lon_idx int, lat double, lon double, value double")
+    b = a.where("(lat_idx + 2 * lon_idx + t) % 4 != 0").withColumn("value", F.col("value") * 3)  # cells that only one of the two has
+    at = [(k, k % 3, 34.8 + g.random() * 1.1, -75.2 + g.random() * 1.2) for k in range(200)] + [(300, 0, 35.6, -74.2), (301, 1, 35.05, -74.85), (302, 0, None, -74.5), (303, 1, 35.2, None), (304, None, 35.2, -74.5)]
+    pts = spark.createDataFrame(at, "id long, t int, Lat double, Lon double")
+    for on, take in ((("t",), lambda d: d), ((), lambda d: d.where("t = 0"))):
+        x, y = take(a), take(b)
+        layers = [raster.Layer("n", x), raster.Layer("s", y), raster.Layer("l", x, "bilinear"), raster.Layer("f", x, "bilinear", fallback=True), raster.Layer("g", x, "gradient")]
+        got = {r.id: r for r in raster.sample_layers(pts, layers, lat, lon, on).collect()}
+        assert len(got) == len(at)
+        slope = raster.gradient(x, 0.1, 0.1, by=on).withColumn("value", F.col("gradient"))
+        alone = {
+            "n": raster.sample_nearest(pts, x, lat, lon, "v", on), "s": raster.sample_nearest(pts, y, lat, lon, "v", on),
+            "l": raster.sample_bilinear(pts, x, lat, lon, "v", on=on), "g": raster.sample_nearest(pts, slope, lat, lon, "v", on)
+        }
+        for name, df in alone.items():
+            want = {r.id: r.v for r in df.collect()}
+            assert {k: got[k][name] is None for k in got} == {k: want[k] is None for k in got}, name
+            assert all(want[k] is None or got[k][name] == pytest.approx(want[k]) for k in got), name
+        assert all(r.f == (r.n if r.l is None else r.l) for r in got.values())
+        assert any(r.l is None and r.n is not None for r in got.values())
+    line = raster.sample_layers(pts, [raster.Layer("v", a.where("t = 0 AND lat_idx = 0"), "bilinear")], Axis(35.0, 0.1, 1), lon)  # an axis of one cell
+    want = {r.id: r.v for r in raster.sample_nearest(pts, a.where("t = 0 AND lat_idx = 0"), Axis(35.0, 0.1, 1), lon, "v").collect()}
+    assert {r.id: r.v for r in line.collect()} == want
+    assert raster.sample_layers(pts, layers, lat, lon).limit(0).count() == 0 == raster.sample_layers(pts.limit(0), layers, lat, lon).count()
+
+
+def test_rasters_of_the_same_axes_are_one_join(spark):
+    from tidewright.plans import habitat
+    from tidewright.schema import Axis, GridSpec
+
+    cells = spark.createDataFrame([(0, 0, 35.0, -75.0, 1.0)], "lat_idx int, lon_idx int, lat double, lon double, value double")
+    spec = GridSpec("v", Axis(35.0, 0.1, 2), Axis(-75.0, 0.1, 2))
+    pts = spark.createDataFrame([(1, 35.0, -75.0)], "id long, Lat double, Lon double")
+    out = habitat.sample_all(pts, [(spec, raster.Layer(n, cells, how)) for n, how in (("a", "nearest"), ("b", "bilinear"), ("c", "nearest"), ("d", "nearest"))])
+    assert [tuple(r) for r in out.select("id", "a", "b", "c", "d").collect()] == [(1, 1.0, None, 1.0, 1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("FlatMapGroupsInArrow") == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +182,115 @@ def gradient(grid: DataFrame, step_lat: float, step_lon: float, by: tuple[str, .
     return d.withColumn("gradient", F.sqrt(north * north + east * east)).drop("_dy", "_dx", "_lat")
 
 
+@dataclass(frozen=True)
+class Layer:
+    """A raster among several of the same axes: the column that it gives, its cells, and how they are taken.
+
+    ``how`` is "nearest", "bilinear" or "gradient" (per km, at the nearest cell, with the mean latitude of the raster's cells). ``fallback`` gives the nearest
+    cell where bilinear interpolation has none: outside the axes or beside a missing corner.
+    """
+
+    out: str
+    grid: DataFrame
+    how: str = "nearest"
+    fallback: bool = False
+
+
+#: Cells around a tile that gradients at its upper corners reach.
+_HALO = 2
+#: Fixed order: the cell, its right, upper and upper right neighbours.
+_CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def _names(k: int, layer: Layer) -> list[str]:
+    parts = ("_dy", "_dx") if layer.how == "gradient" else ("",)
+    return [f"_{k}{part}_{a}{b}" for part in parts for a, b in _CORNERS]
+
+
+def layered(layers: list[Layer], lat: Axis, lon: Axis, on: tuple[str, ...] = ()) -> DataFrame:
+    """The cells of all layers in one row for each place, with what their right and upper neighbours hold: one exchange for all rasters.
+
+    A row stands wherever one of the four is a cell. Cells outside the axes have no place.
+    """
+    near = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + k) / TILE) for k in (0, -_HALO, _HALO)]))
+    here = F.col("lat_idx").between(0, lat.n - 1) & F.col("lon_idx").between(0, lon.n - 1)
+    cells = None
+    for k, layer in enumerate(layers):
+        one = layer.grid.where(here).select(
+            F.col("lat_idx").cast("int").alias("lat_idx"), F.col("lon_idx").cast("int").alias("lon_idx"), *on, F.lit(k).alias("_layer"), F.col("value").cast("double").alias("value")
+        )
+        cells = one if cells is None else cells.unionByName(one)
+    names = [n for k, layer in enumerate(layers) for n in _names(k, layer)]
+    keys = [cells.schema[c] for c in ("lat_idx", "lon_idx", *on)]
+    schema = T.StructType([*keys, *[T.StructField(n, T.DoubleType()) for n in names]])
+    hows = [layer.how for layer in layers]
+
+    def run(t: pa.Table) -> pa.Table:
+        first = [t.column(c)[0].as_py() * TILE for c in ("_ty", "_tx")]
+        i, j = (t.column(c).to_numpy() - f + _HALO for c, f in zip(("lat_idx", "lon_idx"), first, strict=True))
+        which, given = t.column("_layer").to_numpy(), t.column("value").to_numpy().astype(float)
+        size = TILE + 2 * _HALO
+        anywhere, columns = np.zeros((size, size), bool), []
+        cut = lambda z, a, b: z[_HALO + a : _HALO + a + TILE, _HALO + b : _HALO + b + TILE]
+        for k, how in enumerate(hows):
+            mine = which == k
+            values, there = np.full((size, size), np.nan), np.zeros((size, size), bool)
+            values[i[mine], j[mine]] = given[mine]
+            there[i[mine], j[mine]] = True
+            anywhere |= there
+            if how == "gradient":
+                d, inner = _differences(values, there), np.full((size, size), np.nan)
+                for part in ("_dy", "_dx"):
+                    inner[1:-1, 1:-1] = np.where(there[1:-1, 1:-1], d[part], np.nan)
+                    columns += [cut(inner, a, b).copy() for a, b in _CORNERS]
+            else:
+                columns += [cut(values, a, b) for a, b in _CORNERS]
+        y, x = np.nonzero(np.logical_or.reduce([cut(anywhere, a, b) for a, b in _CORNERS]))
+        inside = (y + first[0] >= 0) & (x + first[1] >= 0)
+        y, x = y[inside], x[inside]
+        places = [pa.array((y + first[0]).astype(np.int32)), pa.array((x + first[1]).astype(np.int32))]
+        same = [t.column(o).take(pa.array(np.zeros(len(y), np.int64))) for o in on]
+        values = [c[y, x] for c in columns]
+        return pa.table([*places, *same, *[pa.array(v, mask=np.isnan(v)) for v in values]], names=schema.names)
+
+    dealt = cells.withColumn("_ty", F.explode(near("lat_idx"))).withColumn("_tx", F.explode(near("lon_idx")))
+    return dealt.groupBy(*on, "_ty", "_tx").applyInArrow(run, schema)
+
+
+def sample_layers(points: DataFrame, layers: list[Layer], lat: Axis, lon: Axis, on: tuple[str, ...] = ()) -> DataFrame:
+    """OP-33, 34, 39, 67: a column for each layer, for all rasters of the same axes in one equi-join.
+
+    A point is placed once, at the lower left of the four cells around it (of the outermost four where it lies beyond an end), whose row holds what all layers have
+    there. The nearest cell is one of the four, ties go to the larger coordinate. ``on`` names columns that points and cells share, such as the time.
+    A point without a place or without a row has NULL; bilinear interpolation on an axis of one cell gives the nearest cell.
+    """
+    y, x = (F.col("Lat") - lat.start) / lat.step, (F.col("Lon") - lon.start) / lon.step
+    known = F.col("Lat").isNotNull() & F.col("Lon").isNotNull()
+    low = lambda v, axis: F.when(known, F.greatest(F.lit(0), F.least(F.lit(max(0, axis.n - 2)), F.floor(v)))).otherwise(-1).cast("int")  # noqa: E731  no cell has the index -1
+    put = points.withColumns({"lat_idx": low(y, lat), "lon_idx": low(x, lon), "_y": y - low(y, lat), "_x": x - low(x, lon)})
+    met = put.withColumns(
+        {"_up": nearest_index(F.col("Lat"), lat) > F.col("lat_idx"), "_right": nearest_index(F.col("Lon"), lon) > F.col("lon_idx")}
+    ).join(layered(layers, lat, lon, on), ["lat_idx", "lon_idx", *on], "left")
+    pick = lambda c: F.when(F.col("_up"), F.when(F.col("_right"), c[3]).otherwise(c[2])).otherwise(F.when(F.col("_right"), c[1]).otherwise(c[0]))
+    inside = F.coalesce(y.between(0, lat.n - 1) & x.between(0, lon.n - 1), F.lit(False))
+    row = lambda a, b: a * (1 - F.col("_x")) + b * F.col("_x")  # noqa: E731  NULL where a corner is
+    out = {}
+    for k, layer in enumerate(layers):
+        c = [F.col(n) for n in _names(k, layer)]
+        if layer.how == "gradient":
+            means = layer.grid.groupBy(*on).agg(F.avg("lat").alias(f"_lat{k}"))
+            met = met.join(means, list(on), "left") if on else met.crossJoin(F.broadcast(means))  # one row
+            north, east = pick(c[:4]) / (KM_PER_DEGREE * lat.step), pick(c[4:]) / (F.lit(KM_PER_DEGREE * lon.step) * F.cos(F.radians(f"_lat{k}")))
+            out[layer.out] = F.sqrt(north * north + east * east)
+        elif layer.how == "bilinear" and lat.n > 1 and lon.n > 1:
+            value = F.when(inside, row(c[0], c[1]) * (1 - F.col("_y")) + row(c[2], c[3]) * F.col("_y"))
+            out[layer.out] = F.coalesce(value, pick(c)) if layer.fallback else value
+        else:
+            out[layer.out] = pick(c)
+    kept = [c for c in points.columns if c not in out]
+    return met.select(*kept, *[v.alias(n) for n, v in out.items()])
+
+
 def is_ocean(points: DataFrame, altitude: DataFrame, lat: Axis, lon: Axis) -> DataFrame:
     """OP-30: ``points`` over cells below sea level; a cell without a value is not ocean."""
     return sample_nearest(points, altitude, lat, lon, "_altitude").where(F.col("_altitude") < 0).drop("_altitude")

@@ -49,6 +49,44 @@ def sample(points: DataFrame, grid: DataFrame, spec: GridSpec, out: str) -> Data
     return got.withColumn("Lon", F.col("_lon")).drop("_lon", *on)
 
 
+def sample_all(points: DataFrame, variables: list[tuple[GridSpec, raster.Layer]]) -> DataFrame:
+    """OP-32 to 34, 39, 67: all variables at the points. Rasters of the same axes meet the points in one join; those with times where they are slices of one variable."""
+    groups: dict[tuple, list[raster.Layer]] = {}
+    for spec, layer in variables:
+        groups.setdefault((spec.lat, spec.lon, spec.lon_360, spec.temporal, spec.variable if spec.temporal else None), []).append(layer)
+    for (lat, lon, lon_360, temporal, _), layers in groups.items():
+        p, on = points.withColumn("_lon", F.col("Lon")), ()
+        if lon_360:
+            p = p.withColumn("Lon", F.pmod("Lon", F.lit(360.0)))
+        if temporal:
+            p = p.withColumn("_key", (day_key if temporal == "day" else month_key)(F.col("Date")))
+            p, on = raster.nearest_time(p, layers[0].grid, "_key", "time").drop("_key"), ("time",)
+        got = raster.sample_layers(p, layers, lat.ascending(), lon.ascending(), on)
+        points = got.withColumn("Lon", F.col("_lon")).drop("_lon", *on)
+    return points
+
+
+def variables(points: DataFrame, sst: DataFrame, chlorophyll: DataFrame, patches: DataFrame, salinity: DataFrame, altitude: DataFrame, days: GridSpec, still: GridSpec) -> DataFrame:
+    """OP-25 to 28, 32 to 34, 39, 67: the sampled features at the points: SST and its front by day, chlorophyll patched from a second raster, salinity, depth and slope."""
+    out = sample_all(
+        points, [
+            (days, raster.Layer("SST", sst)), (days, raster.Layer("SST_Gradient", sst, "gradient")), (still, raster.Layer("Chlorophyll", chlorophyll)),
+            (still, raster.Layer("_patch", patches)), (still, raster.Layer("Salinity", salinity, "bilinear")), (still, raster.Layer("Bathymetry", altitude)),
+            (still, raster.Layer("Bathy_Slope", altitude, "gradient")),
+        ]
+    )
+    return out.withColumns(
+        {"Chlorophyll": patch(F.col("Chlorophyll"), F.col("_patch")), "SST_Gradient": F.when(F.col("SST").isNotNull(), F.col("SST_Gradient"))}
+    ).withColumn("Is_Thermal_Front", flag_above(F.col("SST_Gradient"), FRONT_THRESHOLD)).drop("_patch")
+
+
+def with_distances(points: DataFrame, altitude: DataFrame, spec: GridSpec) -> DataFrame:
+    """OP-25, 35, 36: distances to land and to the shelf break."""
+    cells = altitude.select((F.col("lat_idx").cast("long") * spec.lon.n + F.col("lon_idx")).alias("cell_id"), "lat", "lon", "value")
+    out = knn.nearest_cell(points, cells.where("value >= 0"), "Dist_to_Shore_km")
+    return knn.nearest_cell(out, cells.where(F.col("value").between(*SHELF_BAND)), "Dist_to_Shelf_km")
+
+
 def with_front(points: DataFrame, sst: DataFrame, spec: GridSpec) -> DataFrame:
     """OP-26, 67: SST_Gradient and Is_Thermal_Front; a point without SST has neither."""
     g = raster.gradient(sst, spec.lat.step, spec.lon.step, by=("time",)).withColumn("value", F.col("gradient"))
@@ -67,9 +105,7 @@ def with_relief(points: DataFrame, altitude: DataFrame, spec: GridSpec) -> DataF
     """OP-25, 35, 36, 67: slope, distance to land and to the shelf break, from one raster."""
     slope = raster.gradient(altitude, spec.lat.step, spec.lon.step).withColumn("value", F.col("gradient"))
     out = sample(points, slope, spec, "Bathy_Slope")
-    cells = altitude.select((F.col("lat_idx").cast("long") * spec.lon.n + F.col("lon_idx")).alias("cell_id"), "lat", "lon", "value")
-    out = knn.nearest_cell(out, cells.where("value >= 0"), "Dist_to_Shore_km")
-    return knn.nearest_cell(out, cells.where(F.col("value").between(*SHELF_BAND)), "Dist_to_Shelf_km")
+    return with_distances(out, altitude, spec)
 
 
 def features(df: DataFrame) -> DataFrame:

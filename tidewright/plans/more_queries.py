@@ -16,7 +16,7 @@ from ..sources import cubes, netcdf, tables
 from ..streaming import nearest, scoring
 from . import habitat
 from . import surrogates as S
-from .queries import _CURVE, _NEAR, _r, _text, query
+from .queries import _CURVE, _GRADIENT, _HAVERSINE, _KNN, _NEAR, _RING, _r, _text, query
 from .surrogates import GRID, OBS, PTS, SCORED, VARIABLES
 
 # ---- sources and sinks ------------------------------------------------------------------------------------------
@@ -322,7 +322,8 @@ def separability(spark, sf):
 
 # ---- the whole chain --------------------------------------------------------------------------------------------
 
-def _features(spark, sf):
+def _chain(spark, sf, points):
+    """All features at the points: one join with the slices of SST, one with all rasters that stand still."""
     lat = S.lat_axis(spark, sf)
     grid = S.grid(spark, sf)
     altitude = grid.select("lat_idx", "lon_idx", "lat", "lon", F.col("altitude").alias("value"))
@@ -331,24 +332,56 @@ def _features(spark, sf):
     sst = grid.crossJoin(F.broadcast(days)).select(
         "time", "lat_idx", "lon_idx", "lat", "lon", (F.col("value") / 2 + F.month("time") + F.year("time") % 7).alias("value")
     )
-    # each variable's result is written before the next is sampled, as a long chain of joins would be run again by each use of it
-    put = lambda df: tables.stage(df, tables.scratch(spark, "variable"))
-    p = put(
-        habitat.with_background(
-            habitat.clean_sightings(_raw(spark, sf)), altitude, lat, S.LON, each=2, attempts=12, inner_km=5.0, outer_km=30.0
-        )
+    of = lambda value: grid.select("lat_idx", "lon_idx", value.alias("value"))
+    sampled = habitat.variables(
+        points, sst, of(F.when(F.col("value") % 5 != 0, F.col("value") / 100)), of(F.lit(0.5)), of(30 + F.col("value") / 10), altitude,
+        GridSpec("sst", lat, S.LON, temporal="day"), still
+    )
+    # written once, as both searches for nearest cells read it
+    return habitat.features(habitat.with_distances(tables.stage(sampled, tables.scratch(spark, "sampled")), altitude, still))
+
+
+def _features(spark, sf):
+    altitude = S.grid(spark, sf).select("lat_idx", "lon_idx", "lat", "lon", F.col("altitude").alias("value"))
+    points = habitat.with_background(
+        habitat.clean_sightings(_raw(spark, sf)), altitude, S.lat_axis(spark, sf), S.LON, each=2, attempts=12, inner_km=5.0, outer_km=30.0
     )
-    p = put(habitat.sample(p, sst, GridSpec("sst", lat, S.LON, temporal="day"), "SST"))
-    p = habitat.sample(p, grid.select("lat_idx", "lon_idx", (F.col("value") / 100).alias("value")), still, "Chlorophyll")
-    p = put(habitat.patched(p, grid.select("lat_idx", "lon_idx", F.lit(0.5).alias("value")), still, "Chlorophyll"))
-    p = put(
-        habitat.sample(
-            p, grid.select("lat_idx", "lon_idx", (30 + F.col("value") / 10).alias("value")), GridSpec("salt", lat, S.LON, nearest=False), "Salinity"
-        )
+    return _chain(spark, sf, tables.stage(points, tables.scratch(spark, "points")))
+
+
+_WITH_ABSENCES = f"""tries AS (SELECT r.*, CAST(greatest(0, least(n - 1, floor((Lat - 35e0) / 0.05e0 + 0.5e0))) AS INT) AS i, CAST(greatest(0, least(49, floor((Lon + 75e0) / 0.05e0 + 0.5e0))) AS INT) AS j FROM ring r, dims),
+taken AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY attempt) AS nth FROM tries t JOIN grid ON lat_idx = i AND lon_idx = j WHERE altitude < 0) WHERE nth <= 2),
+seen AS (SELECT id * 16 AS id, Date, Lat, Lon, 1 AS Presence FROM pts UNION ALL SELECT t.id * 16 + 1 + attempt, Date, t.Lat, t.Lon, 0 FROM taken t JOIN pts USING (id)),
+{_NEAR.replace("FROM pts", "FROM seen").replace("pts.*", "seen.*")},
+{_GRADIENT},
+slice AS (SELECT id, arg_min(y, abs(epoch_us(date_trunc('day', Date) + INTERVAL 9 HOURS) - epoch_us(make_timestamp(y, 1, 1, 9, 0, 0e0))) * 10 - (y - 1995)) AS y FROM seen, (VALUES (1995), (1997), (1999)) v(y) GROUP BY id),
+salt AS (SELECT id, sum((30e0 + value / 10) * (CASE WHEN a = 1 THEN y - i ELSE 1 - (y - i) END) * (CASE WHEN b = 1 THEN x - j ELSE 1 - (x - j) END)) AS salinity FROM (
+    SELECT id, y, x, least(floor(y), n - 2) AS i, least(floor(x), 48) AS j FROM (SELECT id, (Lat - 35e0) / 0.05e0 AS y, (Lon + 75e0) / 0.05e0 AS x, n FROM seen, dims) WHERE y BETWEEN 0 AND n - 1 AND x BETWEEN 0 AND 49) p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b)
+    JOIN grid ON lat_idx = i + a AND lon_idx = j + b GROUP BY id HAVING count(value) = 4)"""
+
+
+def _distance_sql(name: str, condition: str) -> str:
+    """Distances of all points to the nearest cell that a condition names, the least number of equals."""
+    best = _KNN.format(condition).replace("FROM pts", "FROM seen").replace("best AS", f"{name}_best AS")
+    best = best.replace("pow(p.Lat", "(pow(p.Lat", 1).replace("radians(m)), 2))", "radians(m)), 2), c.cell_id))")
+    return best + f",\n{name} AS (SELECT id, {_HAVERSINE} AS km FROM {name}_best)"
+
+
+@query("""SELECT near.id, strftime(Date, '%Y-%m-%d') AS Date, round(near.Lat, 6) AS Lat, round(near.Lon, 6) AS Lon, Presence, round(value / 2 + 1 + y % 7, 6) AS SST, CASE WHEN value % 5 <> 0 THEN value / 100 ELSE 0.5e0 END AS Chlorophyll,
+    round(salinity, 5) AS Salinity, altitude AS Bathymetry, round(gradient / 2, 5) AS SST_Gradient, CAST(coalesce(gradient / 2 > 0.035, false) AS INT) AS Is_Thermal_Front, CAST(month(Date) AS INT) AS Month, round(gradient * 10, 4) AS Bathy_Slope,
+    shore.km AS Dist_to_Shore_km, shelf.km AS Dist_to_Shelf_km
+    FROM near LEFT JOIN slice USING (id) LEFT JOIN salt USING (id) LEFT JOIN grid ON lat_idx = i AND lon_idx = j LEFT JOIN g USING (cell_id) LEFT JOIN shore USING (id) LEFT JOIN shelf USING (id)""",
+    GRID, PTS, _RING.format(n=12), _WITH_ABSENCES, _distance_sql("shore", "altitude >= 0"), _distance_sql("shelf", "altitude BETWEEN -250 AND -150"))
+def layered_features(spark, sf):
+    """The chain from points with ids to the model's table, as ``habitat_features`` takes it: OP-25 to 43, 67, 77, 85 to 91."""
+    grid, p = S.grid(spark, sf), S.pts(spark, sf).withColumn("Presence", F.lit(1))
+    absences = sampling.pseudo_absences(
+        p, grid.drop("value").withColumnRenamed("altitude", "value"), S.lat_axis(spark, sf), S.LON, each=2, attempts=12, inner_km=5.0, outer_km=30.0
     )
-    p = habitat.sample(p, altitude, GridSpec("altitude", lat, S.LON), "Bathymetry")
-    p = put(habitat.with_front(p, sst, GridSpec("sst", lat, S.LON, temporal="day")))
-    return habitat.features(habitat.with_relief(p, altitude, still))
+    both = sampling.with_absences(p.withColumn("id", F.col("id") * 16), absences.withColumn("id", F.col("id") * 16 + 1 + F.col("attempt")).drop("attempt"))
+    out = _chain(spark, sf, tables.stage(both, tables.scratch(spark, "points")))
+    digits = {"Lat": 6, "Lon": 6, "SST": 6, "Salinity": 5, "SST_Gradient": 5, "Bathy_Slope": 4, "Dist_to_Shore_km": 4, "Dist_to_Shelf_km": 4}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()} | {"Date": F.date_format("Date", "yyyy-MM-dd")})
 
 
 @query()
