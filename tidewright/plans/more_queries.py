@@ -368,7 +368,7 @@ def _distance_sql(name: str, condition: str) -> str:
 
 
 @query("""SELECT near.id, strftime(Date, '%Y-%m-%d') AS Date, round(near.Lat, 6) AS Lat, round(near.Lon, 6) AS Lon, Presence, round(value / 2 + 1 + y % 7, 6) AS SST, CASE WHEN value % 5 <> 0 THEN value / 100 ELSE 0.5e0 END AS Chlorophyll,
-    round(salinity, 5) AS Salinity, altitude AS Bathymetry, round(gradient / 2, 5) AS SST_Gradient, CAST(coalesce(gradient / 2 > 0.035, false) AS INT) AS Is_Thermal_Front, CAST(month(Date) AS INT) AS Month, round(gradient * 10, 4) AS Bathy_Slope,
+    round(salinity, 8) AS Salinity, altitude AS Bathymetry, round(gradient / 2, 5) AS SST_Gradient, CAST(coalesce(gradient / 2 > 0.035, false) AS INT) AS Is_Thermal_Front, CAST(month(Date) AS INT) AS Month, round(gradient * 10, 4) AS Bathy_Slope,
     shore.km AS Dist_to_Shore_km, shelf.km AS Dist_to_Shelf_km
     FROM near LEFT JOIN slice USING (id) LEFT JOIN salt USING (id) LEFT JOIN grid ON lat_idx = i AND lon_idx = j LEFT JOIN g USING (cell_id) LEFT JOIN shore USING (id) LEFT JOIN shelf USING (id)""",
     GRID, PTS, _RING.format(n=12), _WITH_ABSENCES, _distance_sql("shore", "altitude >= 0"), _distance_sql("shelf", "altitude BETWEEN -250 AND -150"))
@@ -380,7 +380,7 @@ def layered_features(spark, sf):
     )
     both = sampling.with_absences(p.withColumn("id", F.col("id") * 16), absences.withColumn("id", F.col("id") * 16 + 1 + F.col("attempt")).drop("attempt"))
     out = _chain(spark, sf, tables.stage(both, tables.scratch(spark, "points")))
-    digits = {"Lat": 6, "Lon": 6, "SST": 6, "Salinity": 5, "SST_Gradient": 5, "Bathy_Slope": 4, "Dist_to_Shore_km": 4, "Dist_to_Shelf_km": 4}
+    digits = {"Lat": 6, "Lon": 6, "SST": 6, "Salinity": 8, "SST_Gradient": 5, "Bathy_Slope": 4, "Dist_to_Shore_km": 4, "Dist_to_Shelf_km": 4}
     return out.withColumns({c: F.round(c, d) for c, d in digits.items()} | {"Date": F.date_format("Date", "yyyy-MM-dd")})
 
 
