@@ -79,6 +79,18 @@ def test_group_around_the_threshold(spark, how):
     assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df, **how).collect()} == comp
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_buckets_of_unlike_sizes(spark, block):
+    """Beginnings of one text share buckets whatever their lengths: only those of near lengths are links, and members that no centre may be linked with still meet each other."""
+    lengths = [*range(20, 26), *range(60, 72, 2), 110, 139, 173, *range(900, 1000, 9), 1125, 1500, 1500]
+    words = [f"w{k}" for k in range(1600)]
+    random.Random(3).shuffle(words)
+    rows = [(k, " ".join(words[:n])) for k, n in enumerate(lengths)] + [(100 + k, " ".join(words[-n:])) for k, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, bands=12, rows=1, block=block)
+    assert len({r.component_id for r in near_dedup.near_groups(df, bands=12, rows=1, block=block).collect()}) > 6
+
+
 def test_drop(docs, clashing):
     kept = near_dedup.drop_near_duplicates(clashing)
     assert kept.columns == clashing.columns

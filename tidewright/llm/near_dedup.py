@@ -7,7 +7,7 @@ where 100 * intersection >= ``percent`` * union.
 1. Each text is read once for its set's digest, its SuperMinHash signature and the keys of its bands.
 2. Equal sets are merged under their smallest doc_id; only these representatives go on.
 3. In each bucket of a band, the member with most copies is the centre. The pairs of a centre and a
-   member are verified on full sets, and components are found from the links.
+   member whose sizes allow a link are verified on full sets, and components are found from the links.
 4. A bucket of three or more whose members still lie in several components is compared whole, in blocks of
    members and within a task, exactly; only links that join components are emitted. No pairs are
    emitted within a group, and no bucket is capped.
@@ -222,18 +222,21 @@ def near_groups(
     )
     same = of_group.join(several, "doc_id", "left_semi").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
-    first = F.min(F.struct((-F.col("n")).alias("n"), "id"))
+    first = F.min(F.struct((-F.col("n")).alias("n"), "id", "length"))
     buckets = materialize(
         members.groupBy("bucket").agg(first.alias("x"), F.count("*").alias("size")).where("size > 1").select(
-            "bucket", F.col("x.id").alias("centre"), "size"
+            "bucket", F.col("x.id").alias("centre"), F.col("x.length").alias("centre_length"), "size"
         ),
         "buckets"
     )
     placed = materialize(members.drop("n").join(buckets, "bucket"), "placed")
+    # an intersection is at most the smaller set, a union at least the larger: other pairs can't be links, and their sets aren't moved
+    near = 100 * F.least("length", "centre_length") >= percent * F.greatest("length", "centre_length")
     pairs = materialize(
-        placed.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs"
+        placed.where("id != centre").where(near).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs"
     )
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # members of larger buckets may be compared with each other later
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(placed.where("size > 2").select(F.col("id").alias("doc_id"))).distinct()
     sets = materialize(
         texts.join(materialize(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets"
     )
