@@ -254,3 +254,31 @@ def test_rasters_of_the_same_axes_are_one_join(spark):
     assert [tuple(r) for r in out.select("id", "a", "b", "c", "d").collect()] == [(1, 1.0, None, 1.0, 1.0)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_steps_give_what_the_joint_chain_gives(spark):
+    """Variables added to a table one at a time (patches, fronts, relief) equal those sampled at once; a raster of eastern longitudes is met at its own."""
+    from tidewright.plans import habitat
+    from tidewright.schema import Axis, GridSpec
+
+    g = np.random.default_rng(5)
+    lat, lon = Axis(35.0, 0.1, 6), Axis(-75.0, 0.1, 5)
+    cells = [(i, j, 35 + 0.1 * i, -75 + 0.1 * j, float(g.normal() * 300 - 100)) for i in range(6) for j in range(5)]
+    alt = spark.createDataFrame(cells, "lat_idx int, lon_idx int, lat double, lon double, value double")
+    sst = alt.withColumn("time", F.explode(F.expr("array(TIMESTAMP'2001-01-01 09:00:00', TIMESTAMP'2001-03-01 09:00:00')"))).withColumn("value", F.when(F.col("lat_idx") + F.month("time") != 2, F.col("value") / 50 + F.month("time")))
+    gaps, salt = alt.withColumn("value", F.when(F.col("lon_idx") % 2 == 0, F.col("value"))), alt.withColumn("value", F.col("value") + 7)
+    rows = [(k, 34.95 + g.random() * 0.6, -75.05 + g.random() * 0.5, f"2001-0{1 + k % 4}-17") for k in range(60)]
+    pts = spark.createDataFrame(rows, "id long, Lat double, Lon double, day string").withColumn("Date", F.to_timestamp("day"))
+    days, still = GridSpec("sst", lat, lon, temporal="day"), GridSpec("v", lat, lon)
+    once = habitat.variables(pts, sst, gaps, alt, salt, alt, days, still)
+    steps = habitat.sample(pts, sst, days, "SST")
+    steps = habitat.patched(habitat.sample(steps, gaps, still, "Chlorophyll"), alt, still, "Chlorophyll")
+    steps = habitat.sample(steps, salt, GridSpec("salt", lat, lon, nearest=False), "Salinity")
+    steps = habitat.with_relief(habitat.with_front(habitat.sample(steps, alt, still, "Bathymetry"), sst, days), alt, still)
+    names = ["id", "SST", "Chlorophyll", "Salinity", "Bathymetry", "SST_Gradient", "Is_Thermal_Front", "Bathy_Slope"]
+    got = {r.id: tuple(r) for r in once.select(*names).collect()}
+    assert got == {r.id: tuple(r) for r in steps.select(*names).collect()} and len(got) == 60
+    assert any(v[1] is None for v in got.values()) and all((v[5] is None) >= (v[1] is None) for v in got.values())
+    east = GridSpec("e", lat, Axis(285.0, 0.1, 5), lon_360=True)
+    there = {r.id: (r.Lon, r.v) for r in habitat.sample(pts, alt, east, "v").collect()}
+    assert there == {r.id: (r.Lon, r.Bathymetry) for r in once.collect()}

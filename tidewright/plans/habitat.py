@@ -32,21 +32,8 @@ def with_background(presences: DataFrame, altitude: DataFrame, lat: Axis, lon: A
 
 
 def sample(points: DataFrame, grid: DataFrame, spec: GridSpec, out: str) -> DataFrame:
-    """OP-32 to 36: one variable at the points, by the method that its raster's description asks for."""
-    lat, lon = spec.lat.ascending(), spec.lon.ascending()
-    p = points.withColumn("_lon", F.col("Lon"))
-    if spec.lon_360:
-        p = p.withColumn("Lon", F.pmod("Lon", F.lit(360.0)))
-    on: tuple[str, ...] = ()
-    if spec.temporal:
-        p = p.withColumn("_key", (day_key if spec.temporal == "day" else month_key)(F.col("Date")))
-        p = raster.nearest_time(p, grid, "_key", "time").drop("_key")
-        on = ("time",)
-    if spec.nearest:
-        got = raster.sample_nearest(p, grid, lat, lon, out, on)
-    else:
-        got = raster.sample_bilinear(p, grid, lat, lon, out, "id", on)
-    return got.withColumn("Lon", F.col("_lon")).drop("_lon", *on)
+    """OP-32 to 34: one variable at the points, by the method that its raster's description asks for."""
+    return sample_all(points, [(spec, raster.Layer(out, grid, "nearest" if spec.nearest else "bilinear"))])
 
 
 def sample_all(points: DataFrame, variables: list[tuple[GridSpec, raster.Layer]]) -> DataFrame:
@@ -75,9 +62,7 @@ def variables(points: DataFrame, sst: DataFrame, chlorophyll: DataFrame, patches
             (still, raster.Layer("Bathy_Slope", altitude, "gradient")),
         ]
     )
-    return out.withColumns(
-        {"Chlorophyll": patch(F.col("Chlorophyll"), F.col("_patch")), "SST_Gradient": F.when(F.col("SST").isNotNull(), F.col("SST_Gradient"))}
-    ).withColumn("Is_Thermal_Front", flag_above(F.col("SST_Gradient"), FRONT_THRESHOLD)).drop("_patch")
+    return front(out.withColumn("Chlorophyll", patch(F.col("Chlorophyll"), F.col("_patch"))).drop("_patch"))
 
 
 def with_distances(points: DataFrame, altitude: DataFrame, spec: GridSpec) -> DataFrame:
@@ -87,13 +72,15 @@ def with_distances(points: DataFrame, altitude: DataFrame, spec: GridSpec) -> Da
     return knn.nearest_cell(out, cells.where(F.col("value").between(*SHELF_BAND)), "Dist_to_Shelf_km")
 
 
+def front(points: DataFrame) -> DataFrame:
+    """OP-26: Is_Thermal_Front from SST_Gradient, which a point without SST doesn't have."""
+    known = points.withColumn("SST_Gradient", F.when(F.col("SST").isNotNull(), F.col("SST_Gradient")))
+    return known.withColumn("Is_Thermal_Front", flag_above(F.col("SST_Gradient"), FRONT_THRESHOLD))
+
+
 def with_front(points: DataFrame, sst: DataFrame, spec: GridSpec) -> DataFrame:
-    """OP-26, 67: SST_Gradient and Is_Thermal_Front; a point without SST has neither."""
-    g = raster.gradient(sst, spec.lat.step, spec.lon.step, by=("time",)).withColumn("value", F.col("gradient"))
-    out = sample(points, g, spec, "_g")
-    return out.withColumn("SST_Gradient", F.when(F.col("SST").isNotNull(), F.col("_g"))).withColumn(
-        "Is_Thermal_Front", flag_above(F.col("SST_Gradient"), FRONT_THRESHOLD)
-    ).drop("_g")
+    """OP-26, 67: SST_Gradient and Is_Thermal_Front of a table that has SST."""
+    return front(sample_all(points, [(spec, raster.Layer("SST_Gradient", sst, "gradient"))]))
 
 
 def patched(points: DataFrame, grid: DataFrame, spec: GridSpec, column: str) -> DataFrame:
@@ -103,8 +90,7 @@ def patched(points: DataFrame, grid: DataFrame, spec: GridSpec, column: str) ->
 
 def with_relief(points: DataFrame, altitude: DataFrame, spec: GridSpec) -> DataFrame:
     """OP-25, 35, 36, 67: slope, distance to land and to the shelf break, from one raster."""
-    slope = raster.gradient(altitude, spec.lat.step, spec.lon.step).withColumn("value", F.col("gradient"))
-    out = sample(points, slope, spec, "Bathy_Slope")
+    out = sample_all(points, [(spec, raster.Layer("Bathy_Slope", altitude, "gradient"))])
     return with_distances(out, altitude, spec)
 
 
