@@ -136,6 +136,21 @@ def test_nearest_cell(spark, tile, layout):
         assert got[k] == pytest.approx(2 * 6371 * math.asin(math.sqrt(a)), rel=1e-9)
 
 
+@pytest.mark.parametrize("south", [80, 200, 230])
+def test_nearest_cell_beyond_a_pole(spark, south):
+    """Rasters of made-up tables go on beyond 90 degrees, where the cosine of the mean latitude is negative."""
+    r = random.Random(south)
+    pts = [(k, south + r.random() * 60, -75 + r.random() * 2.5) for k in range(60)]
+    cs = [(k, south + r.random() * 60, -75 + r.random() * 2.5) for k in range(90)]
+    c = math.cos(math.radians(sum(p[1] for p in pts) / len(pts)))
+    cells_ = spark.createDataFrame(cs, "cell_id long, lat double, lon double")
+    near = lambda p: min(cs, key=lambda x: (((x[1] - p[1]) ** 2 + ((x[2] - p[2]) * c) ** 2), x[0]))[0]
+    got = knn.nearest_cell(
+        spark.createDataFrame(pts, "id long, Lat double, Lon double"), cells_.withColumn("number", F.col("cell_id")), "km", keep=("number",)
+    )
+    assert c < 0 and {x.id: x.number for x in got.collect()} == {p[0]: near(p) for p in pts}
+
+
 def test_nearest_cell_without_cells(spark):
     p = spark.createDataFrame([(1, 35.0, -75.0)], "id long, Lat double, Lon double")
     assert knn.nearest_cell(p, spark.createDataFrame([], "cell_id long, lat double, lon double"), "km").first().km is None
