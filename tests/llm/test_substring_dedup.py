@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import COLUMNS, SF
@@ -128,3 +129,20 @@ def test_whole_copies_alone(spark, width):
     assert run(df, width=width) == brute(data, width) == run(df.repartition(5), width=width)
     copies = [(i, text) for i in range(20)]
     assert run(spark.createDataFrame(copies, "doc_id long, text string").repartition(6), width=width) == brute(copies, width)
+
+
+def test_words_are_hashed_once_and_digested_in_candidates_alone(monkeypatch):
+    """Equal words have equal hashes wherever they stand, long ones too; 128-bit digests are made of the words of given windows."""
+    long = b"x" * (substring_dedup.HASHED_BYTES + 5)
+    texts = [b"", b" one  two\x0bone\n", long + b" two " + long, b"w " * 200_000, "é ß\xa0x é".encode(), b"two"]
+    w = substring_dedup.Words(texts)
+    words = [x for t in texts for x in t.split()]
+    assert len(w.base) == w.total == len(words)
+    assert len(set(zip(words, w.base.tolist(), strict=True))) == len(set(words)) == len(set(w.base.tolist()))
+    assert len(substring_dedup.Words([b"", b" "]).base) == 0 == len(substring_dedup.Words([b""]).base)
+    seen = []
+    digest = substring_dedup.xxhash.xxh3_128_digest
+    monkeypatch.setattr(substring_dedup.xxhash, "xxh3_128_digest", lambda x: seen.append(x) or digest(x))
+    v = substring_dedup.Words([b"a1 b1 c1 d1 e1", b"z1 b1 c1 q1"])
+    x = v.digests(np.array([1, 6]), 2)
+    assert sorted(seen) == [b"b1", b"c1"] and x[:, 0].tolist() == x[:, 1].tolist() and v.digests(np.zeros(0, int), 2).shape == (2, 0)

@@ -27,7 +27,8 @@ one doc_id are one document in two or more parts, none before the other. Long te
 from __future__ import annotations
 
 import hashlib
-from itertools import compress, pairwise
+from functools import cache
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, byte_column, chunks, gather, give_back, kept, materialize, mix64, pieces
+from .common import SPACE_BYTES, bound_batches, byte_column, chunks, gather, give_back, kept, materialize, mix64, pieces
 
 WIDTH, SHORTEST = 13, 7
 CHUNK_BYTES = 1 << 20
 #: Text in which equal windows are merged before they are sent.
 GATHER_BYTES = 24 << 20
 _ROLL = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+#: Bytes that are hashed at a time; longer words are hashed alone.
+HASHED_BYTES = 256 << 10
+_GAP = np.isin(np.arange(256), list(SPACE_BYTES))
 
 
 def lengths(width: int = WIDTH, shortest: int = SHORTEST) -> list[int]:
@@ -65,6 +69,36 @@ class _Digests(dict):
         return h
 
 
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, the powers of an odd number, and those of its inverse, all modulo 2^64."""
+    up = lambda r: np.cumprod(np.r_[np.uint64(1), np.full(HASHED_BYTES, r, np.uint64)])
+    r = int(_ROLL[0])
+    return mix64(np.arange(1, 257).astype(np.uint64)), up(r), up(pow(r, -1, 1 << 64))
+
+
+def quick_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from running sums of bytes times powers. Such hashes only propose."""
+    b = np.frombuffer(text, np.uint8)
+    gap = np.r_[True, _GAP[b], True]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends, out = edges[::2], edges[1::2], np.empty(len(edges) // 2, np.uint64)
+    of_byte, powers, inverse = _powers()
+    i = 0
+    while i < len(out):
+        lo = starts[i]
+        j = int(np.searchsorted(ends, lo + HASHED_BYTES, "right"))
+        if j == i:
+            out[i], i = xxhash.xxh3_64_intdigest(text[lo : ends[i]]), i + 1
+            continue
+        x = of_byte[b[lo : ends[j - 1]]]
+        x *= powers[: len(x)]
+        upto = np.r_[np.uint64(0), np.cumsum(x)]
+        out[i:j] = (upto[ends[i:j] - lo] - upto[starts[i:j] - lo]) * inverse[starts[i:j] - lo]
+        i = j
+    return mix64(out)
+
+
 class Words:
     """The words of some texts in one row of arrays."""
 
@@ -75,18 +109,32 @@ class Words:
         self.ends = np.cumsum(counts)
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.left = np.repeat(self.ends, counts) - np.arange(self.total)  # words from here to the text's end
-        of = kept("word-digests", 0, _Digests).__getitem__
-        digests = b"".join([b"".join(map(of, w)) for w in self.words])
-        self.base = np.ascontiguousarray(np.frombuffer(digests, "<u8").reshape(-1, 2).T) if digests else np.zeros((2, 0), np.uint64)
+        self.base = quick_hashes(b"\n".join(texts))
 
-    def keys(self, n: int, side: int = 0) -> np.ndarray:
+    def keys(self, n: int) -> np.ndarray:
         """A hash of the n words from each place on, without meaning where fewer are left."""
-        base, roll = self.base[side], _ROLL[side]
-        out = base.copy()
+        out = self.base.copy()
         with np.errstate(over="ignore"):
             for k in range(1, min(n, max(self.total, 1))):
-                out *= roll
-                out[: self.total - k] += base[k:]
+                out *= _ROLL[0]
+                out[: self.total - k] += self.base[k:]
+        return mix64(out)
+
+    def digests(self, at: np.ndarray, n: int) -> np.ndarray:
+        """128-bit digests, as two numbers, of the n words from each of some places on; only words in them are looked at."""
+        held = np.zeros(self.total + 1, np.int32)
+        np.add.at(held, at, 1)
+        np.add.at(held, at + n, -1)
+        held = np.cumsum(held[:-1]) > 0
+        of = kept("word-digests", 0, _Digests).__getitem__
+        found = b"".join(map(of, compress(chain.from_iterable(self.words), held.tobytes())))
+        base = np.ascontiguousarray(np.frombuffer(found, "<u8").reshape(-1, 2).T) if found else np.zeros((2, 0), np.uint64)
+        place = (np.cumsum(held) - 1)[at]
+        out = base[:, place]
+        with np.errstate(over="ignore"):
+            for k in range(1, n):
+                out *= _ROLL[:, None]
+                out += base[:, place + k]
         return mix64(out)
 
     def chosen(self, keys: np.ndarray, n: int, longer: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +299,7 @@ def _digests(n: int, width: int):
             found = []
             for w, rows in _parts(b):
                 at = w.candidates(rows, n, width, width)
-                found.append((w.keys(width, 0)[at], w.keys(width, 1)[at], rows.column("doc_id").to_numpy()[w.doc[at]]))
+                found.append((*w.digests(at, width), rows.column("doc_id").to_numpy()[w.doc[at]]))
             x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((d, y, x))
             x, y, d = x[order], y[order], d[order]
@@ -275,10 +323,10 @@ def _keep(n: int, width: int, make):
                     removed[w.ends[i]] -= 1
                 if rows.column("keys").null_count < rows.num_rows:
                     at = w.candidates(rows, n, width, width)
-                    own, cuts = w.keys(width, 0), np.searchsorted(w.doc[at], np.arange(rows.num_rows + 1))
+                    own, cuts = w.digests(at, width)[0], np.searchsorted(w.doc[at], np.arange(rows.num_rows + 1))
                     for i, firsts in enumerate(_sets(rows.column("firsts"))):
                         mine = at[cuts[i] : cuts[i + 1]]
-                        late = mine if firsts is None else mine[~np.isin(own[mine], firsts)]
+                        late = mine if firsts is None else mine[~np.isin(own[cuts[i] : cuts[i + 1]], firsts)]
                         removed[late] += 1
                         removed[late + width] -= 1
                 stays = np.cumsum(removed[:-1]) == 0
@@ -332,7 +380,7 @@ def remove_passages(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTES
     def make(rows, words, stays):
         return pa.RecordBatch.from_arrays(
             [
-                rows.column("doc_id"), pa.array([b" ".join(compress(w, s)) for w, s in zip(words, stays, strict=True)], pa.binary()),
+                rows.column("doc_id"), pa.array([b" ".join(compress(w, s.tobytes())) for w, s in zip(words, stays, strict=True)], pa.binary()),
                 pa.array([int((~s).sum()) for s in stays], pa.int64())
             ],
             names=["doc_id", "kept", "n_removed"]
@@ -347,7 +395,7 @@ def passage_digests(docs: DataFrame, width: int = WIDTH, shortest: int = SHORTES
     """doc_id, n_words, n_removed, kept_sha256: digests of what ``remove_passages`` gives, without moving it."""
 
     def make(rows, words, stays):
-        kept_words = [hashlib.sha256(b" ".join(compress(w, s))).hexdigest() for w, s in zip(words, stays, strict=True)]
+        kept_words = [hashlib.sha256(b" ".join(compress(w, s.tobytes()))).hexdigest() for w, s in zip(words, stays, strict=True)]
         return pa.RecordBatch.from_arrays(
             [
                 rows.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array([int((~s).sum()) for s in stays], pa.int64()),
