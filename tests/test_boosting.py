@@ -130,3 +130,23 @@ def test_odd_tables(spark):
         assert boosting.add_scores(f, df).count() == len(rows)
     wide = spark.createDataFrame([(float(i), None if i % 3 else 1.0, i % 2) for i in range(50)], schema)
     assert boosting.fit_forest(wide, ["a", "b"], how=how).columns == ("a", "b")
+
+
+def test_walk_over_bins_ends_where_plain_steps_do():
+    """A tree's walk is made of its tables once; it ends where comparing bins one by one does, also in trees that are not finished."""
+    r = np.random.default_rng(3)
+    forest = boosting.Forest.empty(["a", "b", "c"], 3, 4)
+    forest.column[0, :15], forest.column[1, [0, 2]] = r.integers(0, 3, 15), (1, 2)  # full, short, and without a split
+    forest.bin[:], forest.missing_left[:] = r.integers(0, 254, forest.bin.shape), r.random(forest.bin.shape) < 0.5
+    x = r.integers(0, 256, (500, 3)).astype(np.uint8)
+    x[::3, 1] = boosting.MISSING
+    assert [forest.steps(t)[2] for t in range(3)] == [4, 2, 0]
+    for t in range(3):
+        want = []
+        for row in x:
+            at = 0
+            while forest.column[t, at] >= 0:
+                v = row[forest.column[t, at]]
+                at = 2 * at + 2 - (forest.missing_left[t, at] if v == boosting.MISSING else v <= forest.bin[t, at])
+            want.append(at)
+        assert forest.places(t, x, True).tolist() == want == forest.places(t, x, True, forest.steps(t)).tolist()

@@ -71,23 +71,35 @@ class Forest:
     def part(self, first: int, last: int) -> Forest:
         return replace(self, **{k: getattr(self, k)[first:last] for k in ("column", "threshold", "bin", "missing_left", "value", "gain", "cover")})
 
-    def places(self, t: int, x: np.ndarray, binned: bool = False) -> np.ndarray:
-        """Where each row of ``x`` ends in tree t, the tree being finished or not."""
+    def steps(self, t: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Tree t over bins: the column of each place, the place that each of its bins goes on to, a leaf's its own, and the levels that have splits."""
+        here = np.arange(self.column.shape[1])[:, None]
+        v, leaf = np.arange(256)[None], self.column[t][:, None] < 0
+        left = np.where(v == MISSING, self.missing_left[t][:, None], v <= self.bin[t][:, None])
+        split = np.flatnonzero(self.column[t] >= 0)
+        levels = int(split.max() + 1).bit_length() if len(split) else 0
+        return np.maximum(self.column[t], 0).astype(np.int64), np.where(leaf, here, 2 * here + 2 - left).ravel(), levels
+
+    def places(self, t: int, x: np.ndarray, binned: bool = False, steps: tuple[np.ndarray, np.ndarray, int] | None = None) -> np.ndarray:
+        """Where each row of ``x`` ends in tree t, the tree being finished or not; ``steps`` are those of t, where they are at hand."""
         at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        if binned:
+            column, after, levels = steps or self.steps(t)
+            flat, first = np.ascontiguousarray(x).ravel(), rows * x.shape[1]
+            for _ in range(levels):
+                at = after.take(at * 256 + flat.take(first + column.take(at)))
+            return at
         for _ in range(self.depth):
             c = self.column[t, at]
             v = x[rows, np.maximum(c, 0)]
-            if binned:
-                left = np.where(v == MISSING, self.missing_left[t, at], v <= self.bin[t, at])
-            else:
-                left = np.where(np.isnan(v), self.missing_left[t, at], v <= self.threshold[t, at])
+            left = np.where(np.isnan(v), self.missing_left[t, at], v <= self.threshold[t, at])
             at = np.where(c < 0, at, 2 * at + 2 - left)
         return at
 
-    def margins(self, x: np.ndarray, binned: bool = False) -> np.ndarray:
+    def margins(self, x: np.ndarray, binned: bool = False, steps: list[tuple[np.ndarray, np.ndarray, int]] | None = None) -> np.ndarray:
         out = np.zeros(len(x))
         for t in range(len(self.column)):
-            out += self.value[t, self.places(t, x, binned)]
+            out += self.value[t].take(self.places(t, x, binned, steps[t] if steps else None))
         return out
 
 
@@ -130,8 +142,9 @@ def _later(recent: Forest, n_columns: int):
     """Blocks with the margins that the recent trees add."""
 
     def run(batches):
+        steps = [recent.steps(t) for t in range(len(recent.column))]
         for b in batches:
-            packed = [(x.tobytes(), y.tobytes(), k.tobytes(), (m + recent.margins(x, True)).tobytes()) for x, y, k, m in _unpack(b, n_columns)]
+            packed = [(x.tobytes(), y.tobytes(), k.tobytes(), (m + recent.margins(x, True, steps)).tobytes()) for x, y, k, m in _unpack(b, n_columns)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*packed, strict=True)], names=b.schema.names)
 
     return run
@@ -148,12 +161,14 @@ def _histograms(recent: Forest, growing: Forest, tree: int, level: int, use: lis
 
     def run(batches):
         total = np.zeros((2, many, len(use), 256), np.int64)
+        steps, grown = [recent.steps(t) for t in range(len(recent.column))], growing.steps(0)
         for batch in batches:
             for x, y, key, m in _unpack(batch, n_columns):
                 take = drawn(key, tree, how.row_share, how.seed)
-                at = growing.places(0, x, True) - low
+                at = growing.places(0, x, True, grown) - low
                 take &= (at >= 0) & (at < many)
-                x, y, m, at = x[take], y[take], (m + recent.margins(x, True))[take], at[take]
+                x, y, m, at = x[take], y[take], m[take], at[take]
+                m = m + recent.margins(x, True, steps)
                 p = 1 / (1 + np.exp(-m))
                 w = np.where(y == 1, weight, 1.0)
                 sums = [np.rint(w * (p - y) / unit), np.rint(w * p * (1 - p) / unit)]
