@@ -131,6 +131,41 @@ def test_the_state_is_carried():
     assert auto.failure[failed[1]] == 0
 
 
+@given(
+    st.lists(st.tuples(st.text("abc", min_size=1, max_size=30), st.integers(0, 2), st.booleans()), min_size=1, max_size=6),
+    st.integers(1, 4), st.integers(1, 9)
+)
+@settings(deadline=None)
+def test_stretches_side_by_side_pass_what_texts_do(texts, order, stretch):
+    """However texts are cut in stretches, each position has the arc and the failures that a traversal of its text from its start passes there."""
+    import numpy as np
+
+    lead = np.array([min(n, order - 1, len(t) - 1) for t, n, _ in texts])
+    auto, word = automaton([t for t, *_ in texts], order, [x for *_, x in texts])
+    ends = np.cumsum([len(t) for t, *_ in texts])
+    begins = ends - [len(t) for t, *_ in texts] + lead
+    passed, failed = auto.traverse_all(begins, ends, lead, stretch)
+    own = np.zeros(len(passed), bool)
+    for (t, *_), begin, end, k in zip(texts, begins, ends, lead, strict=True):
+        state = auto.traverse([word[x] for x in t[:k]], 0, [], [])
+        own[begin:end] = True
+        for at, x in zip(range(begin, end), t[k:], strict=True):
+            arcs, states = [], []
+            state = auto.traverse([word[x]], state, arcs, states)
+            assert [passed[at]] == arcs and [s for s in failed[:, at] if s >= 0] == states
+    assert (passed[~own] == -1).all() and (failed[:, ~own] == -1).all()
+
+
+def test_shards_grow_before_blocks_ask_in_teams(docs, monkeypatch):
+    """A few times as many blocks as roads send straight to larger shards, without the tables of teams; scores are the same."""
+    written = []
+    monkeypatch.setattr(lm, "materialize", lambda df, name, *a, f=lm.materialize, **how: written.append(name) or f(df, name, *a, **how))
+    size = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    check(docs, 3, block_bytes=size // 12, part_bytes=size // 40, roads=4)
+    assert written == ["index", "answers", "scored"]
+    assert lm.shards_for(size, size // 12, 2) > 8  # beyond, in teams
+
+
 @given(st.binary(max_size=60), st.integers(1, 9))
 def test_windows(text, most):
     assert b"".join(lm.windows(text, most)) == text

@@ -5,14 +5,15 @@ training texts, and a failure arc to the state of its history less the first tok
 Dirichlet smoothing, p(w | h) = (c(hw) + mu p(w | h')) / (c(h) + mu): an arc carries that probability, a failure arc
 mu / (c(h) + mu), an arc of the root the add-one probability of its token. A text is traversed once from left to right: at each
 token the automaton takes the state's arc, or fails until it has one, and log10 of what it passes adds up. mu is the value of a fixed
-grid with the best leave-one-out likelihood over all training texts; the path doesn't depend on it.
+grid with the best leave-one-out likelihood over all training texts; the path doesn't depend on it. The texts of a part are
+traversed in stretches that take their steps side by side.
 
 The automaton of the corpus is never held whole. Texts are read once, into blocks of about ``block_bytes``, and written as word
 numbers. A block asks for the counts of its distinct n-grams, packed and sorted and split by hash into shards. A shard adds up what
 the blocks counted in training texts and answers in the order in which each asked. Each part of a block then has the
 states and arcs that its own texts can reach. Every n-gram counts; nothing is cut off or sampled, and what moves grows with the
-corpus. Where there are more shards than ``ROADS``, blocks send to that many ranges only; teams of blocks ask
-together for a range's shards, so that the rows sent stay in proportion to the corpus.
+corpus. There are as many shards as blocks, up to ``ROADS``; then shards grow to ``FULL`` blocks' texts; beyond, shards are as
+small as before, but blocks send to ``ROADS`` ranges only, and teams of blocks ask together for a range's shards.
 
 Texts are lower-cased (A-Z); tokens are runs of characters outside [\\x20\\x09-\\x0D], then one end. A text is
 learned from unless crc32(doc_id as text) modulo ``parts`` is ``out``; a null doc_id counts as empty
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,11 @@ from .common import bound_batches, byte_column, give_back, materialize, mix64, p
 
 ORDER = 3
 BLOCK_BYTES, PART_BYTES = 8 << 20, 512 << 10
-#: Ranges of keys that a block sends to, and blocks that ask together, where there are more shards.
-ROADS, TEAM = 512, 512
+#: Ranges of keys that a block sends to; blocks' texts that a shard may stand for; and blocks that ask together, where there is more.
+ROADS, FULL, TEAM = 512, 4, 512
 GRID = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0, 16384.0)
+#: Tokens that a traversal takes in a row, beside others of the part.
+STRETCH = 128
 END = np.uint64(0x3C2F733E)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 #: Bits by which the keys of n-grams of two or more words are shorter.
@@ -182,9 +186,28 @@ class Automaton:
                 self.mass[s] = known[k][seen]
                 self.fail[s] = state_of[k - 1][number[k - 1][p]] if k else 0
         self.level = [slice(0, self.words)] + [slice(int(a[a >= 0].min()), int(a.max()) + 1) if (a >= 0).any() else slice(0, 0) for a in arc_of[1:]]
-        self.arc = dict(zip((source[self.words :] * self.words + label[self.words :]).tolist(), range(self.words, arcs), strict=True))
-        self.target = target.tolist()
-        self.failure = self.fail.tolist()
+        self.source, self.label, self.to = source, label, target
+        self.depth = np.zeros(states, np.int64)  # the tokens in each state's history
+        for k, s in enumerate(state_of):
+            self.depth[s[s > 0]] = k + 1
+        # the arc that a state of each depth has for the token at a position, if its history stands before it: none where it is -1
+        self.offer = np.full((order, size), -1)
+        for k, (_, at, where, _) in enumerate(grams.of):
+            self.offer[k, at] = arc_of[k][where]
+
+    @cached_property
+    def arc(self) -> dict[int, int]:
+        return dict(
+            zip((self.source[self.words :] * self.words + self.label[self.words :]).tolist(), range(self.words, len(self.count)), strict=True)
+        )
+
+    @cached_property
+    def target(self) -> list[int]:
+        return self.to.tolist()
+
+    @cached_property
+    def failure(self) -> list[int]:
+        return self.fail.tolist()
 
     def traverse(self, words: list[int], state: int, path: list[int], failed: list[int]) -> int:
         """The arcs and failures passed from ``state`` over ``words``, put on the two lists; gives the state arrived in."""
@@ -199,6 +222,46 @@ class Automaton:
             state = target[a]
         return state
 
+    def traverse_all(self, begin: np.ndarray, end: np.ndarray, lead: np.ndarray, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+        """What ``traverse`` passes over the part's texts, from ``begin`` to ``end`` of its positions, ``lead`` tokens before them known.
+
+        Texts are cut in stretches, which all take a step at a time; a stretch first carries the root's state over the
+        tokens before it, at most as many as a history has, which lead to the state that the whole text before it does. Gives the
+        arc passed at each position, and the states failed from at each position, -1 where there are no more.
+        """
+        order, size = self.offer.shape
+        cuts = -(-(end - begin) // stretch)
+        of = np.repeat(np.arange(len(cuts)), cuts)
+        at = begin[of] + stretch * (np.arange(len(of)) - (np.cumsum(cuts) - cuts)[of])
+        steps, before = np.minimum(end[of] - at, stretch), np.minimum(at - begin[of] + lead[of], order - 1)
+        longest = np.argsort(-steps, kind="stable")
+        at, steps, before = at[longest], steps[longest], before[longest]
+        passed, failed = np.full(size, -1), np.full((max(order - 1, 1), size), -1)
+        state = np.zeros(len(at), np.int64)
+
+        def step(here: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, list]:
+            a, fell = self.offer[self.depth[s], here], []
+            out = np.flatnonzero(a < 0)
+            while len(out):
+                fell.append((here[out], s[out]))
+                s[out] = self.fail[s[out]]
+                a[out] = self.offer[self.depth[s[out]], here[out]]
+                out = out[a[out] < 0]
+            return a, fell
+
+        for j in range(order - 1, 0, -1):
+            some = np.flatnonzero(before >= j)
+            a, _ = step(at[some] - j, state[some])
+            state[some] = self.to[a]
+        for j, n in enumerate(np.searchsorted(-steps, -np.arange(steps[0]) if len(steps) else []).tolist()):
+            here = at[:n] + j
+            a, fell = step(here, state[:n])
+            passed[here] = a
+            for k, (where, s) in enumerate(fell):
+                failed[k, where] = s
+            state[:n] = self.to[a]
+        return passed, failed
+
     def weights(self, total: int, vocabulary: int, mu: float, less: int = 0) -> np.ndarray:
         """The probability of each arc; ``less``: 1 to leave one occurrence of its n-gram out of an arc's counts."""
         p = np.empty(len(self.count))
@@ -458,34 +521,35 @@ _RESULT = pa.schema(
 )
 
 
+def _ranked(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``x``, which are below ``n``, in order, and the place of each value of ``x`` among them."""
+    used = np.zeros(n, bool)
+    used[x] = True
+    return np.flatnonzero(used), (np.cumsum(used) - 1)[x]
+
+
 def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa.Table:
     """Traverses the texts of a part, and weighs their paths for each mu."""
-    path: list[int] = []
-    failed: list[int] = []
-    own, failures, at = [], [], 0
-    words = auto.word.tolist()
-    for t in texts:
-        begin, end = at + t["lead"], at + t["size"]
-        state = auto.traverse(words[at:begin], 0, [], [])
-        before = len(failed)
-        auto.traverse(words[begin:end], state, path, failed)
-        own.append(end - begin)
-        failures.append(len(failed) - before)
-        at = end
-    path_, failed_ = np.array(path, np.int64), np.array(failed, np.int64)
-    own_, of_failure = np.array(own), np.repeat(np.arange(len(texts)), failures)
+    size, lead = np.array([t["size"] for t in texts]), np.array([t["lead"] for t in texts])
+    ends = np.cumsum(size)
+    passed, failed = auto.traverse_all(ends - size + lead, ends, lead)
+    own_ = size - lead
     starts = np.cumsum(own_) - own_
-    counted, _ = _own(texts)
+    counted, of = _own(texts)
+    path, learned = passed[counted], np.array([not t["held_out"] for t in texts])[of[counted]]
+    fell = failed >= 0
+    of_failure, failed = np.concatenate([of[x] for x in fell]), failed[fell]
     first = auto.count[auto.word[counted]]
-    learned = np.repeat(~np.array([t["held_out"] for t in texts]), own_)
-    used, which = np.unique(path_, return_inverse=True)
+    used, which = _ranked(path, len(auto.count))
+    some, which_failed = _ranked(failed, len(auto.fail))
     often = np.bincount(which[learned], minlength=len(used))
-    some, fell = np.unique(failed_, return_inverse=True)
     taught = np.flatnonzero(often)
     scores, left = [], []
     for mu in GRID:
         arcs, fails = np.log(auto.weights(total, vocabulary, mu)[used]), np.log(auto.failures(mu)[some])
-        scores.append((np.add.reduceat(arcs[which], starts) + np.bincount(of_failure, weights=fails[fell], minlength=len(texts))) / math.log(10))
+        scores.append(
+            (np.add.reduceat(arcs[which], starts) + np.bincount(of_failure, weights=fails[which_failed], minlength=len(texts))) / math.log(10)
+        )
         left.append(float(np.log(auto.weights(total, vocabulary, mu, 1)[used[taught]]) @ often[taught]))
     n = len(texts)
     none = [0.0] * len(GRID)
@@ -505,6 +569,12 @@ def _walk(auto: Automaton, texts: list[dict], total: int, vocabulary: int) -> pa
     )
 
 
+def shards_for(size: int, block_bytes: int, roads: int) -> int:
+    """The number of shards for so many bytes of text: at most ``roads``, unless they would stand for more than ``FULL`` blocks each."""
+    blocks = max(1, math.ceil(size / block_bytes))
+    return blocks if blocks > FULL * roads else min(blocks, roads)
+
+
 def score_documents(
     docs: DataFrame, order: int = ORDER, parts: int = 7, out: int = 2, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES,
     roads: int = ROADS, team: int = TEAM
@@ -512,7 +582,7 @@ def score_documents(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
     bound_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    shards = max(1, math.ceil((docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) / block_bytes))
+    shards = shards_for(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, block_bytes, roads)
     texts = docs.select("doc_id", text.alias("text"), held_out(F.col("doc_id"), parts, out).alias("held_out"))
     # a row for each block, about half its text's size; small row groups, as a reader holds one
     index = materialize(texts.mapInArrow(_index(order, block_bytes, part_bytes), _INDEX), "index", row_group=block_bytes)
