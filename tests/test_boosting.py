@@ -98,6 +98,55 @@ def test_same_trees_however_rows_are_dealt(spark, data):
     assert boosting.nodes(a, spark).collect() == boosting.nodes(b, spark).collect()
 
 
+def test_levels_take_one_job_each_and_former_blocks_go(spark, data):
+    """A level is one job without an exchange, of two children one is counted, rows of a single partition are dealt to all tasks, and no block stays behind."""
+    import os
+
+    rows, how = data[2].coalesce(1), Settings(trees=4, depth=3, write_every=2)
+    edges = boosting.cut_points(rows, COLUMNS, how.bins)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    blocks = lambda: {f for f in os.listdir(shared) if f.startswith("blocks-")} if os.path.isdir(shared) else set()
+    before, counted, sums = blocks(), [], boosting._sums
+
+    def watch(b, tasks, run, nodes, use):
+        counted.append(len(nodes))
+        assert b.rdd.getNumPartitions() == tasks == 4 and len(blocks() - before) == 1
+        return sums(b, tasks, run, nodes, use)
+
+    spark.sparkContext.setJobGroup("levels", "levels")
+    boosting.BLOCK, old, boosting._sums = 100, boosting.BLOCK, watch
+    try:
+        small = boosting.fit_forest(rows, COLUMNS, how=how, edges=edges)
+    finally:
+        boosting.BLOCK, boosting._sums = old, sums
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("levels")
+    assert len(jobs) <= how.trees * how.depth + 8  # rows are counted, and blocks written twice
+    assert all(n <= max(1, 2 ** (k % how.depth) // 2) for k, n in enumerate(counted)) and len(counted) == how.trees * how.depth
+    assert blocks() == before
+    whole = boosting.fit_forest(rows, COLUMNS, how=Settings(trees=4, depth=3, write_every=1), edges=edges)
+    assert boosting.nodes(small, spark).collect() == boosting.nodes(whole, spark).collect()
+    boosting.MOST_SENT, old = 0, boosting.MOST_SENT  # sums of many tasks are added up before
+    try:
+        assert boosting.nodes(boosting.fit_forest(rows, COLUMNS, how=how, edges=edges), spark).collect() == boosting.nodes(whole, spark).collect()
+    finally:
+        boosting.MOST_SENT = old
+
+
+def test_scores_over_own_thresholds_are_those_of_plain_steps(spark, data):
+    """Scoring compares a row once with each column's thresholds; a forest of more thresholds than a byte holds takes plain steps."""
+    x, _, df = data
+    f = boosting.fit_forest(df, COLUMNS, how=Settings(trees=6, depth=4))
+    want = 1 / (1 + np.exp(-f.margins(x)))
+    got = [r.score for r in boosting.add_scores(f, df).orderBy("id").collect()]
+    assert f.cuts() is not None and got == pytest.approx(want.tolist(), abs=1e-12)
+    many = boosting.Forest.empty(COLUMNS, 300, 1)
+    many.column[:, 0], many.threshold[:, 0], many.value[:, 1] = 0, np.linspace(-3, 3, 300), 0.01
+    assert many.cuts() is None
+    got = [r.score for r in boosting.add_scores(many, df).orderBy("id").collect()]
+    assert got == pytest.approx((1 / (1 + np.exp(-many.margins(x)))).tolist(), abs=1e-12)
+
+
 def test_rows_and_columns_are_drawn_once_a_tree(spark):
     from pyspark.sql import functions as F
 

@@ -1,10 +1,11 @@
 """Boosted trees with missing values over DataFrames (OP-100 to 103, 105): histograms by level, one aggregation each.
 
 Columns are cut into at most 254 bins at quantiles of a mergeable sketch, taken of all columns in one aggregation. Rows are packed
-into blocks of bins and margins, written in the shared folder. For each level of a tree one job adds up, for each (node, column, bin), the
-first and second derivatives of the logistic loss. These sums, of the model's size (nodes x columns x 256 at most, whatever the rows), come to the
+into blocks of bins and margins, dealt out evenly and written in the shared folder. For each level of a tree one job adds up, for each (node, column, bin), the
+first and second derivatives of the logistic loss, of two children for the smaller alone: the other has what is left of their parent. These sums, of the model's size (nodes x columns x 256 at most, whatever the rows), come to the
 driver, where running sums over the bins give the gain of each split, with missing values on either side, and the best of each node. Derivatives are added as whole numbers of a fixed unit,
-so that a model doesn't depend on how rows are dealt out. Rows and columns are drawn once a tree, rows by a hash of the row.
+so that a model doesn't depend on how rows are dealt out. Rows and columns are drawn once a tree, rows by a hash of the row. Blocks are written anew every few trees,
+with their margins and the draws of the trees to come, and the former ones deleted.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import scratch, stage
+from ..sources.tables import discard, scratch, stage
 from .sampling import uniform_array
 
 MISSING = 255
+#: Rows of a block, whose arrays stay in a core's cache; rows of a task, at most; bytes of sums that tasks send to the driver at once, beyond which they are added up in an exchange.
+BLOCK, ROWS_A_TASK, MOST_SENT = 16_384, 1 << 24, 64 << 20
 NODES = "tree int, node int, feature string, threshold double, missing_left boolean, value double, gain double, cover double"
 
 
@@ -84,11 +87,7 @@ class Forest:
         """Where each row of ``x`` ends in tree t, the tree being finished or not; ``steps`` are those of t, where they are at hand."""
         at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
         if binned:
-            column, after, levels = steps or self.steps(t)
-            flat, first = np.ascontiguousarray(x).ravel(), rows * x.shape[1]
-            for _ in range(levels):
-                at = after.take(at * 256 + flat.take(first + column.take(at)))
-            return at
+            return _walk(steps or self.steps(t), np.ascontiguousarray(x.T), rows)
         for _ in range(self.depth):
             c = self.column[t, at]
             v = x[rows, np.maximum(c, 0)]
@@ -96,12 +95,56 @@ class Forest:
             at = np.where(c < 0, at, 2 * at + 2 - left)
         return at
 
-    def margins(self, x: np.ndarray, binned: bool = False, steps: list[tuple[np.ndarray, np.ndarray, int]] | None = None) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
         for t in range(len(self.column)):
-            out += self.value[t].take(self.places(t, x, binned, steps[t] if steps else None))
+            out += self.value[t].take(self.places(t, x))
         return out
 
+    def cuts(self) -> list[np.ndarray] | None:
+        """The thresholds of each column, ascending; None where one has too many for bins of a byte."""
+        out = [np.unique(self.threshold[(self.column == c) & np.isfinite(self.threshold)]) for c in range(len(self.columns))]
+        return out if max(map(len, out), default=0) < MISSING else None
+
+    def over(self, cuts: list[np.ndarray]) -> Forest:
+        """The same trees over the bins that ``cuts`` make: a value's bin is the number of cuts below it."""
+        bins = np.zeros_like(self.bin)
+        for c, e in enumerate(cuts):
+            mine = self.column == c
+            bins[mine] = np.searchsorted(e, self.threshold[mine])
+        return replace(self, bin=bins)
+
+
+def _walk(steps: tuple[np.ndarray, np.ndarray, int], x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where ``rows`` of a block end in a tree of such ``Forest.steps``; ``x`` has the block's bins by column."""
+    column, after, levels = steps
+    if not levels:
+        return np.zeros(len(rows), np.int64)
+    at = after.take(x[column[0]].take(rows))
+    flat, first = x.ravel(), column * x.shape[1]
+    for _ in range(levels - 1):
+        place = first.take(at)
+        place += rows
+        at <<= 8
+        at += flat.take(place)
+        at = after.take(at)
+    return at
+
+
+def _add_margins(m: np.ndarray, trees: list[tuple], x: np.ndarray, rows: np.ndarray) -> None:
+    """Adds what each of the trees, (steps, values), gives to ``rows``, one tree after another."""
+    for steps, value in trees:
+        m += value.take(_walk(steps, x, rows))
+
+
+def _trees(forest: Forest) -> list[tuple]:
+    return [(forest.steps(t), forest.value[t]) for t in range(len(forest.column))]
+
+
+def _bins(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The number of edges below each value; the last bin is ``len(edges)``, NaN is ``MISSING``."""
+    return np.where(np.isnan(x), MISSING, np.searchsorted(edges, x)).astype(np.uint8)
+
 
 def cut_points(df: DataFrame, columns: list[str], bins: int = 254, accuracy: int = 10_000) -> list[np.ndarray]:
     """Bin edges of each column, ascending: quantiles of a mergeable sketch over all rows, one aggregation for all columns."""
@@ -110,85 +153,123 @@ def cut_points(df: DataFrame, columns: list[str], bins: int = 254, accuracy: int
     return [np.unique(np.array(row[c] or [0.0], float)) for c in columns]
 
 
-def _pack(columns: list[str], edges: list[np.ndarray]):
-    """A row of packed bins, labels, keys and margins for each batch."""
+def _blocks(batches, rows: int):
+    """Batches as tables of ``rows`` rows, the last one shorter."""
+    waiting, n = [], 0
+    for b in batches:
+        waiting.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(waiting)
+        for at in range(0, n - n % rows, rows):
+            yield t.slice(at, rows)
+        waiting, n = t.slice(n - n % rows).to_batches(), n % rows
+    if n:
+        yield pa.Table.from_batches(waiting)
+
+
+def drawn(key: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
+    """Which rows a tree takes: ``sampling.uniform`` of the key and the tree."""
+    return np.ones(len(key), bool) if share >= 1 else uniform_array(key, tree, seed) < share
+
+
+def _draws(key: np.ndarray, trees: range, how: Settings) -> bytes:
+    """A bit for each tree and row: whether the tree takes the row."""
+    return b"".join(np.packbits(drawn(key, t, how.row_share, how.seed)).tobytes() for t in trees)
+
+
+def _pack(columns: list[str], edges: list[np.ndarray], trees: range, how: Settings):
+    """A row of packed bins, by column, labels, keys, margins and draws for each block."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins = np.empty((b.num_rows, len(columns)), np.uint8)
+        for b in _blocks(batches, BLOCK):
+            bins = np.empty((len(columns), b.num_rows), np.uint8)
             for i, e in enumerate(edges):
-                x = b.column(i).to_numpy(zero_copy_only=False).astype(float)
-                gone = np.isnan(x)
-                bins[:, i] = np.where(gone, MISSING, np.minimum(np.searchsorted(e, np.where(gone, 0.0, x)), len(e) - 1))
-            label, key = (b.column(len(columns) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            packed = [bins.tobytes(), label.astype(np.uint8).tobytes(), key.astype("<i8").tobytes(), np.zeros(b.num_rows).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["bins", "label", "key", "margin"])
+                bins[i] = _bins(b.column(i).to_numpy().astype(float), e[:-1])
+            label, key = (b.column(len(columns) + i).to_numpy() for i in (0, 1))
+            packed = [bins.tobytes(), label.astype(np.uint8).tobytes(), key.astype("<i8").tobytes(), np.zeros(b.num_rows).tobytes(), _draws(key, trees, how)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["bins", "label", "key", "margin", "drawn"])
 
     return run
 
 
-_BLOCKS = "bins binary, label binary, key binary, margin binary"
+_BLOCKS = "bins binary, label binary, key binary, margin binary, drawn binary"
 
 
-def _unpack(b: pa.RecordBatch, n_columns: int):
-    for r in range(b.num_rows):
-        bins, label, key, margin = (b.column(i)[r].as_py() for i in range(4))
-        yield np.frombuffer(bins, np.uint8).reshape(-1, n_columns), np.frombuffer(label, np.uint8), np.frombuffer(key, "<i8"), np.frombuffer(margin, float)
+def _unpack(batches, n_columns: int, *more: tuple[str, str]):
+    """Of each block the bins by column, the labels, the margins, and ``more`` columns as arrays of a type."""
+    kinds = [("label", "u1"), ("margin", "f8"), *more]
+    for b in batches:
+        at = [(b.schema.get_field_index(n), kind) for n, kind in kinds]
+        for r in range(b.num_rows):
+            yield np.frombuffer(b.column("bins")[r].as_buffer(), np.uint8).reshape(n_columns, -1), *[np.frombuffer(b.column(i)[r].as_buffer(), kind) for i, kind in at]
 
 
-def _later(recent: Forest, n_columns: int):
-    """Blocks with the margins that the recent trees add."""
+def _later(recent: Forest, n_columns: int, trees: range, how: Settings):
+    """Blocks with the margins that the recent trees add, and with the draws of the trees to come."""
 
     def run(batches):
-        steps = [recent.steps(t) for t in range(len(recent.column))]
-        for b in batches:
-            packed = [(x.tobytes(), y.tobytes(), k.tobytes(), (m + recent.margins(x, True, steps)).tobytes()) for x, y, k, m in _unpack(b, n_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*packed, strict=True)], names=b.schema.names)
+        added = _trees(recent)
+        for x, y, m, key in _unpack(batches, n_columns, ("key", "<i8")):
+            m = m.copy()
+            _add_margins(m, added, x, np.arange(len(m)))
+            packed = [x.tobytes(), y.tobytes(), key.tobytes(), m.tobytes(), _draws(key, trees, how)]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in packed], names=["bins", "label", "key", "margin", "drawn"])
 
     return run
 
 
-def drawn(key: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
-    """Which rows a tree takes: ``sampling.uniform`` of the key and the tree."""
-    return np.ones(len(key), bool) if share >= 1 else uniform_array(key, tree, seed) < share
-
-
-def _histograms(recent: Forest, growing: Forest, tree: int, level: int, use: list[int], weight: float, unit: float, how: Settings, n_columns: int):
-    """Sums of derivatives by (node, column, bin) of a task's blocks, in whole units."""
-    low, many = 2**level - 1, 2**level
+def _histograms(recent: Forest, growing: Forest, nth: int, level: int, nodes: list[int], use: list[int], weight: float, unit: float, n_columns: int):
+    """Sums of derivatives by (node, column, bin) of a task's blocks for some nodes of a level, in whole units. ``nth``: the tree's number since its draws were written."""
+    slot = np.full(2 ** (level + 1) - 1, -1, np.int64)
+    slot[nodes] = np.arange(len(nodes))
 
     def run(batches):
-        total = np.zeros((2, many, len(use), 256), np.int64)
-        steps, grown = [recent.steps(t) for t in range(len(recent.column))], growing.steps(0)
-        for batch in batches:
-            for x, y, key, m in _unpack(batch, n_columns):
-                take = drawn(key, tree, how.row_share, how.seed)
-                at = growing.places(0, x, True, grown) - low
-                take &= (at >= 0) & (at < many)
-                x, y, m, at = x[take], y[take], m[take], at[take]
-                m = m + recent.margins(x, True, steps)
-                p = 1 / (1 + np.exp(-m))
-                w = np.where(y == 1, weight, 1.0)
-                sums = [np.rint(w * (p - y) / unit), np.rint(w * p * (1 - p) / unit)]
-                for i, c in enumerate(use):
-                    cell = at * 256 + x[:, c]
-                    for k, s in enumerate(sums):
-                        total[k, :, i] += np.bincount(cell, s, many * 256).reshape(many, 256).astype(np.int64)
-        node, i, bin_ = np.nonzero(total[0] | total[1])
-        if len(node):
+        total, size = np.zeros((2, len(use), len(nodes) * 256), np.int64), len(nodes) * 256
+        added, grown = _trees(recent), growing.steps(0)
+        for x, y, m, bits in _unpack(batches, n_columns, ("drawn", "u1")):
+            n = len(y)
+            rows = np.flatnonzero(np.unpackbits(bits.reshape(-1, -(-n // 8))[nth], count=n))
+            cell = np.zeros(len(rows), np.int64)
+            if level:
+                cell = slot.take(_walk(grown, x, rows))
+                here = np.flatnonzero(cell >= 0)
+                rows, cell = rows.take(here), cell.take(here)
+                cell <<= 8
+            m = m.take(rows)
+            _add_margins(m, added, x, rows)
+            p = 1 / (1 + np.exp(-m))
+            y = y.take(rows)
+            w = np.where(y == 1, weight, 1.0)
+            sums = [np.rint(w * (p - y) / unit), np.rint(w * p * (1 - p) / unit)]
+            for i, c in enumerate(use):
+                at = cell + x[c].take(rows)
+                for k, s in enumerate(sums):
+                    total[k, i] += np.bincount(at, s, size).astype(np.int64)
+        i, at = np.nonzero(total[0] | total[1])
+        if len(i):
+            node, c = np.array(nodes, np.int32)[at >> 8], np.array(use, np.int32)[i]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((node + low).astype(np.int32)), pa.array(np.array(use, np.int32)[i]), pa.array(bin_.astype(np.int32)), pa.array(total[0, node, i, bin_]),
-                    pa.array(total[1, node, i, bin_])
-                ],
-                names=["node", "column", "bin", "g", "h"]
+                [pa.array(node), pa.array(c), pa.array((at & 255).astype(np.int32)), pa.array(total[0, i, at]), pa.array(total[1, i, at])], names=["node", "column", "bin", "g", "h"]
             )
 
     return run
 
 
+def _sums(blocks: DataFrame, tasks: int, run, nodes: list[int], use: list[int]) -> np.ndarray:
+    """What ``run`` adds up over all blocks, by (g or h, node, column, bin). Few tasks send their sums to the driver, those of many are added up in an exchange before."""
+    parts = blocks.mapInArrow(run, "node int, column int, bin int, g long, h long")
+    if tasks * len(nodes) * len(use) * 256 * 28 > MOST_SENT:
+        parts = parts.groupBy("node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    node, column, bin_, g, h = (c.to_numpy() for c in parts.toArrow().columns)
+    out = np.zeros((2, len(nodes), len(use), 256), np.int64)
+    at = np.searchsorted(nodes, node), np.searchsorted(use, column), bin_
+    for k, v in enumerate((g, h)):
+        np.add.at(out[k], at, v)
+    return out
+
+
 def best_splits(sums: np.ndarray, unit: float, how: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The best split of each (node, column): its gain (-inf where none is allowed), bin, side of missing values, and the left child's sums.
 
@@ -212,6 +293,17 @@ def _leaf(g: float, h: float, how: Settings) -> float:
     return -how.step * math.copysign(max(abs(g) - how.l1, 0.0), g) / (h + how.l2)
 
 
+def _dealt(rows: int, cores: int, how: Settings) -> tuple[int, int]:
+    """After how many trees blocks are written anew, and the tasks of each level's job.
+
+    A job has a task a core, or fewer where there are fewer blocks, and more only where a task would have more than ``ROWS_A_TASK`` rows: each level waits for its tasks to start. Trees that
+    aren't in the margins yet are walked again for each level, which costs more than writing once a core has many rows. The forest doesn't depend on either.
+    """
+    rounds = -(-rows // (cores * ROWS_A_TASK))
+    tasks = cores * rounds if rounds > 1 else max(1, min(cores, -(-rows // BLOCK)))
+    return max(1, min(how.write_every, max(2, round(math.sqrt(5e6 * tasks / max(1, rows)))))), tasks
+
+
 def fit_forest(
     train: DataFrame, columns: list[str], label: str = "Presence", how: Settings = Settings(), key: Column | None = None, edges: list[np.ndarray] | None = None
 ) -> Forest:
@@ -228,44 +320,53 @@ def fit_forest(
     n = rows.agg(F.count_if(F.col("_label") == 1), F.count_if(F.col("_label") != 1)).first()
     weight = n[1] / n[0] if n[0] else 4.0
     edges = cut_points(rows, columns, how.bins) if edges is None else edges
-    blocks = stage(rows.mapInArrow(_pack(columns, edges), _BLOCKS), scratch(spark, "blocks"))
+    every, tasks = _dealt(n[0] + n[1], spark.sparkContext.defaultParallelism, how)
+    packed = rows.mapInArrow(_pack(columns, edges, range(every), how), _BLOCKS)
+    path = scratch(spark, "blocks")
+    blocks = stage(packed.repartition(tasks), path).coalesce(tasks)
     # whole units: sums over all rows stay below 2^62, and those of a block are exact in doubles
-    unit = 2.0 ** -max(0, min(32, 61 - math.ceil(math.log2(max(2.0, (n[0] + n[1]) * max(weight, 1.0))))))
+    heavy = max(weight, 1.0)
+    unit = 2.0 ** -max(0, min(32, 61 - math.ceil(math.log2(max(2.0, (n[0] + n[1]) * heavy))), 52 - math.ceil(math.log2(BLOCK * heavy))))
     forest = Forest.empty(columns, how.trees, how.depth)
     written = 0
     for t in range(how.trees):
-        if t and t % how.write_every == 0:
-            blocks = stage(blocks.mapInArrow(_later(forest.part(written, t), len(columns)), _BLOCKS), scratch(spark, "blocks"))
-            written = t
+        if t and t % every == 0:
+            now = scratch(spark, "blocks")
+            blocks = stage(blocks.mapInArrow(_later(forest.part(written, t), len(columns), range(t, t + every), how), _BLOCKS), now).coalesce(tasks)
+            discard(spark, path)
+            written, path = t, now
         draw = np.random.default_rng([how.seed, t])
         use = sorted(int(c) for c in draw.permutation(len(columns))[: max(1, int(how.column_share * len(columns)))])
         sums: dict[int, tuple[float, float]] = {}
+        above: dict[int, np.ndarray] = {}
+        counted = [0]
         for level in range(how.depth):
-            run = _histograms(forest.part(written, t), forest.part(t, t + 1), t, level, use, weight, unit, how, len(columns))
-            parts = blocks.mapInArrow(run, "node int, column int, bin int, g long, h long")
-            summed = parts.groupBy("node", "column", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-            node, column, bin_, g, h = (summed.column(c).to_numpy() for c in ("node", "column", "bin", "g", "h"))
-            dense = np.zeros((2, 2**level, len(use), 256), np.int64)
-            dense[:, node - (2**level - 1), np.searchsorted(use, column), bin_] = g, h
+            run = _histograms(forest.part(written, t), forest.part(t, t + 1), t - written, level, counted, use, weight, unit, len(columns))
+            first, dense = 2**level - 1, np.zeros((2, 2**level, len(use), 256), np.int64)
+            dense[:, np.array(counted) - first] = _sums(blocks.select("bins", "label", "margin", "drawn"), tasks, run, counted, use)
+            for place in counted if level else []:  # a brother has what is left of their parent
+                dense[:, (place - 1 ^ 1) + 1 - first] = above[(place - 1) // 2] - dense[:, place - first]
             gain, at, missing_left, left = best_splits(dense, unit, how)
-            if not level and len(node):
+            if not level and dense.any():
                 sums[0] = tuple(float(x) for x in dense[:, 0, 0].sum(-1) * unit)
-            splits = 0
+            above, counted = {}, []
             for k in np.flatnonzero(gain.max(-1) > -np.inf):
-                i, place, c = int(gain[k].argmax()), int(k) + 2**level - 1, use[int(gain[k].argmax())]  # the first column of equals
+                i, place, c = int(gain[k].argmax()), int(k) + first, use[int(gain[k].argmax())]  # the first column of equals
                 forest.column[t, place], forest.bin[t, place], forest.missing_left[t, place] = c, at[k, i], missing_left[k, i]
                 # where all values go left, only missing ones go right
                 forest.threshold[t, place] = edges[c][at[k, i]] if at[k, i] < len(edges[c]) - 1 else math.inf
                 forest.gain[t, place] = gain[k, i]
                 (lg, lh), (g, h) = left[:, k, i], dense[:, k, i].sum(-1) * unit
                 sums[2 * place + 1], sums[2 * place + 2] = (lg, lh), (g - lg, h - lh)
-                splits += 1
-            if not splits:
+                above[place] = dense[:, k]
+                counted.append(2 * place + 1 if 2 * lh <= h else 2 * place + 2)
+            if not counted:
                 break
         for node, (g, h) in sums.items():
             forest.cover[t, node] = h
             if forest.column[t, node] < 0:
                 forest.value[t, node] = _leaf(g, h, how)
+    discard(spark, path)
     return forest
 
 
@@ -275,13 +376,19 @@ def add_scores(forest: Forest, df: DataFrame, out: str = "score") -> DataFrame:
     kept = [c for c in df.columns if c != out]
     at = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.DoubleType())])
     inner = df.select(*kept, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
+    cuts = forest.cuts()
 
     def run(batches):
+        trees = _trees(forest.over(cuts)) if cuts is not None else None
         for b in batches:
             x = b.column(len(kept))
             rows = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, len(columns))
-            score = pa.array(1 / (1 + np.exp(-forest.margins(rows))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], score], names=[*kept, out])
+            if trees is None:
+                m = forest.margins(rows)
+            else:  # the trees' own thresholds as bins, so that a row is compared once with each
+                m = np.zeros(len(rows))
+                _add_margins(m, trees, np.stack([_bins(rows[:, c], e) for c, e in enumerate(cuts)]), np.arange(len(rows)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-m)))], names=[*kept, out])
 
     return inner.mapInArrow(run, at)
 

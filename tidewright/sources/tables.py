@@ -38,15 +38,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a path that ``scratch`` has named, once nothing reads from it any more."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may have ended
+        pass
+
+
 def release() -> None:
     """Deletes what ``scratch`` has named in this process, also at its end. Results that still read from it must have been taken before."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended
-            continue
+        discard(*_written.pop())
 
 
 atexit.register(release)
