@@ -199,3 +199,22 @@ def test_walk_over_bins_ends_where_plain_steps_do():
                 at = 2 * at + 2 - (forest.missing_left[t, at] if v == boosting.MISSING else v <= forest.bin[t, at])
             want.append(at)
         assert forest.places(t, x, True).tolist() == want == forest.places(t, x, True, forest.steps(t)).tolist()
+
+
+def test_threshold_of_the_chain_comes_from_the_whole_forest(spark, monkeypatch):
+    """The query grows as many trees of as many levels as the chain's own defaults, over all rows of the earlier part."""
+    from tidewright.plans import habitat, more_queries
+
+    asked = []
+
+    def fit(train, columns, label="Presence", how=Settings(), key=None, edges=None):
+        asked.append((how, columns, train.count()))
+        return boosting.Forest.empty(columns, 1, 1)
+
+    monkeypatch.setattr(habitat.boosting, "fit_forest", fit)
+    monkeypatch.setattr(more_queries, "_features", lambda spark, sf: spark.range(50).selectExpr(
+        "id", "timestamp_seconds(id) AS Date", "CAST(id % 2 AS int) AS Presence", *[f"CAST(id AS double) AS {c}" for c in habitat.FEATURE_ORDER]
+    ))
+    assert more_queries.habitat_threshold(spark, "unused").count() == 1
+    how, columns, rows = asked[0]
+    assert (how.trees, how.depth) == (500, 6) == (Settings().trees, Settings().depth) and columns == habitat.FEATURE_ORDER and rows == 40
