@@ -151,6 +151,42 @@ def test_nearest_cell_beyond_a_pole(spark, south):
     assert c < 0 and {x.id: x.number for x in got.collect()} == {p[0]: near(p) for p in pts}
 
 
+@pytest.mark.parametrize("most", [4096, 3, 0])
+def test_nearest_cells_of_several_sets(spark, monkeypatch, tmp_path, most):
+    """All sets in one pass over points that keep their columns, however many cells a tile's pairs have; only what the result reads stays written."""
+    monkeypatch.setattr(knn, "MOST_IN_ROW", most)
+    r = random.Random(7)
+    pts = [(k, 30 + r.random() * 10, -75 + r.random() * 10, f"p{k}") for k in range(150)] + [(998, None, -70.0, "no"), (999, 35.0, None, "no")]
+    cells = [(k, 30 + r.random() * 10, -75 + r.random() * 10) for k in range(400)]
+    near = [(k, 39 + r.random() * 0.1, -66 + r.random() * 0.1) for k in range(40)]
+    frame = lambda x: spark.createDataFrame(x, "cell_id long, lat double, lon double")
+    points = spark.createDataFrame(pts, "id long, Lat double, Lon double, name string")
+    points.repartition(3).write.parquet(f"file://{tmp_path}/points")
+    mark = tables.named()
+    got = knn.nearest_cells(spark.read.parquet(f"file://{tmp_path}/points"), {"a": frame(cells), "none": frame([]), "b": frame(near)})
+    assert got.columns[:4] == points.columns
+    left = [p for p in tables._mine.paths[mark:] if os.path.exists(p.removeprefix("file://"))]
+    assert len(left) == (1 if most == 4096 else 3)  # the lists, and with crowded tiles what they are made of
+    rows = {x.id: x for x in got.collect()}
+    assert len(rows) == len(pts) and all(x.none is None for x in rows.values()) and rows[998].a is rows[999].b is None
+    c = math.cos(math.radians(sum(p[1] for p in pts[:150]) / 150))
+    for k, lat, lon, name in pts[:150]:
+        for out, cs in (("a", cells), ("b", near)):
+            _, b, l = min(cs, key=lambda x: (((x[1] - lat) ** 2 + ((x[2] - lon) * c) ** 2), x[0]))
+            h = math.sin(math.radians(b - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(b)) * math.sin(math.radians(l - lon) / 2) ** 2
+            assert rows[k][out] == pytest.approx(2 * 6371 * math.asin(math.sqrt(h)), rel=1e-9) and rows[k].name == name
+
+
+def test_chain_deletes_what_led_to_its_result(spark):
+    """Of all that the chain writes on its way, the table of sampled points and the lists of cells stay until the result has been taken."""
+    from tidewright.plans import more_queries
+
+    mark, before = tables.named(), spark.conf.get(tables._TIDY)
+    out = more_queries.habitat_features(spark, "/root/testdata/sf0.001")
+    left = [os.path.basename(p).split("-")[0] for p in tables._mine.paths[mark:] if os.path.exists(p.removeprefix("file://"))]
+    assert sorted(left) == ["lists", "sampled"] and out.count() > 1000 and spark.conf.get(tables._TIDY) == before
+
+
 def test_nearest_cell_without_cells(spark):
     p = spark.createDataFrame([(1, 35.0, -75.0)], "id long, Lat double, Lon double")
     assert knn.nearest_cell(p, spark.createDataFrame([], "cell_id long, lat double, lon double"), "km").first().km is None
